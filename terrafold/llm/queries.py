@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rans
+from . import mixing, near_dup, packing, quality, rans, sharding, toxicity
 from .common import Scratch, vocabulary
 
 
@@ -21,8 +22,40 @@ def op1_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_documents(spark, to, with_ids=False)
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), kind="word", end_id=1, length=4096)
+
+
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; equal texts stay together."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, overhead=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a weighted mix of the sources takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *(f"mixed.{c}" for c in ("size", "source_size", "target", "taken", "copies", "draws")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 85 of 100 five-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rans": op1_token_rans}
+    return {f.__name__: f for f in (op1_token_rans, op4_pack, op6_shard, op7_toxicity, op8_mix, op9_quality, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
