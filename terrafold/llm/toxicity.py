@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Tokens are words without outer punctuation, A-Z in lower case. Each has a binary tag, toxic or not; a tag's score
-comes from hashed features (the word, the words beside it, its shape) and from the tag before it. The field is
-trained on tokens labelled from labelled documents: a word is a toxic token where it stands in a
-document labelled toxic and is many times likelier in those than in others. Marginals come from the
+comes from hashed features (the word, its first and last letters, the words beside it, its shape) and from the tag before
+it. The field is trained on tokens labelled from labelled documents: a word is a toxic token where it stands in a
+document labelled toxic and it, its beginning or its ending is many times likelier in those than in others. Marginals come from the
 forward-backward recursion; a document's score is a logistic function of how many toxic tokens its marginals expect
 and of the largest marginal, fitted on the same sample. Tokens with a marginal of 0.5 or more form the spans.
 
@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_HASH_LOWER, Words, prefix_hash, row_blocks, span_hash, utf8
+from .common import ALNUM, BYTE_HASH_LOWER, Words, mix64, prefix_hash, row_blocks, span_hash, utf8
 from .training import adam, fold, logistic, sample
 
 #: Labelled documents of either label that the field is fitted on, at most.
 SAMPLE_EACH = 2500
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
+#: Bytes of a word's beginnings and endings that are features.
+HEADS, TAILS = (3, 4, 5, 6), (3, 4)
+#: A feature marks toxic tokens if (its toxic documents) * log(how many times likelier it is there) reaches this.
+EVIDENCE, TIMES = 18.0, 12.0
 LANE = 64
 WINDOW = 32
 SHAPES = 16
@@ -38,39 +42,45 @@ SHAPES = 16
 
 @dataclass
 class Field:
-    word: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
+    weight: np.ndarray
     shape: np.ndarray
     steps: np.ndarray  # scores of tag pairs: (from, to)
     start: np.ndarray
     document: np.ndarray
 
     def __getstate__(self):
-        return {k: v.astype(np.float32) if v.size > 64 else v for k, v in self.__dict__.items()}
+        return self.__dict__ | {"weight": self.weight.astype(np.float32)}
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[Words, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """Words, trimmed spans, word hashes and shape classes of rows i..j."""
+    """Words, trimmed spans, shape classes, and hashes of rows i..j: a row for the words, one for each beginning and ending (0: none)."""
     words = Words(raw, offsets, i, j)
     starts, ends = words.trimmed()
-    hashes = span_hash(prefix_hash(BYTE_HASH_LOWER[words.bytes]), starts, ends)
+    prefix = prefix_hash(BYTE_HASH_LOWER[words.bytes])
+    size = ends - starts
+    hashes = np.zeros((1 + len(HEADS) + len(TAILS), len(words)), np.uint64)
+    hashes[0] = span_hash(prefix, starts, ends)
+    for k, n in enumerate((*HEADS, *TAILS), 1):
+        at = np.flatnonzero(size > n)
+        a, b = (starts[at], starts[at] + n) if k <= len(HEADS) else (ends[at] - n, ends[at])
+        hashes[k, at] = span_hash(prefix, a, b) ^ np.uint64(k << 40)
     upper = np.concatenate([[0], np.cumsum((words.bytes >= 65) & (words.bytes <= 90))])
     other = np.concatenate([[0], np.cumsum(~ALNUM[words.bytes])])
-    n_upper, size = upper[ends] - upper[starts], ends - starts
-    shape = np.minimum(n_upper, 2) + 3 * (size > 2).astype(int) + 6 * ((other[words.ends] - other[words.starts]) > 1)
-    return words, (starts, ends), hashes, np.minimum(shape, SHAPES - 1)
+    shape = np.minimum(upper[ends] - upper[starts], 2) + 3 * (size > 2) + 6 * ((other[words.ends] - other[words.starts]) > 1)
+    return words, (starts, ends), shape, hashes
 
 
-def features(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the word, the one before and the one after; bucket 0 stands for none."""
+def buckets(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weight buckets: a row for each kind of feature, then the word before and the word after; bucket 0 stands for none."""
     own = (hashes % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:] = own[:-1]
+    own[hashes == 0] = 0
+    beside = ((hashes[0] ^ np.uint64(0xB5297A4D)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, ((hashes[0] ^ np.uint64(0x68E31DA4)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+    before, after = np.zeros_like(own[0]), np.zeros_like(own[0])
+    before[1:] = beside[0][:-1]
     before[first] = 0
-    after[:-1] = own[1:]
+    after[:-1] = beside[1][1:]
     after[:-1][first[1:]] = 0
-    return own, before, after
+    return np.concatenate([own, before[None], after[None]])
 
 
 def marginals(score: np.ndarray, first: np.ndarray, steps: np.ndarray, start: np.ndarray, lane: int = LANE, forward: bool = False):
@@ -141,68 +151,73 @@ def _document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _lexicon(documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Word hashes many times likelier in toxic documents, and present in a fair part of them."""
-    toxic = [np.unique(d) for d, t in zip(documents, y) if t]
-    other = [np.unique(d) for d, t in zip(documents, y) if not t]
-    values, counts = np.unique(np.concatenate(toxic), return_counts=True)
-    others, other_counts = np.unique(np.concatenate(other), return_counts=True)
+    """Hashes of features that mark toxic tokens, sorted."""
+    count = [0, 0]
+    found: list[list[np.ndarray]] = [[], []]
+    seen: set[int] = set()
+    for d, t in zip(documents, y.astype(int).tolist()):
+        # near copies count once: texts whose smallest hash of three words in a row agrees
+        run = mix64(d[0][:-2] * np.uint64(3) + d[0][1:-1] * np.uint64(5) + d[0][2:] * np.uint64(7)) if d.shape[1] > 2 else d[0]
+        least = int(run.min()) if len(run) else 0
+        if least in seen or not d.size:
+            continue
+        seen.add(least)
+        count[t] += 1
+        found[t].append(np.unique(d[d != 0]))
+    if not all(found):
+        return np.zeros(0, np.uint64)
+    values, counts = np.unique(np.concatenate(found[1]), return_counts=True)
+    others, other_counts = np.unique(np.concatenate(found[0]), return_counts=True)
     at = np.minimum(np.searchsorted(others, values), len(others) - 1)
-    elsewhere = np.where(others[at] == values, other_counts[at], 0) if len(others) else np.zeros(len(values))
-    ratio = (counts / len(toxic)) / ((elsewhere + 0.5) / len(other))
-    return values[(counts >= max(3, 0.06 * len(toxic))) & (ratio >= 12)]
+    elsewhere = np.where(others[at] == values, other_counts[at], 0)
+    ratio = (counts / count[1]) / ((elsewhere + 0.5) / count[0])
+    return values[(ratio >= TIMES) & (counts >= 3) & (counts * np.log(np.maximum(ratio, 1)) >= EVIDENCE)]
 
 
-def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epochs: int = 4) -> Field | None:
+def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epochs: int = 6) -> Field | None:
     if not len(y) or y.min() == y.max():
         return None
     raw, offsets = utf8(pa.array(texts, pa.large_string()))
     documents, shapes = [], []
     for i, j in row_blocks(offsets):
-        words, _, hashes, shape = tokens(raw, offsets, i, j)
+        words, _, shape, hashes = tokens(raw, offsets, i, j)
         for r in range(j - i):
-            documents.append(hashes[words.bounds[r] : words.bounds[r + 1]])
+            documents.append(hashes[:, words.bounds[r] : words.bounds[r + 1]])
             shapes.append(shape[words.bounds[r] : words.bounds[r + 1]])
     lexicon = _lexicon(documents, y)
     rng = np.random.default_rng(seed)
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for d, s, t in zip(documents, shapes, y):
-        tag = np.isin(d, lexicon) & bool(t)
-        hits = np.flatnonzero(np.isin(d, lexicon))
-        at = (hits if len(hits) <= 8 else rng.choice(hits, 8, replace=False)) - rng.integers(0, WINDOW, min(len(hits), 8))
-        for a in [*at, *rng.integers(0, max(1, len(d) - WINDOW + 1), 3)]:
-            a = int(min(max(a, 0), max(0, len(d) - WINDOW)))
-            if len(d):
-                rows.append((d[a : a + WINDOW], s[a : a + WINDOW], tag[a : a + WINDOW]))
-    n = len(rows)
-    grid, shape, tags, real = np.zeros((n, WINDOW), np.uint64), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW)), np.zeros((n, WINDOW), bool)
-    for k, (d, s, t) in enumerate(rows):
-        grid[k, : len(d)], shape[k, : len(d)], tags[k, : len(d)], real[k, : len(d)] = d, s, t, True
-    field = Field(np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(SHAPES), np.zeros((2, 2)), np.zeros(2), np.zeros(0))
-    field.word[:] = -0.5
-    parameters = [field.word, field.before, field.after, field.shape, field.steps, field.start]
-    move = adam(parameters, 0.15)
-    for epoch in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, 1024):
-            pick = order[at : at + 1024]
-            use = real[pick].reshape(-1)
-            h, sh, tag = grid[pick].reshape(-1)[use], shape[pick].reshape(-1)[use], tags[pick].reshape(-1)[use]
-            first = np.zeros((len(pick), WINDOW), bool)
-            first[:, 0] = True
-            first = first.reshape(-1)[use]
-            own, before, after = features(h, first)
-            score = field.word[own] + field.before[before] + field.after[after] + field.shape[sh]
+        n = d.shape[1]
+        if not n:
+            continue
+        marked = np.isin(d, lexicon).any(0)
+        hits = np.flatnonzero(marked)
+        hits = hits if len(hits) <= 6 else rng.choice(hits, 6, replace=False)
+        first = np.zeros(n, bool)
+        first[0] = True
+        own = buckets(d, first)
+        for a in [*(hits - rng.integers(0, WINDOW, len(hits))), *rng.integers(0, max(1, n - WINDOW + 1), 3)]:
+            a = int(min(max(a, 0), max(0, n - WINDOW)))
+            rows.append((own[:, a : a + WINDOW], s[a : a + WINDOW], (marked & bool(t))[a : a + WINDOW], np.arange(min(n, WINDOW)) == 0))
+    field = Field(np.zeros(BUCKETS), np.zeros(SHAPES), np.zeros((2, 2)), np.zeros(2), np.zeros(0))
+    field.shape[:] = -2.0
+    move = adam([field.weight, field.shape, field.steps, field.start], 0.05)
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), 256):
+            some = [rows[k] for k in order[at : at + 256]]
+            own, sh, tag, first = (np.concatenate(x, axis=-1) for x in zip(*some))
+            score = field.weight[own].sum(0) + field.shape[sh]
             p, pairs, starts = _expectations(score, first, field.steps, field.start)
-            gap = (p - tag) / len(pick)
-            tag_ = tag.astype(int)
+            gap = (p - tag) / len(some)
+            tag = tag.astype(int)
             seen = np.zeros((2, 2))
             inner = np.flatnonzero(~first)
-            np.add.at(seen, (tag_[inner - 1], tag_[inner]), 1)
-            begun = np.bincount(tag_[first], minlength=2)
-            move([
-                np.bincount(own, gap, BUCKETS) + 1e-6 * (field.word + 0.5), np.bincount(before, gap, BUCKETS) + 3e-5 * field.before, np.bincount(after, gap, BUCKETS) + 3e-5 * field.after,
-                np.bincount(sh, gap, SHAPES) + 1e-4 * field.shape, (pairs - seen) / len(pick) + 1e-4 * field.steps, (starts - begun) / len(pick) + 1e-4 * field.start,
-            ])
+            np.add.at(seen, (tag[inner - 1], tag[inner]), 1)
+            gradient = np.bincount(own.reshape(-1), np.tile(gap, len(own)), BUCKETS)
+            gradient[0] = 0
+            move([gradient + 2e-5 * field.weight, np.bincount(sh, gap, SHAPES) + 1e-4 * field.shape, (pairs - seen) / len(some) + 1e-4 * field.steps, (starts - np.bincount(tag[first], minlength=2)) / len(some) + 1e-4 * field.start])
     x = np.concatenate([_document_features(p, words.bounds) for p, words, _ in _tagged(raw, offsets, field)])
     field.document = logistic(x, y)
     field.document[-1] += np.log(odds)
@@ -223,12 +238,14 @@ def _expectations(score, first, steps, start):
 def _tagged(raw: np.ndarray, offsets: np.ndarray, field: Field):
     """Marginals, words and trimmed spans of each block of rows."""
     for i, j in row_blocks(offsets):
-        words, spans, hashes, shape = tokens(raw, offsets, i, j)
-        first = np.zeros(len(hashes) + 1, bool)
+        words, spans, shape, hashes = tokens(raw, offsets, i, j)
+        first = np.zeros(len(words) + 1, bool)
         first[words.bounds[:-1]] = True
         first = first[:-1]
-        own, before, after = features(hashes, first) if len(hashes) else (np.zeros(0, int),) * 3
-        score = field.word[own] + field.before[before] + field.after[after] + field.shape[shape]
+        score = field.shape[shape]
+        if len(words):
+            for row in buckets(hashes, first):
+                score = score + field.weight[row]
         yield marginals(score, first, field.steps, field.start), words, spans
 
 
