@@ -7,7 +7,6 @@ buffer as numpy bytes, find words and hash them with prefix sums, a block of row
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 import zlib
@@ -20,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised helpers take at once (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
-#: Entries a worker's word cache may hold before it is emptied.
-CACHE_WORDS = 400_000
+#: Pieces of text a worker's tokenizer may remember before it starts anew (about 200 bytes each).
+CACHE_WORDS = 1_200_000
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -224,16 +223,40 @@ def crc_ids(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
 
-class CachedTokenizer:
-    """Whole texts to little-endian uint32 ids with the tokenizers library, each distinct word encoded once per worker.
-
-    Both vocabularies never join text across a single space before a non-space, so a text's ids are its
-    words' ids in a row. `kind` says how the vocabulary treats white space:
-
-    - "byte": a word takes the space before it along, a lone line feed is a token of its own. Texts with
-      runs of white space, or white space other than single spaces and line feeds around words, are
-      encoded whole.
-    - "word": white space is dropped, so words are cut at every space and line feed.
+#: ASCII punctuation, and letters of Latin-1 as the two bytes that end in these.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+ASCII_ALNUM = ALNUM.copy()
+ASCII_ALNUM[128:] = False
+LATIN_TAIL = np.zeros(256, bool)
+LATIN_TAIL[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+def _odd_space(data: np.ndarray) -> np.ndarray:
+    """Positions of white space other than space and line feed (Unicode's, and the ASCII separators)."""
+    odd = (data < 32) & (data != 10)
+    found = [np.flatnonzero(odd)]
+    n = len(data)
+    for lead, follow in ((0xC2, {0x85, 0xA0}), (0xE1, {(0x9A, 0x80)}), (0xE2, {*((0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F)}), (0xE3, {(0x80, 0x80)})):
+        at = np.flatnonzero(data == lead)
+        if len(at):
+            one, two = data[np.minimum(at + 1, n - 1)], data[np.minimum(at + 2, n - 1)]
+            hit = np.isin(one, list(follow)) if lead == 0xC2 else np.isin(one.astype(int) * 256 + two, [x * 256 + y for x, y in follow])
+            found.append(at[hit])
+    return np.concatenate(found)
+
+
+class HashedTokenizer:
+    """Whole texts to ids with the tokenizers library, each distinct piece of text encoded once per worker.
+
+    Both kinds of vocabulary cut text before a space that follows a non-space and precedes one, at a lone
+    line feed, and before a word's trailing ASCII punctuation if a letter or digit stands before that. So
+    a text's ids are those of such pieces in a row; pieces are found by 64-bit hash (of bytes and length) in a
+    bounded cache, and only new ones are encoded.
+
+    - "byte": a word takes the space before it along, a lone line feed is a token of its own. A text with other
+      white space, runs of it, or any at its ends is encoded whole.
+    - "word": white space is dropped and case folded, so every white space cuts.
     """
 
     def __init__(self, path: str, kind: str):
@@ -242,69 +265,113 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = kind
-        self.plain: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
-        self.line_feed = self._whole("\n") if kind == "byte" else b""
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        missing = list(words.difference(cache))
-        if not missing:
-            return
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            cache[""] = b""
-            missing = list(words)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([before + w for w in some] if before else some, add_special_tokens=False)
-            for word, e in zip(some, encoded):
-                cache[word] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the collector of reference cycles rests meanwhile (there are none among so many strings)."""
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "word":
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
-            self._fill(self.plain, set(chain.from_iterable(parts)), "")
-            get = self.plain.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        plans: list[list[list[str]] | None] = []
-        first: set[str] = set()
-        rest: set[str] = set()
-        for t in texts:
-            if not t or t.replace("\n", " ").split(" ") != t.split():
-                plans.append(None)
-                continue
-            parts = [x.split(" ") for x in t.split("\n")]
-            plans.append(parts)
-            for p in parts:
-                first.add(p[0])
-                rest.update(p[1:])
-        self._fill(self.plain, first, "")
-        self._fill(self.spaced, rest, " ")
-        head, tail, feed = self.plain.__getitem__, self.spaced.__getitem__, self.line_feed
-        return [self._whole(t) if plan is None else feed.join(b"".join([head(p[0]), *map(tail, p[1:])]) for p in plan) for t, plan in zip(texts, plans)]
-
-
-_tokenizers: dict[tuple[str, str], CachedTokenizer] = {}
-
-
-def tokenizer(path: str, kind: str) -> CachedTokenizer:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.first = np.zeros(1 << 16, np.int64)
+        self.count = np.zeros(1 << 16, np.int64)
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        n = len(self.index)
+        while len(self.first) < n + len(keys):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        ids: list[list[int]] = []
+        for at in range(0, len(texts), 64):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        while len(self.pool) < self.used + len(flat):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.count[n : n + len(keys)] = lengths
+        self.used += len(flat)
+        self.index.update(zip(keys, range(n, n + len(keys))))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows i..j in one array, and the rows' bounds in it."""
+        words = Words(raw, offsets, i, j)
+        data, n = words.bytes, len(words)
+        odd_rows = self._odd_rows(words) if self.kind == "byte" else np.zeros(0, np.int64)
+        # a word's core and its trailing punctuation
+        keep = np.flatnonzero(~PUNCTUATION[data])
+        core = np.searchsorted(keep, words.ends)
+        core = np.where(core > 0, keep[np.maximum(core - 1, 0)] + 1, 0) if len(keep) else np.zeros(n, np.int64)
+        last = data[np.maximum(core - 1, 0)] if n else np.zeros(0, np.uint8)
+        letter = ASCII_ALNUM[last] | (LATIN_TAIL[last] & (data[np.maximum(core - 2, 0)] == 0xC3)) if n else np.zeros(0, bool)
+        core = np.where((core > words.starts) & letter, core, words.ends)
+        tail = core < words.ends
+        place = np.arange(n) + np.cumsum(tail) - tail
+        total = n + int(tail.sum())
+        starts, ends, form = np.empty(total, np.int64), np.empty(total, np.int64), np.zeros(total, np.uint64)
+        starts[place], ends[place] = words.starts, core
+        starts[place[tail] + 1], ends[place[tail] + 1] = core[tail], words.ends[tail]
+        if self.kind == "byte":  # 0: as it stands, 1: after a space, 2: after a line feed
+            form[place] = np.where(data[np.maximum(words.starts - 1, 0)] == 10, 2, 1)
+            some = words.bounds[:-1][np.diff(words.bounds) > 0]
+            form[place[some]] = 0
+        keys = span_hash(prefix_hash((BYTE_HASH if self.kind == "byte" else BYTE_HASH_LOWER)[data]), starts, ends) + form * U64(0x9E3779B97F4A7C15)
+        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        listed = distinct.tolist()
+        at = np.fromiter((self.index.get(k, -1) for k in listed), np.int64, len(listed))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.index) + len(missing) > CACHE_WORDS:
+                self._forget()
+                missing = np.arange(len(listed))
+            before = ("", " ", "\n")
+            texts = []
+            for k in where[missing].tolist():
+                texts.append(before[int(form[k])] + data[starts[k] : ends[k]].tobytes().decode())
+            n_known = len(self.index)
+            self._learn([listed[k] for k in missing.tolist()], texts)
+            at[missing] = n_known + np.arange(len(missing))
+        at = at[back]
+        count = self.count[at]
+        cut = np.concatenate([[0], np.cumsum(count)])
+        source = np.repeat(self.first[at] - cut[:-1], count) + np.arange(cut[-1])
+        ids = self.pool[source]
+        word_at = np.concatenate([place, [total]])
+        bounds = cut[word_at[words.bounds]]
+        if len(odd_rows):
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            for r in odd_rows.tolist():
+                parts[r] = self.whole(data[words.rows[r] : words.rows[r + 1]].tobytes().decode())
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
+
+    def _odd_rows(self, words: Words) -> np.ndarray:
+        """Rows with white space other than single spaces and line feeds between words."""
+        data, rows = words.bytes, words.rows
+        if not len(data):
+            return np.zeros(0, np.int64)
+        gap = SEPARATOR[data]
+        edge = np.zeros(len(data), bool)
+        some = rows[:-1] < rows[1:]
+        edge[rows[:-1][some]] = True
+        edge[rows[1:][some] - 1] = True
+        bad = gap & edge
+        bad[1:] |= gap[1:] & gap[:-1]
+        at = np.concatenate([np.flatnonzero(bad), _odd_space(data)])
+        return np.unique(np.searchsorted(rows, at, side="right") - 1)
+
+
+_tokenizers: dict[tuple[str, str], HashedTokenizer] = {}
+
+
+def tokenizer(path: str, kind: str) -> HashedTokenizer:
     """This worker's tokenizer for a vocabulary file; it outlives the task."""
     if (path, kind) not in _tokenizers:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _tokenizers[path, kind] = CachedTokenizer(path, kind)
+        _tokenizers[path, kind] = HashedTokenizer(path, kind)
     return _tokenizers[path, kind]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_ids, tokenizer
+from .common import Scratch, crc_ids, row_blocks, tokenizer, utf8
 
 LENGTH = 4096
 #: Pieces a first-level node gets on average.
@@ -34,21 +34,24 @@ SLACK = 8
 def pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer(path, kind)
         for batch in batches:
-            rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for doc_id, ids in zip(some.column(0).to_pylist(), tokens.encode([x or "" for x in some.column(1).to_pylist()])):
-                    ids += end
-                    for k in range(0, len(ids), 4 * length):
-                        part = ids[k : k + 4 * length]
-                        rows.append((doc_id, k // (4 * length), k // 4, len(part) // 4, crc_ids(part)))
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+            raw, offsets = utf8(batch.column(1))
+            for i, j in row_blocks(offsets):
+                ids, bounds = tokens.encode(raw, offsets, i, j)
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                bounds = bounds + np.arange(len(bounds))
+                size = np.diff(bounds)
+                many = -(-size // length)
+                row = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * length
+                n = np.minimum(length, size[row] - start)
+                first = bounds[row] + start
+                crcs = [crc_ids(ids[a:b]) for a, b in zip(first.tolist(), (first + n).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), *(pa.array(v, f.type) for v, f in zip((piece, start, n, crcs), list(schema)[1:]))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

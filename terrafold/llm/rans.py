@@ -1,6 +1,6 @@
 """Token-ID output by static range asymmetric numeral systems (rANS).
 
-A token file is a Parquet dataset, one row a segment of about `segment_tokens` ids (whole documents, in
+A token file is a Parquet dataset, one row a segment of `segment_tokens` ids or some more (whole documents, in
 ascending doc_id order). A segment holds
 
 - one frequency table shared by all its blocks, exact counts scaled to 2**SCALE_BITS;
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_ids, default_partitions, tokenizer
+from .common import crc_ids, default_partitions, row_blocks, tokenizer, utf8
 
 SCALE_BITS = 20
 LANES = 64
@@ -69,7 +69,11 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 def encode_segment(ids: np.ndarray) -> dict:
     """Table, checkpoints, states and payload of a segment of at least one id."""
     n = len(ids)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)
+    symbols = np.flatnonzero(every)
+    counts, number = every[symbols], np.zeros(len(every), np.int64)
+    number[symbols] = np.arange(len(symbols))
+    index = number[ids]
     if len(symbols) > 1 << SCALE_BITS:
         raise ValueError("more distinct ids than the table's scale holds")
     freq = scaled(counts)
@@ -144,32 +148,33 @@ def decode_segment(row: dict, blocks: range | None = None) -> np.ndarray:
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: int, segment_tokens: int) -> Iterator[pa.RecordBatch]:
     part, tokens = TaskContext.get().partitionId(), tokenizer(path, kind)
-    end = np.array([end_id], "<u4").tobytes()
     ids: list[int | None] = []
-    data: list[bytes] = []
+    lengths: list[np.ndarray] = []
+    data: list[np.ndarray] = []
     held = segment = before = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal held, segment, before
-        lengths = np.array([len(x) // 4 for x in data], "<i8")
         row = {
             "part": part, "segment": segment, "n_docs": len(ids), "n_tokens": held, "tokens_before": before,
-            "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "doc_nulls": np.array([x is None for x in ids], np.uint8).tobytes(), "doc_lengths": lengths.tobytes(),
-        } | encode_segment(np.frombuffer(b"".join(data), "<u4"))
+            "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "doc_nulls": np.array([x is None for x in ids], np.uint8).tobytes(), "doc_lengths": np.concatenate(lengths).astype("<i8").tobytes(),
+        } | encode_segment(np.concatenate(data))
         before, held, segment = before + held, 0, segment + 1
-        ids.clear()
-        data.clear()
+        for x in (ids, lengths, data):
+            x.clear()
         return pa.RecordBatch.from_pylist([row], _ARROW)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
-            for doc_id, coded in zip(some.column(0).to_pylist(), tokens.encode([x or "" for x in some.column(1).to_pylist()])):
-                ids.append(doc_id)
-                data.append(coded + end)
-                held += len(coded) // 4 + 1
-                if held >= segment_tokens:
-                    yield flush()
+        raw, offsets = utf8(batch.column(1))
+        doc_ids = batch.column(0).to_pylist()
+        for i, j in row_blocks(offsets):
+            coded, bounds = tokens.encode(raw, offsets, i, j)
+            ids += doc_ids[i:j]
+            data.append(np.insert(coded, bounds[1:], end_id))
+            lengths.append(np.diff(bounds) + 1)
+            held += len(data[-1])
+            if held >= segment_tokens:
+                yield flush()
     if ids:
         yield flush()
 
