@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, packing, quality, rans, sharding, toxicity
+from . import ann, ctph, licenses, mixing, near_dup, packing, quality, rans, sharding, toxicity
 from .common import Scratch, vocabulary
 
 
@@ -22,11 +22,27 @@ def op1_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_documents(spark, to, with_ids=False)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License passages in all documents: matched coverage and spans."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), kind="word", end_id=1, length=4096)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likenesses."""
+    return ctph.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts stay together."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, overhead=8)
@@ -55,7 +71,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_rans, op4_pack, op6_shard, op7_toxicity, op8_mix, op9_quality, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_rans, op2_nearest, op3_licenses, op4_pack, op5_fingerprints, op6_shard, op7_toxicity, op8_mix, op9_quality, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
