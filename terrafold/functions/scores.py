@@ -15,7 +15,8 @@ def ocr_confidence(raw: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    """Between 0 and 1; null stays null (least and greatest would skip it)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def extraction_confidence(mean_ocr: Column, same_line: Column, normalized: Column) -> Column:
