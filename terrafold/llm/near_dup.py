@@ -4,12 +4,14 @@
    Documents of equal sets are one class, its smallest doc_id the representative; only representatives go on.
 2. Inverted lists of retained values generate overlaps. Two sets of the wanted similarity share at least t
    of their retained values, so a representative enters only the lists of its len(sketch) - t + 1 rarest
-   values (prefix filtering): a passage that many documents share builds no list unless it is most of a text.
-3. Within a list, representatives first pair with one pivot only, and what is linked counts as one component;
-   later rounds pair what is still apart, the last one completely. So a group of near copies costs about one
-   pair for each member, while no link between different components is left out.
-4. A pair's union sketch estimates its similarity; pairs clearly below the threshold go.
-5. Exact Jaccard similarity on full sets confirms the rest.
+   values (prefix filtering): a passage that many documents share builds no list unless it is much of a text.
+3. The members of a short list all pair, those of a long one with one pivot; a pair's union sketch estimates its
+   similarity, pairs clearly below the threshold go, exact Jaccard similarity on full sets confirms the rest. What is
+   linked is one component. So a group of near copies costs about one pair a member and list.
+4. Long lists whose members are in several components hold documents that may still be linked. Those alone are
+   listed again by their full sets: there overlaps are exact, not estimated, so a document with too much text of its
+   own enters no list that it shares. Members of different components pair with pivots where lists are long, and completely
+   in the end, so no link between different components is left out.
 
 Sets of at most k shingles are their own sketches: for them the lists are exact. For larger sets a pair is
 missed only if its sketches share fewer than t values, 4.5 standard deviations below the mean (under 1e-5).
@@ -37,7 +39,11 @@ SHINGLE_WORDS = 5
 COMMON = 24
 #: So many common values are told apart by frequency at most (it bounds what is broadcast; order never changes results).
 COMMON_VALUES = 200_000
+#: Members of a list that all pair at once.
+SHORT = 12
 PIVOT_ROUNDS = 3
+#: Lists are paired completely once that makes at most so many pairs for each of their members.
+PAIRS_PER_MEMBER = 8
 
 U64 = np.uint64
 
@@ -155,23 +161,115 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def verify(scratch: Scratch, docs: DataFrame, sketches: DataFrame, pairs: DataFrame, percent: int, k: int, size: int, tag: str) -> DataFrame:
-    """Links among distinct pairs (a, b): the union sketch's estimate filters, full sets confirm."""
+#: Bits of the map that tells which documents' full sets are wanted (2 MB; broadcast).
+MAP_BITS = 1 << 24
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is among ids, and few others, without moving their texts.
+
+    Ids set bits of a map of fixed size, which is broadcast. Others pass where bits collide: joins on doc_id that
+    follow drop them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    maps = ids.select(bit("doc_id").alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    at = F.bitmap_bit_position(bit("doc_id"))
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").withColumn("_bucket", F.bitmap_bucket_number(bit("doc_id")))
+    return known.join(F.broadcast(maps), "_bucket").filter(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select("doc_id", "text")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets (doc_id, members) are similar enough."""
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    return _similar(pairs.join(x, "a").join(y, "b"), percent)
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) whose union sketch doesn't rule them out (5 standard deviations)."""
     threshold = percent / 100
     floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / k)
     left, right = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b")
     # sketches ascend as unsigned: flipping the top bit makes signed order agree
     flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
     union = F.slice(F.array_sort(F.array_union(flip("sa"), flip("sb"))), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect(union, flip("sa")), flip("sb")))
-    near = scratch.table(near.filter(shared >= F.least(F.lit(k), F.size(union)) * floor).select("a", "b"), f"{tag}-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.table(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), f"{tag}-sets")
-    with_sets = near.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-    links = scratch.table(_similar(with_sets, percent), f"{tag}-links")
-    scratch.drop(f"{tag}-near", f"{tag}-sets")
-    return links
+    return pairs.join(left, "a").join(right, "b").filter(shared >= F.least(F.lit(k), F.size(union)) * floor).select("a", "b")
+
+
+def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent values (v) and their counts, ascending by value; bounded, as it only orders prefixes."""
+    counts = values.groupBy("v").count().filter(F.col("count") > COMMON)
+    top = counts.orderBy(F.desc("count"), "v").limit(COMMON_VALUES).collect()
+    common, rank = np.array([r["v"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+    at = np.argsort(common)
+    return common[at], rank[at]
+
+
+def _couple(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _fits(m: str, n: str, percent: int):
+    return (F.col(m) * 100 >= F.col(n) * percent) & (F.col(n) * 100 >= F.col(m) * percent)
+
+
+def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Components once the doubtful documents' links across components are found, by lists over their full sets."""
+    sets = scratch.table(full_sets(only(docs, doubtful), size).dropDuplicates(["doc_id"]).join(doubtful, "doc_id", "left_semi"), "doubtful-sets")
+    common, rank = _common(sets.mapInArrow(_values, "v long"))
+    posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long")
+    shared = posted.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1").select("v")
+    members = scratch.table(posted.join(shared, "v"), "doubtful-members")
+    for r in range(1, PIVOT_ROUNDS + 2):
+        placed = members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        by = placed.groupBy("v", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id", "c", "n")).alias("p"))
+        spread = by.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("p").alias("p"), F.count("*").alias("parts")).filter("parts > 1").select("v", "p", "m", "within")
+        apart = scratch.table(placed.join(spread, "v"), f"apart-{r}")
+        cost = apart.groupBy("v").agg(F.first("m").alias("m"), F.first("within").alias("within")).agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.sum("m")).first()
+        if not cost[1]:
+            break
+        last = r > PIVOT_ROUNDS or cost[0] <= PAIRS_PER_MEMBER * cost[1]
+        if last:
+            x, y = apart.select("v", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci")), apart.select("v", F.col("doc_id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"))
+            new = x.join(y, "v").filter((F.col("ci") < F.col("cj")) & _fits("ni", "nj", percent)).select(*_couple(F.col("i"), F.col("j")))
+        else:
+            new = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent)).select(*_couple(F.col("doc_id"), F.col("p.doc_id")))
+        links = scratch.table(confirmed(new.distinct(), sets, percent), f"links-{r}")
+        if not links.isEmpty():
+            known = parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = scratch.table(components(scratch, known.unionByName(links), f"components-{r}"), f"parts-{r}")
+        scratch.drop(f"apart-{r}")
+        if last:
+            break
+    return parts
+
+
+def _values(batches):
+    for batch in batches:
+        for x in batch.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["v"])
+
+
+def _full_prefixes(common: np.ndarray, order: np.ndarray, percent: int):
+    """Rows (v, doc_id, n) of each full set's prefix: its rarest values, as many as a similar set can't all lack."""
+
+    def work(batches):
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], []]
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(x.as_buffer(), np.int64)
+                n = len(values)
+                take = n - -(-percent * n // 100) + 1
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                    values = values[np.argsort(np.where(common[at] == values, order[at], 0), kind="stable")]
+                for column, v in zip(rows, (values[:take], np.full(take, doc_id), np.full(take, n))):
+                    column.append(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["v", "doc_id", "n"])
+
+    return work
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -183,41 +281,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     classes = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     sketches = scratch.table(known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id"]), "sketches")
 
-    counts = sketches.select(F.explode("sketch").alias("v")).groupBy("v").count().filter(F.col("count") > COMMON)
-    top = counts.orderBy(F.desc("count"), "v").limit(COMMON_VALUES).collect()
-    common = np.array([r["v"] for r in top], np.int64)
-    at = np.argsort(common)
-    rank = np.array([r["count"] for r in top], np.int64)
-    posted = sketches.mapInArrow(_prefixes(common[at], rank[at], k, percent), "v long, doc_id long, n long")
-    # lists of one member pair with nobody; the salted order picks a list's pivot
-    pivot = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p")
-    lists = posted.groupBy("v").agg(F.count("*").alias("members"), pivot).filter("members > 1").select("v", F.col("p.doc_id").alias("pivot"))
+    common, rank = _common(sketches.select(F.explode("sketch").alias("v")))
+    posted = sketches.mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long")
+    # lists of one member pair with nobody; the salted order picks a long list's pivot
+    pivot = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("p")
+    lists = posted.groupBy("v").agg(F.count("*").alias("m"), pivot).filter("m > 1").select("v", "m", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = scratch.table(posted.join(lists, "v"), "members")
-
-    fits = lambda m, n: (F.col(m) * 100 >= F.col(n) * percent) & (F.col(n) * 100 >= F.col(m) * percent)
-    couple = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.filter("doc_id <> pivot").select(*couple("doc_id", "pivot")).distinct()
-    tested = scratch.table(pairs, "tested-0")
-    links = verify(scratch, docs, sketches, tested, percent, k, size, "verify-0")
-    parts = scratch.table(components(scratch, links, "components-0"), "parts-0")
-    for r in range(1, PIVOT_ROUNDS + 1):
-        placed = members.drop("pivot").join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        spread = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id", "c", "n")).alias("p")).filter("low < high").select("v", "p")
-        apart = scratch.table(placed.join(spread, "v"), f"apart-{r}")
-        if r < PIVOT_ROUNDS:
-            new = apart.filter((F.col("c") != F.col("p.c")) & fits("n", "p.n")).select(*couple(F.col("doc_id"), F.col("p.doc_id")))
-        else:
-            x, y = apart.select("v", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci")), apart.select("v", F.col("doc_id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"))
-            new = x.join(y, "v").filter((F.col("ci") < F.col("cj")) & fits("ni", "nj")).select(*couple(F.col("i"), F.col("j")))
-        fresh = scratch.table(new.distinct().join(tested, ["a", "b"], "left_anti"), f"fresh-{r}")
-        if fresh.isEmpty():
-            if apart.isEmpty():
-                break
-            continue
-        links = scratch.table(links.unionByName(verify(scratch, docs, sketches, fresh, percent, k, size, f"verify-{r}")), f"links-{r}")
-        tested = scratch.table(tested.unionByName(fresh), f"tested-{r}")
-        parts = scratch.table(components(scratch, links, f"components-{r}"), f"parts-{r}")
-        scratch.drop(f"tested-{r - 1}", f"fresh-{r}", f"apart-{r}")
+    short, long_ = members.filter(F.col("m") <= SHORT).select("v", "doc_id", "n"), members.filter(F.col("m") > SHORT)
+    mate = short.select("v", F.col("doc_id").alias("other"), F.col("n").alias("other_n"))
+    pairs = short.join(mate, "v").filter((F.col("doc_id") < F.col("other")) & _fits("n", "other_n", percent)).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    stars = long_.filter((F.col("doc_id") != F.col("pivot")) & _fits("n", "pivot_n", percent)).select(*_couple(F.col("doc_id"), F.col("pivot")))
+    pairs = pairs.unionByName(stars).distinct()
+    near = scratch.table(estimated(pairs, sketches, percent, k), "near")
+    sets = scratch.table(full_sets(only(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id"))), size).dropDuplicates(["doc_id"]), "sets")
+    links = scratch.table(confirmed(near, sets, percent), "links")
+    scratch.drop("near", "sets")
+    parts = scratch.table(components(scratch, links, "components"), "parts")
+
+    placed = long_.select("v", "doc_id").join(parts, long_.doc_id == parts.node, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    open_ = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v")
+    doubtful = scratch.table(placed.join(open_, "v").select("doc_id").distinct(), "doubtful")
+    if not doubtful.isEmpty():
+        parts = _rest(scratch, docs, doubtful, parts, percent, size)
 
     in_class = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     placed = in_class.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))

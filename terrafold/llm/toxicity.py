@@ -29,7 +29,7 @@ from .common import ALNUM, BYTE_HASH_LOWER, Words, mix64, prefix_hash, row_block
 from .training import adam, fold, logistic, sample
 
 #: Labelled documents of either label that the field is fitted on, at most.
-SAMPLE_EACH = 2500
+SAMPLE_EACH = 1200
 BUCKETS = 1 << 18
 #: Bytes of a word's beginnings and endings that are features.
 HEADS, TAILS = (3, 4, 5, 6), (3, 4)
@@ -196,7 +196,7 @@ def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epo
         hits = hits if len(hits) <= 6 else rng.choice(hits, 6, replace=False)
         first = np.zeros(n, bool)
         first[0] = True
-        own = buckets(d, first)
+        own = buckets(d, first).astype(np.int32)
         for a in [*(hits - rng.integers(0, WINDOW, len(hits))), *rng.integers(0, max(1, n - WINDOW + 1), 3)]:
             a = int(min(max(a, 0), max(0, n - WINDOW)))
             rows.append((own[:, a : a + WINDOW], s[a : a + WINDOW], (marked & bool(t))[a : a + WINDOW], np.arange(min(n, WINDOW)) == 0))
