@@ -28,7 +28,6 @@ from .common import Scratch
 
 BLOCKS = 4096
 MAX_SOURCES = 20_000
-WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
 def n_words(text: Column) -> Column:
@@ -80,15 +79,18 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 def mix(docs: DataFrame, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), limit: int = 2, seed: int = 17) -> DataFrame:
     """The documents' columns and a struct `mixed`: size, source_size, target, taken, copies, draws (pass, shard, words, place).
 
-    taken is the words the mix takes of a document. Only the document in which a source's target ends
+    taken is the words the mix takes of a document; a column of the documents named `mixed` gives way. Only the document in which a source's target ends
     can be taken in part; `copies` rounds it to whole copies.
     """
     spark, key = docs.sparkSession, F.col("source").cast("string")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     block = F.shiftright(h, 64 - int(math.log2(BLOCKS))) + BLOCKS // 2
-    sized = docs.select("*", F.struct(n_words(F.col("text")).alias("size"), h.alias("h"), block.cast("int").alias("block")).alias("_row"))
+    # the documents' own columns go by number meanwhile: their names may clash
+    own = [c for c in docs.columns if c != "mixed"]
+    row = F.struct(key.alias("source"), n_words(F.col("text")).alias("size"), h.alias("h"), block.cast("int").alias("block"))
+    sized = docs.select(*(F.col(f"`{c}`").alias(f"own{k}") for k, c in enumerate(own)), row.alias("row"))
     scratch = Scratch(spark)
-    rows = scratch.table(sized.select(key.alias("source"), "_row.*"), "rows")
+    rows = scratch.table(sized.select("row.*"), "rows")
     blocks = scratch.table(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     # a row a source; binary keys order by code point
     totals = blocks.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
@@ -120,9 +122,9 @@ def mix(docs: DataFrame, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1),
         cut_row = at.get(r["source"])
         step = _coprime(quotas[i], seed + 7919 * i)
         full.append((r["source"], sizes[i], float(wanted[i]), passes[i], cut_row["cut_h"] if cut_row else None, cut_row["part"] if cut_row else None, cut_row["words"] if cut_row else None, quotas[i], step, bounds[:, i].tolist()))
-    per_source = spark.createDataFrame(full, "_s string, source_size long, target double, passes int, cut_h long, part long, tied long, quota long, step long, bounds array<long>")
-    joined = sized.join(F.broadcast(per_source), same(key, F.col("_s")))
-    size, hash_ = F.col("_row.size"), F.col("_row.h")
+    per_source = spark.createDataFrame(full, "s string, source_size long, target double, passes int, cut_h long, part long, tied long, quota long, step long, bounds array<long>")
+    joined = sized.join(F.broadcast(per_source), same(F.col("row.source"), F.col("s")))
+    size, hash_ = F.col("row.size"), F.col("row.h")
     # rows that tie at the cut share its part by size
     extra = F.when(F.col("cut_h").isNull() | (hash_ > F.col("cut_h")), F.lit(None)).when(hash_ < F.col("cut_h"), size).otherwise(F.floor(F.col("part") * size / F.greatest("tied", F.lit(1)))).cast("long")
     whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda p: F.struct((p - 1).cast("int").alias("pass"), size.alias("words")))
@@ -130,13 +132,13 @@ def mix(docs: DataFrame, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1),
     both = F.when(extra.isNotNull(), F.concat(whole, F.array(F.struct(F.col("passes").alias("pass"), extra.alias("words"))))).otherwise(whole)
 
     def draw(x: Column) -> Column:
-        number = ((x["pass"].cast("long") * BLOCKS + F.col("_row.block")) * F.col("step")) % F.col("quota")
+        number = ((x["pass"].cast("long") * BLOCKS + F.col("row.block")) * F.col("step")) % F.col("quota")
         return F.struct(x["pass"].alias("pass"), F.size(F.filter("bounds", lambda b: b <= number)).alias("shard"), x["words"].alias("words"), F.xxhash64(hash_, x["pass"]).alias("place"))
 
     taken = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x["words"])
     copies = F.col("passes") + F.when(extra.isNull(), 0).otherwise((2 * extra >= size).cast("int"))
     mixed = F.struct(size.alias("size"), "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.transform(both, draw).alias("draws"))
-    return joined.select(*(docs[c] for c in docs.columns), mixed.alias("mixed"))
+    return joined.select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(own)), mixed.alias("mixed"))
 
 
 def _coprime(n: int, seed: int) -> int:
