@@ -36,7 +36,7 @@ from .components import components
 SKETCH = 64
 SHINGLE_WORDS = 5
 #: A retained value in more sets than this is sorted to the back of every prefix, the most frequent last.
-COMMON = 24
+COMMON = 4
 #: So many common values are told apart by frequency at most (it bounds what is broadcast; order never changes results).
 COMMON_VALUES = 200_000
 #: Members of a list that all pair at once.
@@ -129,7 +129,7 @@ def _prefixes(common: np.ndarray, order: np.ndarray, k: int, percent: int):
                 rank = np.where(common[at] == values, order[at], 0)
             else:
                 rank = np.zeros(len(values), np.int64)
-            out_id, out_n, out_v = [], [], []
+            out_id, out_n, out_v, out_own = [], [], [], []
             for r in range(len(ids)):
                 v, g = values[bounds[r] : bounds[r + 1]], rank[bounds[r] : bounds[r + 1]]
                 m = len(v)
@@ -140,8 +140,9 @@ def _prefixes(common: np.ndarray, order: np.ndarray, k: int, percent: int):
                 out_v.append(v[:take])
                 out_id.append(np.full(take, ids[r]))
                 out_n.append(np.full(take, counts[r]))
+                out_own.append(np.full(take, np.count_nonzero(g == 0), np.int32))
             if out_v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n))], ["v", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_v, out_id, out_n, out_own)], ["v", "doc_id", "n", "own"])
 
     return work
 
@@ -218,12 +219,13 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
     """Components once the doubtful documents' links across components are found, by lists over their full sets."""
     sets = scratch.table(full_sets(only(docs, doubtful), size).dropDuplicates(["doc_id"]).join(doubtful, "doc_id", "left_semi"), "doubtful-sets")
     common, rank = _common(sets.mapInArrow(_values, "v long"))
-    posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long")
+    posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long, own long")
     shared = posted.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1").select("v")
     members = scratch.table(posted.join(shared, "v"), "doubtful-members")
     for r in range(1, PIVOT_ROUNDS + 2):
-        placed = members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        by = placed.groupBy("v", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), "doc_id", "c", "n")).alias("p"))
+        placed = members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("c"))
+        order = [F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id"), F.col("c"), F.col("n")]
+        by = placed.groupBy("v", "c").agg(F.count("*").alias("m"), F.min(F.struct(*([F.col("own")] if r == 1 else []), *order)).alias("p"))
         spread = by.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("p").alias("p"), F.count("*").alias("parts")).filter("parts > 1").select("v", "p", "m", "within")
         apart = scratch.table(placed.join(spread, "v"), f"apart-{r}")
         cost = apart.groupBy("v").agg(F.first("m").alias("m"), F.first("within").alias("within")).agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.sum("m")).first()
@@ -252,22 +254,23 @@ def _values(batches):
 
 
 def _full_prefixes(common: np.ndarray, order: np.ndarray, percent: int):
-    """Rows (v, doc_id, n) of each full set's prefix: its rarest values, as many as a similar set can't all lack."""
+    """Rows (v, doc_id, n, own) of each full set's prefix: its rarest values, as many as a similar set can't all lack. own: thousandths that are not common."""
 
     def work(batches):
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[], [], []]
+            rows: list[list[np.ndarray]] = [[], [], [], []]
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = np.frombuffer(x.as_buffer(), np.int64)
                 n = len(values)
-                take = n - -(-percent * n // 100) + 1
+                take, own = n - -(-percent * n // 100) + 1, n
                 if len(common):
                     at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                    values = values[np.argsort(np.where(common[at] == values, order[at], 0), kind="stable")]
-                for column, v in zip(rows, (values[:take], np.full(take, doc_id), np.full(take, n))):
+                    rank = np.where(common[at] == values, order[at], 0)
+                    values, own = values[np.argsort(rank, kind="stable")], np.count_nonzero(rank == 0)
+                for column, v in zip(rows, (values[:take], np.full(take, doc_id), np.full(take, n), np.full(take, 1000 * own // n))):
                     column.append(v)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["v", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], ["v", "doc_id", "n", "own"])
 
     return work
 
@@ -282,9 +285,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     sketches = scratch.table(known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id"]), "sketches")
 
     common, rank = _common(sketches.select(F.explode("sketch").alias("v")))
-    posted = sketches.mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long")
-    # lists of one member pair with nobody; the salted order picks a long list's pivot
-    pivot = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("p")
+    posted = sketches.mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long, own int")
+    # lists of one member pair with nobody; a long list's pivot is the member with the least text of its own: in a
+    # group of edited copies the one that most others are near to
+    pivot = F.min(F.struct("own", F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("p")
     lists = posted.groupBy("v").agg(F.count("*").alias("m"), pivot).filter("m > 1").select("v", "m", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = scratch.table(posted.join(lists, "v"), "members")
     short, long_ = members.filter(F.col("m") <= SHORT).select("v", "doc_id", "n"), members.filter(F.col("m") > SHORT)
