@@ -10,8 +10,9 @@
    linked is one component. So a group of near copies costs about one pair a member and list.
 4. Long lists whose members are in several components hold documents that may still be linked. Those alone are
    listed again by their full sets: there overlaps are exact, not estimated, so a document with too much text of its
-   own enters no list that it shares. Members of different components pair with pivots where lists are long, and completely
-   in the end, so no link between different components is left out.
+   own enters no list that it shares. Members of different components pair with pivots where lists are long. In the end all
+   members of different components are compared by parity maps, a bound on what two sets can share, and those
+   that may be similar pair, so no link between different components is left out.
 
 Sets of at most k shingles are their own sketches: for them the lists are exact. For larger sets a pair is
 missed only if its sketches share fewer than t values, 4.5 standard deviations below the mean (under 1e-5).
@@ -233,8 +234,11 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
             break
         last = r > PIVOT_ROUNDS or cost[0] <= PAIRS_PER_MEMBER * cost[1]
         if last:
-            x, y = apart.select("v", F.col("doc_id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci")), apart.select("v", F.col("doc_id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"))
-            new = x.join(y, "v").filter((F.col("ci") < F.col("cj")) & _fits("ni", "nj", percent)).select(*_couple(F.col("i"), F.col("j")))
+            marked = apart.select("v", "doc_id", "n", "c").join(sets.mapInArrow(_parities, _PARITIES), "doc_id")
+            x, y = (marked.select("v", *(F.col(c).alias(c + side) for c in ("doc_id", "n", "c", *_MARKS))) for side in ("_x", "_y"))
+            apart_bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _MARKS), F.lit(0))
+            near = (F.col("c_x") < F.col("c_y")) & _fits("n_x", "n_y", percent) & (apart_bits * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
+            new = x.join(y, (x.v == y.v) & near).select(*_couple(F.col("doc_id_x"), F.col("doc_id_y")))
         else:
             new = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent)).select(*_couple(F.col("doc_id"), F.col("p.doc_id")))
         links = scratch.table(confirmed(new.distinct(), sets, percent), f"links-{r}")
@@ -247,6 +251,19 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
     return parts
 
 
+#: Columns of a set's parity map: bit b is the parity of how many values fall on b. Where sets differ in d values, maps differ in d bits at most.
+_MARKS = tuple(f"p{k}" for k in range(16))
+_PARITIES = "doc_id long, " + ", ".join(f"{c} long" for c in _MARKS)
+
+
+def _parities(batches):
+    bits = 64 * len(_MARKS)
+    for batch in batches:
+        odd = [np.bincount((np.frombuffer(x.as_buffer(), np.uint64) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1 for x in batch.column(1)]
+        maps = np.packbits(np.array(odd, np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in maps.T)], ["doc_id", *_MARKS])
+
+
 def _values(batches):
     for batch in batches:
         for x in batch.column(1):
