@@ -179,7 +179,7 @@ def score_documents(docs: DataFrame, net: Network | float) -> DataFrame:
             for i, j in row_blocks(offsets):
                 x, bounds = passages(raw, offsets, i, j)
                 made = forward(known, x, bounds)
-                scores.append(made["score"])
+                scores.append(np.round(made["score"], 8))  # equal texts get equal scores wherever they stand
                 best = np.maximum.reduceat(made["attention"], bounds[:-1])
                 hit = np.flatnonzero(made["attention"] == np.repeat(best, np.diff(bounds)))
                 row = np.searchsorted(bounds, hit, side="right") - 1
