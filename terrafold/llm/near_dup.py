@@ -223,8 +223,9 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
     posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long, own long")
     shared = posted.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1").select("v")
     members = scratch.table(posted.join(shared, "v"), "doubtful-members")
+    found = True
     for r in range(1, PIVOT_ROUNDS + 2):
-        placed = members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("c"))
+        placed = scratch.table(members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("c")), f"placed-{r}")
         order = [F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id"), F.col("c"), F.col("n")]
         by = placed.groupBy("v", "c").agg(F.count("*").alias("m"), F.min(F.struct(*([F.col("own")] if r == 1 else []), *order)).alias("p"))
         spread = by.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("p").alias("p"), F.count("*").alias("parts")).filter("parts > 1").select("v", "p", "m", "within")
@@ -232,7 +233,7 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
         cost = apart.groupBy("v").agg(F.first("m").alias("m"), F.first("within").alias("within")).agg(F.sum((F.col("m") * F.col("m") - F.col("within")) / 2), F.sum("m")).first()
         if not cost[1]:
             break
-        last = r > PIVOT_ROUNDS or cost[0] <= PAIRS_PER_MEMBER * cost[1]
+        last = r > PIVOT_ROUNDS or not found or cost[0] <= PAIRS_PER_MEMBER * cost[1]
         if last:
             marked = apart.select("v", "doc_id", "n", "c").join(sets.mapInArrow(_parities, _PARITIES), "doc_id")
             x, y = (marked.select("v", *(F.col(c).alias(c + side) for c in ("doc_id", "n", "c", *_MARKS))) for side in ("_x", "_y"))
@@ -242,12 +243,14 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
         else:
             new = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent)).select(*_couple(F.col("doc_id"), F.col("p.doc_id")))
         links = scratch.table(confirmed(new.distinct(), sets, percent), f"links-{r}")
-        if not links.isEmpty():
+        found = not links.isEmpty()
+        if found:
             known = parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = scratch.table(components(scratch, known.unionByName(links), f"components-{r}"), f"parts-{r}")
-        scratch.drop(f"apart-{r}")
+        scratch.drop(f"placed-{r}", f"apart-{r - 1}")
         if last:
             break
+        members = apart.select("v", "doc_id", "n", "own")  # lists within one component stay so
     return parts
 
 
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     scratch.drop("near", "sets")
     parts = scratch.table(components(scratch, links, "components"), "parts")
 
-    placed = long_.select("v", "doc_id").join(parts, long_.doc_id == parts.node, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = scratch.table(long_.select("v", "doc_id").join(parts, long_.doc_id == parts.node, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c")), "placed")
     open_ = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v")
     doubtful = scratch.table(placed.join(open_, "v").select("doc_id").distinct(), "doubtful")
     if not doubtful.isEmpty():
