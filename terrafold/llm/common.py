@@ -7,6 +7,7 @@ buffer as numpy bytes, find words and hash them with prefix sums, a block of row
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 import zlib
@@ -257,13 +258,17 @@ class HashedTokenizer:
     - "byte": a word takes the space before it along, a lone line feed is a token of its own. A text with other
       white space, runs of it, or any at its ends is encoded whole.
     - "word": white space is dropped and case folded, so every white space cuts.
+
+    The library maps the text of an added token (such as <|endoftext|>) to that token's one id. A text that holds
+    one is encoded whole; pieces are encoded without added tokens, as a piece's key folds case and theirs doesn't.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.added = [t["content"].encode() for t in json.load(file)["added_tokens"]]
         self.kind = kind
         self._forget()
 
@@ -282,8 +287,10 @@ class HashedTokenizer:
         while len(self.first) < n + len(keys):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         ids: list[list[int]] = []
+        self.tokenizer.encode_special_tokens = True
         for at in range(0, len(texts), 64):
             ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = False
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while len(self.pool) < self.used + len(flat):
@@ -298,7 +305,9 @@ class HashedTokenizer:
         """Ids of rows i..j in one array, and the rows' bounds in it."""
         words = Words(raw, offsets, i, j)
         data, n = words.bytes, len(words)
-        odd_rows = self._odd_rows(words) if self.kind == "byte" else np.zeros(0, np.int64)
+        odd_rows = self._added_rows(words)
+        if self.kind == "byte":
+            odd_rows = np.union1d(odd_rows, self._odd_rows(words))
         # a word's core and its trailing punctuation
         keep = np.flatnonzero(~PUNCTUATION[data])
         core = np.searchsorted(keep, words.ends)
@@ -346,6 +355,20 @@ class HashedTokenizer:
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, bounds
 
+    def _added_rows(self, words: Words) -> np.ndarray:
+        """Rows that hold the text of an added token."""
+        data, found = words.bytes.tobytes(), []
+        for text in self.added:
+            at = data.find(text)
+            while at >= 0:
+                r = int(np.searchsorted(words.rows, at, side="right")) - 1
+                if at + len(text) <= words.rows[r + 1]:  # else it reaches into the next row
+                    found.append(r)
+                    at = data.find(text, int(words.rows[r + 1]))
+                else:
+                    at = data.find(text, at + 1)
+        return np.unique(np.array(found, np.int64))
+
     def _odd_rows(self, words: Words) -> np.ndarray:
         """Rows with white space other than single spaces and line feeds between words."""
         data, rows = words.bytes, words.rows

@@ -50,6 +50,25 @@ def test_cached_ids_are_the_library_s(odd_rows, name, kind):
         assert got == [tokens.whole(t).tolist() for t in texts]
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_added_tokens_are_the_plain_library_s(name, kind):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, tokens = Tokenizer.from_file(vocabulary(name)), HashedTokenizer(vocabulary(name), kind)
+    texts = [
+        "some text <|endoftext|> more", "a <|EndOfText|> b", "<|endoftext|>", "<|startoftext|> a<|endoftext|>b", "x <|endof", "text|> y", "<|endoftext|> <|endoftext|>", "é<|endoftext|>é",
+        "a <|ENDOFTEXT|> b", "<|startoftext|>", "a <|startoftext|>. b", "", "plain words, here.",
+    ]
+    raw, offsets = utf8(pa.array(texts))
+    for limit in (20, 1 << 20, 20):
+        got = []
+        for i, j in row_blocks(offsets, limit):
+            ids, bounds = tokens.encode(raw, offsets, i, j)
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_file_of_odd_documents(spark, odd_docs, odd_rows, tmp_path):
     path = f"file://{tmp_path}/tokens"
     rans.write_file(odd_docs, path, vocabulary("byte_bpe_50k.json"), segment_tokens=500)
