@@ -26,3 +26,28 @@ def test_planted_and_edited_templates_are_found_where_they_stand(spark):
     for i, (name, start) in want.items():
         assert [(r["start"], r["coverage"] >= licenses.COVERAGE) for r in got if r["doc_id"] == i and r["license"] == name] == [(start, True)]
     assert all(r["doc_id"] != 99 for r in got)
+
+
+def test_parts_of_licenses_are_found_and_measured_against_the_whole(spark):
+    rng = random.Random(4)
+    pieces = {}
+    for name in licenses.WHOLE:
+        parts = licenses.sections(licenses.TEMPLATES[name])
+        pieces[name] = [" ".join(parts[:1]), " ".join(parts[1:]), " ".join(parts)]
+    rows, want = [], {}
+    for name, texts in pieces.items():
+        total = len(texts[2].split())
+        for text, begins in zip(texts, (0, len(texts[0].split()), 0)):
+            before = words(rng, 9) + " "
+            want[len(rows)] = (name, len(before), len(text.split()) / total, begins)
+            rows.append((len(rows), before + text + " " + words(rng, 9)))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, (name, start, share, begins) in want.items():
+        found = [(r["start"], round(r["coverage"], 6), r["license_offset"]) for r in got if r["doc_id"] == i and r["license"] == name]
+        assert found == [(start, round(share, 6), begins)], name
+
+
+def test_short_notices_with_a_changed_word_are_found(spark):
+    rows = [(1, "abc Released under an MIT License. xyz"), (2, "Licensed under our Apache License, Version 2.0."), (3, "Released under one other thing"), (4, "released under the mit"), (5, "license")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"], round(r["coverage"], 3)) for r in got} == {(1, "MIT-notice", 0.8), (2, "Apache-2.0-notice", 0.857), (4, "MIT-notice", 0.8)}
