@@ -70,3 +70,28 @@ def test_small_functions(spark):
 
     p = "12345678-1234-5678-1234-567812345678"
     assert values(spark, lambda c: T.issue_target(F.lit(p), c), "k") == [str(uuid.uuid5(uuid.UUID(p), "k"))]
+
+
+def test_whole_queries_take_texts_of_any_script(spark, tmp_path):
+    import hashlib
+    import re
+
+    from terrafold.plans import catalog
+
+    texts = ["plain words", "Grün\u00a0ist \u2003 schön", " \u201cquoted\u201d \u2013 dash\n", "\U0001f600 smile", "日本\u3000語 தமிழ்", "", None, "last \u2028 é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    space = "[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    want = {k: None if t is None else hashlib.md5(re.sub(space, " ", t).strip(" ").encode()).hexdigest() for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["digest"] for r in catalog.normalize_texts(spark, str(tmp_path)).collect()} == want
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rates = {k: None if b is None else distance(a, b) / len(a) for k, (a, b) in enumerate(zip(texts, texts[1:])) if a}
+    assert {r["item_id"]: r["cer"] for r in catalog.error_rates_whole(spark, str(tmp_path)).collect()} == rates
