@@ -2,7 +2,8 @@
 
 Planar measures and predicates are column expressions. What needs an ellipsoid, clipping or a self-intersection test
 is numpy inside Arrow functions. A polygon here is its outer ring; rings are closed (last point = first). Overlays clip a
-polygon to a convex one (Sutherland-Hodgman); other pairs have no overlay: null, never a guess.
+polygon to a convex one (Sutherland-Hodgman); other pairs have no overlay (null, never a guess), but the area of their
+common part is known from triangles.
 
 Coordinate systems: EPSG:4326, WGS84 UTM zones (326xx, 327xx) and EPSG:6933; others have no measures (null).
 """
@@ -360,6 +361,45 @@ def intersection(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)])
 
 
+def _area(ring: np.ndarray) -> float:
+    return abs(float(np.sum(ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]))) / 2 if len(ring) else 0.0
+
+
+def _fan(ring: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """Triangles from the first vertex with signs: summed by sign, they cover the ring's inside once and nothing else."""
+    turn = 1.0 if np.sum(ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]) >= 0 else -1.0
+    out, o = [], ring[0]
+    for p, q in zip(ring[1:-2], ring[2:-1]):
+        cross = (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+        if cross:
+            out.append((math.copysign(1.0, cross) * turn, np.array([o, p, q, o])))
+    return out
+
+
+def common_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Planar area of the common part of two rings that don't cross themselves, convex or not."""
+    if len(a) < 4 or len(b) < 4:
+        return 0.0
+    # near the origin, so that large coordinates lose no digits
+    a, b = a - b[0], b - b[0]
+    if not _is_convex(b):
+        a, b = b, a
+    if _is_convex(b):
+        return _area(clip(a, b))
+    total = 0.0
+    for sa, ta in _fan(a):
+        for sb, tb in _fan(b):
+            if (ta.min(0) < tb.max(0)).all() and (tb.min(0) < ta.max(0)).all():
+                total += sa * sb * _area(clip(ta, tb))
+    return max(total, 0.0)
+
+
+@arrow("double")
+def overlap_area(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Planar area of the common part of two valid rings, 0 where there is none."""
+    return pd.Series([common_area(_ring(a), _ring(b)) for a, b in zip(left, right)], dtype="float64")
+
+
 @arrow("double")
 def hausdorff(left: pd.Series, right: pd.Series) -> pd.Series:
     """Largest distance from a vertex of one ring to the other ring's edges, either way."""

@@ -59,28 +59,42 @@ def feature_space(source_crs: Column, declared: Column) -> Column:
     return F.when(source_crs.isNotNull(), "WORLD").when(declared.isin(*SPACES), declared).otherwise("LOCAL")
 
 
+def _common_cells(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Rows of left (lr, lb, ...) and right (rr, rb, ...) whose boxes overlap, each pair once."""
+    span = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
+
+    def gridded(rows: DataFrame, b: str) -> DataFrame:
+        return rows.select("*", F.explode(F.sequence(span(f"{b}.x0"), span(f"{b}.x1"))).alias("cx")).select("*", F.explode(F.sequence(span(f"{b}.y0"), span(f"{b}.y1"))).alias("cy"))
+
+    pairs = gridded(left, "lb").join(gridded(right, "rb"), ["cx", "cy"])
+    low_x, low_y = F.greatest("lb.x0", "rb.x0"), F.greatest("lb.y0", "rb.y0")
+    pairs = pairs.filter((low_x < F.least("lb.x1", "rb.x1")) & (low_y < F.least("lb.y1", "rb.y1")))
+    # a pair that shares several cells stays in the one with the boxes' common lower corner
+    return pairs.filter((F.floor(low_x / F.lit(cell)) == F.col("cx")) & (F.floor(low_y / F.lit(cell)) == F.col("cy")))
+
+
+def _cell(boxes: DataFrame) -> float:
+    """The side that nine of ten boxes don't exceed."""
+    side = boxes.agg(F.percentile_approx(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")), 0.9)).first()[0]
+    return float(side) or 1.0 if side else 1.0
+
+
 def overlaps(parcels: DataFrame, cell: float | None = None, area=None, tolerance: float = 0.01) -> DataFrame:
     """(left_id, right_id, area_m2) of parcels (parcel_id, ring) whose interiors overlap by more than tolerance.
 
-    `area` makes square metres of the common ring (planar by default); a null area counts as an overlap.
+    `area` makes square metres of the common ring (planar by default); a null area counts as an overlap. Where both rings are
+    concave there is no common ring: the planar area decides, and with `area` given such an overlap's area is null.
     """
     boxed = parcels.select("parcel_id", "ring", G.bounds(F.col("ring")).alias("b"))
-    if cell is None:
-        side = boxed.agg(F.percentile_approx(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")), 0.9)).first()[0]
-        cell = float(side) or 1.0 if side else 1.0
-    span = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
-    cells = boxed.select("*", F.explode(F.sequence(span("b.x0"), span("b.x1"))).alias("cx")).select("*", F.explode(F.sequence(span("b.y0"), span("b.y1"))).alias("cy"))
-    left = cells.select(F.col("parcel_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"), "cx", "cy")
-    right = cells.select(F.col("parcel_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"), "cx", "cy")
-    pairs = left.join(right, ["cx", "cy"]).filter(F.col("left_id") < F.col("right_id"))
-    low_x, low_y = F.greatest("lb.x0", "rb.x0"), F.greatest("lb.y0", "rb.y0")
-    pairs = pairs.filter((low_x < F.least("lb.x1", "rb.x1")) & (low_y < F.least("lb.y1", "rb.y1")))
-    # a pair that shares several cells stays in the one with the boxes' common lower corner
-    pairs = pairs.filter((F.floor(low_x / F.lit(cell)) == F.col("cx")) & (F.floor(low_y / F.lit(cell)) == F.col("cy")))
-    common = pairs.withColumn("part", G.intersection(F.col("lr"), F.col("rr")))
-    size = (area or (lambda c: G.planar_area(c)))(F.col("part"))
-    found = common.withColumn("area_m2", F.when(F.col("part").isNotNull(), size))
-    return found.filter(F.col("part").isNull() | (F.size("part") > 0)).filter(F.col("area_m2").isNull() | (F.col("area_m2") > tolerance)).select("left_id", "right_id", "area_m2")
+    cell = _cell(boxed) if cell is None else cell
+    left = boxed.select(F.col("parcel_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"))
+    right = boxed.select(F.col("parcel_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"))
+    pairs = _common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id"))
+    if area is None:
+        return pairs.withColumn("area_m2", G.overlap_area(F.col("lr"), F.col("rr"))).filter(F.col("area_m2") > tolerance).select("left_id", "right_id", "area_m2")
+    common = pairs.withColumn("part", G.intersection(F.col("lr"), F.col("rr"))).withColumn("planar", G.overlap_area(F.col("lr"), F.col("rr")))
+    found = common.filter(F.col("planar") > F.lit(1e-9) * F.least(G.planar_area(F.col("lr")), G.planar_area(F.col("rr")))).withColumn("area_m2", F.when(F.col("part").isNotNull(), area(F.col("part"))))
+    return found.filter(F.col("area_m2").isNull() | (F.col("area_m2") > tolerance)).select("left_id", "right_id", "area_m2")
 
 
 def topology_issues(parcels: DataFrame, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
@@ -129,6 +143,32 @@ def edited(edits: DataFrame, limit_percent: float = 5.0) -> DataFrame:
     )
 
 
+def edit_issues(edits: DataFrame, boundaries: DataFrame | None = None, neighbours: DataFrame | None = None, limit_percent: float = 5.0, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
+    """(parcel_id, code, severity, neighbour_id, area_m2): every issue of every edit (parcel_id, project_id, ring before, ring after).
+
+    `boundaries` (project_id, ring) are the projects' outlines; an edit whose project has none isn't judged by it. `neighbours`
+    (parcel_id, ring) are met on a grid, a parcel never by its own edit. Invalid edits have no issue but that one. Rings of boundaries and neighbours
+    must be valid.
+    """
+    rated = edited(edits, limit_percent)
+    none = F.lit(None).cast(edits.schema["parcel_id"].dataType)
+    change = F.when(F.col("code") == "SIGNIFICANT_AREA_CHANGE", F.abs(F.col("area_after") - F.col("area_before")))
+    out = rated.filter("code IS NOT NULL").select("parcel_id", "code", F.when(F.col("ok"), "REVIEW").otherwise("ERROR").alias("severity"), none.alias("neighbour_id"), change.alias("area_m2"))
+    fine = rated.filter("ok")
+    review = F.lit("REVIEW").alias("severity")
+    if boundaries is not None:
+        within = fine.join(boundaries.select("project_id", F.col("ring").alias("_boundary")), "project_id")
+        outside = within.withColumn("area_m2", F.col("area_after") - G.overlap_area(F.col("after"), F.col("_boundary"))).filter(F.col("area_m2") > tolerance)
+        out = out.unionByName(outside.select("parcel_id", F.lit("OUTSIDE_PROJECT_BOUNDARY").alias("code"), review, none.alias("neighbour_id"), "area_m2"))
+    if neighbours is not None:
+        right = neighbours.select(F.col("parcel_id").alias("neighbour_id"), F.col("ring").alias("rr"), G.bounds(F.col("ring")).alias("rb"))
+        cell = _cell(right.select(F.col("rb").alias("b"))) if cell is None else cell
+        left = fine.select("parcel_id", F.col("after").alias("lr"), G.bounds(F.col("after")).alias("lb"))
+        met = _common_cells(left, right, cell).filter(F.col("parcel_id") != F.col("neighbour_id")).withColumn("area_m2", G.overlap_area(F.col("lr"), F.col("rr"))).filter(F.col("area_m2") > tolerance)
+        out = out.unionByName(met.select("parcel_id", F.lit("NEIGHBOUR_OVERLAP").alias("code"), review, "neighbour_id", "area_m2"))
+    return out
+
+
 def compare(pairs: DataFrame) -> DataFrame:
     """Pairs (reference, candidate rings of metres, one of them convex): areas, overlap, symmetric difference, change, Hausdorff distance.
 

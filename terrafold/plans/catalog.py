@@ -597,9 +597,21 @@ SELECT id AS parcel_id, CASE WHEN z = 0 THEN 'INVALID' WHEN abs((z - a) / a * 10
 """)
 def edit_validation(spark: SparkSession, d: str) -> DataFrame:
     """Edits widen rectangles by up to three quarters; every eleventh collapses."""
+    return cadastre.edited(_edits(spark, d)).select("parcel_id", "status", F.round("change_percent", 6).alias("change_percent"))
+
+
+@query()
+def edit_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The same edits against the boundary of one project and the parcels beside them."""
+    edge = G.rectangle(*(F.lit(v) for v in (0.0, 0.0, 490.0, 20.0)))
+    boundaries = spark.range(1).select(F.lit(1).alias("project_id"), edge.alias("ring"))
+    neighbours = _edits(spark, d).select("parcel_id", F.col("before").alias("ring"))
+    return cadastre.edit_issues(_edits(spark, d).withColumn("project_id", F.lit(1)), boundaries, neighbours, cell=20.0)
+
+
+def _edits(spark: SparkSession, d: str) -> DataFrame:
     wide = F.when(F.col("parcel_id") % 11 == 0, F.col("x0")).otherwise(F.col("x1") + F.col("parcel_id") % 4 * 0.25)
-    rows = _boxes(spark, d).select("parcel_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("before"), G.rectangle(F.col("x0"), F.col("y0"), wide, F.col("y1")).alias("after"))
-    return cadastre.edited(rows).select("parcel_id", "status", F.round("change_percent", 6).alias("change_percent"))
+    return _boxes(spark, d).select("parcel_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("before"), G.rectangle(F.col("x0"), F.col("y0"), wide, F.col("y1")).alias("after"))
 
 
 @query("""

@@ -143,3 +143,32 @@ def test_empty_masks_score_perfect(spark):
     df = spark.createDataFrame([(0, 0, 0), (0, 0, 5), (0, 5, 0)], "tp long, fp long, fn long")
     rows = df.select(*R.segmentation_scores(F.col("tp"), F.col("fp"), F.col("fn"))).collect()
     assert tuple(rows[0]) == (1.0, 1.0, 1.0, 1.0) and rows[1]["precision"] == 0.0 and rows[2]["recall"] == 1.0
+
+
+def test_concave_rings_overlap_by_their_common_area(spark):
+    u = ring((0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0))
+    inside = ring((2.5, 3), (3.5, 3), (3.5, 9), (9, 9), (9, 10), (2.5, 10), (2.5, 3))  # in the gap of the u, touches nothing
+    across = ring((1, 3), (5, 3), (5, 5), (3, 5), (3, 4), (1, 4), (1, 3))
+    rows = [(1, u), (2, inside), (3, across[::-1])]
+    got = {(r["left_id"], r["right_id"]): r["area_m2"] for r in cadastre.overlaps(frame(spark, rows, f"parcel_id int, ring {G.RING}")).collect()}
+    # 3 with the u: 1 by 1 on the left, 1 by 2 on the right; with 2: from 2.5 to 3.5 by 1, and half of that above
+    assert got == pytest.approx({(1, 3): 3.0, (2, 3): 1.5})
+    far = [(k, [{"x": p["x"] + 500_000, "y": p["y"] + 4_000_000} for p in r]) for k, r in rows]
+    assert {(r["left_id"], r["right_id"]): r["area_m2"] for r in cadastre.overlaps(frame(spark, far, f"parcel_id int, ring {G.RING}")).collect()} == pytest.approx(got)
+
+
+def test_edits_meet_the_boundary_and_their_neighbours(spark):
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d), (a, b))
+    edits = [
+        (1, "p", box(0, 0, 10, 10), box(0, 0, 10, 10)), (2, "p", box(10, 0, 20, 10), box(9.8, 0, 19.8, 10)), (3, "p", box(20, 0, 30, 10), box(20.2, 0, 30.2, 10)),
+        (4, "q", box(0, 0, 10, 10), box(0, 0, 12, 10)), (5, "p", box(0, 20, 1, 21), box(0, 20, 0, 21)),
+    ]
+    rows = frame(spark, edits, f"parcel_id int, project_id string, before {G.RING}, after {G.RING}")
+    bent = ring((0, 0), (30, 0), (30, 40), (-5, 40), (-5, 30), (0, 30), (0, 0))
+    boundaries = frame(spark, [("p", bent)], f"project_id string, ring {G.RING}")
+    neighbours = frame(spark, [(1, box(0, 0, 10, 10)), (2, box(10, 0, 20, 10)), (3, box(20, 0, 30, 10))], f"parcel_id int, ring {G.RING}")
+    got = {(r["parcel_id"], r["code"], r["neighbour_id"]): r["area_m2"] and round(r["area_m2"], 6) for r in cadastre.edit_issues(rows, boundaries, neighbours).collect()}
+    assert got == {
+        (2, "NEIGHBOUR_OVERLAP", 1): 2.0, (3, "OUTSIDE_PROJECT_BOUNDARY", None): 2.0, (4, "SIGNIFICANT_AREA_CHANGE", None): 20.0, (4, "NEIGHBOUR_OVERLAP", 1): 100.0,
+        (4, "NEIGHBOUR_OVERLAP", 2): 20.0, (5, "INVALID_EDIT_GEOMETRY", None): None,
+    }
