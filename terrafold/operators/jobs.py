@@ -39,26 +39,53 @@ def allowed(state: Column, event: Column) -> Column:
     return ok
 
 
-def fold_states(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
+#: Bits of a run's rows, and of the runs that one round of composition takes.
+RUN_BITS = 12
+STATES = ("QUEUED", "PROCESSING", "COMPLETED", "FAILED", "CANCELLED")
+
+
+def _outcome(start: Column, status: Column, retry_count: Column, illegal: Column) -> Column:
+    return F.struct(start.alias("start"), status.alias("status"), retry_count.alias("retry_count"), illegal.alias("illegal"))
+
+
+def fold_states(events: DataFrame, key: str, order: list[str], event: str, run_bits: int = RUN_BITS) -> DataFrame:
     """(key, status, retry_count, progress, illegal): each job's events folded in order from QUEUED.
 
-    A job's events are bounded by its retries, so they are one array; the fold runs inside generated code.
+    A key may have any number of events: they are range-partitioned by key and order and numbered, and each run of at most
+    2**run_bits is folded from every state that it may start in. Runs are composed in rounds, as many at a time, so no array holds
+    more than that, or in the last round one entry for each 2**(3 * run_bits) events and each partition. An event without a name is illegal.
     """
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))).alias("_events"))
-    start = F.struct(F.lit("QUEUED").alias("status"), F.lit(0).alias("retry_count"), F.lit(0).alias("illegal"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(key, *order, F.coalesce(F.col(event), F.lit("")).alias("_event")).repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order, "_event")
+    at = rows.select(key, "_event", F.monotonically_increasing_id().alias("_at"))
+    fresh = F.array(*(_outcome(F.lit(s), F.lit(s), F.lit(0), F.lit(0)) for s in STATES))
 
     def fold(acc, e):
-        kind, now = e["_event"], acc["status"]
-        ok = allowed(now, kind)
-        return F.struct(
-            step(now, kind).alias("status"),
-            (acc["retry_count"] + (ok & kind.isin("retry", "recover")).cast("int")).alias("retry_count"),
-            (acc["illegal"] + (~ok).cast("int")).alias("illegal"),
-        )
-
-    state = F.aggregate("_events", start, fold)
+        def one(a):
+            kind, now = e["_event"], a["status"]
+            ok = allowed(now, kind)
+            return _outcome(a["start"], step(now, kind), a["retry_count"] + (ok & kind.isin("retry", "recover")).cast("int"), a["illegal"] + (~ok).cast("int"))
+
+        return F.transform(acc, one)
+
+    def compose(acc, e):
+        def one(a):
+            then = F.element_at(F.filter(e["_ends"], lambda m: m["start"] == a["status"]), 1)
+            return _outcome(a["start"], then["status"], a["retry_count"] + then["retry_count"], a["illegal"] + then["illegal"])
+
+        return F.transform(acc, one)
+
+    def round_(rows: DataFrame, of: str, bits: int | None, merge) -> DataFrame:
+        keys = [key] if bits is None else [key, F.shiftright("_at", bits).alias("_run")]
+        listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", of))).alias("_listed"))
+        return listed.select(key, F.element_at("_listed", 1)["_at"].alias("_at"), F.aggregate("_listed", fresh, merge).alias("_ends"))
+
+    runs = round_(at, "_event", run_bits, fold)
+    for k in (2, 3):
+        runs = round_(runs, "_ends", min(33, k * run_bits), compose)
+    state = F.element_at("_ends", 1)
     progress = F.when(F.col("s.status") == "COMPLETED", 100).when(F.col("s.status").isin("PROCESSING", "FAILED"), 1).otherwise(0)
-    return listed.select(key, state.alias("s")).select(key, "s.status", "s.retry_count", progress.alias("progress"), "s.illegal")
+    return round_(runs, "_ends", None, compose).select(key, state.alias("s")).select(key, "s.status", "s.retry_count", progress.alias("progress"), "s.illegal")
 
 
 def retryable(jobs: DataFrame) -> DataFrame:

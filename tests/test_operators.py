@@ -23,6 +23,25 @@ def test_state_fold_equals_python(spark):
         assert got[k] == (status, retries, illegal)
 
 
+def test_state_fold_of_a_hot_key_holds_no_long_array(spark):
+    rng = random.Random(5)
+    names = list(jobs.TRANSITIONS)
+    events = [(1, t, rng.choice(names)) for t in range(3000)] + [(k, t, rng.choice(names)) for k in (0, 2, None) for t in range(40)]
+    rng.shuffle(events)
+    rows = spark.createDataFrame(events, "job_id int, at int, event string")
+    got = {r["job_id"]: (r["status"], r["retry_count"], r["illegal"]) for r in jobs.fold_states(rows, "job_id", ["at"], "event", run_bits=3).collect()}
+    assert set(got) == {0, 1, 2, None}
+    for k in got:
+        status, retries, illegal = "QUEUED", 0, 0
+        for _, _, e in sorted((x for x in events if x[0] == k), key=lambda x: x[1]):
+            needs, leads = jobs.TRANSITIONS[e]
+            if status == needs:
+                status, retries = leads, retries + (e in ("retry", "recover"))
+            else:
+                illegal += 1
+        assert got[k] == (status, retries, illegal)
+
+
 def test_create_or_get_is_idempotent(spark):
     have = spark.createDataFrame([("p", "a")], "project string, key string")
     asked = spark.createDataFrame([("p", "a", 1), ("p", "b", 3), ("p", "b", 2), ("q", "a", 4)], "project string, key string, at int")
