@@ -1,7 +1,8 @@
 """MinHash near-duplicates by bottom-k sketches from one hash function.
 
 1. Each document's set is its distinct word shingles, hashed to 64 bits; its sketch is the k smallest hashes.
-   Documents of equal sets are one class, its smallest doc_id the representative; only representatives go on.
+   Documents of equal sets (by a 128-bit fingerprint and their number) are one class, its smallest doc_id the
+   representative; only representatives go on.
 2. Inverted lists of retained values generate overlaps. Two sets of the wanted similarity share at least t
    of their retained values, so a representative enters only the lists of its len(sketch) - t + 1 rarest
    values (prefix filtering): a passage that many documents share builds no list unless it is much of a text.
@@ -17,8 +18,10 @@
 Sets of at most k shingles are their own sketches: for them the lists are exact. For larger sets a pair is
 missed only if its sketches share fewer than t values, 4.5 standard deviations below the mean (under 1e-5).
 
-Null or blank texts have empty sets: they link with nothing. Rows that repeat are copies of each other. A row
-without doc_id is a component of its own (component null, kept). An empty table gives an empty result.
+Null or blank texts have empty sets: they link with nothing. Rows that repeat are copies of each other. If a doc_id has
+rows of different texts and would represent more than one class, the class of least fingerprint is compared, the others link
+with nothing. A row without doc_id is a component of its own (component null, kept). Ties go to the smallest doc_id. A very long text is a
+block of its own, its set never cut. Other columns of any name are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +46,10 @@ COMMON_VALUES = 200_000
 #: Members of a list that all pair at once.
 SHORT = 12
 PIVOT_ROUNDS = 3
+#: Members of a list that one task compares with as many others, in the last round.
+LIST_BLOCK = 2_048
+#: The largest classes of equal sets, whose representatives are broadcast to their members.
+HOT_CLASSES = 10_000
 #: Lists are paired completely once that makes at most so many pairs for each of their members.
 PAIRS_PER_MEMBER = 8
 
@@ -84,8 +91,8 @@ def signatures(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE_WORDS) -> D
         for batch, row, values in _sets(batches, size):
             ids.append(batch.column(0)[row].as_py())
             counts.append(len(values))
-            a.append(np.sum(mix64(values), dtype=np.uint64))
-            b.append(np.sum(mix64(values ^ U64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+            for marks, mark in zip((a, b), _fingerprint(values)):
+                marks.append(mark)
             sketches.append(values[:k])
             if len(ids) == 4096:
                 yield out()
@@ -95,22 +102,38 @@ def signatures(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE_WORDS) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>")
 
 
+def _fingerprint(values: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return np.sum(mix64(values), dtype=np.uint64), np.sum(mix64(values ^ U64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+
+
 def full_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and its full set as the bytes of sorted 64-bit hashes."""
+    """doc_id, the fingerprint, and the full set as the bytes of sorted 64-bit hashes."""
+    names = ["doc_id", "fp1", "fp2", "members"]
 
     def work(batches):
-        ids, sets, held = [], [], 0
+        ids, marks, sets, held = [], [], [], 0
+
+        def out():
+            a, b = np.array(marks, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a), pa.array(b), pa.array(sets, pa.binary())], names)
+
         for batch, row, values in _sets(batches, size):
             ids.append(batch.column(0)[row].as_py())
+            marks.append(_fingerprint(values))
             sets.append(values.tobytes())
             held += len(sets[-1])
             if held >= 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "members"])
-                ids, sets, held = [], [], 0
+                yield out()
+                ids, marks, sets, held = [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "members"])
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp1 long, fp2 long, members binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, members binary")
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, members) of the wanted sets (doc_id, fp1, fp2), each once."""
+    return full_sets(only(docs, wanted), size).join(wanted, ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "members").dropDuplicates(["doc_id"])
 
 
 def least_shared(k: int, threshold: float) -> int:
@@ -163,22 +186,31 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-#: Bits of the map that tells which documents' full sets are wanted (2 MB; broadcast).
-MAP_BITS = 1 << 24
+#: A map of ids has 8 bits for each of at most so many (16 MB; broadcast). More ids are joined instead.
+MAP_IDS = 1 << 24
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is among ids, and few others, without moving their texts.
+def _marked(docs: DataFrame, key: str, ids: DataFrame, count: int) -> DataFrame:
+    """docs with a boolean `_may`: true where the key is among ids (doc_id), and for some few others; texts don't move.
 
-    Ids set bits of a map of fixed size, which is broadcast. Others pass where bits collide: joins on doc_id that
-    follow drop them.
+    Ids set bits of a map, sized from their count, which is broadcast. Keys are not null.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    bits = 1 << max(18, (8 * count).bit_length())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     maps = ids.select(bit("doc_id").alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    at = F.bitmap_bit_position(bit("doc_id"))
+    at = F.bitmap_bit_position(bit(key))
     byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").withColumn("_bucket", F.bitmap_bucket_number(bit("doc_id")))
-    return known.join(F.broadcast(maps), "_bucket").filter(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select("doc_id", "text")
+    there = docs.withColumn("_bucket", F.bitmap_bucket_number(bit(key))).join(F.broadcast(maps), "_bucket", "left")
+    return there.withColumn("_may", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))).drop("_bucket", "_map")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents whose id is among ids, and of few others, which joins on doc_id that follow drop."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    count = ids.count()
+    if count > MAP_IDS:
+        return known.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _marked(known, "doc_id", ids, count).filter("_may").select("doc_id", "text")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,8 +234,8 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> Da
 def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent values (v) and their counts, ascending by value; bounded, as it only orders prefixes."""
     counts = values.groupBy("v").count().filter(F.col("count") > COMMON)
-    top = counts.orderBy(F.desc("count"), "v").limit(COMMON_VALUES).collect()
-    common, rank = np.array([r["v"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+    top = counts.orderBy(F.desc("count"), "v").limit(COMMON_VALUES).toArrow()
+    common, rank = top.column("v").to_numpy(), top.column("count").to_numpy()
     at = np.argsort(common)
     return common[at], rank[at]
 
@@ -218,7 +250,7 @@ def _fits(m: str, n: str, percent: int):
 
 def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFrame, percent: int, size: int) -> DataFrame:
     """Components once the doubtful documents' links across components are found, by lists over their full sets."""
-    sets = scratch.table(full_sets(only(docs, doubtful), size).dropDuplicates(["doc_id"]).join(doubtful, "doc_id", "left_semi"), "doubtful-sets")
+    sets = scratch.table(sets_of(docs, doubtful, size), "doubtful-sets")
     common, rank = _common(sets.mapInArrow(_values, "v long"))
     posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long, own long")
     shared = posted.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1").select("v")
@@ -235,11 +267,14 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
             break
         last = r > PIVOT_ROUNDS or not found or cost[0] <= PAIRS_PER_MEMBER * cost[1]
         if last:
-            marked = apart.select("v", "doc_id", "n", "c").join(sets.mapInArrow(_parities, _PARITIES), "doc_id")
-            x, y = (marked.select("v", *(F.col(c).alias(c + side) for c in ("doc_id", "n", "c", *_MARKS))) for side in ("_x", "_y"))
+            # a long list's members are dealt to blocks: each pair of blocks is a join key of its own
+            marked = apart.select("v", "doc_id", "n", "c", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")).join(sets.mapInArrow(_parities, _PARITIES), "doc_id")
+            marked = marked.withColumn("mine", F.pmod(F.hash("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            row, column = ("v", F.col("mine").alias("i"), F.col("other").alias("j")), ("v", F.col("other").alias("i"), F.col("mine").alias("j"))
+            x, y = (marked.select(*key, *(F.col(c).alias(c + side) for c in ("doc_id", "n", "c", *_MARKS))) for key, side in ((row, "_x"), (column, "_y")))
             apart_bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _MARKS), F.lit(0))
             near = (F.col("c_x") < F.col("c_y")) & _fits("n_x", "n_y", percent) & (apart_bits * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
-            new = x.join(y, (x.v == y.v) & near).select(*_couple(F.col("doc_id_x"), F.col("doc_id_y")))
+            new = x.join(y, (x.v == y.v) & (x.i == y.i) & (x.j == y.j) & near).select(*_couple(F.col("doc_id_x"), F.col("doc_id_y")))
         else:
             new = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent)).select(*_couple(F.col("doc_id"), F.col("p.doc_id")))
         links = scratch.table(confirmed(new.distinct(), sets, percent), f"links-{r}")
@@ -301,11 +336,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     scratch = Scratch(spark)
     signed = scratch.table(signatures(docs, k, size), "signatures")
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    sketches = scratch.table(known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id"]), "sketches")
+    # equal sets have equal sketches
+    classes = scratch.table(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"), F.first("sketch").alias("sketch")), "classes")
+    shared = scratch.table(classes.groupBy("class_id").agg(F.count("*").alias("sets"), F.min(F.struct("fp1", "fp2")).alias("least")).filter("sets > 1"), "shared-ids")
+    nodes = classes.join(shared, "class_id", "left").filter("least IS NULL OR (fp1 = least.fp1 AND fp2 = least.fp2)")
+    sketches = scratch.table(nodes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2", F.col("n_shingles").alias("n"), "sketch"), "sketches")
 
     common, rank = _common(sketches.select(F.explode("sketch").alias("v")))
-    posted = sketches.mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long, own int")
+    posted = sketches.select("doc_id", "n", "sketch").mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long, own int")
     # lists of one member pair with nobody; a long list's pivot is the member with the least text of its own: in a
     # group of edited copies the one that most others are near to
     pivot = F.min(F.struct("own", F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("p")
@@ -317,19 +355,55 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     stars = long_.filter((F.col("doc_id") != F.col("pivot")) & _fits("n", "pivot_n", percent)).select(*_couple(F.col("doc_id"), F.col("pivot")))
     pairs = pairs.unionByName(stars).distinct()
     near = scratch.table(estimated(pairs, sketches, percent, k), "near")
-    sets = scratch.table(full_sets(only(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id"))), size).dropDuplicates(["doc_id"]), "sets")
+    marks = sketches.select("doc_id", "fp1", "fp2")
+    wanted = scratch.table(marks.join(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "wanted")
+    sets = scratch.table(sets_of(docs, wanted, size), "sets")
     links = scratch.table(confirmed(near, sets, percent), "links")
     scratch.drop("near", "sets")
     parts = scratch.table(components(scratch, links, "components"), "parts")
 
     placed = scratch.table(long_.select("v", "doc_id").join(parts, long_.doc_id == parts.node, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c")), "placed")
     open_ = placed.groupBy("v").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v")
-    doubtful = scratch.table(placed.join(open_, "v").select("doc_id").distinct(), "doubtful")
+    doubtful = scratch.table(marks.join(placed.join(open_, "v").select("doc_id").distinct(), "doc_id", "left_semi"), "doubtful")
     if not doubtful.isEmpty():
         parts = _rest(scratch, docs, doubtful, parts, percent, size)
 
-    in_class = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    placed = in_class.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
-    out = placed.join(parts, placed.class_id == parts.node, "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # a class's rows find its component: those of the largest classes by broadcast (any other class holds at most a
+    # HOT_CLASSES-th of all rows), all others by a shuffle
+    key = ["fp1", "fp2", "n_shingles"]
+    linked = marks.join(parts, marks.doc_id == parts.node).select("fp1", "fp2", "component")
+    found = scratch.table(classes.join(linked, ["fp1", "fp2"], "left").select(*key, "class_id", "rows", F.coalesce("component", "class_id").alias("component_id")), "found")
+    hot = scratch.table(found.filter("rows > 1").orderBy(F.desc("rows"), "fp1", "fp2").limit(HOT_CLASSES).drop("rows"), "hot")
+    rows = known.select("doc_id", *key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(found.drop("rows"), key)
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    columns = ("doc_id", "n_shingles", "class_id", "component_id")
+    out = rows.join(F.broadcast(hot), key).select(*columns).unionByName(cold.select(*columns)).unionByName(alone)
     # of rows that repeat a doc_id every copy stays or goes alike; a null doc_id stays
-    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: int = SHINGLE_WORDS) -> DataFrame:
+    """The documents, all columns, without near duplicates: of each component the row of smallest doc_id stays.
+
+    Rows of one id and equal text are one document. A row without id, or whose id also has a text of smaller hash, goes by a hash
+    of its text from 2**62 on instead; so rows with an id of their own stay before them. Columns `_key`, `_row` are free
+    of clashes in the result only.
+    """
+    scratch = Scratch(docs.sparkSession)
+    own = docs.columns
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    made = F.shiftright(text, 2).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    several = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("_least"), F.max("h").alias("most")).filter("_least < most")
+    several = scratch.table(several.select(F.col("doc_id").alias("_id"), "_least"), "several")
+    keyed = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text").join(several, "_id", "left")
+    keyed = keyed.select("_row", "text", F.when(F.col("_id").isNull() | (text != F.col("_least")), made).otherwise(F.col("_id")).alias("_key"))
+    found = scratch.table(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent, k, size).select("doc_id", "kept"), "kept")
+    # rows of other keys than these stay as they are, and don't move
+    touched = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("kept").alias("kept")).filter("rows > 1 OR NOT kept").select("doc_id", "kept"), "touched")
+    count = touched.count()
+    rows = _marked(keyed, "_key", touched, count) if count <= MAP_IDS else keyed.withColumn("_may", F.lit(True))
+    calm = rows.filter("NOT _may").select("_row.*")
+    judged = rows.filter("_may").join(touched.withColumnRenamed("doc_id", "_key"), "_key", "left").filter("kept IS NULL OR kept")
+    once = judged.filter("kept").groupBy("_key").agg(F.min(F.col("_row")).alias("_row")).select("_row.*")
+    return calm.unionByName(judged.filter("kept IS NULL").select("_row.*")).unionByName(once)

@@ -6,7 +6,10 @@ sentence marks) by a small tanh layer. A gated attention network, learned from d
 passages; the score is a logistic function of the weighted mean of their codes.
 
 Empty, blank and null texts have one passage of zeros and get its score. With no usable labels of both kinds every
-score is the labels' share, or 0.5. Rows that repeat score alike.
+score is the labels' share, or 0.5. Rows that repeat, and ties of text, score alike; a null doc_id stays null and is never held out. A
+very long text is a bag of many passages, in one block of its own. Other columns of any name are ignored (good_documents keeps them).
+
+The network is fitted in one task on a bounded sample of labelled rows: SAMPLE_EACH documents of either label, SAMPLE_BYTES of text.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, row_blocks, utf8
-from .training import adam, fold, sample
+from .training import adam, fit_in_task, fold
 
 #: Labelled documents of either label that the network is fitted on, at most.
 SAMPLE_EACH = 2000
@@ -165,6 +168,15 @@ def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 3, epo
     return net
 
 
+def _scored(net: Network, column: pa.Array):
+    """(scores, passages, bounds, attention) of each block of a text column's rows."""
+    raw, offsets = utf8(column)
+    for i, j in row_blocks(offsets):
+        x, bounds = passages(raw, offsets, i, j)
+        made = forward(net, x, bounds)
+        yield np.round(made["score"], 8), bounds, made["attention"]  # equal texts get equal scores wherever they stand
+
+
 def score_documents(docs: DataFrame, net: Network | float) -> DataFrame:
     """doc_id, score, and the passage the network looks at most: its number and attention."""
     if isinstance(net, float):
@@ -174,16 +186,13 @@ def score_documents(docs: DataFrame, net: Network | float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
             scores, top, weight = [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0)]
-            for i, j in row_blocks(offsets):
-                x, bounds = passages(raw, offsets, i, j)
-                made = forward(known, x, bounds)
-                scores.append(np.round(made["score"], 8))  # equal texts get equal scores wherever they stand
-                best = np.maximum.reduceat(made["attention"], bounds[:-1])
-                hit = np.flatnonzero(made["attention"] == np.repeat(best, np.diff(bounds)))
+            for score, bounds, attention in _scored(known, batch.column(1)):
+                scores.append(score)
+                best = np.maximum.reduceat(attention, bounds[:-1])
+                hit = np.flatnonzero(attention == np.repeat(best, np.diff(bounds)))
                 row = np.searchsorted(bounds, hit, side="right") - 1
-                first = np.searchsorted(row, np.arange(j - i))
+                first = np.searchsorted(row, np.arange(len(score)))
                 top.append((hit[first] - bounds[:-1]).astype(np.int32))
                 weight.append(best)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(v)) for v in (scores, top, weight))], ["doc_id", "score", "passage", "attention"])
@@ -191,8 +200,22 @@ def score_documents(docs: DataFrame, net: Network | float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double, passage int, attention double")
 
 
+def good_documents(docs: DataFrame, net: Network | float, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; rows stay where they are."""
+    if isinstance(net, float):
+        return docs.filter(F.lit(net >= threshold))
+    shared, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [s for s, *_ in _scored(shared.value, batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Network | float:
-    return train(*sample(docs, labels, "quality", each))
+    return fit_in_task(docs, labels, "quality", each, train)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -11,8 +11,12 @@ All documents of a block lie on one line of tokens: a start tag that ignores its
 is cut in lanes of equal length; products of 2x2 steps give each lane its entry values, so the recursion runs
 over all lanes at once and is still exact, however long a document is.
 
+The field is fitted in one task on a bounded sample of labelled rows (SAMPLE_EACH documents of either label, SAMPLE_BYTES of
+text), each document whole.
+
 Empty, blank and null texts score as documents without toxic tokens. With no usable labels of both kinds every score
-is 0. Rows that repeat score alike.
+is 0. Rows that repeat, and ties of text, score alike; a null doc_id stays null and is never held out. A very long text is a block of
+its own. Other columns of any name are ignored (calm_documents keeps them).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, BYTE_HASH_LOWER, Words, mix64, prefix_hash, row_blocks, span_hash, utf8
-from .training import adam, fold, logistic, sample
+from .training import adam, fit_in_task, fold, logistic
 
 #: Labelled documents of either label that the field is fitted on, at most.
 SAMPLE_EACH = 1200
@@ -36,7 +40,8 @@ HEADS, TAILS = (3, 4, 5, 6), (3, 4)
 #: A feature marks toxic tokens if (its toxic documents) * log(how many times likelier it is there) reaches this.
 EVIDENCE, TIMES = 18.0, 12.0
 LANE = 64
-WINDOW = 32
+#: Tokens of a training step, at least and at most (a 64th of the sample's in between); documents are never cut.
+STEP_TOKENS = 1_024, 16_384
 SHAPES = 16
 
 
@@ -174,7 +179,7 @@ def _lexicon(documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return values[(ratio >= TIMES) & (counts >= 3) & (counts * np.log(np.maximum(ratio, 1)) >= EVIDENCE)]
 
 
-def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epochs: int = 6) -> Field | None:
+def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epochs: int = 4) -> Field | None:
     if not len(y) or y.min() == y.max():
         return None
     raw, offsets = utf8(pa.array(texts, pa.large_string()))
@@ -187,43 +192,49 @@ def train(texts: list[str], y: np.ndarray, odds: float = 1.0, seed: int = 5, epo
     lexicon = _lexicon(documents, y)
     rng = np.random.default_rng(seed)
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for d, s, t in zip(documents, shapes, y):
-        n = d.shape[1]
-        if not n:
-            continue
-        marked = np.isin(d, lexicon).any(0)
-        hits = np.flatnonzero(marked)
-        hits = hits if len(hits) <= 6 else rng.choice(hits, 6, replace=False)
-        first = np.zeros(n, bool)
-        first[0] = True
-        own = buckets(d, first).astype(np.int32)
-        for a in [*(hits - rng.integers(0, WINDOW, len(hits))), *rng.integers(0, max(1, n - WINDOW + 1), 3)]:
-            a = int(min(max(a, 0), max(0, n - WINDOW)))
-            rows.append((own[:, a : a + WINDOW], s[a : a + WINDOW], (marked & bool(t))[a : a + WINDOW], np.arange(min(n, WINDOW)) == 0))
+    for k, t in enumerate(y):
+        d, n = documents[k], documents[k].shape[1]
+        documents[k] = None
+        if n:
+            first = np.arange(n) == 0
+            rows.append((buckets(d, first).astype(np.int32), shapes[k], np.isin(d, lexicon).any(0) & bool(t), first))
     field = Field(np.zeros(BUCKETS), np.zeros(SHAPES), np.zeros((2, 2)), np.zeros(2), np.zeros(0))
     field.shape[:] = -2.0
     move = adam([field.weight, field.shape, field.steps, field.start], 0.05)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), 256):
-            some = [rows[k] for k in order[at : at + 256]]
+        for some in _steps(rows, rng.permutation(len(rows))):
             own, sh, tag, first = (np.concatenate(x, axis=-1) for x in zip(*some))
+            many = max(1.0, len(tag) / 32)
             score = field.weight[own].sum(0) + field.shape[sh]
             p, pairs, starts = _expectations(score, first, field.steps, field.start)
-            gap = (p - tag) / len(some)
+            gap = (p - tag) / many
             tag = tag.astype(int)
             seen = np.zeros((2, 2))
             inner = np.flatnonzero(~first)
             np.add.at(seen, (tag[inner - 1], tag[inner]), 1)
             gradient = np.bincount(own.reshape(-1), np.tile(gap, len(own)), BUCKETS)
             gradient[0] = 0
-            move([gradient + 2e-5 * field.weight, np.bincount(sh, gap, SHAPES) + 1e-4 * field.shape, (pairs - seen) / len(some) + 1e-4 * field.steps, (starts - np.bincount(tag[first], minlength=2)) / len(some) + 1e-4 * field.start])
+            move([gradient + 2e-5 * field.weight, np.bincount(sh, gap, SHAPES) + 1e-4 * field.shape, (pairs - seen) / many + 1e-4 * field.steps, (starts - np.bincount(tag[first], minlength=2)) / many + 1e-4 * field.start])
     x = np.concatenate([_document_features(p, words.bounds) for p, words, _ in _tagged(raw, offsets, field)])
     field.document = logistic(x, y)
     field.document[-1] += np.log(odds)
     return field
 
 
+def _steps(rows: list, order: np.ndarray):
+    """Whole documents in the given order, so many a step that they come to its tokens (a longer one alone)."""
+    some, held, most = [], 0, min(max(sum(len(r[1]) for r in rows) // 64, STEP_TOKENS[0]), STEP_TOKENS[1])
+    for k in order.tolist():
+        n = len(rows[k][1])
+        if some and held + n > most:
+            yield some
+            some, held = [], 0
+        some.append(rows[k])
+        held += n
+    if some:
+        yield some
+
+
 def _expectations(score, first, steps, start):
     """Marginals, expected tag pairs and expected start tags."""
     p, forward = marginals(score, first, steps, start, forward=True)
@@ -249,6 +260,29 @@ def _tagged(raw: np.ndarray, offsets: np.ndarray, field: Field):
         yield marginals(score, first, field.steps, field.start), words, spans
 
 
+def _scored(field: Field, column: pa.Array):
+    """(scores, marginals, words, spans) of each block of a text column's rows."""
+    raw, offsets = utf8(column)
+    for p, words, spans in _tagged(raw, offsets, field):
+        x = _document_features(p, words.bounds)
+        # sums round differently by a text's place in its block: that stays below the digits kept
+        yield np.round(1 / (1 + np.exp(-np.clip(x @ field.document[:-1] + field.document[-1], -30, 30))), 8), p, words, spans
+
+
+def calm_documents(docs: DataFrame, field: Field | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that don't score as toxic; rows stay where they are."""
+    if field is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [s for s, *_ in _scored(shared.value, batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score_documents(docs: DataFrame, field: Field | None, with_spans: bool = True) -> DataFrame:
     """doc_id, score and, if asked for, spans (first and last code point + 1, highest marginal) of offending words."""
     spans_type = "array<struct<start:int,end:int,probability:double>>"
@@ -258,14 +292,10 @@ def score_documents(docs: DataFrame, field: Field | None, with_spans: bool = Tru
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            row, scores, spans = 0, [], []
-            for p, words, (starts, ends) in _tagged(raw, offsets, known):
-                x = _document_features(p, words.bounds)
-                # sums round differently by a text's place in its block: that stays below the digits kept
-                scores.append(np.round(1 / (1 + np.exp(-np.clip(x @ known.document[:-1] + known.document[-1], -30, 30))), 8))
+            scores, spans = [], []
+            for score, p, words, (starts, ends) in _scored(shared.value, batch.column(1)):
+                scores.append(score)
                 if with_spans:
                     spans += _spans(p, words, starts, ends)
             arrays = [batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
@@ -297,7 +327,7 @@ def _spans(p: np.ndarray, words: Words, starts: np.ndarray, ends: np.ndarray) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Field | None:
-    return train(*sample(docs, labels, "toxic", each))
+    return fit_in_task(docs, labels, "toxic", each, train)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, with_spans: bool = True) -> DataFrame:
