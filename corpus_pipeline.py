@@ -5,7 +5,10 @@ mixed to its sources' target weights, repeats included, and packed into sequence
 the columns of `documents`; the last returns the pieces with their places.
 
 Rows without text stay in a filtering stage if the models keep an empty text; rows that repeat share every
-decision; further columns are dropped; an empty table passes through as an empty one.
+decision until near-dedup leaves one of them; rows with a null doc_id are judged by their texts like all others, mixed by text, and packed
+with a null id. Further columns are dropped, so their names can't clash; very long texts are processed whole; an empty table passes through
+as an empty one. Near-dedup takes the similarity that this library's near-duplicate stages take unless told otherwise, 0.8;
+the query op10_near_duplicates takes 0.85.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terrafold.llm import mixing, near_dup, packing, quality, toxicity
 from terrafold.llm.common import Scratch, vocabulary
@@ -25,26 +27,24 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """All rows but those of rejected ids; rows without an id stay."""
-    return docs.select(*COLUMNS).join(rejected.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field doesn't score as toxic."""
-    return _without(docs, toxicity.toxicity(docs, _labels(spark, sf_dir), with_spans=False).filter("predicted = 1"))
+    """Documents that the field doesn't score as toxic; every row is judged by its own text, with or without an id."""
+    return toxicity.calm_documents(docs.select(*COLUMNS), toxicity.fit(docs, _labels(spark, sf_dir)), 0.5)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network scores as good."""
-    return _without(docs, quality.quality(docs, _labels(spark, sf_dir)).filter("predicted = 0"))
+    """Documents that the network scores as good; every row is judged by its own text, with or without an id."""
+    return quality.good_documents(docs.select(*COLUMNS), quality.fit(docs, _labels(spark, sf_dir)), 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; a repeated row stays once."""
-    found = Scratch(spark).table(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    rest = _without(docs, found.filter("NOT kept"))
-    return rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates (80 of 100 shingles), the one with the smallest doc_id.
+
+    Rows of one id and equal text are one document and stay once. Rows without id, and rows whose id has further texts
+    (all but the one of least hash), are told apart by a hash of their text; within a group a row with an id of its own stays
+    before them.
+    """
+    return near_dup.keep_one(docs.select(*COLUMNS), percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
