@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised helpers take at once (a longer document is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Pieces of text a worker's tokenizer may remember before it starts anew (about 200 bytes each).
 CACHE_WORDS = 1_200_000
 

@@ -204,14 +204,13 @@ def good_documents(docs: DataFrame, net: Network | float, threshold: float = 0.3
     """The rows of docs, all columns, whose score reaches the threshold; rows stay where they are."""
     if isinstance(net, float):
         return docs.filter(F.lit(net >= threshold))
-    shared, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [s for s, *_ in _scored(shared.value, batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.filter(score(F.col("text").cast("string")) >= threshold)
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Network | float:

@@ -273,14 +273,13 @@ def calm_documents(docs: DataFrame, field: Field | None, threshold: float = 0.5)
     """The rows of docs, all columns, that don't score as toxic; rows stay where they are."""
     if field is None:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [s for s, *_ in _scored(shared.value, batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.filter(score(F.col("text").cast("string")) < threshold)
 
 
 def score_documents(docs: DataFrame, field: Field | None, with_spans: bool = True) -> DataFrame:
