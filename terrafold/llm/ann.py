@@ -3,20 +3,23 @@
 Vectors are scaled to length 1 and approximated by a sum of one word from each of `books` codebooks, all of full dimension.
 Codebooks start from k-means on residuals and are refitted by least squares against beam-search codes. Every row is
 encoded by beam search and stored with its codes and the squared length of their sum; a query scores codes from
-lookup tables (its inner products with all words): 2 <q, x'> - |x'|**2. The best `rerank` distinct vectors of each
-batch are scored exactly, in double precision, on the original vectors, which stand beside their codes; so only a
-batch's nearest few leave a task.
-
-Queries run in blocks of bounded size, each broadcast against all partitions of the index. Equal vectors share one
-code and one score and count as one candidate, however many they are; among equal scores the smallest ids win.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another length than
-most have. The index is fitted on a bounded sample, but every row is indexed. With no vectors the result is empty;
-rows that repeat a vec_id are candidates of each other's neighbours, never of their own id.
+lookup tables (its inner products with all words): 2 <q, x'> - |x'|**2. Of each block of INDEX_BLOCK rows the best
+`rerank` distinct vectors are scored exactly, in double precision, on the original vectors, which stand beside their codes;
+so only a block's nearest few leave a task. Blocks have that size at most whatever Arrow's batches, the partitions or the
+table are, and a neighbour is found if it is among its block's best: recall doesn't fall as the table grows.
+
+Queries run in sets of at most QUERY_BYTES of vectors, each broadcast against all partitions of the index. Equal vectors share
+one code and one score and count as one candidate, however many they are; among equal scores the smallest ids win.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of each length are an index of their own
+(a cosine needs equal lengths): queries meet candidates of their own length. Codebooks are fitted on a bounded sample, but every
+row is indexed. With no vectors the result is empty, a vector alone has no neighbours; rows that repeat a vec_id are candidates of
+each other's neighbours, never of their own id. Columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BOOKS = 8
+BOOKS = 16
 WORDS = 256
 BEAM = 4
 #: Rows that the codebooks are fitted on, at most.
 SAMPLE_ROWS = 16_000
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 4_096
-RERANK = 160
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BYTES = 32 << 20
+#: Rows of a block of the index, at most (fewer if their vectors pass BLOCK_BYTES).
+INDEX_BLOCK, BLOCK_BYTES = 16_384, 32 << 20
+#: Distinct vectors of a block that are scored exactly.
+RERANK = 256
 
 
 @dataclass
@@ -89,16 +95,17 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2,
     found = Codebooks(np.stack(made))
     for _ in range(rounds):
         codes, _ = found.encode(x)
-        picked = codes.astype(np.int64) + np.arange(books) * words
-        gram, right = np.zeros((books * words,) * 2), np.zeros((books * words, x.shape[1]))
+        gram, right = np.zeros((books, words, books, words)), np.zeros((books, words, x.shape[1]))
         for a in range(books):
-            np.add.at(right, picked[:, a], x)
+            order = np.argsort(codes[:, a], kind="stable")
+            used, first = np.unique(codes[order, a], return_index=True)
+            right[a, used] = np.add.reduceat(x[order], first)
             for b in range(books):
-                gram += np.bincount(picked[:, a] * books * words + picked[:, b], minlength=(books * words) ** 2).reshape(gram.shape)
+                gram[a, :, b] = np.bincount(codes[:, a].astype(np.int64) * words + codes[:, b], minlength=words * words).reshape(words, words)
+        gram, right = gram.reshape(books * words, -1), right.reshape(books * words, -1)
         # words that few rows use stay near where they are
-        pull = 0.5 * np.eye(books * words)
-        now = found.words.reshape(books * words, -1)
-        found = Codebooks(np.linalg.solve(gram + pull, right + 0.5 * now).reshape(found.words.shape))
+        gram[np.diag_indices(books * words)] += 0.5
+        found = Codebooks(np.linalg.solve(gram, right + 0.5 * found.words.reshape(books * words, -1)).reshape(found.words.shape))
     return found
 
 
@@ -108,23 +115,26 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, embedding of doubles) that can take part, of the most frequent length (the smaller on a tie)."""
+    """Rows (vec_id, embedding of doubles) that can take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
-    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0)
-    rows = rows.filter(fine)
-    most = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (most["n"] if most else 0))
+    return rows.filter(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0))
 
 
 def build_index(rows: DataFrame, books: int = BOOKS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Codebooks | None, int]:
-    """(vec_id, embedding, codes, norm) of every usable row, the codebooks, and the vectors' length."""
-    some = rows.orderBy(F.xxhash64(F.lit(31), "vec_id"), "vec_id").limit(sample_rows).toArrow()
-    if not len(some):
+    """(vec_id, embedding, codes, norm) of every row (of one length), the codebooks, and the vectors' length."""
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [np.array(batch.column(0).to_pylist(), np.float64) for batch in batches if batch.num_rows]
+        if x:
+            x = np.concatenate(x)
+            made = fit(x / np.linalg.norm(x, axis=1, keepdims=True), books)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Codebooks(made.words.astype(np.float32)))], pa.binary())], ["books"])
+
+    # the sample is one task's: it fits there, and the driver gets the codebooks alone
+    got = rows.orderBy(F.xxhash64(F.lit(31), "vec_id"), "vec_id").limit(sample_rows).select("embedding").mapInArrow(train, "books binary").collect()
+    if not got:
         return rows.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("double")), None, 0
-    column = some.column("embedding").combine_chunks()
-    dimensions = len(column[0])
-    x = _matrix(column, dimensions)
-    books_ = fit(x / np.linalg.norm(x, axis=1, keepdims=True), books)
+    books_ = pickle.loads(got[0]["books"])
+    dimensions = books_.words.shape[2]
     shared = rows.sparkSession.sparkContext.broadcast(books_)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +153,28 @@ def _merge(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndar
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of exactly so many, the last one shorter."""
+    held, count = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - count)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            count += part.num_rows
+            if count == rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _search(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, books: Codebooks, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
     n, dimensions = queries.shape
     lengths = np.linalg.norm(queries, axis=1)
     units = queries / lengths[:, None]
     best = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _blocks(batches, max(1, min(INDEX_BLOCK, BLOCK_BYTES // (8 * dimensions)))):
         ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dimensions)
         order = np.argsort(ids, kind="stable")
         rows = np.ascontiguousarray(x[order]).view([("", np.float64)] * dimensions).ravel()
@@ -184,30 +208,44 @@ def _search(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: n
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, some.sum(1))), pa.array(best[0][some]), pa.array(best[1][some])], ["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, books: int = BOOKS, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+_FOUND = "query_id long, rank int, vec_id long, score double"
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, books: int = BOOKS, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest of all other rows for each query row (vec_id, embedding)."""
     spark = vectors.sparkSession
+    rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
+    counts = asked.groupBy(F.size("embedding").alias("length")).count().orderBy("length").collect()
+    near = None
+    for length, count in counts:
+        same = F.size("embedding") == length
+        part = _nearest(rows.filter(same), asked.filter(same), count, k, books, rerank, sample_rows, query_bytes)
+        near = part if near is None else near if part is None else near.unionByName(part)
+    if near is None:
+        return spark.createDataFrame([], _FOUND)
+    ranked = near.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank", "vec_id", "score")
+    return ranked.filter(F.col("rank") <= k)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, count: int, k: int, books: int, rerank: int, sample_rows: int, query_bytes: int) -> DataFrame | None:
+    """(query_id, vec_id, score) of each partition's best, for vectors of one length."""
+    spark = rows.sparkSession
     scratch = Scratch(spark)
-    index, found, dimensions = build_index(usable(vectors), books, sample_rows)
-    schema = "query_id long, vec_id long, score double"
+    index, found, dimensions = build_index(rows, books, sample_rows)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     index = scratch.table(index, "index")
-    asked = usable(queries).filter(F.size("embedding") == dimensions).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // query_block))
+    sets = max(1, -(-count * 8 * dimensions // query_bytes))
     parts = []
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        if not len(block):
+    for b in range(sets):
+        some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(sets)) == b).orderBy("vec_id").toArrow()
+        if not len(some):
             continue
-        held = spark.sparkContext.broadcast((block.column("vec_id").to_numpy(), _matrix(block.column("embedding").combine_chunks(), dimensions)))
-        part = index.mapInArrow(lambda batches, held=held: _search(batches, *held.value, found, k, rerank), schema)
-        # one block's answers are k rows a query and partition; more blocks are written one by one
-        parts.append(part if blocks == 1 else scratch.table(part, f"block-{b}"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        held = spark.sparkContext.broadcast((some.column("vec_id").to_numpy(), _matrix(some.column("embedding").combine_chunks(), dimensions)))
+        part = index.mapInArrow(lambda batches, held=held: _search(batches, *held.value, found, k, rerank), "query_id long, vec_id long, score double")
+        # one set's answers are k rows a query and partition; more sets are written one by one
+        parts.append(part if sets == 1 else scratch.table(part, f"answers-{b}"))
     near = parts[0]
     for part in parts[1:]:
         near = near.unionByName(part)
-    ranked = near.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank", "vec_id", "score")
-    return ranked.filter(F.col("rank") <= k)
+    return near

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from terrafold.llm import ann
 
@@ -44,6 +45,40 @@ def test_scores_are_exact_and_odd_vectors_take_no_part(spark):
     assert ann.nearest(df.filter("vec_id = 100"), df).count() == 0
 
 
+def test_vectors_of_another_length_meet_their_own_and_one_vector_has_no_neighbour(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8 if k % 3 else 5)], "clash") for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 5 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    same = {n: [(v, e) for v, e, _ in rows if len(e) == n] for n in (5, 8)}
+    assert got == {v: brute(same[len(e)], v) for v, e, _ in rows if v % 5 == 0}
+    assert ann.nearest(df.filter("vec_id = 5"), df.filter("vec_id = 5")).count() == 0
+
+
+def test_blocks_have_one_size_whatever_the_batches(spark):
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(k))}) for k in (3, 0, 10, 1, 7)]
+    assert [b.num_rows for b in ann._blocks(iter(batches), 8)] == [8, 8, 5]
+    assert sum((b.column(0).to_pylist() for b in ann._blocks(iter(batches), 8)), []) == sum((b.column(0).to_pylist() for b in batches), [])
+
+
+def test_recall_where_one_block_holds_thousands(spark):
+    """Vectors without clusters, so that neighbours are hard to tell apart: 12000 rows in one block."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 32))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 200 = 0"), sample_rows=3000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 12_000, 200):
+        near = [int(v) for v in np.argsort(-(unit @ unit[q]))[:6] if v != q][:5]
+        hits += len(got[q] & set(near))
+    assert hits >= 0.95 * 5 * 60
+
+
 def test_encoding_improves_with_beam_and_refit():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 16))
