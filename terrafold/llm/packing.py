@@ -2,13 +2,15 @@
 
 1. Documents are tokenised and cut into pieces: only one longer than a sequence is cut, its last piece may be shorter.
 2. Pieces are dealt to nodes by hash, so no document or source can crowd one; every node best-fits its pieces,
-   longest first, emits the bins that are nearly full and passes its emptiest bins on, at most `carry` of them.
-3. Nodes merge `fan_in` at a time: bins passed on become items, as long as they are full, and are best-fitted again,
-   until one node is left. A node never sees more than fan_in * carry items, whatever the corpus holds.
+   longest first, emits the bins that are nearly full and passes all others on.
+3. Nodes merge: bins passed on become items, as long as they are full, dealt by hash to `fan_in` times fewer nodes (or more, so
+   that a node gets NODE_MOST items at most on average), and are best-fitted again. Rounds end with one node, or once a round saves fewer
+   than one bin in SAVING: then what is left can't be combined, as when all pieces are longer than half a sequence.
 4. A bin that became an item keeps its contents together: a piece's place is its offset plus those of the bins around it.
 
-Null texts are empty documents: one piece, just the end id. Rows that repeat are packed as often as they occur. A null
-doc_id stays null. An empty table packs to an empty result.
+Null texts are empty documents: one piece, just the end id. Rows that repeat, and ties of length, are packed as often as they occur,
+ties in the order of their hash. A very long text becomes many pieces, none in a task's memory but its own ids. A null doc_id stays null.
+Other columns are ignored. An empty table packs to an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from .common import Scratch, crc_ids, row_blocks, tokenizer, utf8
 LENGTH = 4096
 #: Pieces a first-level node gets on average.
 NODE_PIECES = 40_000
+#: Items a later node gets on average, at most.
+NODE_MOST = 400_000
 FAN_IN = 8
-CARRY = 4_096
+#: A round that saves fewer than one bin in so many is the last.
+SAVING = 1_000
 #: Bins with at most this much room left are emitted at once.
 SLACK = 8
 
@@ -89,38 +94,41 @@ def best_fit(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nd
 _PLACED = "id long, bin long, at long, fill long, passed boolean"
 
 
-def _pack_node(length: int, carry: int, level: int):
+def _pack_node(length: int, level: int):
     """Packs one node's items (id, size); a bin's number holds its level, node and place, so it is unique."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         node = key[0].as_py()
         table = table.sort_by("id")
-        sizes = table.column("size").to_numpy()
-        where, at, fills = best_fit(sizes, length)
-        open_ = np.flatnonzero(fills < length - SLACK)
-        passed = np.zeros(len(fills), bool)
-        passed[open_[np.argsort(fills[open_], kind="stable")][:carry]] = True
+        where, at, fills = best_fit(table.column("size").to_numpy(), length)
+        passed = fills < length - SLACK
         return pa.table({"id": table.column("id"), "bin": (level << 58) + (node << 26) + where, "at": at, "fill": fills[where], "passed": passed[where]})
 
     return work
 
 
-def pack(spark: SparkSession, sized: DataFrame, length: int = LENGTH, node_pieces: int = NODE_PIECES, fan_in: int = FAN_IN, carry: int = CARRY, scratch: Scratch | None = None) -> DataFrame:
+def pack(spark: SparkSession, sized: DataFrame, length: int = LENGTH, node_pieces: int = NODE_PIECES, fan_in: int = FAN_IN, node_most: int = NODE_MOST, scratch: Scratch | None = None) -> DataFrame:
     """(id, sequence_id, offset) for items (id, size): ids are distinct longs, sizes 1 to length."""
     scratch = scratch or Scratch(spark)
     n = sized.count()
     nodes = max(1, -(-n // node_pieces))
-    # a bin's number has 26 bits for its place in a node
     level = 0
-    items = sized.select("id", "size", F.pmod(F.xxhash64("id"), F.lit(nodes)).alias("node"))
-    placed = scratch.table(items.groupBy("node").applyInArrow(_pack_node(length, carry if nodes > 1 else 0, level), _PLACED), "packed-0")
-    base, carried = placed, placed
+
+    def packed(items: DataFrame) -> DataFrame:
+        node = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(nodes)).alias("node")
+        return scratch.table(items.select("id", "size", node).groupBy("node").applyInArrow(_pack_node(length, level), _PLACED), f"packed-{level}")
+
+    base = carried = packed(sized)
     moves: DataFrame | None = None
     while nodes > 1:
-        level, nodes = level + 1, -(-nodes // fan_in)
-        bins = carried.filter("passed").groupBy("bin").agg(F.first("fill").alias("size")).select(F.col("bin").alias("id"), "size", "bin")
-        node = F.floor(F.pmod(F.shiftright("bin", 26), F.lit(1 << 32)) / fan_in)
-        carried = scratch.table(bins.select("id", "size", node.alias("node")).groupBy("node").applyInArrow(_pack_node(length, carry if nodes > 1 else 0, level), _PLACED), f"packed-{level}")
+        # a row a bin that was passed on
+        bins = scratch.table(carried.filter("passed").groupBy("bin").agg(F.first("fill").alias("size")).select(F.col("bin").alias("id"), "size"), f"open-{level}")
+        left = bins.count()
+        fewer = max(-(-nodes // fan_in), -(-left // node_most))
+        if not left or fewer >= nodes:
+            break
+        level, nodes = level + 1, fewer
+        carried = packed(bins)
         step = carried.select(F.col("id").alias("from"), F.col("bin").alias("to"), F.col("at").alias("shift"))
         if moves is None:
             moves = step
@@ -128,6 +136,9 @@ def pack(spark: SparkSession, sized: DataFrame, length: int = LENGTH, node_piece
             later = step.select(F.col("from").alias("to"), F.col("to").alias("next"), F.col("shift").alias("more"))
             moves = moves.join(later, "to", "left").select("from", F.coalesce("next", "to").alias("to"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         moves = scratch.table(moves, f"moves-{level}")
+        saved = left - carried.select("bin").distinct().count()
+        if saved * SAVING < left:
+            break
     if moves is None:
         return base.select("id", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     out = base.join(moves, base.bin == moves["from"], "left")

@@ -28,16 +28,24 @@ def test_best_fit_takes_the_tightest_bin():
     assert where.tolist() == [0, 1, 1, 0, 1] and sorted(fills.tolist()) == [100, 100] and at.tolist() == [0, 0, 50, 60, 95]
 
 
-@pytest.mark.parametrize("nodes, carry", [(10_000, 64), (200, 64), (50, 20)])
-def test_tree_of_nodes(spark, nodes, carry):
+@pytest.mark.parametrize("nodes", [10_000, 200, 50])
+def test_tree_of_nodes(spark, nodes):
     rng = random.Random(3)
     sizes = {k: min(100, max(1, int(rng.expovariate(1 / 18)))) for k in range(1500)}
     df = spark.createDataFrame(list(sizes.items()), "id long, size long")
-    places = packing.pack(spark, df, 100, node_pieces=nodes, fan_in=3, carry=carry).collect()
+    places = packing.pack(spark, df, 100, node_pieces=nodes, fan_in=3).collect()
     used = check_places(sizes, places, 100)
     assert used <= sum(sizes.values()) / 100 * 1.03 + 1
 
 
+def test_bins_that_cannot_be_combined_end_the_rounds(spark):
+    """More than half a sequence each: every bin is underfull and stays so; with a few small items, those still find room."""
+    sizes = {k: 51 + k % 30 for k in range(2000)} | {5000 + k: 15 for k in range(200)}
+    df = spark.createDataFrame(list(sizes.items()), "id long, size long")
+    places = packing.pack(spark, df, 100, node_pieces=100, fan_in=4, node_most=900).collect()
+    assert check_places(sizes, places, 100) == 2000
+
+
 def test_odd_documents(spark, odd_docs, odd_rows):
     rows = packing.pack_documents(odd_docs, vocabulary("word_bpe_49k.json"), length=256).collect()
     whole = HashedTokenizer(vocabulary("word_bpe_49k.json"), "word").whole
