@@ -9,10 +9,15 @@
 4. A source's drawn blocks, permuted by an affine map of their numbers, are dealt to the shards as disjoint runs;
    a shard shuffles its own documents by hash.
 
-Only DataFrame functions touch rows. The driver holds a row a source (at most MAX_SOURCES) and small integers for
-the tree. A null source is a source of its own, last; sources are ordered by code point. Null or blank texts have size 0:
-they are taken with their blocks but add no words. Rows that repeat share a hash, so they are taken alike. An
-empty table gives an empty result.
+Only DataFrame functions touch rows. Sizes, targets and cuts are tables of a row a source; the driver holds block counts of one
+group of GROUP sources at a time and a number a group: quotas are split over groups first, then a group's own over its sources,
+which is the same law. A source's row reaches its documents by broadcast, if sources are one group, otherwise that of the largest
+GROUP sources does and all others (each at most a GROUP-th of the rows) meet theirs in a shuffle.
+
+A null source is a source of its own, last; sources are ordered by code point. Null or blank texts have size 0: they are taken with
+their blocks but add no words. Rows that repeat share a hash (of doc_id, null or not, and text), so they are taken alike, and rows that
+tie at a cut share what it takes. A very long text may end a target within itself. The documents' columns keep their names and values; the
+result's column is `mixed`, or `mixed_2` and so on where that is taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,36 +29,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, default_partitions
 
 BLOCKS = 4096
-MAX_SOURCES = 20_000
+#: Sources whose block counts the driver holds at once, and whose rows are broadcast.
+GROUP = 20_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), limit: int = 2) -> list[Fraction]:
-    """Words wanted of each source: share of all sizes by weight, none above limit times its size; exact."""
-    rest, open_ = sum(sizes) * share, {i: weights[i % len(weights)] for i in range(len(sizes))}
-    out = [Fraction(0)] * len(sizes)
-    while open_:
-        each = rest / sum(open_.values())
-        over = [i for i, w in open_.items() if each * w > limit * sizes[i]]
-        if not over:
-            for i, w in open_.items():
-                out[i] = each * w
-            break
-        for i in over:
-            out[i] = Fraction(limit * sizes[i])
-            rest -= out[i]
-            del open_[i]
-    return out
+def split_quotas(quotas: list[int], shards: int, seed: int, totals: np.ndarray | None = None) -> np.ndarray:
+    """(shard, source) block counts with the quotas as column sums, drawn down a binary tree over the shards.
 
-
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shard, source) block counts with the quotas as column sums, drawn down a binary tree over the shards."""
+    totals: the shards' own sums, where they are known; otherwise they are as equal as halving makes them.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     out = np.zeros((shards, len(quotas)), np.int64)
 
@@ -62,8 +53,9 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
             out[first] = counts
             return
         middle = (first + last) // 2
-        take = int(counts.sum()) * (middle - first) // (last - first)
-        left, pool, need = np.zeros_like(counts), int(counts.sum()), take
+        pool = int(counts.sum())
+        need = pool * (middle - first) // (last - first) if totals is None else int(totals[first:middle].sum())
+        left = np.zeros_like(counts)
         for i, c in enumerate(counts.tolist()):  # the law's margins, one source after the other
             pool -= c
             left[i] = rng.hypergeometric(c, pool, need) if need and c and pool else min(need, c)
@@ -76,54 +68,79 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _ranked(scratch: Scratch, sources: DataFrame) -> DataFrame:
+    """Sources with their number in code point order, null last: ranges are numbered each on their own."""
+    order = F.when(F.col("source").isNull(), F.unhex(F.lit("01"))).otherwise(F.concat(F.unhex(F.lit("00")), F.col("source").cast("binary")))
+    ranges = sources.withColumn("order", order).repartitionByRange("order").withColumn("part", F.spark_partition_id())
+    ranges = scratch.table(ranges, "ranges")
+    first = ranges.groupBy("part").count().selectExpr("part", "sum(count) OVER (ORDER BY part) - count AS first")  # a row a range
+    return ranges.join(first, "part").selectExpr("*", "first + row_number() OVER (PARTITION BY part ORDER BY order) - 1 AS rank").drop("order", "part", "first")
+
+
+def _targets(scratch: Scratch, sources: DataFrame, weights: tuple[int, ...], share: Fraction, limit: int) -> DataFrame:
+    """Sources with target, passes and rest: words wanted are weight times a level, or limit times the size where that is less.
+
+    The level rises round by round to what the sources that are not at their limit share; a round is one sum over
+    the sources, and they end when none reaches its limit any more. Exact: the level is a fraction, products are decimals.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = scratch.table(sources.withColumn("weight", weight), "weighted")
+    big = lambda x: F.col(x).cast("decimal(20,0)")
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    level, full = Fraction(0), -1
+    while True:
+        # both sides stay within 38 digits
+        above, under = F.lit(level.numerator).cast("decimal(28,0)") * F.col("weight").cast("decimal(9,0)"), big("size") * F.lit(limit * level.denominator).cast("decimal(17,0)")
+        at_limit = above > under
+        held, open_, count = sources.agg(F.sum(F.when(at_limit, F.col("size") * limit)), F.sum(F.when(~at_limit, F.col("weight"))), F.count_if(at_limit)).first()
+        if count == full or not open_:
+            break
+        level, full = (total * share - (held or 0)) / open_, count
+    # words wanted in units of 1 / denominator
+    units = F.lit(level.numerator).cast("decimal(28,0)") * F.col("weight").cast("decimal(9,0)")
+    denominator = F.lit(level.denominator).cast("decimal(17,0)")
+    passes = F.when(F.col("size") == 0, F.lit(0)).when(at_limit, F.lit(limit)).otherwise(F.floor(units / F.greatest(big("size") * denominator, F.lit(1)))).cast("int")
+    target = F.when(at_limit, (F.col("size") * limit).cast("double")).otherwise(units.cast("double") / F.lit(float(level.denominator)))
+    over = F.round((units - F.col("passes") * big("size") * denominator) / denominator).cast("long")
+    return sources.withColumn("passes", passes).withColumn("target", target).withColumn("rest", F.when(at_limit | (F.col("size") == 0), F.lit(0).cast("long")).otherwise(over))
+
+
 def mix(docs: DataFrame, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), limit: int = 2, seed: int = 17) -> DataFrame:
-    """The documents' columns and a struct `mixed`: size, source_size, target, taken, copies, draws (pass, shard, words, place).
+    """The documents' columns and, last, a struct: size, source_size, target, taken, copies, draws (pass, shard, words, place).
 
-    taken is the words the mix takes of a document; a column of the documents named `mixed` gives way. Only the document in which a source's target ends
+    taken is the words the mix takes of a document. Only the document in which a source's target ends
     can be taken in part; `copies` rounds it to whole copies.
     """
     spark, key = docs.sparkSession, F.col("source").cast("string")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     block = F.shiftright(h, 64 - int(math.log2(BLOCKS))) + BLOCKS // 2
     # the documents' own columns go by number meanwhile: their names may clash
-    own = [c for c in docs.columns if c != "mixed"]
-    row = F.struct(key.alias("source"), n_words(F.col("text")).alias("size"), h.alias("h"), block.cast("int").alias("block"))
+    own = docs.columns
+    named = F.coalesce(F.concat(F.lit("="), key), F.lit(""))  # joins on it are plain, null or not
+    row = F.struct(named.alias("key"), n_words(F.col("text")).alias("size"), h.alias("h"), block.cast("int").alias("block"))
     sized = docs.select(*(F.col(f"`{c}`").alias(f"own{k}") for k, c in enumerate(own)), row.alias("row"))
     scratch = Scratch(spark)
     rows = scratch.table(sized.select("row.*"), "rows")
-    blocks = scratch.table(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
-    # a row a source; binary keys order by code point
-    totals = blocks.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in totals]
-    wanted = targets(sizes, weights, share, limit)
-    passes = [int(t // s) if s else 0 for t, s in zip(wanted, sizes)]
-    rest = [round(t - p * s) for t, p, s in zip(wanted, passes, sizes)]
-    plan = spark.createDataFrame(
-        [(r["source"], s, float(t), p, q) for r, s, t, p, q in zip(totals, sizes, wanted, passes, rest)],
-        "source string, source_size long, target double, passes int, rest long",
-    )
-    same = lambda x, y: x.eqNullSafe(y)
+    blocks = scratch.table(rows.groupBy("key", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "blocks")
+    sources = blocks.groupBy("key").agg(F.sum("words").alias("size"), F.sum("n").alias("n")).withColumn("source", F.expr("CASE WHEN key <> '' THEN substring(key, 2) END"))
+    plan = scratch.table(_targets(scratch, _ranked(scratch, sources), weights, share, limit), "plan")
     # the block in which a source's last pass ends: cumulative words by block, BLOCKS rows a source
-    ends = blocks.selectExpr("source AS s", "block AS cut_block", "words", "sum(words) OVER (PARTITION BY source ORDER BY block) AS upto")
-    cut = ends.join(F.broadcast(plan), same(F.col("s"), F.col("source"))).filter("rest > 0 AND upto - words < rest AND rest <= upto").select("s", "cut_block", (F.col("rest") - F.col("upto") + F.col("words")).alias("inside"))
+    ends = blocks.selectExpr("key", "block", "words", "sum(words) OVER (PARTITION BY key ORDER BY block) AS upto").join(plan.select("key", "rest").filter("rest > 0"), "key")
+    cut = ends.filter("upto - words < rest AND rest <= upto").select("key", "block", (F.col("rest") - F.col("upto") + F.col("words")).alias("inside"))
     # within that block, the document: its hash, the words before it, the rows that share the hash
-    there = rows.join(F.broadcast(cut), same(F.col("source"), F.col("s")) & (F.col("block") == F.col("cut_block"))).groupBy("s", "h", "cut_block", "inside").agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
-    upto = there.selectExpr("*", "sum(words) OVER (PARTITION BY s ORDER BY h) AS upto").filter("upto - words < inside AND inside <= upto")
-    last = upto.select("s", "cut_block", F.col("h").alias("cut_h"), (F.col("inside") - F.col("upto") + F.col("words")).alias("part"), "words", "ties").collect()
-    at = {r["s"]: r for r in last}
-    quotas = [p * BLOCKS + (at[r["source"]]["cut_block"] + 1 if r["source"] in at else 0) for r, p in zip(totals, passes)]
-    counts = split_quotas(quotas, shards, seed)
-    bounds = np.cumsum(counts, axis=0)
-    full = []
-    for i, r in enumerate(totals):
-        cut_row = at.get(r["source"])
-        step = _coprime(quotas[i], seed + 7919 * i)
-        full.append((r["source"], sizes[i], float(wanted[i]), passes[i], cut_row["cut_h"] if cut_row else None, cut_row["part"] if cut_row else None, cut_row["words"] if cut_row else None, quotas[i], step, bounds[:, i].tolist()))
-    per_source = spark.createDataFrame(full, "s string, source_size long, target double, passes int, cut_h long, part long, tied long, quota long, step long, bounds array<long>")
-    joined = sized.join(F.broadcast(per_source), same(F.col("row.source"), F.col("s")))
+    there = rows.join(cut, ["key", "block"]).groupBy("key", "h", "block", "inside").agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
+    upto = there.selectExpr("*", "sum(words) OVER (PARTITION BY key ORDER BY h) AS upto").filter("upto - words < inside AND inside <= upto")
+    last = upto.select("key", F.col("block").alias("cut_block"), F.col("h").alias("cut_h"), (F.col("inside") - F.col("upto") + F.col("words")).alias("part"), F.col("words").alias("tied"))
+    quota = F.col("passes") * BLOCKS + F.coalesce(F.col("cut_block") + 1, F.lit(0))
+    cuts = scratch.table(plan.join(last, "key", "left").select("key", "rank", "n", F.col("size").alias("source_size"), "target", "passes", "cut_h", "part", "tied", quota.cast("long").alias("quota")), "quotas")
+    per_source, groups = _bounds(scratch, cuts, shards, seed)
+    at = F.col("row.key") == F.col("key")
+    if groups <= 1:
+        joined = sized.join(F.broadcast(per_source), at)
+    else:
+        large = per_source.orderBy(F.desc("n"), "key").limit(GROUP)
+        others = sized.join(F.broadcast(large.select("key")), at, "left_anti").join(per_source, at)
+        joined = sized.join(F.broadcast(large), at).unionByName(others)
     size, hash_ = F.col("row.size"), F.col("row.h")
     # rows that tie at the cut share its part by size
     extra = F.when(F.col("cut_h").isNull() | (hash_ > F.col("cut_h")), F.lit(None)).when(hash_ < F.col("cut_h"), size).otherwise(F.floor(F.col("part") * size / F.greatest("tied", F.lit(1)))).cast("long")
@@ -138,7 +155,32 @@ def mix(docs: DataFrame, shards: int = 16, weights: tuple[int, ...] = (5, 2, 1),
     taken = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x["words"])
     copies = F.col("passes") + F.when(extra.isNull(), 0).otherwise((2 * extra >= size).cast("int"))
     mixed = F.struct(size.alias("size"), "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.transform(both, draw).alias("draws"))
-    return joined.select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(own)), mixed.alias("mixed"))
+    name, k = "mixed", 2
+    while name in own:
+        name, k = f"mixed_{k}", k + 1
+    return joined.select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(own)), mixed.alias(name))
+
+
+def _bounds(scratch: Scratch, cuts: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """Each source's row with its permutation's step and the upper bounds of its shards' runs, and the number of groups."""
+    spark = cuts.sparkSession
+    number = F.floor(F.col("rank") / GROUP)
+    sums = dict(cuts.groupBy(number.alias("g")).agg(F.sum("quota")).orderBy("g").collect())
+    over_groups = split_quotas(list(sums.values()), shards, seed)
+    parts = []
+    for k, g in enumerate(sums):
+        some = cuts.filter(number == g).select("key", "rank", "quota").orderBy("rank").collect()
+        quotas = [r["quota"] for r in some]
+        bounds = np.cumsum(split_quotas(quotas, shards, seed + 1 + g, over_groups[:, k]), axis=0)
+        found = [(r["key"], _coprime(r["quota"], seed + 7919 * r["rank"]), bounds[:, i].tolist()) for i, r in enumerate(some)]
+        part = spark.createDataFrame(found, "key string, step long, bounds array<long>")
+        parts.append(part if len(sums) == 1 else scratch.table(part, f"bounds-{g}"))
+    if not parts:
+        parts.append(spark.createDataFrame([], "key string, step long, bounds array<long>"))
+    bound = parts[0]
+    for part in parts[1:]:
+        bound = bound.unionByName(part)
+    return scratch.table(cuts.join(bound, "key"), "sources"), len(sums)
 
 
 def _coprime(n: int, seed: int) -> int:
@@ -151,8 +193,17 @@ def _coprime(n: int, seed: int) -> int:
     return step
 
 
-def materialise(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row a copy, with its shard; shards are partitions, each shuffled by hash."""
-    columns = [c for c in mixed.columns if c != "mixed"]
-    copies = mixed.select(*columns, F.explode(F.slice("mixed.draws", 1, F.greatest("mixed.copies", F.lit(0)))).alias("draw"))
-    return copies.repartition(F.col("draw.shard"), F.pmod("draw.place", F.lit(64))).sortWithinPartitions("draw.shard", "draw.place")
+def materialise(mixed: DataFrame, shards: int = 16) -> DataFrame:
+    """The mix itself: a row a copy, shuffled by hash within its shard.
+
+    A shard is cut in slices by its rows' places; a slice is in one partition, in the order of places. There are at least 64
+    slices a shard, and four for each of its shuffle partitions, so tasks are as many as the session asks for.
+    """
+    name = mixed.columns[-1]
+    slices = max(64, -(-4 * default_partitions(mixed.sparkSession) // shards))
+    columns = [F.col(f"`{c}`") for c in mixed.columns[:-1]]
+    copies = mixed.select(F.struct(*columns).alias("row"), F.explode(F.slice(F.col(f"`{name}`.draws"), 1, F.greatest(F.col(f"`{name}`.copies"), F.lit(0)))).alias("draw"))
+    slice_ = F.shiftright((F.shiftright("draw.place", 48) + (1 << 15)) * slices, 16)
+    dealt = copies.repartition(F.col("draw.shard"), slice_).sortWithinPartitions("draw.shard", "draw.place")
+    taken = "draw" in mixed.columns
+    return dealt.select("row.*", *([] if taken else ["draw"]))

@@ -1,16 +1,57 @@
+import random
 import re
 from fractions import Fraction
 
 import numpy as np
 
 from terrafold.llm import mixing
-
-
-def test_targets_share_what_is_above_the_limit():
-    assert mixing.targets([100, 100, 100]) == [200, Fraction(500, 3), Fraction(250, 3)]
-    got = mixing.targets([10, 1000, 1000])
-    assert got[0] == 20 and sum(got) == Fraction(3, 2) * 2010 and got[1] == Fraction(5990, 3)
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+from terrafold.llm.common import Scratch
+
+
+def targets(sizes, weights=(5, 2, 1), share=Fraction(3, 2), limit=2):
+    """Words wanted of each source, in plain rounds: what is above the limit is shared again by weight."""
+    rest, open_ = sum(sizes) * share, {i: weights[i % len(weights)] for i in range(len(sizes))}
+    out = [Fraction(0)] * len(sizes)
+    while open_:
+        each = rest / sum(open_.values())
+        over = [i for i, w in open_.items() if each * w > limit * sizes[i]]
+        if not over:
+            for i, w in open_.items():
+                out[i] = each * w
+            break
+        for i in over:
+            out[i] = Fraction(limit * sizes[i])
+            rest -= out[i]
+            del open_[i]
+    return out
+
+
+def test_targets_share_what_is_above_the_limit(spark):
+    rng = random.Random(1)
+    cases = [[100, 100, 100], [10, 1000, 1000], [0, 0], [7], [rng.choice((0, 1, 50, 3000)) * rng.randint(1, 9) for _ in range(200)], [10**12 + k for k in range(7)]]
+    for sizes in cases:
+        sources = [None if k == len(sizes) - 1 else f"s{k:04d}" + "é" * (k % 2) for k in range(len(sizes))]
+        df = spark.createDataFrame(list(zip(sources, sizes)), "source string, size long").repartition(5)
+        scratch = Scratch(spark)
+        got = sorted(mixing._targets(scratch, mixing._ranked(scratch, df), (5, 2, 1), Fraction(3, 2), 2).collect(), key=lambda r: r["rank"])
+        assert [r["source"] for r in got] == sources
+        for r, want, size in zip(got, targets(sizes), sizes):
+            assert abs(r["target"] - float(want)) <= 1e-9 * max(1, want)
+            if size:
+                assert r["passes"] == int(want // size) and abs(r["rest"] - (want - r["passes"] * size)) <= Fraction(1, 2)
+
+
+def test_groups_of_sources_give_the_same_mix_but_for_draws(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, "w " * rng.randint(0, 30), rng.choice(["hot", f"s{k % 40}", None])) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = {r["doc_id"]: r["mixed"] for r in mixing.mix(docs, shards=4).collect()}
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    got = {r["doc_id"]: r["mixed"] for r in mixing.mix(docs, shards=4).collect()}
+    assert len(got) == 600 and all(got[k][c] == once[k][c] for k in got for c in ("size", "source_size", "target", "taken", "copies"))
+    units = [(k, d["pass"], d["shard"]) for k, m in got.items() for d in m["draws"]]
+    counts = [sum(s == j for *_, s in units) for j in range(4)]
+    assert max(counts) < 1.5 * min(counts)
 
 
 def test_quotas_split_exactly():
@@ -26,11 +67,14 @@ def size_of(text):
 
 
 def test_odd_documents(odd_docs, odd_rows):
-    rows = mixing.mix(odd_docs.drop("mixed"), shards=4).select("doc_id", "source", "mixed.*").collect()
+    got = mixing.mix(odd_docs, shards=4)
+    assert got.columns == [*odd_docs.columns, "mixed_2"] and got.filter("mixed = 'clash'").count() == len(odd_rows)
+    assert mixing.materialise(got, 4).count() == got.agg({"mixed_2.copies": "sum"}).first()[0]
+    rows = got.select("doc_id", "source", "mixed_2.*").collect()
     assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(i), size_of(t)) for i, t, *_ in odd_rows)
     sources = sorted({r[3] for r in odd_rows}, key=lambda s: (s is None, s or ""))
     sizes = [sum(size_of(r[1]) for r in odd_rows if r[3] == s) for s in sources]
-    wanted = mixing.targets(sizes)
+    wanted = targets(sizes)
     for s, size, target in zip(sources, sizes, wanted):
         own = [r for r in rows if r["source"] == s]
         assert all(r["source_size"] == size and abs(r["target"] - float(target)) < 1e-6 for r in own)
