@@ -7,6 +7,7 @@ buffer as numpy bytes, find words and hash them with prefix sums, a block of row
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised helpers take at once (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 18
-#: Pieces of text a worker's tokenizer may remember before it starts anew (about 200 bytes each).
+#: Pieces of text a worker's tokenizer may remember before it starts anew (about 30 bytes each).
 CACHE_WORDS = 1_200_000
 
 U64 = np.uint64
@@ -107,7 +108,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_tables: dict[str, np.ndarray] = {}
+_tables: dict = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +147,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
+def tidy() -> None:
+    """Gives memory that Arrow and the allocator hold but don't use back to the system, so workers stay as small as what they keep."""
+    pa.default_memory_pool().release_unused()
+    if "libc" not in _tables:
+        try:
+            _tables["libc"] = ctypes.CDLL("libc.so.6")
+        except OSError:  # another C library: nothing to trim
+            _tables["libc"] = None
+    if _tables["libc"] is not None:
+        _tables["libc"].malloc_trim(0)
+
+
 def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
     """Ranges of rows whose bytes stay within the limit (single longer rows stand alone)."""
     n, i = len(offsets) - 1, 0
@@ -273,33 +286,39 @@ class HashedTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        """No pieces: their hashes in order, where each one's ids start in the pool, and how many they are."""
+        self.keys = np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        n = len(self.index)
-        while len(self.first) < n + len(keys):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Remembers pieces by their hashes, which ascend and are new."""
         ids: list[list[int]] = []
         self.tokenizer.encode_special_tokens = True
         for at in range(0, len(texts), 64):
             ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
         self.tokenizer.encode_special_tokens = False
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.count[n : n + len(keys)] = lengths
+        place = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, place, self.used + np.cumsum(lengths) - lengths)
+        self.count = np.insert(self.count, place, lengths)
+        self.keys = np.insert(self.keys, place, keys)
         self.used += len(flat)
-        self.index.update(zip(keys, range(n, n + len(keys))))
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where hashes stand among the known ones, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows i..j in one array, and the rows' bounds in it."""
@@ -327,22 +346,19 @@ class HashedTokenizer:
             form[place[some]] = 0
         keys = span_hash(prefix_hash((BYTE_HASH if self.kind == "byte" else BYTE_HASH_LOWER)[data]), starts, ends) + form * U64(0x9E3779B97F4A7C15)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        at = np.fromiter((self.index.get(k, -1) for k in listed), np.int64, len(listed))
-        missing = np.flatnonzero(at < 0)
+        missing = np.flatnonzero(self._places(distinct) < 0)
         if len(missing):
-            if len(self.index) + len(missing) > CACHE_WORDS:
+            if len(self.keys) + len(missing) > CACHE_WORDS:
                 self._forget()
-                missing = np.arange(len(listed))
+                missing = np.arange(len(distinct))
             before = ("", " ", "\n")
             texts = []
             for k in where[missing].tolist():
                 texts.append(before[int(form[k])] + data[starts[k] : ends[k]].tobytes().decode())
-            n_known = len(self.index)
-            self._learn([listed[k] for k in missing.tolist()], texts)
-            at[missing] = n_known + np.arange(len(missing))
+            self._learn(distinct[missing], texts)
+        at = self._places(distinct)
         at = at[back]
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         cut = np.concatenate([[0], np.cumsum(count)])
         source = np.repeat(self.first[at] - cut[:-1], count) + np.arange(cut[-1])
         ids = self.pool[source]

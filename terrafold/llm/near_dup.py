@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix64, row_blocks, shingle_hashes, utf8
+from .common import Scratch, Words, mix64, row_blocks, shingle_hashes, tidy, utf8
 from .components import components
 
 SKETCH = 64
@@ -65,6 +65,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int):
             hashes, bounds = shingle_hashes(words.hashes(), words.bounds, size)
             for r in range(j - i):
                 yield batch, i + r, np.unique(hashes[bounds[r] : bounds[r + 1]])
+        tidy()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

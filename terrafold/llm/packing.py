@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_ids, row_blocks, tokenizer, utf8
+from .common import Scratch, crc_ids, row_blocks, tidy, tokenizer, utf8
 
 LENGTH = 4096
 #: Pieces a first-level node gets on average.
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, leng
                 first = bounds[row] + start
                 crcs = [crc_ids(ids[a:b]) for a, b in zip(first.tolist(), (first + n).tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), *(pa.array(v, f.type) for v, f in zip((piece, start, n, crcs), list(schema)[1:]))], schema=schema)
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, row_blocks, utf8
+from .common import Words, row_blocks, tidy, utf8
 from .training import adam, fit_in_task, fold
 
 #: Labelled documents of either label that the network is fitted on, at most.
@@ -196,6 +196,7 @@ def score_documents(docs: DataFrame, net: Network | float) -> DataFrame:
                 top.append((hit[first] - bounds[:-1]).astype(np.int32))
                 weight.append(best)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(v)) for v in (scores, top, weight))], ["doc_id", "score", "passage", "attention"])
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double, passage int, attention double")
 
@@ -208,7 +209,9 @@ def good_documents(docs: DataFrame, net: Network | float, threshold: float = 0.3
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))]))
+        scores = np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))])
+        tidy()
+        return pa.array(scores)
 
     return docs.filter(score(F.col("text").cast("string")) >= threshold)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_ids, default_partitions, row_blocks, tokenizer, utf8
+from .common import crc_ids, default_partitions, row_blocks, tidy, tokenizer, utf8
 
 SCALE_BITS = 20
 LANES = 64
@@ -175,6 +175,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: i
             held += len(data[-1])
             if held >= segment_tokens:
                 yield flush()
+        tidy()
     if ids:
         yield flush()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_HASH_LOWER, Words, mix64, prefix_hash, row_blocks, span_hash, utf8
+from .common import ALNUM, BYTE_HASH_LOWER, Words, mix64, prefix_hash, row_blocks, span_hash, tidy, utf8
 from .training import adam, fit_in_task, fold, logistic
 
 #: Labelled documents of either label that the field is fitted on, at most.
@@ -277,7 +277,9 @@ def calm_documents(docs: DataFrame, field: Field | None, threshold: float = 0.5)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))]))
+        scores = np.concatenate([np.zeros(0), *(s for s, *_ in _scored(shared.value, column))])
+        tidy()
+        return pa.array(scores)
 
     return docs.filter(score(F.col("text").cast("string")) < threshold)
 
@@ -301,6 +303,7 @@ def score_documents(docs: DataFrame, field: Field | None, with_spans: bool = Tru
             if with_spans:
                 arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "spans"][: len(arrays)])
+            tidy()
 
     schema = "doc_id long, score double" + (f", spans {spans_type}" if with_spans else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: UTF-8 bytes of labelled text that a classifier is fitted on, at most.
 SAMPLE_BYTES = 64 << 20
 
@@ -60,6 +62,8 @@ def fit_in_task(docs: DataFrame, labels: DataFrame, label: str, each: int, train
         y = np.array([t[1] for t in taken], float)
         odds = (have.get(1, 0) + 1) / (have.get(0, 0) + 1) / ((y.sum() + 1) / (len(y) - y.sum() + 1))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t[0] for t in taken], y, odds))], pa.binary())], ["model"])
+        taken.clear()
+        tidy()
 
     made = texts.repartition(1).sortWithinPartitions("place", "doc_id", "y", "text").select("y", "text").mapInArrow(work, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0), 1.0)
