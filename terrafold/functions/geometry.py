@@ -11,7 +11,6 @@ Coordinate systems: EPSG:4326, WGS84 UTM zones (326xx, 327xx) and EPSG:6933; oth
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -417,15 +416,57 @@ def hausdorff(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-def rectangles_union_area(parts: Iterator[np.ndarray]) -> float:
-    """Area of a union of rectangles (x0, y0, x1, y1) by plane sweep."""
-    boxes = np.array(list(parts), float).reshape(-1, 4)
-    boxes = boxes[(boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1])]
-    xs, total = np.unique(boxes[:, [0, 2]]), 0.0
+def slab_areas(rings: list[np.ndarray], window: tuple[float, float, float, float], mask: np.ndarray | None = None) -> tuple[float, float]:
+    """Area of the rings' union within a window (x0, y0, x1, y1), and of that union's part inside the ring `mask`; exact.
+
+    The plane is cut at all corners and crossings. Between two cuts edges don't meet, so heights are linear and a slab's
+    area is its width times the length covered in its middle. Rings may be concave, cross themselves (even-odd) or each other.
+    """
+    x0, y0, x1, y1 = window
+    edges = [np.column_stack([r[:-1], r[1:], np.full(len(r) - 1, k)]) for k, r in enumerate([*rings, *([mask] if mask is not None else [])]) if len(r) > 3]
+    if not edges or x1 <= x0 or y1 <= y0:
+        return 0.0, 0.0
+    e = np.concatenate(edges)
+    swap = e[:, 0] > e[:, 2]
+    e[swap] = e[swap][:, [2, 3, 0, 1, 4]]
+    e = e[(e[:, 2] > e[:, 0]) & (e[:, 2] > x0) & (e[:, 0] < x1)]
+    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+    base = e[:, 1] - slope * e[:, 0]
+    cuts = [np.array([x0, x1]), e[:, 0], e[:, 2]]
+    lines, bases = np.concatenate([slope, [0, 0]]), np.concatenate([base, [y0, y1]])  # the window's edges too
+    low, high = np.concatenate([e[:, 0], [x0, x0]]), np.concatenate([e[:, 2], [x1, x1]])
+    for k in range(len(lines) - 1):  # where edges cross
+        steep = lines[k + 1 :] - lines[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (bases[k] - bases[k + 1 :]) / steep
+        cuts.append(at[(steep != 0) & (at > np.maximum(low[k], low[k + 1 :])) & (at < np.minimum(high[k], high[k + 1 :]))])
+    xs = np.unique(np.concatenate(cuts))
+    xs = xs[(xs >= x0) & (xs <= x1)]
+    union = inside = 0.0
     for a, b in zip(xs[:-1], xs[1:]):
-        open_ = boxes[(boxes[:, 0] <= a) & (boxes[:, 2] >= b)]
-        if len(open_):
-            open_ = open_[np.argsort(open_[:, 1])]
-            reach = np.maximum.accumulate(np.concatenate([[-np.inf], open_[:-1, 3]]))
-            total += (b - a) * float(np.maximum(0, open_[:, 3] - np.maximum(open_[:, 1], reach)).sum())
-    return total
+        middle = (a + b) / 2
+        if not a < middle < b:  # no room between neighbouring numbers
+            continue
+        open_ = (e[:, 0] < middle) & (e[:, 2] > middle)
+        y = np.clip(slope[open_] * middle + base[open_], y0, y1)
+        ring = e[open_, 4]
+        spans = {}
+        order = np.lexsort((y, ring))
+        for r in np.unique(ring):
+            own = y[order][ring[order] == r]
+            spans[int(r)] = own.reshape(-1, 2)
+        lots = [v for k, v in spans.items() if k < len(rings)]
+        covered = _joined(np.concatenate(lots)) if lots else np.zeros((0, 2))
+        union += (b - a) * float((covered[:, 1] - covered[:, 0]).sum())
+        if mask is not None:
+            for low_, high_ in spans.get(len(rings), ()):
+                inside += (b - a) * float(np.maximum(0, np.minimum(covered[:, 1], high_) - np.maximum(covered[:, 0], low_)).sum())
+    return union, inside
+
+
+def _joined(spans: np.ndarray) -> np.ndarray:
+    """Intervals as disjoint ones, in order."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
+    return np.column_stack([spans[first, 0], reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(spans) - 1]])]])

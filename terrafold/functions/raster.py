@@ -1,61 +1,78 @@
-"""Raster functions: numpy on single images or tiles, and aggregates over pixel rows."""
+"""Raster functions: column expressions and aggregates over image or pixel rows; numpy on single masks."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-7
+#: Fixed value: the threshold of an image of one level.
+FLAT = 127
 EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1)]
 
 
-def otsu(histogram: np.ndarray) -> int:
-    """The level that parts a histogram into two classes of largest variance between them, the first of equals; 127 for a single level."""
-    if np.count_nonzero(histogram) <= 1:
-        return 127
-    weight = np.cumsum(histogram.astype(float))
-    mass = np.cumsum(histogram * np.arange(len(histogram), dtype=float))
-    rest = weight[-1] - weight
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = (mass[-1] * weight - mass * weight[-1]) ** 2 / (weight * rest)
-    return int(np.argmax(np.where((weight > 0) & (rest > 0), between, -1.0)))
+def otsu(histogram: DataFrame, *keys: str) -> DataFrame:
+    """keys, threshold of histogram rows (keys, level, n): the level that parts each into two classes of largest variance between them.
+
+    The first of equal levels counts; a histogram of one level has FLAT. A key has at most as many rows as levels, so running sums
+    over a key are short; a level between two of the rows can't be better than the lower of them.
+    """
+    per = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = per.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mass = F.col("n").cast("double") * F.col("level")
+    sums = histogram.filter("n > 0").select(*keys, "level", F.sum(F.col("n").cast("double")).over(upto).alias("w"), F.sum(mass).over(upto).alias("m"), F.sum(F.col("n").cast("double")).over(per).alias("all"), F.sum(mass).over(per).alias("all_m"))
+    gap = F.col("all_m") * F.col("w") - F.col("m") * F.col("all")
+    rated = sums.withColumn("v", F.when(F.col("all") > F.col("w"), gap * gap / (F.col("w") * (F.col("all") - F.col("w")))).otherwise(-1.0))
+    best = F.max_by("level", F.struct("v", (-F.col("level")).alias("first")))
+    return rated.groupBy(*keys).agg(F.when(F.count("*") == 1, F.lit(FLAT)).otherwise(best).cast("long").alias("threshold"))
+
 
+def histogram(images: DataFrame) -> DataFrame:
+    """image_id, level, n of images as rows (image_id, row, levels: array of 0 to 255)."""
+    return images.select("image_id", F.explode("levels").alias("level")).groupBy("image_id", "level").agg(F.count("*").alias("n"))
 
-def contrast(gray: np.ndarray, factor: float = 1.5) -> np.ndarray:
-    """Distances from the mean level (rounded) times factor."""
-    middle = math.floor(gray.mean() + 0.5)
-    return np.clip(middle + factor * (gray.astype(float) - middle), 0, 255).astype(np.uint8)
 
+def contrasted(images: DataFrame, factor: float = 1.5) -> DataFrame:
+    """Images with every level's distance from the image's mean level (rounded) times factor, cut to 0 to 255."""
+    middle = images.select("image_id", F.explode("levels").alias("v")).groupBy("image_id").agg(F.floor(F.avg("v") + 0.5).alias("_middle"))
+    level = lambda v: F.least(F.greatest(F.floor(F.col("_middle") + factor * (v - F.col("_middle"))), F.lit(0)), F.lit(255)).cast("int")
+    return images.join(middle, "image_id").withColumn("levels", F.transform("levels", level)).drop("_middle")
 
-def median3(gray: np.ndarray) -> np.ndarray:
-    """Median of 3x3 neighbourhoods, edges repeated."""
-    padded = np.pad(gray, 1, mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (3, 3)), axis=(2, 3)).astype(gray.dtype)
+
+def smoothed(images: DataFrame) -> DataFrame:
+    """Images with the median of each pixel's 3x3 neighbourhood; rows and columns beyond an edge repeat the edge.
+
+    A row meets the rows above and below it by a window over its image; the nine values of a pixel are three slices.
+    """
+    order = Window.partitionBy("image_id").orderBy("row")
+    near = images.withColumn("_up", F.coalesce(F.lag("levels").over(order), F.col("levels"))).withColumn("_down", F.coalesce(F.lead("levels").over(order), F.col("levels")))
+    wide = lambda c: F.concat(F.slice(c, 1, 1), F.col(c), F.slice(c, -1, 1))
+    near = near.select("*", *(wide(c).alias(f"_{k}") for k, c in enumerate(("_up", "levels", "_down"))))
+    nine = lambda k: F.concat(*(F.slice(f"_{r}", k + 1, F.lit(3)) for r in range(3)))
+    median = F.transform(F.sequence(F.lit(0), F.size("levels") - 1), lambda k: F.element_at(F.array_sort(nine(k)), 5))
+    return near.withColumn("levels", F.when(F.size("levels") > 0, median).otherwise(F.col("levels"))).drop("_up", "_down", "_0", "_1", "_2")
 
 
-def skew_degrees(gray: np.ndarray, most: float = 15.0, least: float = 0.15) -> float | None:
-    """Angle between the rows and the main axis of the pixels below the Otsu level, to the nearer image axis.
+def skew(images: DataFrame, most: float = 15.0, least: float = 0.15, pixels: int = 32) -> DataFrame:
+    """image_id, degrees between the rows and the main axis of an image's dark pixels, to the nearer image axis.
 
-    None where fewer than 32 pixels are dark or the angle is out of range.
+    Dark is below the image's threshold. The axis comes from second moments, which are plain aggregates. Null where fewer than
+    `pixels` are dark or the angle is out of range.
     """
-    dark = np.argwhere(gray < otsu(np.bincount(gray.ravel(), minlength=256)))
-    if len(dark) < 32:
-        return None
-    row, column = np.linalg.svd(dark - dark.mean(0), full_matrices=False)[2][0]
-    angle = (math.degrees(math.atan2(row, column)) + 45) % 90 - 45
-    return angle if least <= abs(angle) <= most else None
-
-
-def preprocess(gray: np.ndarray, threshold: bool = False) -> tuple[np.ndarray, float | None]:
-    """Contrast, 3x3 median, skew angle, and if asked for two levels at the Otsu level. Turning the page is the reader's work."""
-    out = median3(contrast(gray))
-    angle = skew_degrees(out)
-    if threshold:
-        out = np.where(out > otsu(np.bincount(out.ravel(), minlength=256)), 255, 0).astype(np.uint8)
-    return out, angle
+    limits = otsu(histogram(images), "image_id")
+    points = images.join(limits, "image_id").select("image_id", "threshold", "row", F.posexplode("levels").alias("column", "level")).filter("level < threshold")
+    moments = points.groupBy("image_id").agg(F.count("*").alias("n"), F.var_pop("column").alias("xx"), F.var_pop("row").alias("yy"), F.covar_pop("column", "row").alias("xy"))
+    axis = F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
+    angle = axis - 90 * F.round(axis / 90)
+    fine = (F.col("n") >= pixels) & F.abs(angle).between(least, most)
+    return images.select("image_id").distinct().join(moments.select("image_id", F.when(fine, angle).alias("degrees")), "image_id", "left")
+
+
+def two_levels(images: DataFrame) -> DataFrame:
+    """Images with 255 above their threshold and 0 elsewhere."""
+    limits = otsu(histogram(images), "image_id")
+    return images.join(limits, "image_id").withColumn("levels", F.transform("levels", lambda v: F.when(v > F.col("threshold"), 255).otherwise(0))).drop("threshold")
 
 
 def components(mask: np.ndarray) -> np.ndarray:

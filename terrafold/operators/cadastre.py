@@ -97,36 +97,46 @@ def overlaps(parcels: DataFrame, cell: float | None = None, area=None, tolerance
     return found.filter(F.col("area_m2").isNull() | (F.col("area_m2") > tolerance)).select("left_id", "right_id", "area_m2")
 
 
-def topology_issues(parcels: DataFrame, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
-    """(code, severity, parcel_ids, area_m2): invalid rings, and overlaps among the valid ones."""
-    judged = parcels.withColumn("ok", G.is_valid_polygon(F.col("ring")))
-    bad = judged.filter("NOT ok").select(F.lit("INVALID_GEOMETRY").alias("code"), F.lit("ERROR").alias("severity"), F.array("parcel_id").alias("parcel_ids"), F.lit(None).cast("double").alias("area_m2"))
-    over = overlaps(judged.filter("ok").drop("ok"), cell, tolerance=tolerance)
-    return bad.unionByName(over.select(F.lit("PARCEL_OVERLAP").alias("code"), F.lit("REVIEW").alias("severity"), F.array("left_id", "right_id").alias("parcel_ids"), "area_m2"))
-
-
-def coverage(parcels: DataFrame, boundary: tuple[float, float, float, float], columns: int = 64) -> DataFrame:
-    """One row for rectangles (x0, y0, x1, y1): covered, gap and outside area against a boundary rectangle.
+def topology_issues(parcels: DataFrame, boundary=None, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
+    """(code, severity, parcel_ids, area_m2): invalid rings, overlaps among the valid ones, and against a boundary ring what leaves it or is left uncovered.
 
-    The union is taken in vertical strips, each by a plane sweep over the rectangles cut to it, so no task holds all
-    parcels; strips of one width partition the plane exactly.
+    `boundary` is a list of (x, y) of one valid closed ring; the gap is one row without parcels.
+    """
+    judged = parcels.withColumn("ok", G.is_valid_polygon(F.col("ring")))
+    fine = judged.filter("ok").drop("ok")
+    issue = lambda rows, code, severity, ids, area: rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), ids.alias("parcel_ids"), area.cast("double").alias("area_m2"))
+    one, nobody = F.array("parcel_id"), F.array().cast(f"array<{parcels.schema['parcel_id'].dataType.simpleString()}>")
+    out = issue(judged.filter("NOT ok"), "INVALID_GEOMETRY", "ERROR", one, F.lit(None))
+    out = out.unionByName(issue(overlaps(fine, cell, tolerance=tolerance), "PARCEL_OVERLAP", "REVIEW", F.array("left_id", "right_id"), F.col("area_m2")))
+    if boundary is None:
+        return out
+    edge = F.array(*(G.point(F.lit(x), F.lit(y)) for x, y in boundary))
+    leaves = fine.withColumn("area_m2", G.planar_area(F.col("ring")) - G.overlap_area(F.col("ring"), edge)).filter(F.col("area_m2") > tolerance)
+    gap = coverage(fine, boundary, cell).filter(F.col("gap_m2") > tolerance)
+    return out.unionByName(issue(leaves, "OUTSIDE_PROJECT_BOUNDARY", "REVIEW", one, F.col("area_m2"))).unionByName(issue(gap, "COVERAGE_GAP", "REVIEW", nobody, F.col("gap_m2")))
+
+
+def coverage(parcels: DataFrame, boundary: list[tuple[float, float]], cell: float | None = None) -> DataFrame:
+    """One row for valid rings (ring): their union's covered, gap and outside area against a boundary ring of (x, y).
+
+    Rings go to all grid cells that their boxes touch, equal rings once; a cell's union is exact within it, and cells partition the
+    plane, so sums are. Cells are sized from the parcels, wherever they lie, so a cell holds the parcels around one place.
     """
-    x0, y0, x1, y1 = boundary
-    width = (x1 - x0) / columns
-    strip = lambda c: F.floor((c - F.lit(x0)) / F.lit(width)).cast("long")
-    # outside the boundary one strip on either side takes the rest
-    rows = parcels.select("x0", "y0", "x1", "y1", F.explode(F.sequence(F.greatest(strip(F.col("x0")), F.lit(-1)), F.least(strip(F.col("x1")), F.lit(columns)))).alias("strip"))
+    boxed = parcels.select("ring", G.bounds(F.col("ring")).alias("b"))
+    side = 4 * _cell(boxed) if cell is None else cell
+    span = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    rows = boxed.select("ring", "b", F.explode(F.sequence(span("b.x0"), span("b.x1"))).alias("cx")).select("ring", "cx", F.explode(F.sequence(span("b.y0"), span("b.y1"))).alias("cy")).distinct()
+    mask = np.array(boundary, float)
 
-    def sweep(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        k = key[0]
-        a, b = (x0 + k * width if k >= 0 else -np.inf), (x0 + (k + 1) * width if k < columns else np.inf)
-        boxes = part[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        boxes[:, 0], boxes[:, 2] = np.maximum(boxes[:, 0], a), np.minimum(boxes[:, 2], b)
-        inside = np.column_stack([np.maximum(boxes[:, 0], x0), np.maximum(boxes[:, 1], y0), np.minimum(boxes[:, 2], x1), np.minimum(boxes[:, 3], y1)])
-        return pd.DataFrame({"union": [G.rectangles_union_area(iter(boxes))], "inside": [G.rectangles_union_area(iter(inside))]})
+    def measure(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        cx, cy = key
+        rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in part["ring"]]
+        union, inside = G.slab_areas(rings, (cx * side, cy * side, (cx + 1) * side, (cy + 1) * side), mask)
+        return pd.DataFrame({"union": [union], "inside": [inside]})
 
-    sums = rows.groupBy("strip").applyInPandas(sweep, "union double, inside double").agg(F.coalesce(F.sum("union"), F.lit(0.0)).alias("union"), F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"))
-    return sums.select(F.col("inside").alias("covered_m2"), (F.lit((x1 - x0) * (y1 - y0)) - F.col("inside")).alias("gap_m2"), (F.col("union") - F.col("inside")).alias("outside_m2"))
+    sums = rows.groupBy("cx", "cy").applyInPandas(measure, "union double, inside double").agg(F.coalesce(F.sum("union"), F.lit(0.0)).alias("union"), F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"))
+    whole = abs(float(np.sum(mask[:-1, 0] * mask[1:, 1] - mask[1:, 0] * mask[:-1, 1]))) / 2
+    return sums.select(F.col("inside").alias("covered_m2"), (F.lit(whole) - F.col("inside")).alias("gap_m2"), (F.col("union") - F.col("inside")).alias("outside_m2"))
 
 
 def edited(edits: DataFrame, limit_percent: float = 5.0) -> DataFrame:
@@ -170,16 +180,14 @@ def edit_issues(edits: DataFrame, boundaries: DataFrame | None = None, neighbour
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Pairs (reference, candidate rings of metres, one of them convex): areas, overlap, symmetric difference, change, Hausdorff distance.
+    """Pairs (reference, candidate: valid rings of metres): areas, overlap, symmetric difference, change, Hausdorff distance.
 
     No overlap is null, not 0.
     """
-    part = pairs.withColumn("_part", G.intersection(F.col("reference"), F.col("candidate")))
-    a, b = G.planar_area(F.col("reference")), G.planar_area(F.col("candidate"))
-    common = F.when(F.size("_part") > 0, G.planar_area(F.col("_part")))
-    out = part.withColumn("reference_area", a).withColumn("candidate_area", b).withColumn("overlap_area", common)
-    out = out.withColumn("symmetric_difference", F.when(F.col("_part").isNotNull(), F.col("reference_area") + F.col("candidate_area") - 2 * F.coalesce("overlap_area", F.lit(0.0))))
-    return out.withColumn("change_percent", percent_change(F.col("reference_area"), F.col("candidate_area"))).withColumn("hausdorff", G.hausdorff(F.col("reference"), F.col("candidate"))).drop("_part")
+    common = G.overlap_area(F.col("reference"), F.col("candidate"))
+    out = pairs.withColumn("reference_area", G.planar_area(F.col("reference"))).withColumn("candidate_area", G.planar_area(F.col("candidate"))).withColumn("overlap_area", F.nullif(common, F.lit(0.0)))
+    out = out.withColumn("symmetric_difference", F.col("reference_area") + F.col("candidate_area") - 2 * F.coalesce("overlap_area", F.lit(0.0)))
+    return out.withColumn("change_percent", percent_change(F.col("reference_area"), F.col("candidate_area"))).withColumn("hausdorff", G.hausdorff(F.col("reference"), F.col("candidate")))
 
 
 def unified_issues(issues: DataFrame) -> DataFrame:
@@ -187,8 +195,8 @@ def unified_issues(issues: DataFrame) -> DataFrame:
     severity = F.lit("LOW")
     for name, as_ in TOPOLOGY_SEVERITY.items():
         severity = F.when(F.upper("severity") == name, as_).otherwise(severity)
-    ids = F.when(F.coalesce(F.size("parcel_ids"), F.lit(0)) > 0, F.col("parcel_ids")).otherwise(F.array(F.lit("UNKNOWN")))
-    return issues.select("code", severity.alias("severity"), F.upper("severity").isin("ERROR", "REVIEW").alias("review_required"), F.concat(F.lit("GEOAI."), F.col("code")).alias("rule_id"), "area_m2", F.explode(ids.cast("array<string>")).alias("entity_id"))
+    ids = F.when(F.coalesce(F.size("parcel_ids"), F.lit(0)) > 0, F.col("parcel_ids").cast("array<string>")).otherwise(F.array(F.lit("UNKNOWN")))
+    return issues.select("code", severity.alias("severity"), F.upper("severity").isin("ERROR", "REVIEW").alias("review_required"), F.concat(F.lit("GEOAI."), F.col("code")).alias("rule_id"), "area_m2", F.explode(ids).alias("entity_id"))
 
 
 def tiles(rasters: DataFrame, size: int) -> DataFrame:

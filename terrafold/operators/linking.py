@@ -59,12 +59,19 @@ def new_suggestions(matches: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def duplicate_records(evidence: DataFrame) -> DataFrame:
-    """identifier, documents, document_ids (sorted): normalised identifiers of two or more documents, whatever field they stand in.
+    """identifier, documents, first_document: normalised identifiers of two or more documents, whatever field they stand in.
 
-    evidence: document_id, field_name, identifier. Blank identifiers don't count.
+    evidence: document_id, field_name, identifier. Blank identifiers don't count. Counts and the least document are all that
+    is kept of an identifier, however many documents share it; duplicate_members lists them.
     """
     rows = evidence.filter(F.col("field_name").isin(*IDENTIFIER_FIELDS) & F.col("identifier").isNotNull() & (F.col("identifier") != ""))
-    return rows.groupBy("identifier").agg(F.array_sort(F.collect_set("document_id")).alias("document_ids")).filter("size(document_ids) >= 2").select("identifier", F.size("document_ids").cast("long").alias("documents"), "document_ids")
+    return rows.groupBy("identifier").agg(F.count_distinct("document_id").alias("documents"), F.min("document_id").alias("first_document")).filter("documents >= 2")
+
+
+def duplicate_members(evidence: DataFrame) -> DataFrame:
+    """(identifier, document_id): a row a document of every identifier that documents share, in order of both."""
+    found = duplicate_records(evidence).select("identifier")
+    return evidence.filter(F.col("field_name").isin(*IDENTIFIER_FIELDS)).select("identifier", "document_id").distinct().join(found, "identifier").orderBy("identifier", "document_id")
 
 
 def area_mismatches(comparisons: DataFrame, tolerance: float = 0.05, high: float = 0.20) -> DataFrame:

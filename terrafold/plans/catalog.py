@@ -345,7 +345,7 @@ def validation_status(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lower(p_name) AS identifier, count(DISTINCT p_partkey) AS documents, min(p_partkey) AS first_document FROM part WHERE p_name <> '' GROUP BY 1 HAVING count(DISTINCT p_partkey) >= 2")
 def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
     evidence = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.lit("survey_number").alias("field_name"), T.matching_text(F.col("p_name"), True).alias("identifier"))
-    return linking.duplicate_records(evidence).select("identifier", "documents", F.element_at("document_ids", 1).alias("first_document"))
+    return linking.duplicate_records(evidence)
 
 
 @query("""
@@ -475,6 +475,17 @@ def _error_rates(pairs: DataFrame) -> DataFrame:
     return pairs.select("item_id", T.character_error_rate(F.col("text"), F.col("hypothesis")).alias("cer"))
 
 
+@query("""
+WITH s AS (SELECT a.item_id, a.text AS r, b.text AS h FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1)
+SELECT count(h) AS completed, count(*) - count(h) AS failed, string_agg(DISTINCT CAST(item_id % 3 AS VARCHAR), '|' ORDER BY CAST(item_id % 3 AS VARCHAR)) AS categories,
+  sum(item_id % 5) FILTER (h IS NOT NULL) / (4.0::DOUBLE * count(h)) AS field_accuracy FROM s
+""")
+def benchmark_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The rollup without its error rates, which SQL's distances (in bytes) can't give."""
+    found = benchmark_rollup(spark, d)
+    return found.select("completed", "failed", F.array_join("categories", "|").alias("categories"), "field_accuracy")
+
+
 @query()
 def benchmark_rollup(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "benchmark")
@@ -512,20 +523,9 @@ v AS (SELECT b, CASE WHEN w > 0 AND tw > w THEN ((tm::DOUBLE * w - m::DOUBLE * t
 SELECT CAST(b AS BIGINT) AS threshold FROM v ORDER BY v DESC, b LIMIT 1
 """)
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """A histogram of at most 256 bins is one row, so its threshold is one small function of it."""
-    bins = table(spark, d, "lineitem").groupBy(F.floor("l_quantity").cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    one = bins.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("h"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.col("h")[b], F.lit(0)).cast("double"))
-    level = lambda c, k, f: F.aggregate(F.slice(c, F.lit(1), k + 1), F.lit(0.0), lambda a, x: a + x) if f is None else F.aggregate(F.transform(F.slice(c, F.lit(1), k + 1), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    made = one.select(counts.alias("c")).select("c", level(F.col("c"), F.lit(255), None).alias("tw"), level(F.col("c"), F.lit(255), 1).alias("tm"))
-
-    def between(_: Column, k: Column) -> Column:
-        w, m = level(F.col("c"), k, None), level(F.col("c"), k, 1)
-        gap = F.col("tm") * w - m * F.col("tw")
-        return F.when((w > 0) & (F.col("tw") > w), gap * gap / (w * (F.col("tw") - w))).otherwise(-1.0)
-
-    rated = made.select(F.transform("c", between).alias("v"))
-    return rated.select((F.array_position("v", F.array_max("v")) - 1).cast("long").alias("threshold"))
+    """Quantities as levels of one image."""
+    bins = table(spark, d, "lineitem").groupBy(F.floor("l_quantity").cast("int").alias("level")).agg(F.count("*").alias("n"))
+    return R.otsu(bins)
 
 
 @query("""
@@ -568,6 +568,12 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(k.alias("parcel_id"), x.alias("x0"), y.alias("y0"), (x + 8 + k % 5).alias("x1"), (y + 9 + (k % 3)).alias("y1"))
 
 
+def _box_rings(spark: SparkSession, d: str) -> DataFrame:
+    return _boxes(spark, d).select("parcel_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+
+
+#: The outline of the one project that the rectangles are measured against.
+_EDGE = [(0.0, 0.0), (490.0, 0.0), (490.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
 _BOXES = "b AS (SELECT s_suppkey AS id, (s_suppkey % 50) * 10.0::DOUBLE AS x0, (s_suppkey // 50) * 10.0::DOUBLE AS y0, (s_suppkey % 50) * 10.0::DOUBLE + 8 + s_suppkey % 5 AS x1, (s_suppkey // 50) * 10.0::DOUBLE + 9 + s_suppkey % 3 AS y1 FROM supplier)"
 
 
@@ -576,8 +582,7 @@ WITH {_BOXES}, o AS (SELECT l.id AS left_id, r.id AS right_id, (least(l.x1, r.x1
 SELECT left_id, right_id, round(w * h, 6) AS area_m2 FROM o WHERE w * h > 0.01
 """)
 def parcel_overlap(spark: SparkSession, d: str) -> DataFrame:
-    rows = _boxes(spark, d).select("parcel_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
-    return cadastre.overlaps(rows, cell=20.0).withColumn("area_m2", F.round("area_m2", 6))
+    return cadastre.overlaps(_box_rings(spark, d), cell=20.0).withColumn("area_m2", F.round("area_m2", 6))
 
 
 @query(f"""
@@ -587,10 +592,109 @@ SELECT CAST(count(*) FILTER (x >= 0 AND x < 490 AND y >= 0 AND y < 20) AS DOUBLE
 """)
 def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
     """All rectangles have whole coordinates, so SQL can count unit squares."""
-    found = cadastre.coverage(_boxes(spark, d), (0.0, 0.0, 490.0, 20.0), columns=49)
+    found = cadastre.coverage(_box_rings(spark, d), _EDGE)
     return found.select(*(F.round(c, 6).alias(c) for c in ("covered_m2", "gap_m2", "outside_m2")))
 
 
+_CELLS = "g AS (SELECT x.range AS x, y.range AS y FROM range(-5, 600) x, range(-5, 600) y), c AS (SELECT id, x, y, x >= 0 AND x < 490 AND y >= 0 AND y < 20 AS within FROM g JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)"
+
+
+@query(f"""
+WITH {_BOXES}, {_CELLS},
+i AS (SELECT 'PARCEL_OVERLAP' AS code, l.id AS first_id, r.id AS second_id, CAST(count(*) AS DOUBLE) AS area_m2 FROM c l JOIN c r ON l.x = r.x AND l.y = r.y AND l.id < r.id GROUP BY 2, 3
+  UNION ALL SELECT 'OUTSIDE_PROJECT_BOUNDARY', id, NULL, count(*) FROM c WHERE NOT within GROUP BY id
+  UNION ALL SELECT 'COVERAGE_GAP', NULL, NULL, 9800 - count(DISTINCT (x, y)) FROM c WHERE within HAVING count(DISTINCT (x, y)) < 9800)
+SELECT code, 'REVIEW' AS severity, first_id, second_id, area_m2 FROM i
+UNION ALL SELECT 'INVALID_GEOMETRY', 'ERROR', 1000000 + s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 50 = 7
+""")
+def topology_issues(spark: SparkSession, d: str) -> DataFrame:
+    """The rectangles and some bow ties against a project's outline; whole coordinates let SQL count unit squares."""
+    k, at = F.col("s_suppkey"), lambda x, y: G.point(F.lit(float(x)), F.lit(float(y)))
+    ties = table(spark, d, "supplier").filter(k % 50 == 7).select((k + 1000000).alias("parcel_id"), F.array(at(0, 0), at(4, 4), at(4, 0), at(0, 4), at(0, 0)).alias("ring"))
+    found = cadastre.topology_issues(_box_rings(spark, d).unionByName(ties), _EDGE)
+    side = lambda n: F.get("parcel_ids", F.lit(n))
+    return found.select("code", "severity", side(0).alias("first_id"), side(1).alias("second_id"), F.round("area_m2", 6).alias("area_m2"))
+
+
+@query("""
+WITH i AS (SELECT event_id, upper(event_type) AS kind, event_id % 3 AS n, event_id % 4 AS s FROM events)
+SELECT event_id, kind AS code, CASE s WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS severity, s < 2 AS review_required, 'GEOAI.' || kind AS rule_id,
+  CASE WHEN n = 0 THEN 'UNKNOWN' ELSE CAST(event_id + k.range AS VARCHAR) END AS entity_id FROM i, range(0, 2) k WHERE k.range < greatest(n, 1)
+""")
+def unified_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Events as topology issues of no, one or two parcels."""
+    n, ids = F.col("event_id") % 3, F.array(F.col("event_id"), F.col("event_id") + 1)
+    names = F.element_at(F.array(*map(F.lit, ("error", "REVIEW", "Warning", "INFO"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, d, "events").select(F.upper("event_type").alias("code"), names.alias("severity"), F.slice(ids, F.lit(1), n.cast("int")).alias("parcel_ids"), F.col("event_id").cast("double").alias("area_m2"))
+    return cadastre.unified_issues(rows).select(F.col("area_m2").cast("long").alias("event_id"), "code", "severity", "review_required", "rule_id", "entity_id")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS record_id, l_orderkey * 10 + l_linenumber AS link_id, CASE l_linenumber % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'SUGGESTED' WHEN 2 THEN 'REVIEW_REQUIRED' ELSE 'REJECTED' END AS status,
+  CASE WHEN l_partkey % 3 = 0 THEN 'CONFIRMED' WHEN l_partkey % 3 = 1 THEN 'REJECTED' END AS decision FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)),
+j AS (SELECT *, status IN ('SUGGESTED', 'REVIEW_REQUIRED') AS open, bool_or(status = 'CONFIRMED') OVER (PARTITION BY record_id) AS has, min(CASE WHEN decision = 'CONFIRMED' AND status IN ('SUGGESTED', 'REVIEW_REQUIRED') THEN link_id END) OVER (PARTITION BY record_id) AS first FROM l),
+k AS (SELECT *, CASE WHEN decision = 'REJECTED' THEN open WHEN decision = 'CONFIRMED' THEN open AND NOT has AND coalesce(first = link_id, false) ELSE false END AS ok FROM j)
+SELECT link_id, record_id, CASE WHEN ok THEN decision ELSE status END AS link_status, decision IS NOT NULL AND NOT ok AS refused FROM k
+""")
+def resolve_links(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as links of a record, part numbers as decisions."""
+    line, part = F.col("l_linenumber").cast("long"), F.col("l_partkey") % 3
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    states = F.when(line % 4 == 0, "CONFIRMED").when(line % 4 == 1, "SUGGESTED").when(line % 4 == 2, "REVIEW_REQUIRED").otherwise("REJECTED")
+    rows = rows.select(F.col("l_orderkey").alias("record_id"), (F.col("l_orderkey") * 10 + line).alias("link_id"), states.alias("link_status"), F.when(part == 0, "CONFIRMED").when(part == 1, "REJECTED").alias("decision"))
+    return linking.resolve_links(rows.drop("decision"), rows.filter("decision IS NOT NULL").select("link_id", "decision"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_id % 3 AS expected FROM events), j AS (SELECT e.*, CASE WHEN u IS NOT NULL THEN 1 END AS now FROM e LEFT JOIN (SELECT DISTINCT c_custkey AS u FROM customer) ON user_id = u),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, expected = now ORDER BY event_id) AS n FROM j)
+SELECT event_id AS edit_id, user_id AS parcel_id, CASE WHEN now IS NULL THEN 'NOT_FOUND' WHEN expected <> now OR n > 1 THEN 'VERSION_CONFLICT' ELSE 'APPLIED' END AS outcome FROM r
+""")
+def append_version(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as parcels at version 1, events as edits that expect version 0, 1 or 2."""
+    current = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), F.lit(1).alias("version"))
+    edits = table(spark, d, "events").select(F.col("event_id").alias("edit_id"), F.col("user_id").alias("parcel_id"), (F.col("event_id") % 3).cast("int").alias("expected_version"), F.col("event_id").alias("geometry"))
+    new, refused = versions.append_version(current, edits)
+    return new.select(F.col("geometry").alias("edit_id"), "parcel_id", F.lit("APPLIED").alias("outcome")).unionByName(refused.select("edit_id", "parcel_id", F.col("reason").alias("outcome")))
+
+
+@query("""
+WITH u AS (SELECT c_custkey AS id, c_name AS login_id, c_mktsegment || '@x' AS email, 'N' || c_nationkey AS full_name FROM customer WHERE c_acctbal > 0),
+r AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS roles FROM events GROUP BY 1)
+SELECT id, login_id, email, full_name, coalesce(roles, '') AS roles FROM u LEFT JOIN r ON id = user_id WHERE lower(login_id) LIKE '%7%' OR lower(email) LIKE '%7%' OR lower(full_name) LIKE '%7%'
+""")
+def user_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as users (active ones have money), their events' types as roles."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("login_id"), F.concat("c_mktsegment", F.lit("@x")).alias("email"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("full_name"), (F.col("c_acctbal") > 0).alias("is_active"))
+    held = table(spark, d, "events").select("user_id", F.col("event_type").alias("role"))
+    return access.directory(users, held, "7").withColumn("roles", F.array_join("roles", "|"))
+
+
+@query("""
+SELECT user_id, CASE min(CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'OFFICER' WHEN 2 THEN 'REVIEWER' WHEN 3 THEN 'SURVEYOR' ELSE 'VIEWER' END AS role FROM events GROUP BY 1
+""")
+def effective_role(spark: SparkSession, d: str) -> DataFrame:
+    """Events' types as roles: each user's first in rank."""
+    role = F.lit(access.ROLES[-1])
+    for kind, name in zip(("signup", "purchase", "error", "click"), access.ROLES):
+        role = F.when(F.col("event_type") == kind, name).otherwise(role)
+    return access.effective_role(table(spark, d, "events").select("user_id", role.alias("role")))
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS link_id, o_custkey AS parcel_id, o_totalprice AS document_area FROM orders WHERE o_orderstatus = 'F'), v AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN abs(c_acctbal) ELSE abs(c_acctbal) / 10.7639104167::DOUBLE END AS area FROM customer WHERE c_nationkey <> 3)
+SELECT link_id, document_area AS document_area_m2, area AS parcel_area_m2 FROM l JOIN v ON parcel_id = c_custkey
+""")
+def area_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Finished orders as confirmed links, balances as areas in one of two units; nation 3 has no current version."""
+    links = table(spark, d, "orders").select(F.col("o_orderkey").alias("link_id"), F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("parcel_id"), F.when(F.col("o_orderstatus") == "F", "CONFIRMED").otherwise("SUGGESTED").alias("link_status"))
+    customers, metric = table(spark, d, "customer").withColumn("area", F.abs("c_acctbal")), F.col("c_nationkey") % 2 == 0
+    parcels = customers.select(F.col("c_custkey").alias("parcel_id"), F.when(F.col("c_nationkey") == 3, 9).otherwise(2).alias("current_geometry_version"))
+    shapes = customers.select(F.col("c_custkey").alias("parcel_id"), F.lit(2).alias("version"), F.when(metric, F.col("area")).alias("area_m2"), F.when(~metric, F.col("area")).alias("area_sqft"))
+    areas = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_totalprice").alias("area_m2"))
+    return linking.area_comparisons(links, parcels, shapes, areas)
+
+
 @query(f"""
 WITH {_BOXES}, e AS (SELECT id, (x1 - x0) * (y1 - y0) AS a, CASE WHEN id % 11 = 0 THEN 0 ELSE (x1 - x0 + id % 4 * 0.25) * (y1 - y0) END AS z FROM b)
 SELECT id AS parcel_id, CASE WHEN z = 0 THEN 'INVALID' WHEN abs((z - a) / a * 100) > 5 THEN 'REVIEW_REQUIRED' ELSE 'VALID' END AS status, CASE WHEN z = 0 THEN NULL ELSE round((z - a) / a * 100, 6) END AS change_percent FROM e
@@ -643,7 +747,10 @@ def geodesic_area(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("parcel_id", G.area_square_metres(F.col("ring"), F.col("code")).alias("area_m2"), G.length_metres(F.col("ring"), F.col("code")).alias("length_m"))
 
 
-@query()
+@query(f"""
+WITH {_BOXES}, p AS (SELECT id, (x1 - x0) * (y1 - y0) AS a, (y1 - y0) * greatest(0, x1 - x0 - id % 4) AS c, id % 4 AS s FROM b)
+SELECT id AS parcel_id, a AS reference_area, a AS candidate_area, nullif(c, 0) AS overlap_area, 2 * a - 2 * c AS symmetric_difference, 0.0::DOUBLE AS change_percent, CAST(s AS DOUBLE) AS hausdorff FROM p
+""")
 def parcel_comparison(spark: SparkSession, d: str) -> DataFrame:
     shifted = F.transform("reference", lambda p: F.struct((p["x"] + F.col("parcel_id") % 4).alias("x"), p["y"].alias("y")))
     rows = _boxes(spark, d).select("parcel_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("reference")).withColumn("candidate", shifted)

@@ -103,9 +103,50 @@ def test_disjoint_parcels_have_no_overlap_area(spark):
 
 
 def test_coverage(spark):
-    rows = spark.createDataFrame([(0.0, 0.0, 6.0, 10.0), (4.0, 0.0, 12.0, 5.0)], "x0 double, y0 double, x1 double, y1 double")
-    got = cadastre.coverage(rows, (0.0, 0.0, 10.0, 10.0), columns=7).first()
-    assert [round(v, 9) for v in got] == [80.0, 20.0, 10.0]
+    box = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d), (a, b))
+    rows = frame(spark, [(box(0, 0, 6, 10),), (box(4, 0, 12, 5),), (box(4, 0, 12, 5),)], f"ring {G.RING}")
+    edge = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    for cell in (None, 3.0, 100.0):
+        assert [round(v, 9) for v in cadastre.coverage(rows, edge, cell).first()] == [80.0, 20.0, 10.0]
+
+
+def test_coverage_of_concave_and_slanted_rings_equals_counted_points(spark):
+    rng = random.Random(8)
+
+    def star(x, y):
+        n, at = rng.randint(4, 9), []
+        for k in range(n):
+            far, turn = rng.uniform(1, 4), 2 * math.pi * k / n
+            at.append((x + far * math.cos(turn), y + far * math.sin(turn)))
+        return [*at, at[0]]
+
+    stars = [star(rng.uniform(0, 14), rng.uniform(0, 14)) for _ in range(12)]
+    edge = [(1, 1), (12, 0), (13, 12), (7, 6), (2, 13), (1, 1)]
+
+    def within(points, r):
+        inside = np.zeros(len(points), bool)
+        for (ax, ay), (bx, by) in zip(r, r[1:]):
+            if ay != by:
+                hit = (ay > points[:, 1]) != (by > points[:, 1])
+                inside ^= hit & (points[:, 0] < (bx - ax) * (points[:, 1] - ay) / (by - ay) + ax)
+        return inside
+
+    side = np.arange(-6, 20, 0.02) + 0.01
+    points = np.stack(np.meshgrid(side, side), -1).reshape(-1, 2)
+    covered, bound = np.any([within(points, s) for s in stars], axis=0), within(points, edge)
+    rows = frame(spark, [(ring(*s),) for s in stars], f"ring {G.RING}")
+    for cell in (2.5, None):
+        got = cadastre.coverage(rows, edge, cell).first()
+        assert got["covered_m2"] == pytest.approx((covered & bound).sum() * 0.0004, abs=0.05)
+        assert got["gap_m2"] == pytest.approx((~covered & bound).sum() * 0.0004, abs=0.05)
+        assert got["outside_m2"] == pytest.approx((covered & ~bound).sum() * 0.0004, abs=0.05)
+
+
+def test_topology_meets_a_boundary(spark):
+    shape = ring((0, 0), (4, 0), (4, 4), (2, 4), (2, 2), (0, 2), (0, 0))
+    rows = frame(spark, [("a", shape), ("b", ring((4, 0), (6, 0), (6, 4), (4, 4), (4, 0)))], f"parcel_id string, ring {G.RING}")
+    issues = cadastre.topology_issues(rows, [(0, 0), (5, 0), (5, 4), (0, 4), (0, 0)])
+    assert sorted((r["code"], r["parcel_ids"], round(r["area_m2"], 9)) for r in issues.collect()) == [("COVERAGE_GAP", [], 4.0), ("OUTSIDE_PROJECT_BOUNDARY", ["b"], 4.0)]
 
 
 def test_acquisition_refusals(spark):
@@ -118,10 +159,28 @@ def test_acquisition_refusals(spark):
     assert (got["c"]["status"], got["c"]["requires_survey"]) == ("NOT_DETERMINED", True)
 
 
-def test_rasters():
-    histogram = np.zeros(256)
-    histogram[[10, 12, 200, 205]] = 5, 5, 5, 5
-    assert R.otsu(histogram) == 12 and R.otsu(np.eye(1, 256, 7)[0]) == 127
+def test_images(spark):
+    bins = spark.createDataFrame([("a", 10, 5), ("a", 12, 5), ("a", 200, 5), ("a", 205, 5), ("b", 7, 9), ("b", 9, 0)], "image string, level int, n long")
+    assert {r["image"]: r["threshold"] for r in R.otsu(bins, "image").collect()} == {"a": 12, "b": 127}
+    rng = np.random.default_rng(2)
+    gray = rng.integers(0, 256, (7, 9))
+    images = spark.createDataFrame([(1, y, row.tolist()) for y, row in enumerate(gray)], "image_id int, row int, levels array<int>")
+    back = lambda df: np.array([r["levels"] for r in df.orderBy("row").collect()])
+    wide = np.pad(gray, 1, mode="edge")
+    assert (back(R.smoothed(images)) == [[np.median(wide[y : y + 3, x : x + 3]) for x in range(9)] for y in range(7)]).all()
+    middle = math.floor(gray.mean() + 0.5)
+    assert (back(R.contrasted(images)) == np.clip(np.floor(middle + 1.5 * (gray - middle)), 0, 255)).all()
+    level = R.otsu(R.histogram(images), "image_id").first()["threshold"]
+    assert (back(R.two_levels(images)) == np.where(gray > level, 255, 0)).all()
+    page = np.full((60, 200), 255)
+    for x in range(200):
+        page[20 + round(x * math.tan(math.radians(3))) : 24 + round(x * math.tan(math.radians(3))), x] = 5 + x % 50  # the level must part darker from lighter ink, as it is exclusive
+    pages = spark.createDataFrame([(1, y, row.tolist()) for y, row in enumerate(page)] + [(2, y, [255] * 9) for y in range(9)], "image_id int, row int, levels array<int>")
+    turned = {r["image_id"]: r["degrees"] for r in R.skew(pages).collect()}
+    assert turned[1] == pytest.approx(3, abs=0.3) and turned[2] is None
+
+
+def test_masks():
     mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 0]], bool)
     labels = R.components(mask)
     assert labels.max() == 3 and labels[0, 0] == labels[1, 1] != labels[0, 3]
@@ -133,10 +192,6 @@ def test_rasters():
     assert sum(area(r) for r in rings) == 8
     for k in range(1, 4):
         assert sum(area(r) for r in R.outlines(labels == k)) == (labels == k).sum()
-    page = np.full((60, 200), 255, np.uint8)
-    for x in range(200):
-        page[20 + round(x * math.tan(math.radians(3))) : 24 + round(x * math.tan(math.radians(3))), x] = 5 + x % 50  # the level must part darker from lighter ink, as it is exclusive
-    assert R.skew_degrees(page) == pytest.approx(3, abs=0.3) and R.skew_degrees(np.full((9, 9), 255, np.uint8)) is None
 
 
 def test_empty_masks_score_perfect(spark):

@@ -69,7 +69,8 @@ def test_match_statuses(spark):
 
 def test_duplicates_ignore_the_field(spark):
     rows = spark.createDataFrame([("d1", "survey_number", "12/3"), ("d2", "khata_number", "12/3"), ("d2", "khata_number", "12/3"), ("d3", "survey_number", ""), ("d4", "village", "12/3")], "document_id string, field_name string, identifier string")
-    assert [tuple(r) for r in linking.duplicate_records(rows).collect()] == [("12/3", 2, ["d1", "d2"])]
+    assert [tuple(r) for r in linking.duplicate_records(rows).collect()] == [("12/3", 2, "d1")]
+    assert [tuple(r) for r in linking.duplicate_members(rows).collect()] == [("12/3", "d1"), ("12/3", "d2")]
 
 
 def test_mismatch_boundaries(spark):
