@@ -1,3 +1,5 @@
+import math
+import os
 import random
 
 import numpy as np
@@ -85,3 +87,59 @@ def test_attention_sums_to_one_and_gradients_are_right():
         down = loss()
         p[at] = old
         assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+def test_quality_equals_plain_loops():
+    """The network's forward pass over whole bags, a number at a time."""
+    texts = ["Good plain words stand here. " * 9, "", "x ### %%% 77 " * 40, "One. Two! three, four; Five"]
+    net = quality.train([*texts, *(t + " more" for t in texts)], np.array([1.0, 0, 0, 1, 1, 0, 0, 1]), epochs=3)
+    raw, offsets = utf8(pa.array(texts, pa.large_string()))
+    x, bounds = quality.passages(raw, offsets, 0, len(texts))
+    assert np.diff(bounds).tolist() == [max(1, -(-len(t.split()) // quality.PASSAGE)) for t in texts]
+    got = np.concatenate([s for s, *_ in quality._scored(net, pa.array(texts, pa.large_string()))])
+    for r in range(len(texts)):
+        codes, weights = [], []
+        for row in x[bounds[r] : bounds[r + 1]]:
+            z = [min(6.0, max(-6.0, (row[i] - net.mean[i]) / net.spread[i])) for i in range(len(row))]
+            code = [math.tanh(sum(z[i] * net.encode[i, j] for i in range(len(z))) + net.encode0[j]) for j in range(quality.CODE)]
+            raw_ = 0.0
+            for g in range(quality.GATE):
+                look = math.tanh(sum(code[j] * net.look[j, g] for j in range(quality.CODE)))
+                gate = 1 / (1 + math.exp(-sum(code[j] * net.gate[j, g] for j in range(quality.CODE))))
+                raw_ += look * gate * net.weigh[g]
+            codes.append(code)
+            weights.append(math.exp(raw_))
+        bag = [sum(w * c[j] for w, c in zip(weights, codes)) / sum(weights) for j in range(quality.CODE)]
+        z = sum(bag[j] * net.judge[j] for j in range(quality.CODE)) + net.judge0[0]
+        assert got[r] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-7)
+
+
+def test_passage_measures_equal_plain_counts():
+    text = "Good Words, and 42 plain words! " * 3
+    raw, offsets = utf8(pa.array([text], pa.large_string()))
+    row = quality.passages(raw, offsets, 0, 1)[0][0]
+    body = text.strip()
+    for k, (name, members) in enumerate(quality._CLASSES.items()):
+        assert row[k] == pytest.approx(sum(b in members for b in body.encode()) / len(body)), name
+    words_ = body.lower().split()
+    assert row[len(quality._CLASSES) + 9] == pytest.approx(len(set(words_)) / len(words_))
+
+
+@pytest.mark.parametrize("work, label, least", [(toxicity.toxicity, "toxic", 0.92), (quality.quality, "quality", 0.95)])
+def test_held_out_accuracy_on_the_given_labels(spark, work, label, least):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = work(docs, labels).join(labels, "doc_id").filter("held_out").select("predicted", label).collect()
+    assert len(held) > 50 and np.mean([r["predicted"] == r[label] for r in held]) >= least
+
+
+def test_filters_keep_the_rows_that_scores_keep(spark, odd_docs):
+    labels = spark.createDataFrame([(20 + k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    for module, keep, sign in ((toxicity, toxicity.calm_documents, -1), (quality, quality.good_documents, 1)):
+        model = module.fit(odd_docs, labels)
+        scores = sorted(r["score"] for r in module.score_documents(odd_docs, model).select("score").collect())
+        at = scores[len(scores) // 2]
+        kept = keep(odd_docs, model, at)
+        assert kept.columns == odd_docs.columns and kept.count() == sum(s >= at if sign > 0 else s < at for s in scores)

@@ -51,3 +51,23 @@ def test_short_notices_with_a_changed_word_are_found(spark):
     rows = [(1, "abc Released under an MIT License. xyz"), (2, "Licensed under our Apache License, Version 2.0."), (3, "Released under one other thing"), (4, "released under the mit"), (5, "license")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["license"], round(r["coverage"], 3)) for r in got} == {(1, "MIT-notice", 0.8), (2, "Apache-2.0-notice", 0.857), (4, "MIT-notice", 0.8)}
+
+
+def test_matches_equal_unbanded_alignment():
+    """Matched words and spans of edited sections against the whole table of a longest common subsequence."""
+    rng = random.Random(9)
+    for _ in range(60):
+        section = [rng.randrange(40) for _ in range(rng.randint(9, 60))]
+        part = list(section)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(part))
+            part[k : k + rng.randint(0, 1)] = [rng.randrange(100, 140)] * rng.randint(0, 1)
+        before, after = [rng.randrange(200, 300) for _ in range(rng.randint(0, 5))], [rng.randrange(200, 300) for _ in range(5)]
+        part = before + part + after
+        row = [0] * (len(part) + 1)
+        for x in section:
+            last, row = row, [0]
+            for k, y in enumerate(part):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        matched, first, end = licenses.align(section, part, len(before))
+        assert matched == row[-1] and set(part[first:end]) >= set(part[first : first + 1]) and len(before) <= first < end <= len(part) - 5

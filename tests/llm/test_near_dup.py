@@ -73,5 +73,46 @@ def test_a_large_group_of_edited_copies_equals_brute_force(spark, percent):
     assert len({r["component_id"] for r in got}) > 20
 
 
+def test_hot_classes_long_lists_and_many_ids_take_other_ways_to_the_same_rows(spark, monkeypatch):
+    """Few classes broadcast, lists in blocks, ids joined instead of mapped."""
+    monkeypatch.setattr(near_dup, "HOT_CLASSES", 2)
+    monkeypatch.setattr(near_dup, "LIST_BLOCK", 8)
+    monkeypatch.setattr(near_dup, "MAP_IDS", 1)
+    monkeypatch.setattr(near_dup, "PIVOT_ROUNDS", 1)
+    rng = random.Random(11)
+    base = words(rng, 120).split()
+    texts = [words(rng, 40) for _ in range(6)]
+    rows = [(i, texts[min(5, i % 9)]) for i in range(90)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((200 + i, " ".join(w)))
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, 85)
+
+
+def test_an_id_with_two_texts_gives_one_result_whatever_the_order(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " tail"), (None, a)]
+    seen = set()
+    for k in range(3):
+        rng.shuffle(rows)
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1), percent=80).collect()
+        seen.add(tuple(sorted(str(tuple(r)) for r in got)))
+    assert len(seen) == 1
+
+
+def test_keep_one_judges_rows_without_ids_and_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, a, "x"), (1, a, "y"), (2, a + " tail", "x"), (None, a, "x"), (None, b, "x"), (None, b + " tail", "x"), (5, c, "x"), (5, "other words altogether", "x"), (6, None, None), (None, "", "x")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:9]) for r in kept)
+    # of the b pair either may stay: they have no ids
+    assert [g for g in got if g[2] != b[:9]] == sorted([(False, 1, a[:9]), (False, 5, c[:9]), (False, 5, "other wor"), (False, 6, ""), (True, 0, "")])
+    assert sum(g[2] == b[:9] for g in got) == 1
+
+
 def test_empty_table(no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
