@@ -78,9 +78,10 @@ def ascii_digits(c: Column) -> Column:
 
 def normalize_area(c: Column) -> Column:
     """struct(value, unit) of the first number with a unit, null without one. Commas are dropped before parsing."""
-    pattern = "(?iU)" + _AREA
-    number = F.regexp_extract(c, pattern, 1)
-    unit = trimmed(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(c, pattern, 2)), r"(?U)\s+", " "), r"\.", ""))
+    # the long pattern finds the text once; its number and unit are cut from that by short ones
+    whole = F.regexp_extract(c, "(?iU)" + _AREA, 0)
+    number = F.regexp_extract(whole, r"(?U)^\d+(?:[,.]\d+)?", 0)
+    unit = trimmed(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(whole, r"(?U)^\d+(?:[,.]\d+)?", "")), r"(?U)\s+", " "), r"\.", ""))
     kind = F.lit("hectare")
     for name, spellings in UNITS.items():
         kind = F.when(unit.isin(*spellings), name).otherwise(kind)

@@ -33,9 +33,9 @@ def permission_matrix(spark: SparkSession) -> DataFrame:
 
 
 def user_permissions(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(user_id, code), distinct. The role tables hold an application's roles, so they are broadcast."""
+    """(user_id, code), distinct. Spark broadcasts the grants if they are as small as roles usually are."""
     grants = role_permissions.join(permissions.select(F.col("id").alias("permission_id"), "code"), "permission_id").join(roles.select(F.col("id").alias("role_id")), "role_id")
-    return user_roles.join(F.broadcast(grants.select("role_id", "code")), "role_id").select("user_id", "code").distinct()
+    return user_roles.join(grants.select("role_id", "code"), "role_id").select("user_id", "code").distinct()
 
 
 def visible(rows: DataFrame, members: DataFrame, granted: DataFrame, user_id: str, permission: str) -> DataFrame:

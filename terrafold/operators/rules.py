@@ -76,11 +76,15 @@ def plot_area(candidates: DataFrame, policy: Policy | None = None) -> DataFrame:
     return _issues(rows, 4, "INVALID_PLOT_AREA", "MEDIUM", "AREA.POSITIVE_SUPPORTED_UNIT")
 
 
-def conflicts(candidates: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Fields with more than one distinct value."""
+def conflicting(candidates: DataFrame) -> DataFrame:
+    """document_id, field_name, values (how many distinct ones), page_number (the first): fields with more than one distinct value."""
     value = F.when(F.col("normalized.kind").isNotNull(), T.semantic_value(F.col("normalized"))).otherwise(F.to_json(F.struct("original_value")))
-    rows = usable(candidates).groupBy("document_id", "field_name").agg(F.count_distinct(value).alias("values"), F.min("page_number").alias("page_number")).filter("values > 1")
-    return _issues(rows, 5, "FIELD_VALUE_CONFLICT", "MEDIUM", F.concat(F.lit("CONFLICT."), F.upper("field_name")), index=False)
+    return usable(candidates).groupBy("document_id", "field_name").agg(F.count_distinct(value).alias("values"), F.min("page_number").alias("page_number")).filter("values > 1")
+
+
+def conflicts(candidates: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """An issue a field with more than one distinct value."""
+    return _issues(conflicting(candidates), 5, "FIELD_VALUE_CONFLICT", "MEDIUM", F.concat(F.lit("CONFLICT."), F.upper("field_name")), index=False)
 
 
 def duplicates(scores: DataFrame, policy: Policy) -> DataFrame:

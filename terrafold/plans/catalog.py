@@ -306,9 +306,7 @@ def confidence_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_returnflag AS field_name, count(DISTINCT l_linestatus) AS distinct_values FROM lineitem GROUP BY l_orderkey, l_returnflag HAVING count(DISTINCT l_linestatus) > 1
 """)
 def field_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    found = rules.conflicts(_candidates(spark, d))
-    values = _candidates(spark, d).groupBy("document_id", "field_name").agg(F.count_distinct("original_value").alias("distinct_values"))
-    return found.select("document_id", "field_name").join(values, ["document_id", "field_name"])
+    return rules.conflicting(_candidates(spark, d)).select("document_id", "field_name", F.col("values").alias("distinct_values"))
 
 
 @query("""
