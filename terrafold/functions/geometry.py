@@ -278,6 +278,23 @@ def length_metres(lines: pd.Series, codes: pd.Series) -> pd.Series:
     return pd.Series([_measure(_ring(r), c, False) for r, c in zip(lines, codes)], dtype="float64")
 
 
+@arrow("double")
+def parts_area(parts: pd.Series, codes: pd.Series) -> pd.Series:
+    """Square metres of several outer rings that don't overlap; null if one has no measure."""
+    return pd.Series([_measured(p, c, True) for p, c in zip(parts, codes)], dtype="float64")
+
+
+@arrow("double")
+def parts_length(parts: pd.Series, codes: pd.Series) -> pd.Series:
+    """Metres along several lines; null if one has no measure."""
+    return pd.Series([_measured(p, c, False) for p, c in zip(parts, codes)], dtype="float64")
+
+
+def _measured(parts, code, area: bool) -> float | None:
+    each = [_measure(_ring(p), code, area) for p in parts] if parts is not None else []
+    return sum(each) if each and None not in each else None
+
+
 def _measure(ring: np.ndarray, code, area: bool) -> float | None:
     if code is None or code != code or len(ring) < (4 if area else 2):
         return None
@@ -308,13 +325,19 @@ def crosses_itself(ring: np.ndarray) -> bool:
 @arrow("boolean")
 def is_valid_polygon(rings: pd.Series) -> pd.Series:
     """Closed, of some area, and not crossing itself. Invalid rings are reported, not repaired."""
+    return rings.map(_is_valid)
+
+
+@arrow("boolean")
+def are_valid_polygons(parts: pd.Series) -> pd.Series:
+    """Whether there are rings and each of them is valid by itself."""
+    return parts.map(lambda p: p is not None and len(p) > 0 and all(_is_valid(r) for r in p))
 
-    def one(r):
-        ring = _ring(r)
-        fine = len(ring) >= 4 and bool((ring[0] == ring[-1]).all()) and np.isfinite(ring).all() and len(np.unique(ring[:-1], axis=0)) >= 3
-        return bool(fine and abs(np.sum(ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1])) > 0 and not crosses_itself(ring))
 
-    return rings.map(one)
+def _is_valid(r) -> bool:
+    ring = _ring(r)
+    fine = len(ring) >= 4 and bool((ring[0] == ring[-1]).all()) and np.isfinite(ring).all() and len(np.unique(ring[:-1], axis=0)) >= 3
+    return bool(fine and abs(np.sum(ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1])) > 0 and not crosses_itself(ring))
 
 
 def _is_convex(ring: np.ndarray) -> bool:

@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, jobs, linking, paging, rules, versions
+from ..operators import access, cadastre, dashboard, extraction, features, jobs, linking, paging, projects, rules, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -773,3 +773,229 @@ def review_actions(spark: SparkSession, d: str) -> DataFrame:
         F.when(odd, "c1").alias("correction_reference"), F.when(odd, "p1").alias("reprocess_job_project"), F.lit("p1").alias("project_id"), F.when(odd, "u2").alias("assignee_id"), (F.col("user_id") % 3 % 2).alias("blocking_issue_count"),
     )
     return jobs.review_outcomes(rows).select("event_id", "refusal", "status_after")
+
+
+_SEARCHED = """
+docs AS (SELECT o_orderkey AS document_id, 'P' || o_custkey || '/' AS name, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS status, o_orderdate AS updated_at FROM orders),
+f AS (SELECT l_orderkey * 100 + l_linenumber AS field_id, l_orderkey AS document_id, CASE WHEN l_linenumber % 2 = 0 THEN 'survey_number' ELSE 'village' END AS field_name, l_linenumber AS candidate_index, 'P' || l_partkey || '/' || l_suppkey AS original_value
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+x AS (SELECT field_id, version, CASE WHEN document_id % 2 = 0 THEN 'P1' || version || '/' ELSE 'Q' || original_value END AS corrected_value FROM f, (SELECT 1 AS version UNION ALL SELECT 2) WHERE candidate_index < 3)"""
+
+
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as documents, customers as parcels, order lines as fields, the first two lines of an order corrected twice."""
+    status = F.when(F.col("o_orderstatus") == "F", "VALIDATED").otherwise("REVIEW_REQUIRED")
+    documents = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("/")).alias("name"), status.alias("status"), F.col("o_orderdate").alias("updated_at"))
+    parcels = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), F.concat(F.lit("P"), F.col("c_custkey").cast("string"), F.lit("/")).alias("external_identifier"), F.lit("DRAFT").alias("status"), F.when(F.col("c_acctbal") > 0, "VERIFIED").alias("verification_status"), F.col("c_acctbal").alias("updated_at"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supplier"))
+    fields = lines.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("field_id"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_linenumber") % 2 == 0, "survey_number").otherwise("village").alias("field_name"),
+        F.col("l_linenumber").alias("candidate_index"), F.concat(F.lit("P"), F.col("part").cast("string"), F.lit("/"), F.col("supplier").cast("string")).alias("original_value"),
+    )
+    twice = fields.filter("candidate_index < 3").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    value = F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("P1"), F.col("version").cast("string"), F.lit("/"))).otherwise(F.concat(F.lit("Q"), "original_value"))
+    said = twice.select("field_id", "version", value.alias("corrected_value"))
+    return documents, parcels, fields, said
+
+
+@query(f"""
+WITH {_SEARCHED},
+a AS (SELECT 'DOCUMENT' AS kind, document_id AS id, CAST(NULL AS BIGINT) AS evidence_id, name AS title, 'Document source' AS subtitle, status, name AS matched_value, status <> 'VALIDATED' AS preliminary FROM docs WHERE name ILIKE '%p11/%' ORDER BY updated_at DESC, document_id LIMIT 60),
+b AS (SELECT 'PARCEL', c_custkey, CAST(NULL AS BIGINT), 'P' || c_custkey || '/', 'Parcel identifier', 'DRAFT', 'P' || c_custkey || '/', NOT (c_acctbal > 0) FROM customer WHERE 'P' || c_custkey || '/' ILIKE '%p11/%' ORDER BY c_acctbal DESC, c_custkey LIMIT 60),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM (SELECT * FROM b LIMIT (SELECT 60 - count(*) FROM a))),
+c0 AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, candidate_index, field_id) AS r FROM f JOIN docs USING (document_id) WHERE original_value ILIKE '%p11/%'),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY r) AS n FROM c0 WHERE r <= 60 - (SELECT count(*) FROM ab)),
+c AS (SELECT 'FIELD', document_id, field_id, CASE field_name WHEN 'village' THEN 'Village' ELSE 'Survey Number' END || ': ' || original_value, name, status, original_value, status <> 'VALIDATED' FROM c1 WHERE n = 1),
+d0 AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, version DESC, field_id) AS r FROM x JOIN f USING (field_id) JOIN docs USING (document_id) WHERE corrected_value ILIKE '%p11/%'),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY r) AS n FROM d0 WHERE r <= 60 - (SELECT count(*) FROM ab) - (SELECT count(*) FROM c) AND field_id NOT IN (SELECT field_id FROM c1 WHERE n = 1)),
+e AS (SELECT 'FIELD', document_id, field_id, CASE field_name WHEN 'village' THEN 'Village' ELSE 'Survey Number' END || ': ' || corrected_value, name || ' · human correction v' || version, status, corrected_value, status <> 'VALIDATED' FROM d1 WHERE n = 1)
+SELECT * FROM ab UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e
+""")
+def project_search(spark: SparkSession, d: str) -> DataFrame:
+    """Four sources within sixty hits; copies of a field leave room for corrections."""
+    return projects.search(*_searched(spark, d), "P11/", limit=60)
+
+
+_SHOWN = """
+n AS (SELECT n_nationkey FROM nation UNION ALL SELECT 25), docs AS (SELECT o_orderkey % 25 AS project_id, o_orderkey AS document_id, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' WHEN 'O' THEN 'REVIEW_REQUIRED' ELSE 'PROCESSING' END AS status FROM orders),
+k AS (SELECT l_orderkey % 25 AS project_id, l_orderkey AS document_id, CASE l_partkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'REJECTED' END AS status FROM lineitem),
+t AS (SELECT user_id % 25 AS project_id, CASE WHEN event_id % 3 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS status, CASE WHEN event_type IN ('click', 'error') THEN 'GIS' ELSE 'DOCUMENT' END AS queue, CASE event_id % 4 WHEN 0 THEN 'RECORD_PARCEL_LINK' WHEN 1 THEN 'VALIDATION_ISSUE' WHEN 2 THEN 'DOCUMENT' END AS target,
+  CASE event_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity, user_id AS assignee FROM events),
+p AS (SELECT c_custkey % 25 AS project_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'REVIEW_REQUIRED' ELSE 'DRAFT' END AS status FROM customer),
+j AS (SELECT p_partkey % 25 AS project_id, CASE p_size % 4 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'PARCEL_IMPORT' ELSE 'OTHER' END AS job_type FROM part),
+s AS (SELECT s_suppkey % 25 AS project_id, s_suppkey % 5 AS kind FROM supplier),
+u AS (SELECT project_id, string_agg(status || '=' || n, '|' ORDER BY status) AS seen, any_value(kind) AS kind FROM (
+  SELECT project_id, status, count(*) AS n, 'd' AS kind FROM docs GROUP BY 1, 2 UNION ALL SELECT project_id, status, count(*), 'p' FROM p GROUP BY 1, 2 UNION ALL SELECT project_id, status, count(*), 'k' FROM k GROUP BY 1, 2 UNION ALL SELECT project_id, status, count(*), 'j' FROM j GROUP BY 1, 2) GROUP BY project_id, kind)"""
+_KINDS = "IMAGERY", "GEOAI_JOB", "BUILDING", "ROAD", "LAND_USE"
+
+
+def _shown(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Nations as projects, and one more (25) that has nothing."""
+    rest = lambda c: (F.col(c) % 25).cast("long").alias("project_id")
+
+    def pick(c: str, by: int, *names: str | None) -> Column:
+        return F.element_at(F.array(*(F.lit(n).cast("string") for n in names)), (F.col(c) % by + 1).cast("int"))
+
+    status = F.when(F.col("o_orderstatus") == "F", "VALIDATED").when(F.col("o_orderstatus") == "O", "REVIEW_REQUIRED").otherwise("PROCESSING")
+    queue = F.when(F.col("event_type").isin("click", "error"), "GIS").otherwise("DOCUMENT")
+    return {
+        "projects": table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("project_id")).union(spark.range(25, 26)),
+        "documents": table(spark, d, "orders").select(rest("o_orderkey"), F.col("o_orderkey").alias("document_id"), status.alias("status")),
+        "links": table(spark, d, "lineitem").select(rest("l_orderkey"), F.col("l_orderkey").alias("document_id"), pick("l_partkey", 3, "CONFIRMED", "REVIEW_REQUIRED", "REJECTED").alias("link_status")),
+        "tasks": table(spark, d, "events").select(
+            rest("user_id"), pick("event_id", 3, "CLOSED", "OPEN", "OPEN").alias("status"), queue.alias("queue_type"), pick("event_id", 4, "RECORD_PARCEL_LINK", "VALIDATION_ISSUE", "DOCUMENT", None).alias("target_type"),
+            pick("event_id", 5, "HIGH", "MEDIUM", "LOW", "LOW", "LOW").alias("severity"), F.col("user_id").alias("assignee_id"),
+        ),
+        "parcels": table(spark, d, "customer").select(rest("c_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", "REVIEW_REQUIRED").otherwise("DRAFT").alias("status")),
+        "jobs": table(spark, d, "part").select(rest("p_partkey"), pick("p_size", 4, "QUEUED", "PROCESSING", "FAILED", "COMPLETED").alias("status"), pick("p_partkey", 2, "PARCEL_IMPORT", "OTHER").alias("job_type")),
+        "assets": table(spark, d, "supplier").select(rest("s_suppkey"), pick("s_suppkey", 5, *_KINDS).alias("kind")),
+    }
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    """Statuses as status=n|... in place of arrays."""
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("=", s["status"], s["n"].cast("string"))), "|")
+    return rows.select(*(line(c).alias(c) if c.endswith("_statuses") else F.col(c) for c in rows.columns))
+
+
+def _counted(source: str, **conditions: str) -> str:
+    return ", ".join(f"(SELECT count(*) FROM {source} WHERE {source}.project_id = n_nationkey AND ({c})) AS {name}" for name, c in conditions.items())
+
+
+def _seen(**kinds: str) -> str:
+    return ", ".join(f"coalesce((SELECT seen FROM u WHERE u.project_id = n_nationkey AND kind = '{k}'), '') AS {name}_statuses" for name, k in kinds.items())
+
+
+_SURE = "document_id IN (SELECT document_id FROM k WHERE k.status = 'CONFIRMED')"
+
+
+@query(f"""
+WITH {_SHOWN}
+SELECT CAST(n_nationkey AS BIGINT) AS project_id, {_counted("docs", documents="true", validated_records="status = 'VALIDATED'", unlinked_validated_records=f"status = 'VALIDATED' AND NOT {_SURE}", review_required_documents="status = 'REVIEW_REQUIRED'")},
+ {_counted("t", open_reviews="status = 'OPEN'", document_reviews="status = 'OPEN' AND queue = 'DOCUMENT' AND target NOT IN ('RECORD_PARCEL_LINK', 'VALIDATION_ISSUE')", gis_reviews="status = 'OPEN' AND queue = 'GIS'", link_reviews="status = 'OPEN' AND target = 'RECORD_PARCEL_LINK'", high_reviews="status = 'OPEN' AND severity = 'HIGH'", medium_reviews="status = 'OPEN' AND severity = 'MEDIUM'", assigned_to_me="status = 'OPEN' AND assignee = 7", validation_issues="status = 'OPEN' AND target = 'VALIDATION_ISSUE'")},
+ {_counted("p", parcels="true", parcels_needing_review="status = 'REVIEW_REQUIRED'")}, {_counted("k", links="true", ambiguous_links="status = 'REVIEW_REQUIRED'")},
+ (SELECT count(DISTINCT document_id) FROM k WHERE k.project_id = n_nationkey AND k.status = 'CONFIRMED') AS confirmed_records,
+ {_counted("j", jobs="true", active_jobs="status IN ('QUEUED', 'PROCESSING')", failed_jobs="status = 'FAILED'", retryable_failed_jobs="status = 'FAILED' AND job_type = 'PARCEL_IMPORT'")},
+ {_counted("s", **{f"{kind.lower()}_assets": f"kind = {k}" for k, kind in enumerate(_KINDS)})}, {_seen(document="d", parcel="p", link="k", job="j")}
+FROM n
+""")
+def project_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    """The dashboards of all projects, as user 7 sees them."""
+    return _as_text(projects.dashboard(**_shown(spark, d), me=7))
+
+
+@query(f"""
+WITH {_SHOWN}, c AS (SELECT user_id % 25 AS project_id FROM events)
+SELECT CAST(n_nationkey AS BIGINT) AS project_id, {_counted("p", members="true")}, {_counted("docs", files="true")}, {_counted("j", jobs="true")}, {_counted("c", audit_events="true")}, {_seen(file="d", job="j")} FROM n
+""")
+def project_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as members, documents as files, events as audit rows."""
+    t = _shown(spark, d)
+    return _as_text(projects.summary(t["projects"], t["parcels"], t["documents"], t["jobs"], t["tasks"]))
+
+
+@query(f"""
+WITH {_SHOWN}
+SELECT project_id, 'UPLOADED' AS stage, count(*) AS n FROM docs WHERE status = 'PROCESSING' GROUP BY 1
+UNION ALL SELECT project_id, status, count(*) FROM j WHERE status IN ('QUEUED', 'PROCESSING', 'FAILED') GROUP BY 1, 2
+""")
+def project_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in processing as files just uploaded."""
+    t = _shown(spark, d)
+    return projects.stages(t["documents"].withColumn("status", F.when(F.col("status") == "PROCESSING", "UPLOADED").otherwise(F.col("status"))), t["jobs"])
+
+
+_RUN = """
+WITH e AS (SELECT l_orderkey AS document_id, l_linenumber AS k, 'P-' || l_partkey AS identifier FROM lineitem),
+dup AS (SELECT 'duplicate-record:' || identifier AS issue_key, 'HIGH' AS severity, 'Potential duplicate record: ' || count(DISTINCT document_id) || ' validated documents share identifier ' || identifier || '.' AS summary FROM e GROUP BY identifier HAVING count(DISTINCT document_id) >= 2),
+a AS (SELECT o_orderkey, abs(o_totalprice - abs(c_acctbal)) / greatest(o_totalprice, abs(c_acctbal)) AS r FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0 AND c_acctbal <> 0),
+mis AS (SELECT 'area-mismatch:' || o_orderkey AS issue_key, CASE WHEN r >= 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM a WHERE r > 0.05),
+found AS (SELECT issue_key, severity, summary FROM dup UNION ALL SELECT issue_key, severity, NULL FROM mis),
+old AS (SELECT 'area-mismatch:' || o_orderkey AS issue_key, 'LOW' AS severity, 'old' AS summary, CASE WHEN o_orderkey % 2 = 0 THEN 'OPEN' ELSE 'RESOLVED' END AS status FROM orders WHERE o_custkey % 7 = 0
+  UNION ALL SELECT 'duplicate-record:P-' || p_partkey, 'LOW', 'old', 'OPEN' FROM part WHERE p_partkey % 5 = 0),
+older AS (SELECT 'duplicate-record:P-' || p_partkey AS issue_key, 'INFO' AS severity, 'older' AS summary, 'RESOLVED' AS status FROM part WHERE p_partkey % 10 = 0),
+i AS (SELECT issue_key, CASE WHEN o.status IS NULL OR (o.status = 'OPEN' AND f.severity IS NOT NULL) THEN f.severity ELSE o.severity END AS severity, CASE WHEN o.status IS NULL OR (o.status = 'OPEN' AND f.severity IS NOT NULL) THEN f.summary ELSE o.summary END AS summary,
+  coalesce(o.status, 'OPEN') AS status, CASE WHEN o.status IS NULL THEN 'created' WHEN f.severity IS NULL THEN 'kept' WHEN o.status = 'OPEN' THEN 'refreshed' ELSE 'left' END AS outcome FROM old o FULL JOIN found f USING (issue_key)
+  UNION ALL SELECT issue_key, severity, summary, status, 'kept' FROM older)"""
+
+
+@query(f"{_RUN} SELECT issue_key, severity, status, outcome, CASE WHEN issue_key LIKE 'dup%' THEN summary END AS duplicate_summary FROM i")
+def validation_run(spark: SparkSession, d: str) -> DataFrame:
+    """Part numbers as identifiers that orders share, prices against balances as areas, and issues of two earlier runs."""
+    issues = _validation_run(spark, d)
+    return issues.select("issue_key", "severity", "status", "outcome", F.when(F.col("issue_key").startswith("dup"), F.col("summary")).alias("duplicate_summary"))
+
+
+@query(f"""{_RUN} SELECT count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'refreshed') AS refreshed, count(*) FILTER (status = 'OPEN') AS open_issues, count(*) FILTER (status = 'OPEN' AND issue_key LIKE 'dup%') AS duplicate_records,
+  count(*) FILTER (status = 'OPEN' AND issue_key LIKE 'area%') AS area_mismatches FROM i""")
+def validation_run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return projects.run_counters(_validation_run(spark, d))
+
+
+def _validation_run(spark: SparkSession, d: str) -> DataFrame:
+    part = F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))
+    evidence = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit("survey_number").alias("field_name"), F.col("l_linenumber").alias("candidate_index"), part.alias("identifier"), part.alias("value"))
+    orders = table(spark, d, "orders")
+    balances = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.abs("c_acctbal").alias("parcel_area_m2"))
+    areas = orders.select("o_custkey", F.col("o_orderkey").alias("link_id"), F.col("o_totalprice").alias("document_area_m2")).join(balances, "o_custkey")
+
+    def earlier(rows: DataFrame, prefix: str, key: str, severity: str, summary: str, status: Column, at: int) -> DataFrame:
+        return rows.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("issue_key"), F.lit(severity).alias("severity"), F.lit(summary).alias("summary"), status.alias("status"), F.lit(at).alias("created_at"))
+
+    resolved = F.when(F.col("o_orderkey") % 2 == 0, "OPEN").otherwise("RESOLVED")
+    parts = table(spark, d, "part")
+    existing = earlier(orders.filter("o_custkey % 7 = 0"), "area-mismatch:", "o_orderkey", "LOW", "old", resolved, 2)
+    existing = existing.unionByName(earlier(parts.filter("p_partkey % 5 = 0"), "duplicate-record:P-", "p_partkey", "LOW", "old", F.lit("OPEN"), 2))
+    existing = existing.unionByName(earlier(parts.filter("p_partkey % 10 = 0"), "duplicate-record:P-", "p_partkey", "INFO", "older", F.lit("RESOLVED"), 1))
+    return projects.validation_run(evidence, areas, existing)
+
+
+_FEATURE_SOURCE = "CASE k % 4 WHEN 0 THEN 'EXISTING_GIS' WHEN 1 THEN 'MANUAL_DRAWN' WHEN 2 THEN 'AI_CANDIDATE' ELSE 'SATELLITE' END"
+_DRAFTED = "CASE WHEN refusal IS NULL THEN CASE WHEN k % 2 = 0 THEN 'WORLD' WHEN k % 3 = 0 THEN 'PIXEL' ELSE 'LOCAL' END END AS coordinate_space, CASE WHEN refusal IS NULL THEN 'DRAFT' END AS status, CASE WHEN refusal IS NULL AND source = 'AI_CANDIDATE' THEN 'AI_PRELIMINARY' END AS ai_status"
+
+
+def _sketched(spark: SparkSession, d: str, kind: str, names: list[str]) -> DataFrame:
+    """Suppliers as features: a source, a class, and whether a system is declared (even ones are in metres)."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(
+        k.alias("feature_id"), F.expr(_FEATURE_SOURCE.replace("k %", "s_suppkey %")).alias("source"), F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int")).alias(kind),
+        F.when(k % 2 == 0, "EPSG:32644").alias("source_crs"), F.when(k % 3 == 0, "PIXEL").otherwise("SKETCH").alias("coordinate_space"),
+    )
+
+
+@query(f"""
+WITH b AS (SELECT s_suppkey AS k, s_suppkey % 7 AS g FROM supplier), c AS (SELECT *, {_FEATURE_SOURCE} AS source, CASE k % 5 WHEN 0 THEN 'ROAD' WHEN 1 THEN 'PATHWAY' WHEN 2 THEN 'ACCESS_CORRIDOR' WHEN 3 THEN 'ROAD' ELSE 'RAILWAY' END AS road_class FROM b),
+r AS (SELECT *, CASE WHEN k % 4 = 3 THEN 'UNKNOWN_SOURCE' WHEN k % 5 = 4 THEN 'UNKNOWN_CLASS' WHEN g = 1 THEN 'MULTILINE_NOT_ALLOWED' WHEN g = 2 THEN 'TOO_FEW_POINTS' WHEN g = 4 THEN 'NOT_A_ROAD_GEOMETRY' WHEN g = 5 THEN 'INVALID_SURFACE' WHEN g = 6 THEN 'EMPTY_GEOMETRY' END AS refusal FROM c)
+SELECT k AS feature_id, source, road_class, refusal, {_DRAFTED}, CASE WHEN refusal IS NULL THEN CASE WHEN g = 0 THEN 'LINE' ELSE 'SURFACE' END END AS geometry_kind,
+  CAST(CASE WHEN refusal IS NULL AND k % 2 = 0 THEN CASE WHEN g = 0 THEN 5.0 * (k + 1) ELSE 2.0 * (k + 9) END END AS DOUBLE) AS length_m FROM r
+""")
+def road_features(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, doubled lines, points, surfaces (declared, undeclared, crossing themselves) and nothing, by supplier number."""
+    k, zero = F.col("feature_id"), F.lit(0)
+    line, tie = F.array(G.point(zero, zero), G.point((k + 1) * 3, (k + 1) * 4)), F.array(*(G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))))
+    shapes = [("LineString", F.array(line)), ("MultiLineString", F.array(line, line)), ("LineString", F.array(F.array(G.point(zero, zero), G.point(zero, zero)))), *[("Polygon", F.array(G.rectangle(zero, zero, k + 1, F.lit(8))))] * 2, ("Polygon", F.array(tie)), ("LineString", F.filter(F.array(line), lambda _: F.lit(False)))]
+    kind, parts = F.lit(None).cast("string"), F.lit(None)
+    for g, (name, shape) in enumerate(shapes):
+        kind, parts = F.when(k % 7 == g, name).otherwise(kind), F.when(k % 7 == g, shape).otherwise(parts)
+    rows = _sketched(spark, d, "road_class", ["ROAD", "PATHWAY", "ACCESS_CORRIDOR", "ROAD", "RAILWAY"]).withColumn("kind", kind).withColumn("parts", parts).withColumn("road_surface", (k % 7).isin(3, 5))
+    return features.roads(rows).select("feature_id", "source", "road_class", "refusal", "coordinate_space", "status", "ai_status", "geometry_kind", "length_m")
+
+
+@query(f"""
+WITH b AS (SELECT s_suppkey AS k FROM supplier), c AS (SELECT *, {_FEATURE_SOURCE} AS source, CASE k % 3 WHEN 0 THEN 'VACANT' WHEN 1 THEN 'WATERBODY' ELSE 'AGRICULTURAL' END AS land_use_class FROM b),
+r AS (SELECT *, CASE WHEN k % 4 = 3 THEN 'UNKNOWN_SOURCE' WHEN k % 5 = 4 THEN 'NOT_A_POLYGON' END AS refusal FROM c), m AS (SELECT *, CASE WHEN refusal IS NULL AND k % 2 = 0 THEN 8.0 * (k + 1) * CASE WHEN k % 5 = 1 THEN 2 ELSE 1 END END AS area_m2 FROM r)
+SELECT k AS feature_id, source, land_use_class, refusal, {_DRAFTED}, CAST(area_m2 AS DOUBLE) AS area_m2, area_m2 * 10.7639104167::DOUBLE AS area_sqft FROM m
+""")
+def land_use_features(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles, pairs of them, and lines that can't be land use."""
+    k, zero = F.col("feature_id"), F.lit(0)
+    one, other = G.rectangle(zero, zero, k + 1, F.lit(8)), G.rectangle(zero, F.lit(20), k + 1, F.lit(28))
+    rows = _sketched(spark, d, "land_use_class", ["VACANT", "WATERBODY", "AGRICULTURAL"])
+    rows = rows.withColumn("kind", F.when(k % 5 == 4, "LineString").when(k % 5 == 1, "MultiPolygon").otherwise("Polygon")).withColumn("parts", F.when(k % 5 == 1, F.array(one, other)).otherwise(F.array(one)))
+    return features.land_use(rows, allow_multipolygon=True).select("feature_id", "source", "land_use_class", "refusal", "coordinate_space", "status", "ai_status", "area_m2", "area_sqft")
+
+
+@query()
+def building_features(spark: SparkSession, d: str) -> DataFrame:
+    """The components of vectorize_mask at half a metre a pixel, of half a square metre at least."""
+    return features.buildings(vectorize_mask(spark, d), (0.5, 0.0, 500000.0, 0.0, -0.5, 1400000.0), "EPSG:32644", min_area=0.5).drop("ring")
