@@ -128,12 +128,12 @@ def semantic_value(normal: Column) -> Column:
     return F.to_json(normal)
 
 
-def normalize_casefold(form: str):
-    """An Arrow function: Unicode normal form (NFC or NFKC), then full case folding."""
+def normalize_casefold(form: str | None):
+    """An Arrow function: Unicode normal form (NFC or NFKC, None for the text as it is), then full case folding."""
 
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: unicodedata.normalize(form, v).casefold(), na_action="ignore")
+        return values.map(lambda v: (unicodedata.normalize(form, v) if form else v).casefold(), na_action="ignore")
 
     return fold
 
@@ -150,6 +150,11 @@ def matching_text(c: Column, identifier: bool = False) -> Column:
     return normalize_identifier(folded) if identifier else normalize_whitespace(folded)
 
 
+def equality_text(c: Column) -> Column:
+    """The form in which an expected and a read value are compared: case folded, normal white space, no other change."""
+    return normalize_whitespace(normalize_casefold(None)(c))
+
+
 def label_pattern(label: str) -> str:
     """A Java pattern that finds a label's words at a line's start and captures the value behind its separator.
 

@@ -73,6 +73,23 @@ def directory(users: DataFrame, user_roles: DataFrame, text: str | None = None)
     return found.join(roles, found.id == roles.user_id, "left").select("id", "login_id", "email", "full_name", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
 
 
+def sign_in_user(users: DataFrame, identifier: str) -> DataFrame:
+    """Users whose login id is the identifier in upper case or whose e-mail is it whatever the case; ends are trimmed first."""
+    from ..functions.text import trimmed
+
+    said = trimmed(F.lit(identifier))
+    return users.filter((F.col("login_id") == F.upper(said)) | (F.lower("email") == F.lower(said)))
+
+
+def project_members(members: DataFrame, users: DataFrame, project_id, active: bool | None = None) -> DataFrame:
+    """Members of a project with their accounts, in order of joining. `active` keeps active or closed accounts only."""
+    accounts = users.select(F.col("id").alias("user_id"), "login_id", "full_name", "is_active")
+    found = members.filter(F.col("project_id") == project_id).join(accounts, "user_id")
+    if active is not None:
+        found = found.filter(F.col("is_active") == active)
+    return found.select("user_id", "role", "created_at", "login_id", "full_name", "is_active").orderBy("created_at", "user_id")
+
+
 def can_be_assigned(users: DataFrame, members: DataFrame, granted: DataFrame, project_id: str) -> DataFrame:
     """Users who can be given a review task of a project: active, members, and allowed to act on reviews."""
     eligible = users.filter("is_active").join(members.filter(F.col("project_id") == project_id).select(F.col("user_id").alias("id")), "id", "left_semi")

@@ -116,6 +116,11 @@ def topology_issues(parcels: DataFrame, boundary=None, tolerance: float = 0.01,
     return out.unionByName(issue(leaves, "OUTSIDE_PROJECT_BOUNDARY", "REVIEW", one, F.col("area_m2"))).unionByName(issue(gap, "COVERAGE_GAP", "REVIEW", nobody, F.col("gap_m2")))
 
 
+def issues_by_parcel(issues: DataFrame, parcel: str = "parcel_id", related: str = "related_parcel_id") -> DataFrame:
+    """Issues once for each parcel that they concern, as the one or the other: the parcel is column `concerns`."""
+    return issues.withColumn("concerns", F.explode(F.array_distinct(F.array_compact(F.array(parcel, related)))))
+
+
 def coverage(parcels: DataFrame, boundary: list[tuple[float, float]], cell: float | None = None) -> DataFrame:
     """One row for valid rings (ring): their union's covered, gap and outside area against a boundary ring of (x, y).
 

@@ -27,6 +27,12 @@ def counters(**tables: tuple[DataFrame, Mapping[str, Column]]) -> DataFrame:
     return out.drop("_one")
 
 
+def attention(counts: DataFrame, named: Mapping[str, str], key: list[str] | None = None) -> DataFrame:
+    """(key, position, label, n): counters that are above 0, in the order of `named` (column to label)."""
+    entries = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(label).alias("label"), F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("n")) for k, (c, label) in enumerate(named.items())))
+    return counts.select(*(key or []), F.inline(entries)).filter("n > 0")
+
+
 def records_export(documents: DataFrame, files: DataFrame, fields: DataFrame, corrections: DataFrame, validations: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """A row a document: file name, status, latest validation status, and each field's first value with corrections; '' for missing."""
     newest_ocr = fields.groupBy("document_id").agg(F.max("version").alias("version"))

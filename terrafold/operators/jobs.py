@@ -88,6 +88,49 @@ def fold_states(events: DataFrame, key: str, order: list[str], event: str, run_b
     return round_(runs, "_ends", None, compose).select(key, state.alias("s")).select(key, "s.status", "s.retry_count", progress.alias("progress"), "s.illegal")
 
 
+def active_document_jobs(details: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(document_id, job_id, status): each document's newest job that is queued or being processed.
+
+    details: job_id, document_id, created_at; jobs: job_id, status.
+    """
+    open_ = details.join(jobs.filter(F.col("status").isin("QUEUED", "PROCESSING")).select("job_id", "status"), "job_id")
+    return open_.groupBy("document_id").agg(F.max_by(F.struct("job_id", "status"), F.struct("created_at", "job_id")).alias("_j")).select("document_id", "_j.*")
+
+
+def queue_documents(requests: DataFrame, documents: DataFrame, results: DataFrame, details: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Requests (request_id, document_id, reprocess) with outcome, job_id, version and key.
+
+    ACTIVE with the job that runs already; DOCUMENT_NOT_FOUND; NOT_QUEUEABLE for a first run of a document that is neither uploaded nor
+    failed; NO_EARLIER_RESULT for another run of one that was never read; EXISTING if a job has the key; else QUEUED. Of a document's
+    requests that could be queued the first by request_id is, the others are ACTIVE without a job_id yet. version is one above the newest
+    reading's; the key document:<id>:ocr:<version> makes a repeated request find its job. jobs: job_id, status, idempotency_key.
+    """
+    newest = results.groupBy("document_id").agg(F.max("version").alias("_read"))
+    running = active_document_jobs(details, jobs).select("document_id", F.col("job_id").alias("_running"))
+    rows = requests.join(documents.select("document_id", F.col("status").alias("_status")), "document_id", "left").join(newest, "document_id", "left").join(running, "document_id", "left")
+    rows = rows.withColumn("version", F.coalesce("_read", F.lit(0)) + 1).withColumn("key", F.concat(F.lit("document:"), F.col("document_id").cast("string"), F.lit(":ocr:"), F.col("version").cast("string")))
+    rows = rows.join(jobs.select(F.col("idempotency_key").alias("key"), F.col("job_id").alias("_keyed")), "key", "left")
+    fresh = ~F.coalesce(F.col("reprocess"), F.lit(False))
+    refused = (
+        F.when(F.col("_status").isNull(), "DOCUMENT_NOT_FOUND").when(F.col("_running").isNotNull(), "ACTIVE").when(fresh & ~F.col("_status").isin("UPLOADED", "FAILED"), "NOT_QUEUEABLE")
+        .when(~fresh & F.col("_read").isNull(), "NO_EARLIER_RESULT").when(F.col("_keyed").isNotNull(), "EXISTING")
+    )
+    rows = rows.withColumn("_refused", refused)
+    first = rows.filter("_refused IS NULL").groupBy("document_id").agg(F.min("request_id").alias("_first"))
+    outcome = F.coalesce("_refused", F.when(F.col("_first") == F.col("request_id"), "QUEUED").otherwise("ACTIVE"))
+    rows = rows.join(first, "document_id", "left").withColumn("outcome", outcome)
+    made = F.col("outcome").isin("QUEUED", "EXISTING")
+    job = F.when(F.col("outcome") == "ACTIVE", F.col("_running")).when(F.col("outcome") == "EXISTING", F.col("_keyed"))
+    return rows.select("request_id", "document_id", "outcome", job.alias("job_id"), F.when(made, F.col("version")).alias("version"), F.when(made, F.col("key")).alias("key"))
+
+
+def task_history(logs: DataFrame) -> DataFrame:
+    """(task_id, position, action, actor_id, created_at): what was done with each review task, numbered from 1 by time and id."""
+    mine = logs.filter("target_type = 'review_task'")
+    position = F.row_number().over(Window.partitionBy("target_id").orderBy("created_at", "id"))
+    return mine.select(F.col("target_id").alias("task_id"), position.alias("position"), "action", "actor_id", "created_at")
+
+
 def retryable(jobs: DataFrame) -> DataFrame:
     """Jobs with has_error and retryable flags; error details stay behind."""
     return jobs.withColumn("has_error", F.col("error_json").isNotNull()).withColumn("retryable", (F.col("status") == "FAILED") & F.col("job_type").isin(*RETRYABLE)).drop("error_json")

@@ -15,6 +15,8 @@ from ..functions.scores import link_score, relative_difference
 IDENTIFIER_FIELDS = ("survey_number", "cadastral_identifier", "parcel_identifier", "khasra_number", "khata_number")
 ADMIN_FIELDS = {"village": ("village",), "tehsil": ("tehsil", "taluk", "tahsil"), "district": ("district",)}
 ACTIVE_LINKS = ("SUGGESTED", "REVIEW_REQUIRED", "CONFIRMED")
+LINK_POLICY = "record-parcel-link-mvp-v1"
+LINK_METHOD = "EXACT_SURVEY_IDENTIFIER"
 
 
 def parcel_area_m2(area_m2, area_sqft):
@@ -24,8 +26,13 @@ def parcel_area_m2(area_m2, area_sqft):
     return F.coalesce(F.when(area_m2 != 0, area_m2), F.when(area_sqft != 0, area_sqft / F.lit(SQFT_PER_M2)))
 
 
+def _parcel_admin(field: str):
+    return F.coalesce(*(F.col("admin")[alias] for alias in ADMIN_FIELDS[field]))
+
+
 def match_records(identifiers: DataFrame, parcels: DataFrame, record_admin: DataFrame, record_area: DataFrame, tolerance: float = 0.05, threshold: float = 0.95) -> DataFrame:
-    """Scored candidates: record_id, parcel_id, admin_matches, admin_conflicts, area_ok, confidence, link_status, rank.
+    """Scored candidates: record_id, parcel_id, admin_matches, admin_conflicts, area_ok, confidence, link_status, rank, and what
+    they rest on: matching_fields, conflicting_fields (names), document_area_m2, parcel_area_m2, relative_difference.
 
     identifiers: record_id, project_id, identifier (normalised). parcels: parcel_id, project_id, identifier, admin (map),
     area_m2. record_admin: record_id, field, value (normalised). record_area: record_id, area_m2. A record with one
@@ -37,15 +44,18 @@ def match_records(identifiers: DataFrame, parcels: DataFrame, record_admin: Data
     )
     joined = pairs.join(values, "record_id", "left").join(record_area.select("record_id", "area_m2"), "record_id", "left")
 
-    def known(field: str):
-        return F.coalesce(*(F.col("admin")[alias] for alias in ADMIN_FIELDS[field]))
-
+    known = _parcel_admin
     both = {f: known(f).isNotNull() & F.coalesce(F.size(F.col("has")[f]) > 0, F.lit(False)) for f in ADMIN_FIELDS}
     same = {f: F.coalesce(F.array_contains(F.col("has")[f], known(f)), F.lit(False)) for f in ADMIN_FIELDS}
     matches = sum((F.when(both[f] & same[f], 1).otherwise(0) for f in ADMIN_FIELDS), F.lit(0))
     against = sum((F.when(both[f] & ~same[f], 1).otherwise(0) for f in ADMIN_FIELDS), F.lit(0))
-    area_ok = F.coalesce(relative_difference(F.col("area_m2"), F.col("parcel_area")) <= tolerance, F.lit(False))
-    scored = joined.select("record_id", "parcel_id", matches.alias("admin_matches"), against.alias("admin_conflicts"), area_ok.alias("area_ok"))
+    named = {ok: F.array_compact(F.array(*(F.when(both[f] & (same[f] == ok), F.lit(f)) for f in ADMIN_FIELDS))) for ok in (True, False)}
+    apart = relative_difference(F.col("area_m2"), F.col("parcel_area"))
+    area_ok = F.coalesce(apart <= tolerance, F.lit(False))
+    scored = joined.select(
+        "record_id", "parcel_id", matches.alias("admin_matches"), against.alias("admin_conflicts"), area_ok.alias("area_ok"), named[True].alias("matching_fields"), named[False].alias("conflicting_fields"),
+        F.col("area_m2").alias("document_area_m2"), F.col("parcel_area").alias("parcel_area_m2"), apart.alias("relative_difference"),
+    )
     scored = scored.withColumn("confidence", link_score(F.col("admin_matches"), F.col("admin_conflicts"), F.col("area_ok")))
     per = Window.partitionBy("record_id")
     sure = (F.count("*").over(per) == 1) & (F.col("admin_matches") > 0) & (F.col("admin_conflicts") == 0) & (F.col("confidence") >= threshold)
@@ -58,6 +68,74 @@ def new_suggestions(matches: DataFrame, links: DataFrame) -> DataFrame:
     return matches.join(active, ["record_id", "parcel_id"], "left_anti")
 
 
+def with_rationale(matches: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Matches with `rationale`: the policy, the factors of the score and the areas compared, if both are known, as JSON."""
+    factors = F.struct(F.lit(True).alias("exact_identifier"), F.col("matching_fields").alias("matching_admin_fields"), F.col("conflicting_fields").alias("conflicting_admin_fields"), F.col("area_ok").alias("area_compatible"))
+    areas = F.struct("document_area_m2", "parcel_area_m2", "relative_difference", F.lit(tolerance).alias("tolerance"), F.col("area_ok").alias("compatible"))
+    said = F.struct(F.lit(LINK_POLICY).alias("policy_version"), factors.alias("match_factors"), F.when(F.col("relative_difference").isNotNull(), areas).alias("area_comparison"))
+    return matches.withColumn("rationale", F.to_json(said, {"ignoreNullFields": "false"}))
+
+
+def contributing_fields(matches: DataFrame, parcels: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(record_id, parcel_id, field_id, field_name, source_id, page_number): the fields that a match rests on, each once.
+
+    evidence: record_id, field_id, field_name, value (normalised), source_id, page_number. A field counts if it holds the parcel's
+    identifier, or the parcel's value of an administrative field that matches. What is looked for is a row a value, so fields
+    meet it by an equal key and a record with many fields or many candidates is no product of both.
+    """
+    wanted = F.array(F.struct(F.lit("identifier").alias("kind"), F.col("identifier").alias("value")), *(F.struct(F.when(F.array_contains("matching_fields", f), F.lit(f)).alias("kind"), _parcel_admin(f).alias("value")) for f in ADMIN_FIELDS))
+    sought = matches.select("record_id", "parcel_id", "matching_fields").join(parcels.select("parcel_id", "identifier", "admin"), "parcel_id").select("record_id", "parcel_id", F.inline(wanted)).distinct()
+    kind = F.when(F.col("field_name").isin(*IDENTIFIER_FIELDS), "identifier")
+    for field, names in ADMIN_FIELDS.items():
+        kind = kind.when(F.col("field_name").isin(*names), field)
+    held = evidence.withColumn("kind", kind).dropDuplicates(["record_id", "field_id"])
+    return sought.join(held, ["record_id", "kind", "value"]).select("record_id", "parcel_id", "field_id", "field_name", "source_id", "page_number")
+
+
+def suggest(matches: DataFrame, records: DataFrame, links: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a run of suggestions appends: links, review tasks and audit rows.
+
+    matches: of match_records. records: record_id, document_status, validation_status; only valid records of validated documents take
+    part. links: record_id, parcel_id, link_status, those there already; a pair with an active one is left alone, a rejected
+    one may be suggested again under the next number. fields: of contributing_fields. Links that aren't confirmed open a task whose source_refs
+    name the parcel and each page that contributed, sorted.
+    """
+    valid = records.filter("document_status = 'VALIDATED' AND validation_status = 'VALID'").select("record_id").distinct()
+    past = links.groupBy("record_id", "parcel_id").agg(F.count("*").alias("_past"))
+    fresh = with_rationale(new_suggestions(matches.join(valid, "record_id", "left_semi"), links)).join(past, ["record_id", "parcel_id"], "left")
+    link_id = F.concat_ws(":", F.col("record_id").cast("string"), F.col("parcel_id").cast("string"), (F.coalesce("_past", F.lit(0)) + 1).cast("string"))
+    added = fresh.select(link_id.alias("link_id"), "record_id", "parcel_id", "link_status", F.lit(LINK_METHOD).alias("link_method"), "confidence", "rationale")
+    pages = fields.groupBy("record_id", "parcel_id").agg(F.collect_set(F.concat(F.lit("document:"), F.col("source_id").cast("string"), F.lit(":page:"), F.col("page_number").cast("string"))).alias("_pages"))
+    waiting = added.filter("link_status = 'REVIEW_REQUIRED'").join(pages, ["record_id", "parcel_id"], "left")
+    refs = F.array_sort(F.concat(F.array(F.concat(F.lit("parcel:"), F.col("parcel_id").cast("string"))), F.coalesce("_pages", F.array().cast("array<string>"))))
+    tasks = waiting.select(
+        F.lit("DOCUMENT").alias("queue_type"), F.lit("RECORD_PARCEL_LINK").alias("target_type"), F.col("link_id").alias("target_id"), F.lit("MEDIUM").alias("severity"),
+        F.lit("Record-to-parcel association requires human review.").alias("summary"), refs.alias("source_refs"), F.lit("OPEN").alias("status"),
+    )
+    event = F.when(F.col("link_status") == "CONFIRMED", "record_parcel_link.auto_confirmed").otherwise("record_parcel_link.suggested")
+    audit = added.select(event.alias("action"), F.lit("record_parcel_link").alias("target_type"), F.col("link_id").alias("target_id"), "record_id", "parcel_id", "confidence", "link_method", "link_status")
+    return added, tasks, audit
+
+
+def manual_links(requests: DataFrame, records: DataFrame, parcels: DataFrame, links: DataFrame) -> DataFrame:
+    """Requests (request_id, project_id, record_id, parcel_id) with `outcome`.
+
+    RECORD_NOT_VALID without a valid record of a validated document in the project, PARCEL_NOT_FOUND without the parcel there, EXISTING if the
+    pair has an active link, ALREADY_CONFIRMED if the record has a confirmed one, else CREATED. Of a record's requests that could
+    be created the first by request_id is; later ones for its parcel are EXISTING, for others ALREADY_CONFIRMED.
+    """
+    valid = records.filter("document_status = 'VALIDATED' AND validation_status = 'VALID'").select("project_id", "record_id", F.lit(True).alias("_valid")).distinct()
+    there = parcels.select("project_id", "parcel_id", F.lit(True).alias("_there")).distinct()
+    active = links.filter(F.col("link_status").isin(*ACTIVE_LINKS)).select("record_id", "parcel_id", F.lit(True).alias("_active")).distinct()
+    confirmed = links.filter("link_status = 'CONFIRMED'").select("record_id", F.lit(True).alias("_confirmed")).distinct()
+    rows = requests.join(valid, ["project_id", "record_id"], "left").join(there, ["project_id", "parcel_id"], "left").join(active, ["record_id", "parcel_id"], "left").join(confirmed, "record_id", "left")
+    standing = F.when(F.col("_valid").isNull(), "RECORD_NOT_VALID").when(F.col("_there").isNull(), "PARCEL_NOT_FOUND").when(F.col("_active"), "EXISTING").when(F.col("_confirmed"), "ALREADY_CONFIRMED")
+    rows = rows.withColumn("_standing", standing)
+    first = rows.filter("_standing IS NULL").groupBy("record_id").agg(F.min(F.struct("request_id", "parcel_id")).alias("_first"))
+    created = F.when(F.col("_first.request_id") == F.col("request_id"), "CREATED").when(F.col("_first.parcel_id") == F.col("parcel_id"), "EXISTING").otherwise("ALREADY_CONFIRMED")
+    return rows.join(first, "record_id", "left").select("request_id", "record_id", "parcel_id", F.coalesce("_standing", created).alias("outcome"))
+
+
 def duplicate_records(evidence: DataFrame) -> DataFrame:
     """identifier, documents, first_document: normalised identifiers of two or more documents, whatever field they stand in.
 
@@ -111,14 +189,18 @@ def upsert_issues(existing: DataFrame, found: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, decisions: DataFrame) -> DataFrame:
     """Links after decisions (link_id, decision CONFIRMED or REJECTED): only active ones change, one confirmed a record.
 
-    Of several confirmations for a record the first by link_id counts, none where one is confirmed already; refused ones
+    Where decisions have a `reason`, a rejection needs one that isn't blank. Of several confirmations for a record the first by link_id counts, none where one is confirmed already; refused ones
     keep their status. Columns: link_id, record_id, link_status, refused.
     """
-    joined = links.join(decisions, "link_id", "left")
+    from ..functions.text import is_blank
+
+    reason = F.col("reason") if "reason" in decisions.columns else F.lit("")
+    joined = links.join(decisions.select("link_id", "decision", reason.alias("_reason")), "link_id", "left")
     per = Window.partitionBy("record_id")
     has = F.max((F.col("link_status") == "CONFIRMED").cast("int")).over(per) == 1
     open_ = F.col("link_status").isin("SUGGESTED", "REVIEW_REQUIRED")
     wants = (F.col("decision") == "CONFIRMED") & open_
     first = F.min(F.when(wants, F.col("link_id"))).over(per) == F.col("link_id")
-    ok = F.when(F.col("decision") == "REJECTED", open_).when(F.col("decision") == "CONFIRMED", wants & ~has & first)
+    given = ~is_blank(F.col("_reason")) if "reason" in decisions.columns else F.lit(True)
+    ok = F.when(F.col("decision") == "REJECTED", open_ & given).when(F.col("decision") == "CONFIRMED", wants & ~has & first)
     return joined.select("link_id", "record_id", F.when(ok, F.col("decision")).otherwise(F.col("link_status")).alias("link_status"), (F.col("decision").isNotNull() & ~F.coalesce(ok, F.lit(False))).alias("refused"))

@@ -346,18 +346,8 @@ def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
     return linking.duplicate_records(evidence)
 
 
-@query("""
-WITH m AS (SELECT o_orderkey, c_custkey, CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_orderkey % 25 = c_nationkey THEN 1 ELSE 0 END AS v, CASE WHEN o_orderkey % 5 = n_regionkey THEN 1 ELSE 0 END AS t,
-  coalesce(o_totalprice > 0 AND abs(c_acctbal) > 0 AND abs(o_totalprice / 50 - abs(c_acctbal)) / greatest(o_totalprice / 50, abs(c_acctbal)) <= 0.05, false) AS ok
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-s AS (SELECT *, coalesce(v, 0) + t AS a, (CASE WHEN v = 0 THEN 1 ELSE 0 END) + (1 - t) AS x FROM m)
-SELECT o_orderkey AS record_id, c_custkey AS parcel_id, CAST(a AS BIGINT) AS admin_matches, CAST(x AS BIGINT) AS admin_conflicts, ok AS area_ok,
-  CAST(round(least(1, greatest(0, 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END - x * 0.45)), 9) AS DOUBLE) AS confidence,
-  CASE WHEN a > 0 AND x = 0 AND 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END >= 0.9500001 THEN 'CONFIRMED' ELSE 'REVIEW_REQUIRED' END AS link_status
-FROM s
-""")
-def record_parcel_match(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as records, customers as parcels, nations and regions as administrative names, prices as areas."""
+def _record_matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Matches, and the parcels they are with."""
     orders, places = table(spark, d, "orders"), F.broadcast(table(spark, d, "nation"))
     parcels = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("parcel_id"), F.lit(1).alias("project_id"), F.col("c_custkey").cast("string").alias("identifier"),
@@ -368,10 +358,105 @@ def record_parcel_match(spark: SparkSession, d: str) -> DataFrame:
     village = F.when(F.col("o_custkey") % 7 != 0, F.array((F.col("o_orderkey") % 25).cast("string"))).otherwise(F.array().cast("array<string>"))
     admin = orders.select(F.col("o_orderkey").alias("record_id"), F.explode(F.array(entry("village", village), entry("tehsil", F.array((F.col("o_orderkey") % 5).cast("string"))))).alias("e")).select("record_id", "e.*")
     areas = orders.select(F.col("o_orderkey").alias("record_id"), (F.col("o_totalprice") / 50).alias("area_m2"))
-    found = linking.match_records(identifiers, parcels, admin, areas)
+    return linking.match_records(identifiers, parcels, admin, areas), parcels
+
+
+_MATCHED = """m AS (SELECT o_orderkey, c_custkey, CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_orderkey % 25 = c_nationkey THEN 1 ELSE 0 END AS v, CASE WHEN o_orderkey % 5 = n_regionkey THEN 1 ELSE 0 END AS t,
+  coalesce(o_totalprice > 0 AND abs(c_acctbal) > 0 AND abs(o_totalprice / 50 - abs(c_acctbal)) / greatest(o_totalprice / 50, abs(c_acctbal)) <= 0.05, false) AS ok,
+  abs(o_totalprice / 50 - abs(c_acctbal)) / greatest(o_totalprice / 50, abs(c_acctbal)) AS apart
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT *, coalesce(v, 0) + t AS a, (CASE WHEN v = 0 THEN 1 ELSE 0 END) + (1 - t) AS x FROM m)"""
+
+
+@query(f"""
+WITH {_MATCHED}
+SELECT o_orderkey AS record_id, c_custkey AS parcel_id, CAST(a AS BIGINT) AS admin_matches, CAST(x AS BIGINT) AS admin_conflicts, ok AS area_ok,
+  CAST(round(least(1, greatest(0, 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END - x * 0.45)), 9) AS DOUBLE) AS confidence,
+  CASE WHEN a > 0 AND x = 0 AND 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END >= 0.9500001 THEN 'CONFIRMED' ELSE 'REVIEW_REQUIRED' END AS link_status
+FROM s
+""")
+def record_parcel_match(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records, customers as parcels, nations and regions as administrative names, prices as areas."""
+    found, _ = _record_matches(spark, d)
     return found.select("record_id", "parcel_id", F.col("admin_matches").cast("long").alias("admin_matches"), F.col("admin_conflicts").cast("long").alias("admin_conflicts"), "area_ok", F.round("confidence", 9).alias("confidence"), "link_status")
 
 
+_SUGGESTED = f"""{_MATCHED},
+n AS (SELECT *, o_orderkey || ':' || c_custkey || ':' || CASE WHEN o_orderkey % 6 = 1 THEN 2 ELSE 1 END AS link_id,
+  CASE WHEN a > 0 AND x = 0 AND 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END >= 0.9500001 THEN 'CONFIRMED' ELSE 'REVIEW_REQUIRED' END AS link_status
+  FROM s WHERE o_orderkey % 6 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)"""
+
+
+def _suggested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run of suggestions: every sixth order is linked already, others were rejected once; not all are valid."""
+    matches, parcels = _record_matches(spark, d)
+    order, orders = F.col("o_orderkey"), table(spark, d, "orders")
+    records = orders.select(order.alias("record_id"), F.when(order % 11 != 0, "VALIDATED").otherwise("REVIEW_REQUIRED").alias("document_status"), F.when(order % 13 != 0, "VALID").otherwise("INVALID").alias("validation_status"))
+    links = orders.filter(order % 6 <= 1).select(order.alias("record_id"), F.col("o_custkey").alias("parcel_id"), F.when(order % 6 == 0, "SUGGESTED").otherwise("REJECTED").alias("link_status"))
+    field = lambda k, name, value, page: F.struct((order * 10 + k).alias("field_id"), F.lit(name).alias("field_name"), value.cast("string").alias("value"), page.alias("page_number"))
+    read = F.array(field(0, "khasra_number", F.col("o_custkey"), F.lit(1)), field(1, "village", F.when(F.col("o_custkey") % 7 != 0, order % 25), F.lit(2)), field(2, "tahsil", order % 5, (order % 2 + 1).cast("int")), field(3, "owner_name", F.col("o_custkey"), F.lit(9)))
+    fields = orders.select(order.alias("record_id"), (order % 2).alias("source_id"), F.inline(read))
+    return linking.suggest(matches, records, links, linking.contributing_fields(matches, parcels, fields))
+
+
+@query(f"""
+WITH {_SUGGESTED}
+SELECT link_id, o_orderkey AS record_id, c_custkey AS parcel_id, link_status, 'EXACT_SURVEY_IDENTIFIER' AS link_method,
+  CAST(round(least(1, greatest(0, 0.9 + least(a, 2) * 0.03 + CASE WHEN ok THEN 0.03 ELSE 0 END - x * 0.45)), 9) AS DOUBLE) AS confidence,
+  array_to_string(list_filter([CASE WHEN v = 1 THEN 'village' END, CASE WHEN t = 1 THEN 'tehsil' END], lambda f: f IS NOT NULL), '|') AS matching,
+  array_to_string(list_filter([CASE WHEN v = 0 THEN 'village' END, CASE WHEN t = 0 THEN 'tehsil' END], lambda f: f IS NOT NULL), '|') AS conflicting, ok AS compatible, round(apart, 9) AS apart FROM n
+""")
+def link_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Links that a run appends, with what their rationale says."""
+    links, _, _ = _suggested(spark, d)
+    said = F.from_json("rationale", "match_factors struct<matching_admin_fields:array<string>,conflicting_admin_fields:array<string>,area_compatible:boolean>, area_comparison struct<relative_difference:double>")
+    factors = F.col("said.match_factors")
+    return links.withColumn("said", said).select(
+        "link_id", "record_id", "parcel_id", "link_status", "link_method", F.round("confidence", 9).alias("confidence"), F.array_join(factors["matching_admin_fields"], "|").alias("matching"),
+        F.array_join(factors["conflicting_admin_fields"], "|").alias("conflicting"), factors["area_compatible"].alias("compatible"), F.round("said.area_comparison.relative_difference", 9).alias("apart"),
+    )
+
+
+@query(f"""
+WITH {_SUGGESTED}
+SELECT link_id AS target_id, 'RECORD_PARCEL_LINK' AS target_type, 'MEDIUM' AS severity, array_to_string(list_sort(list_distinct(['parcel:' || c_custkey, 'document:' || o_orderkey % 2 || ':page:1',
+  CASE WHEN v = 1 THEN 'document:' || o_orderkey % 2 || ':page:2' END, CASE WHEN t = 1 THEN 'document:' || o_orderkey % 2 || ':page:' || (o_orderkey % 2 + 1) END])), '|') AS source_refs FROM n WHERE link_status = 'REVIEW_REQUIRED'
+""")
+def link_review_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Review tasks that a run of suggestions opens, with the pages they rest on."""
+    _, tasks, _ = _suggested(spark, d)
+    return tasks.select("target_id", "target_type", "severity", F.array_join("source_refs", "|").alias("source_refs"))
+
+
+@query(f"""
+WITH {_SUGGESTED}
+SELECT CASE link_status WHEN 'CONFIRMED' THEN 'record_parcel_link.auto_confirmed' ELSE 'record_parcel_link.suggested' END AS action, count(*) AS n, count(DISTINCT o_orderkey) AS records FROM n GROUP BY 1
+""")
+def link_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Audit rows of a run of suggestions, by action."""
+    _, _, audit = _suggested(spark, d)
+    return audit.groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
+
+
+@query("""
+WITH q AS (SELECT event_id, event_id % 200 AS r, user_id % 4 + CASE WHEN event_id % 50 = 49 THEN -9 ELSE 0 END AS p FROM events),
+v AS (SELECT DISTINCT o_orderkey AS r FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 11 <> 0), t AS (SELECT DISTINCT c_custkey AS p FROM customer),
+c AS (SELECT DISTINCT l_orderkey AS r, l_suppkey AS p FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 3 = 0), a AS (SELECT DISTINCT l_orderkey AS r, l_suppkey AS p FROM lineitem WHERE l_linenumber = 1 UNION SELECT * FROM c),
+j AS (SELECT q.*, CASE WHEN v.r IS NULL THEN 'RECORD_NOT_VALID' WHEN t.p IS NULL THEN 'PARCEL_NOT_FOUND' WHEN a.r IS NOT NULL THEN 'EXISTING' WHEN q.r IN (SELECT r FROM c) THEN 'ALREADY_CONFIRMED' END AS st
+  FROM q LEFT JOIN v ON q.r = v.r LEFT JOIN t ON q.p = t.p LEFT JOIN a ON q.r = a.r AND q.p = a.p),
+f AS (SELECT r, min(event_id) AS first, arg_min(p, event_id) AS first_p FROM j WHERE st IS NULL GROUP BY 1)
+SELECT event_id AS request_id, j.r AS record_id, p AS parcel_id, coalesce(st, CASE WHEN first = event_id THEN 'CREATED' WHEN first_p = p THEN 'EXISTING' ELSE 'ALREADY_CONFIRMED' END) AS outcome FROM j LEFT JOIN f ON j.r = f.r
+""")
+def manual_links(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests to link an order to a customer; first lines of orders are suggested links, some second ones confirmed."""
+    one, line, supplier = F.lit(1).alias("project_id"), F.col("l_linenumber"), F.col("l_suppkey")
+    requests = table(spark, d, "events").select(F.col("event_id").alias("request_id"), one, (F.col("event_id") % 200).alias("record_id"), (F.col("user_id") % 4 + F.when(F.col("event_id") % 50 == 49, -9).otherwise(0)).alias("parcel_id"))
+    records = table(spark, d, "orders").select(one, F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") != "P", "VALIDATED").otherwise("FAILED").alias("document_status"), F.when(F.col("o_orderkey") % 11 != 0, "VALID").otherwise("INVALID").alias("validation_status"))
+    status = F.when(line == 1, "SUGGESTED").when((line == 2) & (supplier % 3 == 0), "CONFIRMED").otherwise("REJECTED")
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), supplier.alias("parcel_id"), status.alias("link_status"))
+    return linking.manual_links(requests, records, table(spark, d, "customer").select(one, F.col("c_custkey").alias("parcel_id")), links)
+
+
 @query("""
 WITH e AS (SELECT user_id, max(event_id) AS k, arg_max(event_type, event_id) AS t FROM events WHERE event_id < 5000 GROUP BY 1), f AS (SELECT user_id, max(event_id) AS k, arg_max(event_type, event_id) AS t FROM events WHERE event_id >= 5000 GROUP BY 1)
 SELECT CAST(coalesce(e.user_id, f.user_id) AS VARCHAR) AS issue_key,
@@ -999,3 +1084,120 @@ def land_use_features(spark: SparkSession, d: str) -> DataFrame:
 def building_features(spark: SparkSession, d: str) -> DataFrame:
     """The components of vectorize_mask at half a metre a pixel, of half a square metre at least."""
     return features.buildings(vectorize_mask(spark, d), (0.5, 0.0, 500000.0, 0.0, -0.5, 1400000.0), "EPSG:32644", min_area=0.5).drop("ring")
+
+
+@query("SELECT c_custkey AS id, upper(c_name) AS login_id FROM customer WHERE upper(c_name) = 'CUSTOMER#000000007' OR c_custkey % 10 = 3")
+def sign_in_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as accounts; every tenth has the name looked for as its e-mail."""
+    email = F.when(F.col("c_custkey") % 10 == 3, "cUSTOMER#000000007").otherwise(F.concat("c_name", F.lit("@x")))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("login_id"), email.alias("email"))
+    return access.sign_in_user(users, " Customer#000000007 ").select("id", "login_id")
+
+
+@query("""
+WITH u AS (SELECT user_id, max(event_type) AS full_name, count(*) % 2 = 0 AS is_active FROM events GROUP BY 1)
+SELECT user_id, c_mktsegment AS role, c_acctbal AS created_at, 'U' || user_id AS login_id, full_name, is_active FROM customer JOIN u ON user_id = c_custkey WHERE c_nationkey % 3 = 1 AND is_active
+""")
+def project_members(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as members of three projects, users of events as accounts."""
+    members = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 3).alias("project_id"), F.col("c_mktsegment").alias("role"), F.col("c_acctbal").alias("created_at"))
+    users = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("event_type").alias("full_name"), (F.count("*") % 2 == 0).alias("is_active")).withColumn("login_id", F.concat(F.lit("U"), F.col("id").cast("string")))
+    return access.project_members(members, users, 1, active=True)
+
+
+def _job_status() -> Column:
+    return F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "click", "QUEUED").when(F.col("event_type") == "view", "PROCESSING").otherwise("COMPLETED")
+
+
+@query("""
+SELECT user_id * 10 + event_id % 10 AS document_id, event_id AS job_id, CASE event_type WHEN 'click' THEN 'QUEUED' ELSE 'PROCESSING' END AS status FROM events WHERE event_type IN ('click', 'view')
+QUALIFY row_number() OVER (PARTITION BY user_id * 10 + event_id % 10 ORDER BY event_id * 7 % 100 DESC, event_id DESC) = 1
+""")
+def active_document_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as jobs, ten documents a user."""
+    events = table(spark, d, "events")
+    details = events.select(F.col("event_id").alias("job_id"), (F.col("user_id") * 10 + F.col("event_id") % 10).alias("document_id"), (F.col("event_id") * 7 % 100).alias("created_at"))
+    return jobs.active_document_jobs(details, events.select(F.col("event_id").alias("job_id"), _job_status().alias("status")))
+
+
+@query("""
+WITH q AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN -event_id - 1 ELSE event_id % 700 END AS k, event_type IN ('click', 'view') AS again FROM events),
+o AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'UPLOADED' WHEN 'O' THEN 'FAILED' ELSE 'VALIDATED' END AS status FROM orders), r AS (SELECT l_orderkey AS k, max(l_linenumber) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+b AS (SELECT c_custkey AS job, c_custkey * 3 AS k, 'document:' || c_custkey * 3 || ':ocr:' || (1 + c_nationkey % 4) AS key, c_nationkey % 3 = 0 AS runs FROM customer),
+j AS (SELECT q.*, CAST(coalesce(v, 0) + 1 AS BIGINT) AS version, 'document:' || q.k || ':ocr:' || (coalesce(v, 0) + 1) AS key, o.status, r.v, b.job AS running FROM q LEFT JOIN o ON q.k = o.k LEFT JOIN r ON q.k = r.k LEFT JOIN b ON q.k = b.k AND b.runs),
+x AS (SELECT j.*, b.job AS keyed, CASE WHEN status IS NULL THEN 'DOCUMENT_NOT_FOUND' WHEN running IS NOT NULL THEN 'ACTIVE' WHEN NOT again AND status = 'VALIDATED' THEN 'NOT_QUEUEABLE' WHEN again AND v IS NULL THEN 'NO_EARLIER_RESULT' WHEN b.job IS NOT NULL THEN 'EXISTING' END AS refused
+  FROM j LEFT JOIN b ON j.key = b.key),
+y AS (SELECT *, coalesce(refused, CASE WHEN event_id = min(CASE WHEN refused IS NULL THEN event_id END) OVER (PARTITION BY k) THEN 'QUEUED' ELSE 'ACTIVE' END) AS outcome FROM x)
+SELECT event_id AS request_id, k AS document_id, outcome, CASE outcome WHEN 'ACTIVE' THEN running WHEN 'EXISTING' THEN keyed END AS job_id, CASE WHEN outcome IN ('QUEUED', 'EXISTING') THEN version END AS version, CASE WHEN outcome IN ('QUEUED', 'EXISTING') THEN key END AS key FROM y
+""")
+def queue_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests to read orders, customers as jobs there are."""
+    number, again = F.col("event_id"), F.col("event_type").isin("click", "view")
+    requests = table(spark, d, "events").select(number.alias("request_id"), F.when(number % 13 == 0, -number - 1).otherwise(number % 700).alias("document_id"), again.alias("reprocess"))
+    documents = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "UPLOADED").when(F.col("o_orderstatus") == "O", "FAILED").otherwise("VALIDATED").alias("status"))
+    results = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("version"))
+    job, document, nation = F.col("c_custkey").alias("job_id"), F.col("c_custkey") * 3, F.col("c_nationkey")
+    details = table(spark, d, "customer").select(job, document.alias("document_id"), F.col("c_acctbal").alias("created_at"))
+    key = F.concat(F.lit("document:"), document.cast("string"), F.lit(":ocr:"), (1 + nation % 4).cast("string"))
+    known = table(spark, d, "customer").select(job, F.when(nation % 3 == 0, "QUEUED").otherwise("COMPLETED").alias("status"), key.alias("idempotency_key"))
+    return jobs.queue_documents(requests, documents, results, details, known).withColumn("version", F.col("version").cast("long"))
+
+
+@query("SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type AS action, event_id AS actor_id FROM events WHERE event_type <> 'error'")
+def task_history(spark: SparkSession, d: str) -> DataFrame:
+    """Events as audit rows of review tasks, one task a user; errors are about something else."""
+    logs = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", "review_task").otherwise("document").alias("target_type"), F.col("user_id").alias("target_id"), F.col("event_type").alias("action"),
+        F.col("event_id").alias("actor_id"), F.col("ts").alias("created_at"),
+    )
+    return jobs.task_history(logs).select("task_id", F.col("position").cast("long").alias("position"), "action", "actor_id")
+
+
+@query("""
+SELECT c_custkey AS project_id, 0 AS position, 'Failed jobs' AS label, CAST(c_nationkey % 3 AS BIGINT) AS n FROM customer WHERE c_nationkey % 3 > 0
+UNION ALL SELECT c_custkey, 1, 'Documents requiring review', CAST(c_nationkey % 2 AS BIGINT) FROM customer WHERE c_nationkey % 2 > 0
+UNION ALL SELECT c_custkey, 2, 'Validation issues', CAST(c_nationkey AS BIGINT) FROM customer WHERE c_acctbal > 0 AND c_nationkey > 0
+""")
+def attention_list(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as projects, numbers of their nation as counters."""
+    nation = F.col("c_nationkey")
+    counts = table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), (nation % 3).alias("failed"), (nation % 2).alias("waiting"), F.when(F.col("c_acctbal") > 0, nation).alias("issues"))
+    return dashboard.attention(counts, {"failed": "Failed jobs", "waiting": "Documents requiring review", "issues": "Validation issues"}, ["project_id"])
+
+
+@query("""
+WITH i AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS a, CASE event_id % 3 WHEN 0 THEN user_id WHEN 2 THEN event_id % 7 END AS b FROM events)
+SELECT event_id, a AS concerns FROM i WHERE a IS NOT NULL UNION SELECT event_id, b FROM i WHERE b IS NOT NULL
+""")
+def parcel_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Events as topology issues of one or two users."""
+    number, user = F.col("event_id"), F.col("user_id")
+    issues = table(spark, d, "events").select("event_id", F.when(number % 5 > 0, user).alias("parcel_id"), F.when(number % 3 == 0, user).when(number % 3 == 2, number % 7).alias("related_parcel_id"))
+    return cadastre.issues_by_parcel(issues).select("event_id", "concerns")
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, f, o_orderstatus FROM orders, (VALUES ('A'), ('N')) v(f)), c AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem)
+SELECT o_orderkey AS sample_id, CAST(2 AS BIGINT) AS expected_fields, count(l_orderkey) AS matched_fields FROM e LEFT JOIN c ON l_orderkey = o_orderkey AND l_returnflag = f AND l_linestatus = o_orderstatus GROUP BY 1
+""")
+def expected_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as samples that expect their status in two fields, lines as candidates in other spellings."""
+    expected = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.explode(F.array(F.lit("A"), F.lit("N"))).alias("field_name"), F.concat("o_orderstatus", F.lit(" Stra\u00dfe")).alias("value"))
+    status = F.col("l_linestatus")
+    candidates = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("field_name"), F.concat(F.lit("\u00a0 "), F.lower(status), F.lit("  STRASSE")).alias("original_value"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(status, F.lit("\tstrasse "))).alias("normalized_value"),
+    )
+    return extraction.field_accuracy(extraction.expected_matches(expected, candidates))
+
+
+@query("""
+SELECT l_orderkey || ':' || l_linenumber AS link_id, abs(u - p_retailprice) / greatest(u, p_retailprice) AS relative_difference
+FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS u, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0) WHERE u > 0 AND p_retailprice > 0 AND abs(u - p_retailprice) / greatest(u, p_retailprice) > 0.05
+ORDER BY relative_difference DESC, link_id LIMIT 100
+""")
+def mismatch_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred largest differences between unit and list prices, a top-k report."""
+    lines = table(spark, d, "lineitem").filter("l_quantity > 0").select("l_partkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("link_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("document_area_m2"))
+    found = linking.area_mismatches(lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("parcel_area_m2")), "l_partkey"))
+    return paging.page(found, F.desc("relative_difference"), "link_id", limit=100).select("link_id", "relative_difference")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -134,3 +135,52 @@ def test_dashboard_and_directory(spark):
     roles = spark.createDataFrame([("u1", "VIEWER"), ("u1", "ADMIN")], "user_id string, role string")
     assert [(r["id"], r["roles"]) for r in access.directory(users, roles, "an").collect()] == [("u1", ["ADMIN", "VIEWER"])]
     assert access.permission_matrix(spark).filter(F.col("role") == "ADMIN").count() == len(access.PERMISSIONS)
+
+
+def test_rejections_need_a_reason(spark):
+    links = spark.createDataFrame([("l1", "r", "SUGGESTED", None), ("l2", "r", "SUGGESTED", "old")], "link_id string, record_id string, link_status string, reason string")
+    decisions = spark.createDataFrame([("l1", "REJECTED", " "), ("l2", "REJECTED", "wrong parcel")], "link_id string, decision string, reason string")
+    got = {r["link_id"]: (r["link_status"], r["refused"]) for r in linking.resolve_links(links, decisions).collect()}
+    assert got == {"l1": ("SUGGESTED", True), "l2": ("REJECTED", False)}
+
+
+def test_suggestions_say_what_they_rest_on(spark):
+    parcels = spark.createDataFrame([("p1", "x", "12/3", {"village": "a", "taluk": "t"}, 100.0), ("p2", "x", "9", {"village": "b"}, None)], "parcel_id string, project_id string, identifier string, admin map<string,string>, area_m2 double")
+    ids = spark.createDataFrame([("r1", "x", "12/3"), ("r2", "x", "9"), ("r3", "x", "9"), ("r4", "x", "9")], "record_id string, project_id string, identifier string")
+    admin = spark.createDataFrame([("r1", "village", "a"), ("r1", "tehsil", "t"), ("r2", "village", "z")], "record_id string, field string, value string")
+    matches = linking.match_records(ids, parcels, admin, spark.createDataFrame([("r1", 103.0)], "record_id string, area_m2 double"))
+    said = {r["record_id"]: json.loads(r["rationale"]) for r in linking.with_rationale(matches).collect()}
+    assert said["r1"]["match_factors"] == {"exact_identifier": True, "matching_admin_fields": ["village", "tehsil"], "conflicting_admin_fields": [], "area_compatible": True}
+    assert said["r1"]["area_comparison"]["tolerance"] == 0.05 and said["r2"]["area_comparison"] is None and said["r2"]["match_factors"]["conflicting_admin_fields"] == ["village"]
+    evidence = spark.createDataFrame(
+        [("r1", 1, "survey_number", "12/3", 5, 2), ("r1", 1, "survey_number", "12/3", 5, 2), ("r1", 2, "tahsil", "t", 5, 3), ("r1", 3, "village", "z", 5, 4), ("r1", 4, "owner_name", "12/3", 5, 5), ("r2", 5, "khata_number", "9", 6, 1), ("r2", 6, "village", "b", 6, 2), ("r2", 7, None, None, None, None)],
+        "record_id string, field_id int, field_name string, value string, source_id int, page_number int",
+    )
+    fields = linking.contributing_fields(matches, parcels, evidence)
+    assert sorted(r["field_id"] for r in fields.collect()) == [1, 2, 5]  # r2's village agrees with the parcel here, but not where the match was made
+    records = spark.createDataFrame([(f"r{k}", "VALIDATED", "VALID" if k < 4 else "INVALID") for k in (1, 2, 3, 4)], "record_id string, document_status string, validation_status string")
+    links = spark.createDataFrame([("r2", "p2", "REJECTED"), ("r3", "p2", "SUGGESTED")], "record_id string, parcel_id string, link_status string")
+    added, tasks, audit = linking.suggest(matches, records, links, fields)
+    assert sorted((r["link_id"], r["link_status"]) for r in added.collect()) == [("r1:p1:1", "CONFIRMED"), ("r2:p2:2", "REVIEW_REQUIRED")]
+    assert [(r["target_id"], r["source_refs"]) for r in tasks.collect()] == [("r2:p2:2", ["document:6:page:1", "parcel:p2"])]
+    assert sorted(r["action"] for r in audit.collect()) == ["record_parcel_link.auto_confirmed", "record_parcel_link.suggested"]
+    none, no_tasks, _ = linking.suggest(matches.limit(0), records.limit(0), links.limit(0), fields.limit(0))
+    assert none.count() == 0 and no_tasks.count() == 0
+
+
+def test_documents_queue_once(spark):
+    requests = spark.createDataFrame([(1, "a", None), (2, "a", True), (3, "b", False), (4, "b", True), (5, "c", True), (6, "z", False), (7, "e", True)], "request_id int, document_id string, reprocess boolean")
+    documents = spark.createDataFrame([("a", "FAILED"), ("b", "VALIDATED"), ("c", "UPLOADED"), ("e", "VALIDATED")], "document_id string, status string")
+    results = spark.createDataFrame([("a", 2), ("b", 1), ("e", 1)], "document_id string, version int")
+    details = spark.createDataFrame([("j1", "b", 1), ("j2", "b", 2), ("j3", "a", 1)], "job_id string, document_id string, created_at int")
+    known = spark.createDataFrame([("j1", "QUEUED", "k1"), ("j2", "PROCESSING", "k2"), ("j3", "COMPLETED", "k3"), ("j4", "COMPLETED", "document:e:ocr:2")], "job_id string, status string, idempotency_key string")
+    got = {r["request_id"]: (r["outcome"], r["job_id"], r["key"]) for r in jobs.queue_documents(requests, documents, results, details, known).collect()}
+    assert got[1] == ("QUEUED", None, "document:a:ocr:3") and got[2] == ("ACTIVE", None, None)
+    assert got[3] == got[4] == ("ACTIVE", "j2", None) and got[7] == ("EXISTING", "j4", "document:e:ocr:2")
+    assert got[5][0] == "NO_EARLIER_RESULT" and got[6][0] == "DOCUMENT_NOT_FOUND"
+
+
+def test_sign_in_folds_each_column_its_way(spark):
+    users = spark.createDataFrame([(1, "ADM-TN-000001", "A@x.org"), (2, "adm-tn-000001", "b@x.org"), (3, None, None)], "id int, login_id string, email string")
+    assert [r["id"] for r in access.sign_in_user(users, " adm-tn-000001\u00a0").collect()] == [1]
+    assert [r["id"] for r in access.sign_in_user(users, "a@X.ORG").collect()] == [1]
