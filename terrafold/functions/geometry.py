@@ -14,10 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow import arrow
+from .arrow import arrow, listed
 
 RING = "array<struct<x:double,y:double>>"
 #: The WGS84 ellipsoid, and the sphere of preview areas.
@@ -278,13 +279,13 @@ def length_metres(lines: pd.Series, codes: pd.Series) -> pd.Series:
     return pd.Series([_measure(_ring(r), c, False) for r, c in zip(lines, codes)], dtype="float64")
 
 
-@arrow("double")
+@listed("double", pa.float64())
 def parts_area(parts: pd.Series, codes: pd.Series) -> pd.Series:
     """Square metres of several outer rings that don't overlap; null if one has no measure."""
     return pd.Series([_measured(p, c, True) for p, c in zip(parts, codes)], dtype="float64")
 
 
-@arrow("double")
+@listed("double", pa.float64())
 def parts_length(parts: pd.Series, codes: pd.Series) -> pd.Series:
     """Metres along several lines; null if one has no measure."""
     return pd.Series([_measured(p, c, False) for p, c in zip(parts, codes)], dtype="float64")
@@ -328,7 +329,7 @@ def is_valid_polygon(rings: pd.Series) -> pd.Series:
     return rings.map(_is_valid)
 
 
-@arrow("boolean")
+@listed("boolean", pa.bool_())
 def are_valid_polygons(parts: pd.Series) -> pd.Series:
     """Whether there are rings and each of them is valid by itself."""
     return parts.map(lambda p: p is not None and len(p) > 0 and all(_is_valid(r) for r in p))
@@ -487,6 +488,86 @@ def slab_areas(rings: list[np.ndarray], window: tuple[float, float, float, float
     return union, inside
 
 
+def even_odd_pieces(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Closed convex rings that together cover what an odd number of the rings go round, and share no inside.
+
+    The plane is cut at corners and crossings. Between two edges that stay neighbours from cut to cut lies one piece, a
+    triangle or a trapezoid with upright sides.
+    """
+    rings = [r for r in rings if len(r) > 3 and np.isfinite(r).all()]
+    if not rings:
+        return []
+    origin = rings[0][0]  # near it, large coordinates lose no digits
+    e = np.concatenate([np.column_stack([r[:-1], r[1:]]) - np.tile(origin, 2) for r in rings])
+    swap = e[:, 0] > e[:, 2]
+    e[swap] = e[swap][:, [2, 3, 0, 1]]
+    e = e[e[:, 0] < e[:, 2]]
+    slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+
+    def height(k, x):
+        return np.where(x == e[k, 2], e[k, 3], e[k, 1] + (x - e[k, 0]) * slope[k])
+
+    cuts = [e[:, 0], e[:, 2]]
+    for k in range(len(e) - 1):
+        others = np.arange(k + 1, len(e))
+        low, high = np.maximum(e[k, 0], e[others, 0]), np.minimum(e[k, 2], e[others, 2])
+        others, low, high = others[low < high], low[low < high], high[low < high]
+        before, after = height(np.full(len(others), k), low) - height(others, low), height(np.full(len(others), k), high) - height(others, high)
+        over = before * after < 0
+        cuts.append(low[over] + (high - low)[over] * (before / np.where(over, before - after, 1))[over])
+    xs = np.unique(np.concatenate(cuts))
+    begun: dict[tuple[int, int], float] = {}
+    out: list[np.ndarray] = []
+
+    def end(pair: tuple[int, int], x1: float) -> None:
+        x0 = begun.pop(pair)
+        (a, b), (c, d) = ([float(height(k, x)) for x in (x0, x1)] for k in pair)
+        ring = np.array([(x0, a), (x1, b), (x1, d), (x0, c), (x0, a)])
+        ring = ring[np.r_[True, (np.diff(ring, axis=0) != 0).any(1)]]
+        if len(ring) > 3 and _area(ring) > 0:
+            out.append(ring + origin)
+
+    for x0, x1 in zip(xs[:-1], xs[1:]):
+        middle = (x0 + x1) / 2
+        if not x0 < middle < x1:  # no room between neighbouring numbers
+            continue
+        there = np.flatnonzero((e[:, 0] < middle) & (e[:, 2] > middle))
+        there = there[np.argsort(height(there, middle), kind="stable")].tolist()
+        now = set(zip(there[0::2], there[1::2]))
+        for pair in [p for p in begun if p not in now]:
+            end(pair, x0)
+        for pair in now:
+            begun.setdefault(pair, x0)
+    for pair in list(begun):
+        end(pair, xs[-1])
+    return out
+
+
+@listed(f"array<{RING}>", pa.list_(pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))))
+def pieces(shapes: pd.Series) -> pd.Series:
+    """Each shape's inside by the even-odd rule, in convex rings."""
+    made = shapes.map(lambda rings: even_odd_pieces([_ring(r) for r in rings]) if rings is not None else [])
+    return made.map(lambda rings: [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings])
+
+
+@listed("boolean", pa.bool_())
+def is_valid_shape(shapes: pd.Series) -> pd.Series:
+    """Whether there are rings, each is valid by itself, and no edge of one crosses an edge of another."""
+
+    def crossed(a: np.ndarray, b: np.ndarray) -> bool:
+        p, q, r, s = a[:-1, None], a[1:, None], b[None, :-1], b[None, 1:]
+        side = lambda o, d, v: np.sign((d - o)[..., 0] * (v - o)[..., 1] - (d - o)[..., 1] * (v - o)[..., 0])
+        return bool(((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any())
+
+    def one(rings) -> bool:
+        if rings is None or not len(rings) or not all(_is_valid(r) for r in rings):
+            return False
+        points = [_ring(r) for r in rings]
+        return not any(crossed(a, b) for k, a in enumerate(points) for b in points[:k])
+
+    return shapes.map(one)
+
+
 def _joined(spans: np.ndarray) -> np.ndarray:
     """Intervals as disjoint ones, in order."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]

@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, features, jobs, linking, paging, projects, rules, versions
+from ..operators import access, cadastre, dashboard, extraction, features, jobs, linking, paging, projects, rules, shapes, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -732,6 +732,49 @@ def resolve_links(spark: SparkSession, d: str) -> DataFrame:
     return linking.resolve_links(rows.drop("decision"), rows.filter("decision IS NOT NULL").select("link_id", "decision"))
 
 
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """The rectangles as frames: a hole begins two units inside."""
+    x0, y0, x1, y1 = map(F.col, ("x0", "y0", "x1", "y1"))
+    return _boxes(spark, d).select(F.col("parcel_id").alias("shape_id"), "x0", "y0", "x1", "y1", F.array(G.rectangle(x0, y0, x1, y1), G.rectangle(x0 + 2, y0 + 2, x1 - 2, y1 - 2)).alias("rings"))
+
+
+_HOLED = f"""{_BOXES}, r AS (SELECT id, 1 AS sign, x0, y0, x1, y1 FROM b UNION ALL SELECT id, -1, x0 + 2, y0 + 2, x1 - 2, y1 - 2 FROM b)"""
+
+
+@query(f"""
+WITH {_BOXES}
+SELECT id AS shape_id, CASE id % 3 WHEN 0 THEN 'VALID' WHEN 1 THEN 'REPAIRED' ELSE 'EMPTY_GEOMETRY' END AS status, CASE id % 3 WHEN 0 THEN (x1 - x0) * (y1 - y0) - (x1 - x0 - 4) * (y1 - y0 - 4) WHEN 1 THEN (x1 - x0) * (y1 - y0) / 2 ELSE 0 END AS area,
+  CAST(CASE id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS pieces FROM b
+""")
+def shape_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, bow-ties and lines there and back."""
+    x0, y0, x1, y1, kind = F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("shape_id") % 3
+    bow = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x1, y0), G.point(x0, y1), G.point(x0, y0)))
+    line = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x0, y0), G.point(x0, y0)))
+    given = _frames(spark, d).withColumn("rings", F.when(kind == 0, F.col("rings")).when(kind == 1, bow).otherwise(line))
+    return shapes.normalized(given).select("shape_id", "status", F.round("area", 6).alias("area"), F.size("pieces").cast("long").alias("pieces"))
+
+
+@query(f"""
+WITH {_HOLED}, o AS (SELECT l.id AS left_id, r.id AS right_id, sum(l.sign * r.sign * (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0))) AS area
+  FROM r l JOIN r ON l.id < r.id AND l.x0 < r.x1 AND r.x0 < l.x1 AND l.y0 < r.y1 AND r.y0 < l.y1 GROUP BY 1, 2)
+SELECT left_id, right_id, round(area, 6) AS area FROM o WHERE area > 0.01
+""")
+def shape_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that reach into each other's sides or holes."""
+    return shapes.overlaps(_frames(spark, d), cell=20.0).withColumn("area", F.round("area", 6))
+
+
+@query(f"""
+WITH {_BOXES}, g AS (SELECT x.range AS x, y.range AS y FROM range(-5, 600) x, range(-5, 600) y),
+c AS (SELECT DISTINCT x, y FROM g JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND NOT (x >= x0 + 2 AND x < x1 - 2 AND y >= y0 + 2 AND y < y1 - 2))
+SELECT CAST(count(*) FILTER (x >= 0 AND x < 490 AND y >= 0 AND y < 20) AS DOUBLE) AS covered_m2, 9800.0::DOUBLE - count(*) FILTER (x >= 0 AND x < 490 AND y >= 0 AND y < 20) AS gap_m2, CAST(count(*) FILTER (NOT (x >= 0 AND x < 490 AND y >= 0 AND y < 20)) AS DOUBLE) AS outside_m2 FROM c
+""")
+def shape_union(spark: SparkSession, d: str) -> DataFrame:
+    """What the frames' union covers of the project and leaves open, by unit squares in the SQL."""
+    return shapes.union_coverage(_frames(spark, d), _EDGE).select(*(F.round(c, 6).alias(c) for c in ("covered_m2", "gap_m2", "outside_m2")))
+
+
 @query("""
 WITH e AS (SELECT event_id, user_id, event_id % 3 AS expected FROM events), j AS (SELECT e.*, CASE WHEN u IS NOT NULL THEN 1 END AS now FROM e LEFT JOIN (SELECT DISTINCT c_custkey AS u FROM customer) ON user_id = u),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, expected = now ORDER BY event_id) AS n FROM j)
