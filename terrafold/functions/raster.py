@@ -169,3 +169,16 @@ def segmentation_scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
         precision.alias("precision"),
         recall.alias("recall"),
     ]
+
+
+def mask_refusal(values: Column) -> Column:
+    """Why a mask's values are no probabilities, null if they are: NO_VALUES, NON_FINITE, OUT_OF_RANGE (neither 0 to 1 nor 0 to 255) or NEGATIVE."""
+    least, most = F.array_min(values), F.array_max(values)
+    odd = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.when(values.isNull() | (F.size(values) == 0), "NO_VALUES").when(odd, "NON_FINITE").when((most > 1) & ((most > 255) | (least < 0)), "OUT_OF_RANGE").when(least < 0, "NEGATIVE")
+
+
+def probabilities(values: Column) -> Column:
+    """A mask's values from 0 to 1: those above 1 at most make it an 8-bit one, divided by 255. Null for a refused mask."""
+    scale = F.when(F.array_max(values) > 1, 255.0).otherwise(1.0)
+    return F.when(mask_refusal(values).isNull(), F.transform(values, lambda v: v.cast("double") / scale))

@@ -1244,3 +1244,21 @@ def mismatch_ranking(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").filter("l_quantity > 0").select("l_partkey", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("link_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("document_area_m2"))
     found = linking.area_mismatches(lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("parcel_area_m2")), "l_partkey"))
     return paging.page(found, F.desc("relative_difference"), "link_id", limit=100).select("link_id", "relative_difference")
+
+
+@query("""
+WITH m AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN list_transform(embedding, lambda v: abs(v::DOUBLE)) WHEN 1 THEN list_transform(embedding, lambda v: abs(v::DOUBLE) * 400) WHEN 2 THEN list_transform(embedding, lambda v: v::DOUBLE * 400)
+  WHEN 3 THEN list_append(list_transform(embedding, lambda v: abs(v::DOUBLE)), 'inf'::DOUBLE) ELSE list_transform(embedding, lambda v: v::DOUBLE / 100) END AS v FROM embeddings),
+r AS (SELECT vec_id, v, CASE WHEN v IS NULL OR len(v) = 0 THEN 'NO_VALUES' WHEN list_bool_or(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x))) THEN 'NON_FINITE' WHEN list_max(v) > 1 AND (list_max(v) > 255 OR list_min(v) < 0) THEN 'OUT_OF_RANGE' WHEN list_min(v) < 0 THEN 'NEGATIVE' END AS refusal FROM m)
+SELECT vec_id AS mask_id, refusal, CASE WHEN refusal IS NULL THEN CAST(len(list_filter(v, lambda x: x / CASE WHEN list_max(v) > 1 THEN 255.0::DOUBLE ELSE 1.0::DOUBLE END >= 0.1::DOUBLE)) AS BIGINT) END AS pixels FROM r
+""")
+def mask_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as masks: fractions, 8-bit values, signed and infinite ones."""
+    kind, raw = F.col("vec_id") % 5, F.col("embedding").cast("array<double>")
+    size = F.transform(raw, F.abs)
+    wide = F.transform(size, lambda v: v * 400)
+    values = F.when(kind == 0, size).when(kind == 1, wide).when(kind == 2, F.transform(raw, lambda v: v * 400)).when(kind == 3, F.concat(size, F.array(F.lit(float("inf"))))).otherwise(F.transform(raw, lambda v: v / 100))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("mask_id"), values.alias("values"))
+    inside = F.size(F.filter(R.probabilities(F.col("values")), lambda p: p >= 0.1)).cast("long")
+    refusal = R.mask_refusal(F.col("values"))
+    return rows.select("mask_id", refusal.alias("refusal"), F.when(refusal.isNull(), inside).alias("pixels"))

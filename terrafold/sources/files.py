@@ -6,9 +6,11 @@ models that aren't part of this package: `pages` and `recognise` take them as fu
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,40 @@ def pages(files: DataFrame, render: Callable[[bytes, str, int], list[bytes]], dp
     return files.select("source_id", "suffix", "content").mapInPandas(work, PAGES)
 
 
+MASKS = "source_id string, height int, width int, values array<double>, error string"
+
+
+def masks(files: DataFrame, decode: Callable[[bytes, str], np.ndarray] | None = None) -> DataFrame:
+    """A row a mask file: height, width and values row by row, or the error of a file that isn't one channel of two dimensions.
+
+    NumPy files are read as they are, never as pickled objects; other images take a decoder (content, suffix) -> array.
+    """
+
+    def grid(content: bytes, suffix: str) -> np.ndarray:
+        if suffix == ".npy":
+            found = np.load(io.BytesIO(content), allow_pickle=False)
+        elif decode:
+            found = np.asarray(decode(content, suffix))
+        else:
+            raise ValueError("no decoder")
+        found = found[:, :, 0] if found.ndim == 3 and found.shape[2] == 1 else found
+        if found.ndim != 2:
+            raise ValueError("not one channel")
+        return found.astype(float)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source_id, suffix, content in zip(batch["source_id"], batch["suffix"], batch["content"]):
+                try:
+                    found = grid(content, suffix)
+                    row = (source_id, *found.shape, found.ravel(), None)
+                except Exception as error:  # a bad file is a result, not the end of the job
+                    row = (source_id, None, None, None, type(error).__name__)
+                yield pd.DataFrame([row], columns=["source_id", "height", "width", "values", "error"]).astype({"height": "Int32", "width": "Int32"})
+
+    return files.select("source_id", "suffix", "content").mapInPandas(work, MASKS)
+
+
 def recognise(page_rows: DataFrame, engine: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
     """Tokens of pages by an engine, made once a task: image -> [{text, confidence, left, top, width, height}, ...]."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import redact_json
@@ -45,6 +45,18 @@ def append_once(existing: DataFrame, rows: DataFrame, key: list[str], path: str)
     rows.dropDuplicates(key).join(existing.select(*key), key, "left_anti").write.mode("append").parquet(path)
 
 
+def private_objects(existing: DataFrame, objects: DataFrame) -> DataFrame:
+    """Objects (storage_key, content_type, content) as they would be stored, with size_bytes, sha256 and `refused`.
+
+    A key that is stored already, or that comes again in the batch, is refused: originals are never replaced. Of a batch's objects of one key the one
+    of least sha256 goes in. Store those that aren't refused with append_once, which checks the keys once more.
+    """
+    stored = existing.select("storage_key", F.lit(True).alias("_stored")).distinct()
+    rows = objects.withColumn("size_bytes", F.length("content").cast("long")).withColumn("sha256", F.sha2("content", 256)).join(stored, "storage_key", "left")
+    place = F.row_number().over(Window.partitionBy("storage_key").orderBy("sha256"))
+    return rows.withColumn("refused", F.coalesce("_stored", F.lit(False)) | (place > 1)).drop("_stored")
+
+
 def audit_rows(rows: DataFrame) -> DataFrame:
     """Audit rows with their metadata redacted, ready to append."""
     return rows.withColumn("metadata_json", redact_json(F.col("metadata_json")))

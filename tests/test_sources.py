@@ -1,9 +1,11 @@
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.functions import raster
 from terrafold.operators import extraction
 from terrafold.sources import files, sinks
 
@@ -106,3 +108,25 @@ def test_append_once(spark, tmp_path):
     for _ in range(2):
         sinks.append_once(spark.read.parquet(path), rows, ["k"], path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_masks_and_their_ranges(spark, tmp_path):
+    for name, grid in (("a.npy", np.array([[0, 255], [51, 102]], np.uint8)), ("b.npy", np.zeros((2, 2, 3))), ("c.npy", np.full((1, 2, 1), 0.5, np.float32)), ("d.npy", np.array([[None]], object))):
+        np.save(tmp_path / name, grid)
+    (tmp_path / "e.png").write_bytes(b"?")
+    found = files.masks(files.binary_files(spark, str(tmp_path)))
+    got = {r["source_id"]: r for r in found.withColumn("p", raster.probabilities(F.col("values"))).collect()}
+    assert (got["a.npy"]["height"], got["a.npy"]["width"], got["a.npy"]["p"]) == (2, 2, [0.0, 1.0, 0.2, 0.4])
+    assert (got["c.npy"]["height"], got["c.npy"]["values"]) == (1, [0.5, 0.5])
+    assert {k: r["error"] for k, r in got.items()} == {"a.npy": None, "b.npy": "ValueError", "c.npy": None, "d.npy": "ValueError", "e.png": "ValueError"}
+    decoded = files.masks(files.binary_files(spark, str(tmp_path), "*.png"), lambda content, suffix: [[len(content)]]).first()
+    assert (decoded["values"], decoded["error"]) == ([1.0], None)
+    odd = spark.createDataFrame([(1, []), (2, None), (3, [0.1, None]), (4, [float("nan")]), (5, [300.0]), (6, [-1.0, 2.0]), (7, [-0.1]), (8, [0.0, 1.0])], "k int, v array<double>")
+    assert {r["k"]: r["why"] for r in odd.select("k", raster.mask_refusal(F.col("v")).alias("why")).collect()} == {1: "NO_VALUES", 2: "NO_VALUES", 3: "NON_FINITE", 4: "NON_FINITE", 5: "OUT_OF_RANGE", 6: "OUT_OF_RANGE", 7: "NEGATIVE", 8: None}
+
+
+def test_originals_are_never_replaced(spark):
+    existing = spark.createDataFrame([("k1",)], "storage_key string")
+    objects = spark.createDataFrame([("k1", "t", b"x"), ("k2", "t", b"y"), ("k2", "t", b"y"), ("k3", None, b"")], "storage_key string, content_type string, content binary")
+    got = sorted((r["storage_key"], r["size_bytes"], r["refused"]) for r in sinks.private_objects(existing, objects).collect())
+    assert got == [("k1", 1, True), ("k2", 1, False), ("k2", 1, True), ("k3", 0, False)]
