@@ -171,9 +171,10 @@ def labels_by_length() -> list[tuple[int, str, str]]:
     return [(k, field, label) for k, (field, label) in enumerate(sorted(flat, key=lambda x: -len(x[1])))]
 
 
-def inline_value(line: Column, label: str) -> Column:
-    """The value after an inline label, null where the line doesn't start with it."""
-    value = trimmed(F.regexp_extract(line, label_pattern(label), 1))
+def inline_value(line: Column, label: str | Column) -> Column:
+    """The value after an inline label (its text, or a column of its label_pattern), null where the line doesn't start with it."""
+    pattern = F.lit(label_pattern(label)) if isinstance(label, str) else label
+    value = trimmed(F.call_function("regexp_extract", line, pattern, F.lit(1)))
     return F.when(F.length(value) > 0, value)
 
 
