@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import link_score, relative_difference
 
-#: Field names that identify a record, and administrative fields with their aliases.
+#: Field names that identify a record, administrative fields with their aliases, states of active links, and the names of policy and method.
 IDENTIFIER_FIELDS = ("survey_number", "cadastral_identifier", "parcel_identifier", "khasra_number", "khata_number")
 ADMIN_FIELDS = {"village": ("village",), "tehsil": ("tehsil", "taluk", "tahsil"), "district": ("district",)}
 ACTIVE_LINKS = ("SUGGESTED", "REVIEW_REQUIRED", "CONFIRMED")
