@@ -26,21 +26,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(scratch: Scratch, links: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame, tag: str) -> DataFrame:
     """(node, component): every node of the links (a, b) with the smallest node it can reach; other nodes are absent.
 
-    Rounds shrink every path's length by a constant factor; each is a written table, so lineage stays
-    short and nothing but two sums reaches the driver. No links give an empty table.
+    Rounds shrink every path's length by a constant factor, so they are few, and go on until one changes nothing; each is a written
+    table, so lineage stays short and nothing but a count and two checksums reaches the driver. Nodes are any longs, negative ones and the
+    ends of the range too. No links give an empty table.
     """
     edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{tag}-0")
-    seen = None
-    for k in range(1, max_rounds):
+    seen, k = None, 0
+    while True:
+        k += 1
         edges = scratch.table(_small_star(_large_star(edges)), f"{tag}-{k}")
-        now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first()
+        # checksums that no id can make overflow
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         scratch.drop(f"{tag}-{k - 1}")
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -40,6 +40,35 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Populations that numpy's hypergeometric draws take.
+NUMPY_MOST = 10**9
+
+
+def draw_without_replacement(rng: np.random.Generator, good: int, bad: int, need: int, most: int = NUMPY_MOST) -> int:
+    """How many of `need` items drawn from good + bad are good: the hypergeometric law for populations of any size.
+
+    Large populations are thinned: every item is taken with probability need / (good + bad), by two binomial draws. Given how many were
+    taken, they are a uniform sample; those too many are put back, or those lacking are drawn from the rest, again without replacement.
+    What is lacking is about the root of `need`, so a few rounds lead to draws one by one.
+    """
+    total = good + bad
+    if not 0 <= need <= total:
+        raise ValueError(f"{need} of {total} can't be drawn")
+    if total < most:
+        return int(rng.hypergeometric(good, bad, need)) if total else 0
+    if 2 * need > total:  # what stays is a sample too
+        return good - draw_without_replacement(rng, good, bad, total - need, most)
+    if need <= 64:
+        taken = 0
+        for k in range(need):
+            taken += int(rng.integers(0, total - k)) < good - taken
+        return taken
+    g, b = int(rng.binomial(good, need / total)), int(rng.binomial(bad, need / total))
+    if g + b >= need:
+        return g - draw_without_replacement(rng, g, b, g + b - need, most)
+    return g + draw_without_replacement(rng, good - g, bad - b, need - g - b, most)
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int, totals: np.ndarray | None = None) -> np.ndarray:
     """(shard, source) block counts with the quotas as column sums, drawn down a binary tree over the shards.
 
@@ -58,7 +87,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int, totals: np.ndarray |
         left = np.zeros_like(counts)
         for i, c in enumerate(counts.tolist()):  # the law's margins, one source after the other
             pool -= c
-            left[i] = rng.hypergeometric(c, pool, need) if need and c and pool else min(need, c)
+            left[i] = draw_without_replacement(rng, c, pool, need)
             need -= int(left[i])
         down(first, middle, left)
         down(middle, last, counts - left)

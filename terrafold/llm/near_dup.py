@@ -397,8 +397,10 @@ def keep_one(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: int = SH
     made = F.shiftright(text, 2).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     several = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("h")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("_least"), F.max("h").alias("most")).filter("_least < most")
     several = scratch.table(several.select(F.col("doc_id").alias("_id"), "_least"), "several")
-    keyed = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text").join(several, "_id", "left")
-    keyed = keyed.select("_row", "text", F.when(F.col("_id").isNull() | (text != F.col("_least")), made).otherwise(F.col("_id")).alias("_key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
+    keyed = rows.filter("_id IS NOT NULL").join(several, "_id", "left").select("_row", "text", F.when(text != F.col("_least"), made).otherwise(F.col("_id")).alias("_key"))
+    # rows without id stay out of the join, where they would be one key
+    keyed = keyed.unionByName(rows.filter("_id IS NULL").select("_row", "text", made.alias("_key")))
     found = scratch.table(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), percent, k, size).select("doc_id", "kept"), "kept")
     # rows of other keys than these stay as they are, and don't move
     touched = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("kept").alias("kept")).filter("rows > 1 OR NOT kept").select("doc_id", "kept"), "touched")
@@ -406,5 +408,6 @@ def keep_one(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: int = SH
     rows = _marked(keyed, "_key", touched, count) if count <= MAP_IDS else keyed.withColumn("_may", F.lit(True))
     calm = rows.filter("NOT _may").select("_row.*")
     judged = rows.filter("_may").join(touched.withColumnRenamed("doc_id", "_key"), "_key", "left").filter("kept IS NULL OR kept")
-    once = judged.filter("kept").groupBy("_key").agg(F.min(F.col("_row")).alias("_row")).select("_row.*")
+    # of rows that repeat, the one of least hash: columns may hold maps, which have no order
+    once = judged.filter("kept").groupBy("_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")
     return calm.unionByName(judged.filter("kept IS NULL").select("_row.*")).unionByName(once)

@@ -62,6 +62,31 @@ def test_quotas_split_exactly():
     assert abs(mean[0] - 100) < 3 and abs(mean[1] - 25) < 3
 
 
+def test_draws_follow_the_law_at_any_size():
+    """Thinned draws have the mean and the spread of numpy's, exactly the same support, and no limit."""
+    rng = np.random.default_rng(3)
+    for good, bad, need in ((900, 400, 300), (900, 400, 1100), (5000, 20, 4000), (3, 4000, 2000), (70, 70, 70)):
+        got = np.array([mixing.draw_without_replacement(rng, good, bad, need, most=0) for _ in range(4000)])
+        want = rng.hypergeometric(good, bad, need, 40_000)
+        p = good / (good + bad)
+        spread = np.sqrt(need * p * (1 - p) * (good + bad - need) / (good + bad - 1))
+        assert abs(got.mean() - need * p) < 5 * spread / np.sqrt(len(got)) and 0.93 < got.std() / want.std() < 1.07
+        assert got.min() >= max(0, need - bad) and got.max() <= min(good, need)
+    exact = np.bincount([mixing.draw_without_replacement(rng, 3, 4, 3, most=0) for _ in range(35_000)], minlength=4) / 35_000
+    assert np.abs(exact - np.array([4, 18, 12, 1]) / 35).max() < 0.012  # C(3,g) C(4,3-g) / C(7,3)
+    assert mixing.draw_without_replacement(rng, 0, 0, 0) == 0
+    n = 10**13
+    assert abs(mixing.draw_without_replacement(rng, n, 3 * n, 2 * n) - n // 2) < 10**8
+
+
+def test_quotas_beyond_a_thousand_million_blocks():
+    counts = mixing.split_quotas([163_840_000] * 8 + [10**12, 5], 16, 1)
+    assert counts.sum(0).tolist() == [163_840_000] * 8 + [10**12, 5] and counts.min() >= 0
+    total = counts.sum(1)
+    assert total.max() - total.min() <= 16
+    assert np.abs(counts[:, 8] - 10**12 / 16).max() < 2e6 and np.abs(counts[:, 0] - 163_840_000 / 16).max() < 2e4
+
+
 def size_of(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 

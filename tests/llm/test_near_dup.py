@@ -114,5 +114,24 @@ def test_keep_one_judges_rows_without_ids_and_ids_with_several_texts(spark):
     assert sum(g[2] == b[:9] for g in got) == 1
 
 
+def test_ids_at_both_ends_of_the_range(spark):
+    """Sums of such ids pass 64 bits."""
+    rng = random.Random(21)
+    bases = [words(rng, 60) for _ in range(6)]
+    at = [2**62, 2**63 - 40, -(2**63), -(2**62), -20, 2**40]
+    rows = [(at[g] + k, bases[g] + (" tail" if k % 2 else "")) for g in range(6) for k in range(5)]
+    rng.shuffle(rows)
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, 85)
+
+
+def test_keep_one_over_several_groups_without_ids_and_columns_without_order(spark):
+    rng = random.Random(22)
+    bases = [words(rng, 60) for _ in range(8)]
+    rows = [(None if k < 3 else 2**62 + 10 * g + k, b + (" tail" if k % 2 else ""), {"k": k}) for g, b in enumerate(bases) for k in range(3 + g % 2)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more map<string, int>")).collect()
+    assert sorted(next(g for g, b in enumerate(bases) if r["text"].startswith(b)) for r in kept) == list(range(8))
+    assert all(r["more"]["k"] >= 0 for r in kept)
+
+
 def test_empty_table(no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
