@@ -291,6 +291,19 @@ def parts_length(parts: pd.Series, codes: pd.Series) -> pd.Series:
     return pd.Series([_measured(p, c, False) for p, c in zip(parts, codes)], dtype="float64")
 
 
+@listed("double", pa.float64())
+def polygons_area_metres(polygons: pd.Series, codes: pd.Series) -> pd.Series:
+    """Square metres of polygons, each its outer ring and then its holes, which are taken off; null if one has no measure, 0 for none."""
+
+    def one(parts, code) -> float | None:
+        if parts is None or code is None or code != code:
+            return None
+        each = [(_measure(_ring(ring), code, True), k) for polygon in parts for k, ring in enumerate(polygon)]
+        return None if any(a is None for a, _ in each) else float(sum(-a if k else a for a, k in each))
+
+    return pd.Series([one(p, c) for p, c in zip(polygons, codes)], dtype="float64")
+
+
 def _measured(parts, code, area: bool) -> float | None:
     each = [_measure(_ring(p), code, area) for p in parts] if parts is not None else []
     return sum(each) if each and None not in each else None

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.overlay import overlay
 from ..functions.raster import components, outlines
 from ..functions.scores import percent_change
 
@@ -59,18 +60,44 @@ def feature_space(source_crs: Column, declared: Column) -> Column:
     return F.when(source_crs.isNotNull(), "WORLD").when(declared.isin(*SPACES), declared).otherwise("LOCAL")
 
 
-def _common_cells(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Rows of left (lr, lb, ...) and right (rr, rb, ...) whose boxes overlap, each pair once."""
-    span = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
+#: Rings that coverage takes in one cell before it is cut.
+CELL_RINGS = 256
+#: Levels of the grid: cells have sides of 2**level; larger boxes take several cells of the last.
+LEVELS = (-40, 60)
 
-    def gridded(rows: DataFrame, b: str) -> DataFrame:
-        return rows.select("*", F.explode(F.sequence(span(f"{b}.x0"), span(f"{b}.x1"))).alias("cx")).select("*", F.explode(F.sequence(span(f"{b}.y0"), span(f"{b}.y1"))).alias("cy"))
 
-    pairs = gridded(left, "lb").join(gridded(right, "rb"), ["cx", "cy"])
+def _common_cells(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """Rows of left (lr, lb, ...) and right (rr, rb, ...) whose boxes overlap, each pair once.
+
+    A hierarchical grid: a box lies in the cells, four at most, of the level of its own size, and visits those that it touches on coarser
+    levels that the other side has. A pair meets on the level of its larger box, so rows a box are bounded whatever sizes are mixed.
+    `cell` is the least side of a cell; without it every box has the level of its size.
+    """
+    unit, (least, most) = cell or 1.0, (0 if cell else LEVELS[0], LEVELS[1])
+
+    def level(b: str) -> Column:
+        side = F.greatest(F.col(f"{b}.x1") - F.col(f"{b}.x0"), F.col(f"{b}.y1") - F.col(f"{b}.y0"))
+        return F.coalesce(F.least(F.greatest(F.ceil(F.log2(F.when(side > 0, side / unit))), F.lit(least)), F.lit(most)), F.lit(least)).cast("int")
+
+    def gridded(rows: DataFrame, b: str, levels: Column) -> DataFrame:
+        side = F.pow(F.lit(2.0), F.col("lv")) * unit
+        span = lambda c: F.floor(F.col(f"{b}.{c}") / side).cast("long")
+        placed = rows.select("*", F.explode(levels).alias("lv"))
+        return placed.select("*", F.explode(F.sequence(span("x0"), span("x1"))).alias("cx")).select("*", F.explode(F.sequence(span("y0"), span("y1"))).alias("cy"))
+
+    left, right = (rows.withColumn(f"{b}_lv", level(b)).filter(F.col(f"{b}.x0").isNotNull()) for rows, b in ((left, "lb"), (right, "rb")))
+    present = [sorted(x for x in (rows.agg(F.collect_set(f"{b}_lv")).first()[0])) for rows, b in ((left, "lb"), (right, "rb"))]  # a hundred numbers at most
+    coarser = lambda b, there: F.filter(F.array(*map(F.lit, there)) if there else F.array().cast("array<int>"), lambda v: v > F.col(f"{b}_lv"))
+    own = lambda b: F.array(f"{b}_lv")
+    # the right box is the larger one or as large, or the left one is larger
+    first = gridded(left, "lb", F.concat(own("lb"), coarser("lb", present[1]))).join(gridded(right, "rb", own("rb")), ["lv", "cx", "cy"])
+    second = gridded(left, "lb", own("lb")).join(gridded(right, "rb", coarser("rb", present[0])), ["lv", "cx", "cy"]) if any(x > y for x in present[0] for y in present[1]) else None
+    pairs = first if second is None else first.unionByName(second)
     low_x, low_y = F.greatest("lb.x0", "rb.x0"), F.greatest("lb.y0", "rb.y0")
     pairs = pairs.filter((low_x < F.least("lb.x1", "rb.x1")) & (low_y < F.least("lb.y1", "rb.y1")))
     # a pair that shares several cells stays in the one with the boxes' common lower corner
-    return pairs.filter((F.floor(low_x / F.lit(cell)) == F.col("cx")) & (F.floor(low_y / F.lit(cell)) == F.col("cy")))
+    side = F.pow(F.lit(2.0), F.col("lv")) * unit
+    return pairs.filter((F.floor(low_x / side) == F.col("cx")) & (F.floor(low_y / side) == F.col("cy"))).drop("lv", "lb_lv", "rb_lv")
 
 
 def _cell(boxes: DataFrame) -> float:
@@ -82,19 +109,16 @@ def _cell(boxes: DataFrame) -> float:
 def overlaps(parcels: DataFrame, cell: float | None = None, area=None, tolerance: float = 0.01) -> DataFrame:
     """(left_id, right_id, area_m2) of parcels (parcel_id, ring) whose interiors overlap by more than tolerance.
 
-    `area` makes square metres of the common ring (planar by default); a null area counts as an overlap. Where both rings are
-    concave there is no common ring: the planar area decides, and with `area` given such an overlap's area is null.
+    `area` makes square metres of the common part's polygons (planar by default); a null area counts as an overlap.
     """
     boxed = parcels.select("parcel_id", "ring", G.bounds(F.col("ring")).alias("b"))
-    cell = _cell(boxed) if cell is None else cell
     left = boxed.select(F.col("parcel_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"))
     right = boxed.select(F.col("parcel_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"))
     pairs = _common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id"))
     if area is None:
         return pairs.withColumn("area_m2", G.overlap_area(F.col("lr"), F.col("rr"))).filter(F.col("area_m2") > tolerance).select("left_id", "right_id", "area_m2")
-    common = pairs.withColumn("part", G.intersection(F.col("lr"), F.col("rr"))).withColumn("planar", G.overlap_area(F.col("lr"), F.col("rr")))
-    found = common.filter(F.col("planar") > F.lit(1e-9) * F.least(G.planar_area(F.col("lr")), G.planar_area(F.col("rr")))).withColumn("area_m2", F.when(F.col("part").isNotNull(), area(F.col("part"))))
-    return found.filter(F.col("area_m2").isNull() | (F.col("area_m2") > tolerance)).select("left_id", "right_id", "area_m2")
+    common = pairs.select("left_id", "right_id", overlay("intersection")(F.array("lr"), F.array("rr")).alias("part")).filter(F.size("part") > 0)
+    return common.select("left_id", "right_id", area(F.col("part")).alias("area_m2")).filter(F.col("area_m2").isNull() | (F.col("area_m2") > tolerance))
 
 
 def topology_issues(parcels: DataFrame, boundary=None, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
@@ -125,21 +149,35 @@ def coverage(parcels: DataFrame, boundary: list[tuple[float, float]], cell: floa
     """One row for valid rings (ring): their union's covered, gap and outside area against a boundary ring of (x, y).
 
     Rings go to all grid cells that their boxes touch, equal rings once; a cell's union is exact within it, and cells partition the
-    plane, so sums are. Cells are sized from the parcels, wherever they lie, so a cell holds the parcels around one place.
+    plane, so sums are. Cells are sized from the parcels, wherever they lie, so a cell holds the parcels around one place; a cell
+    of more than CELL_RINGS rings is cut into 4, 16, ... cells, as many as its rings call for.
     """
     boxed = parcels.select("ring", G.bounds(F.col("ring")).alias("b"))
     side = 4 * _cell(boxed) if cell is None else cell
     span = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
-    rows = boxed.select("ring", "b", F.explode(F.sequence(span("b.x0"), span("b.x1"))).alias("cx")).select("ring", "cx", F.explode(F.sequence(span("b.y0"), span("b.y1"))).alias("cy")).distinct()
+    rows = boxed.select("ring", "b", F.explode(F.sequence(span("b.x0"), span("b.x1"))).alias("cx")).select("ring", "b", "cx", F.explode(F.sequence(span("b.y0"), span("b.y1"))).alias("cy")).distinct()
+    counts = rows.groupBy("cx", "cy").count()
+    finer = F.ceil(F.log2(F.col("count") / CELL_RINGS) / 2).cast("int")
+    rows = rows.join(counts.select("cx", "cy", F.greatest(finer, F.lit(0)).alias("cut")), ["cx", "cy"])
+    size = F.lit(side) / F.pow(F.lit(2.0), "cut")
+
+    def parts(low: str, high: str, cell_: str) -> Column:
+        """The finer cells of a cell that a box touches, numbered within the plane."""
+        many = F.pow(F.lit(2.0), "cut").cast("long")
+        first = F.col(cell_) * many
+        return F.sequence(F.greatest(F.floor(F.col(low) / size).cast("long"), first), F.least(F.floor(F.col(high) / size).cast("long"), first + many - 1))
+
+    rows = rows.select("ring", "b", "cut", "cy", F.explode(parts("b.x0", "b.x1", "cx")).alias("px")).select("ring", "cut", "px", F.explode(parts("b.y0", "b.y1", "cy")).alias("py"))
     mask = np.array(boundary, float)
 
     def measure(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cx, cy = key
+        cut, cx, cy = (float(k) for k in key)
+        side_ = side / 2.0**cut
         rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in part["ring"]]
-        union, inside = G.slab_areas(rings, (cx * side, cy * side, (cx + 1) * side, (cy + 1) * side), mask)
+        union, inside = G.slab_areas(rings, (cx * side_, cy * side_, (cx + 1) * side_, (cy + 1) * side_), mask)
         return pd.DataFrame({"union": [union], "inside": [inside]})
 
-    sums = rows.groupBy("cx", "cy").applyInPandas(measure, "union double, inside double").agg(F.coalesce(F.sum("union"), F.lit(0.0)).alias("union"), F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"))
+    sums = rows.groupBy("cut", "px", "py").applyInPandas(measure, "union double, inside double").agg(F.coalesce(F.sum("union"), F.lit(0.0)).alias("union"), F.coalesce(F.sum("inside"), F.lit(0.0)).alias("inside"))
     whole = abs(float(np.sum(mask[:-1, 0] * mask[1:, 1] - mask[1:, 0] * mask[:-1, 1]))) / 2
     return sums.select(F.col("inside").alias("covered_m2"), (F.lit(whole) - F.col("inside")).alias("gap_m2"), (F.col("union") - F.col("inside")).alias("outside_m2"))
 
@@ -177,7 +215,6 @@ def edit_issues(edits: DataFrame, boundaries: DataFrame | None = None, neighbour
         out = out.unionByName(outside.select("parcel_id", F.lit("OUTSIDE_PROJECT_BOUNDARY").alias("code"), review, none.alias("neighbour_id"), "area_m2"))
     if neighbours is not None:
         right = neighbours.select(F.col("parcel_id").alias("neighbour_id"), F.col("ring").alias("rr"), G.bounds(F.col("ring")).alias("rb"))
-        cell = _cell(right.select(F.col("rb").alias("b"))) if cell is None else cell
         left = fine.select("parcel_id", F.col("after").alias("lr"), G.bounds(F.col("after")).alias("lb"))
         met = _common_cells(left, right, cell).filter(F.col("parcel_id") != F.col("neighbour_id")).withColumn("area_m2", G.overlap_area(F.col("lr"), F.col("rr"))).filter(F.col("area_m2") > tolerance)
         out = out.unionByName(met.select("parcel_id", F.lit("NEIGHBOUR_OVERLAP").alias("code"), review, "neighbour_id", "area_m2"))

@@ -3,15 +3,19 @@
 A shape is (shape_id, rings): closed rings in any order and direction. A point is inside where an odd number of them go
 round it, so holes and parts need no marks. Every shape is cut into convex pieces without common inside; areas,
 overlaps and unions are those of the pieces, exact for any rings. Null and empty rings, or rings without area, have no pieces.
+
+Where the geometry itself is wanted, shapes become polygons: outlines of their insides, and overlays of two shapes or of many, each a list of
+outer rings with their holes (functions.overlay).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .cadastre import _cell, _common_cells, coverage
+from ..functions import overlay as O
+from .cadastre import _common_cells, coverage
 
 
 def normalized(shapes: DataFrame) -> DataFrame:
@@ -36,7 +40,6 @@ def overlaps(shapes: DataFrame, tolerance: float = 0.01, cell: float | None = No
     Pieces meet on a grid, so shapes that are apart are never compared; a pair's area is the sum over its pieces.
     """
     boxed = pieces(shapes).select("shape_id", "ring", G.bounds(F.col("ring")).alias("b"))
-    cell = _cell(boxed) if cell is None else cell
     left = boxed.select(F.col("shape_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"))
     right = boxed.select(F.col("shape_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"))
     met = _common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id")).select("left_id", "right_id", G.overlap_area(F.col("lr"), F.col("rr")).alias("area"))
@@ -46,3 +49,69 @@ def overlaps(shapes: DataFrame, tolerance: float = 0.01, cell: float | None = No
 def union_coverage(shapes: DataFrame, boundary: list[tuple[float, float]], cell: float | None = None) -> DataFrame:
     """One row: what the union of all shapes covers of a boundary ring, leaves open, and holds outside of it."""
     return coverage(pieces(shapes), boundary, cell)
+
+
+def repaired(shapes: DataFrame) -> DataFrame:
+    """Shapes with `polygons`, `area` (planar) and `status` as in `normalized`: rings that cross become the outlines of their inside.
+
+    A polygon is its outer ring and then its holes; a shape without area has none.
+    """
+    made = shapes.withColumn("polygons", F.coalesce(O.outline(F.col("rings")), F.array().cast(O.POLYGONS)))
+    status = F.when(F.size("polygons") == 0, "EMPTY_GEOMETRY").when(G.is_valid_shape(F.col("rings")), "VALID").otherwise("REPAIRED")
+    return made.withColumn("area", O.polygons_area(F.col("polygons"))).withColumn("status", status)
+
+
+def overlay(pairs: DataFrame, how: str, left: str = "left", right: str = "right") -> DataFrame:
+    """Pairs of shapes (columns of rings) with `polygons` and `area` of their union, intersection, difference or symmetric_difference."""
+    made = pairs.withColumn("polygons", O.overlay(how)(F.col(left), F.col(right)))
+    return made.withColumn("area", O.polygons_area(F.col("polygons")))
+
+
+def _bounds(rings: Column) -> Column:
+    return G.bounds(F.flatten(rings))
+
+
+def met(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """(left_id, right_id, left, right): rings of shapes (shape_id, rings) of two tables whose boxes overlap, each pair once.
+
+    Ids and boxes alone go through the grid; rings join afterwards. Ids are distinct within a table.
+    """
+    boxes = lambda rows, id_, b: rows.select(F.col("shape_id").alias(id_), _bounds(F.col("rings")).alias(b))
+    pairs = _common_cells(boxes(left, "left_id", "lb"), boxes(right, "right_id", "rb"), cell).select("left_id", "right_id")
+    pairs = pairs.join(left.select(F.col("shape_id").alias("left_id"), F.col("rings").alias("left")), "left_id")
+    return pairs.join(right.select(F.col("shape_id").alias("right_id"), F.col("rings").alias("right")), "right_id")
+
+
+def intersections(shapes: DataFrame, code: Column | None = None, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
+    """(left_id, right_id, polygons, area) of shapes whose insides share more than tolerance, with what they share.
+
+    The area is in square metres by the coordinate system's code, planar without one; a code without measures gives null areas, which stay.
+    """
+    pairs = met(shapes, shapes, cell).filter(F.col("left_id") < F.col("right_id"))
+    found = pairs.select("left_id", "right_id", O.overlay("intersection")(F.col("left"), F.col("right")).alias("polygons")).filter(F.size("polygons") > 0)
+    area = O.polygons_area(F.col("polygons")) if code is None else G.polygons_area_metres(F.col("polygons"), code)
+    return found.withColumn("area", area).filter(F.col("area").isNull() | (F.col("area") > tolerance))
+
+
+def topology(shapes: DataFrame, boundary: list[list[tuple[float, float]]] | None = None, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
+    """(code, severity, shape_ids, area): issues of repaired shapes among each other and against a boundary of several rings.
+
+    Only a shape without area is INVALID_GEOMETRY, all others are judged by their repaired insides: PARCEL_OVERLAP a pair,
+    OUTSIDE_PROJECT_BOUNDARY a shape, and one COVERAGE_GAP without shapes for what the union leaves open of the boundary's outer ring
+    (its first; holes of the boundary are no gaps).
+    """
+    ids = shapes.schema["shape_id"].dataType.simpleString()
+    judged = repaired(shapes).select("shape_id", O.all_rings(F.col("polygons")).alias("rings"), "status")
+    issue = lambda rows, code, severity, who, area: rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), who.cast(f"array<{ids}>").alias("shape_ids"), area.cast("double").alias("area"))
+    fine = judged.filter("status <> 'EMPTY_GEOMETRY'").drop("status")
+    out = issue(judged.filter("status = 'EMPTY_GEOMETRY'"), "INVALID_GEOMETRY", "ERROR", F.array("shape_id"), F.lit(None))
+    out = out.unionByName(issue(intersections(fine, tolerance=tolerance, cell=cell), "PARCEL_OVERLAP", "REVIEW", F.array("left_id", "right_id"), F.col("area")))
+    if boundary is None:
+        return out
+    edge = F.array(*(F.array(*(G.point(F.lit(float(x)), F.lit(float(y))) for x, y in ring)) for ring in boundary))
+    leaves = fine.select("shape_id", O.polygons_area(O.overlay("difference")(F.col("rings"), edge)).alias("area")).filter(F.col("area") > tolerance)
+    holes = F.array(*(F.array(*(G.point(F.lit(float(x)), F.lit(float(y))) for x, y in ring)) for ring in boundary[1:])) if len(boundary) > 1 else None
+    covering = fine if holes is None else fine.unionByName(shapes.sparkSession.range(1).select(F.lit(None).cast(ids).alias("shape_id"), holes.alias("rings")))
+    gap = union_coverage(covering, boundary[0], cell).filter(F.col("gap_m2") > tolerance)
+    out = out.unionByName(issue(leaves, "OUTSIDE_PROJECT_BOUNDARY", "REVIEW", F.array("shape_id"), F.col("area")))
+    return out.unionByName(issue(gap, "COVERAGE_GAP", "REVIEW", F.array(), F.col("gap_m2")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import overlay
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
@@ -672,6 +673,68 @@ def parcel_overlap(spark: SparkSession, d: str) -> DataFrame:
     return cadastre.overlaps(_box_rings(spark, d), cell=20.0).withColumn("area_m2", F.round("area_m2", 6))
 
 
+@query(f"""
+WITH {_BOXES}
+SELECT id AS shape_id, CASE id % 4 WHEN 0 THEN 'VALID' WHEN 3 THEN 'EMPTY_GEOMETRY' ELSE 'REPAIRED' END AS status,
+  CASE id % 4 WHEN 0 THEN (x1 - x0) * (y1 - y0) - (x1 - x0 - 4) * (y1 - y0 - 4) WHEN 1 THEN (x1 - x0) * (y1 - y0) / 2 WHEN 2 THEN 8 ELSE 0 END AS area,
+  CAST(CASE id % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS outer_rings, CAST(CASE id % 4 WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS holes,
+  CAST(CASE id % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 10 ELSE 0 END AS BIGINT) AS points FROM b
+""")
+def shape_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, bow-ties, steps that cross themselves and lines there and back, as outlines with holes."""
+    x0, y0, x1, y1, kind = F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("shape_id") % 4
+    bow = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x1, y0), G.point(x0, y1), G.point(x0, y0)))
+    line = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x0, y0), G.point(x0, y0)))
+    rings = F.when(kind == 0, F.col("rings")).when(kind == 1, bow).when(kind == 2, F.array(_steps(x0, y0))).otherwise(line)
+    made = shapes.repaired(_frames(spark, d).withColumn("rings", rings))
+    holes = F.aggregate("polygons", F.lit(0).cast("long"), lambda n, p: n + F.size(p) - 1)
+    points = F.aggregate("polygons", F.lit(0).cast("long"), lambda n, p: n + F.size(F.flatten(p)))
+    return made.select("shape_id", "status", F.round("area", 6).alias("area"), F.size("polygons").cast("long").alias("outer_rings"), holes.alias("holes"), points.alias("points"))
+
+
+def _steps(x: Column, y: Column) -> Column:
+    """A ring that crosses itself: two squares of side 2 that touch in a corner."""
+    return F.array(*(G.point(x + a, y + b) for a, b in ((0, 0), (2, 0), (2, 4), (4, 4), (4, 2), (0, 2), (0, 0))))
+
+
+#: Unit squares of the frames; SQL counts them.
+_FRAME_CELLS = "c AS (SELECT id, x.range AS x, y.range AS y FROM b, range(-5, 600) x, range(-5, 600) y WHERE x.range >= x0 AND x.range < x1 AND y.range >= y0 AND y.range < y1 AND NOT (x.range >= x0 + 2 AND x.range < x1 - 2 AND y.range >= y0 + 2 AND y.range < y1 - 2))"
+
+
+@query(f"""
+WITH {_BOXES}, {_FRAME_CELLS}, n AS (SELECT id, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY id),
+p AS (SELECT l.id AS left_id, r.id AS right_id, CAST(count(*) AS DOUBLE) AS common FROM c l JOIN c r ON l.x = r.x AND l.y = r.y AND l.id < r.id GROUP BY 1, 2)
+SELECT left_id, right_id, common AS intersection, l.n + r.n - common AS "union", l.n - common AS difference, l.n + r.n - 2 * common AS symmetric_difference
+FROM p JOIN n l ON l.id = left_id JOIN n r ON r.id = right_id
+""")
+def shape_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """All four overlays of frames that share an inside, as areas of the polygons that come out."""
+    frames = _frames(spark, d).select("shape_id", "rings")
+    pairs = shapes.met(frames, frames).filter("left_id < right_id")
+    made = pairs.select("left_id", "right_id", *(F.round(overlay.polygons_area(overlay.overlay(how)(F.col("left"), F.col("right"))), 6).alias(how) for how in overlay.RULES))
+    return made.filter("intersection > 0")
+
+
+@query(f"""
+WITH {_BOXES}, {_FRAME_CELLS}, s AS (SELECT id + 1000000 AS id, x0 + x.range AS x, y0 + y.range AS y FROM b, range(0, 4) x, range(0, 4) y WHERE id % 50 = 7 AND (x.range < 2) = (y.range < 2)),
+a AS (SELECT *, x >= 0 AND x < 490 AND y >= 0 AND y < 20 AS within FROM (SELECT * FROM c UNION ALL SELECT * FROM s)),
+i AS (SELECT 'PARCEL_OVERLAP' AS code, l.id AS first_id, r.id AS second_id, CAST(count(*) AS DOUBLE) AS area FROM a l JOIN a r ON l.x = r.x AND l.y = r.y AND l.id < r.id GROUP BY 2, 3
+  UNION ALL SELECT 'OUTSIDE_PROJECT_BOUNDARY', id, NULL, count(*) FROM a WHERE NOT within GROUP BY id
+  UNION ALL SELECT 'COVERAGE_GAP', NULL, NULL, 9800 - count(DISTINCT (x, y)) FROM a WHERE within HAVING count(DISTINCT (x, y)) < 9800)
+SELECT code, 'REVIEW' AS severity, first_id, second_id, area FROM i
+UNION ALL SELECT 'INVALID_GEOMETRY', 'ERROR', 2000000 + s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 50 = 9
+""")
+def shape_topology(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, rings that cross themselves (judged as repaired) and lines (invalid) against a project's outline."""
+    boxes = _boxes(spark, d)
+    k, x0, y0 = F.col("parcel_id"), F.col("x0"), F.col("y0")
+    steps = boxes.filter(k % 50 == 7).select((k + 1000000).alias("shape_id"), F.array(_steps(x0, y0)).alias("rings"))
+    lines = boxes.filter(k % 50 == 9).select((k + 2000000).alias("shape_id"), F.array(F.array(G.point(x0, y0), G.point(x0 + 3, y0), G.point(x0, y0), G.point(x0, y0))).alias("rings"))
+    found = shapes.topology(_frames(spark, d).select("shape_id", "rings").unionByName(steps).unionByName(lines), [_EDGE])
+    side = lambda n: F.get("shape_ids", F.lit(n))
+    return found.select("code", "severity", side(0).alias("first_id"), side(1).alias("second_id"), F.round("area", 6).alias("area"))
+
+
 @query(f"""
 WITH {_BOXES}, g AS (SELECT x.range AS x, y.range AS y FROM range(-5, 600) x, range(-5, 600) y),
 c AS (SELECT DISTINCT x, y FROM g JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)
@@ -765,6 +828,68 @@ def shape_overlap(spark: SparkSession, d: str) -> DataFrame:
     return shapes.overlaps(_frames(spark, d), cell=20.0).withColumn("area", F.round("area", 6))
 
 
+@query(f"""
+WITH {_BOXES}
+SELECT id AS shape_id, CASE id % 4 WHEN 0 THEN 'VALID' WHEN 3 THEN 'EMPTY_GEOMETRY' ELSE 'REPAIRED' END AS status,
+  CASE id % 4 WHEN 0 THEN (x1 - x0) * (y1 - y0) - (x1 - x0 - 4) * (y1 - y0 - 4) WHEN 1 THEN (x1 - x0) * (y1 - y0) / 2 WHEN 2 THEN 8 ELSE 0 END AS area,
+  CAST(CASE id % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS outer_rings, CAST(CASE id % 4 WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS holes,
+  CAST(CASE id % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 10 ELSE 0 END AS BIGINT) AS points FROM b
+""")
+def shape_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, bow-ties, steps that cross themselves and lines there and back, as outlines with holes."""
+    x0, y0, x1, y1, kind = F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("shape_id") % 4
+    bow = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x1, y0), G.point(x0, y1), G.point(x0, y0)))
+    line = F.array(F.array(G.point(x0, y0), G.point(x1, y1), G.point(x0, y0), G.point(x0, y0)))
+    rings = F.when(kind == 0, F.col("rings")).when(kind == 1, bow).when(kind == 2, F.array(_steps(x0, y0))).otherwise(line)
+    made = shapes.repaired(_frames(spark, d).withColumn("rings", rings))
+    holes = F.aggregate("polygons", F.lit(0).cast("long"), lambda n, p: n + F.size(p) - 1)
+    points = F.aggregate("polygons", F.lit(0).cast("long"), lambda n, p: n + F.size(F.flatten(p)))
+    return made.select("shape_id", "status", F.round("area", 6).alias("area"), F.size("polygons").cast("long").alias("outer_rings"), holes.alias("holes"), points.alias("points"))
+
+
+def _steps(x: Column, y: Column) -> Column:
+    """A ring that crosses itself: two squares of side 2 that touch in a corner."""
+    return F.array(*(G.point(x + a, y + b) for a, b in ((0, 0), (2, 0), (2, 4), (4, 4), (4, 2), (0, 2), (0, 0))))
+
+
+#: Unit squares of the frames; SQL counts them.
+_FRAME_CELLS = "c AS (SELECT id, x.range AS x, y.range AS y FROM b, range(-5, 600) x, range(-5, 600) y WHERE x.range >= x0 AND x.range < x1 AND y.range >= y0 AND y.range < y1 AND NOT (x.range >= x0 + 2 AND x.range < x1 - 2 AND y.range >= y0 + 2 AND y.range < y1 - 2))"
+
+
+@query(f"""
+WITH {_BOXES}, {_FRAME_CELLS}, n AS (SELECT id, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY id),
+p AS (SELECT l.id AS left_id, r.id AS right_id, CAST(count(*) AS DOUBLE) AS common FROM c l JOIN c r ON l.x = r.x AND l.y = r.y AND l.id < r.id GROUP BY 1, 2)
+SELECT left_id, right_id, common AS intersection, l.n + r.n - common AS "union", l.n - common AS difference, l.n + r.n - 2 * common AS symmetric_difference
+FROM p JOIN n l ON l.id = left_id JOIN n r ON r.id = right_id
+""")
+def shape_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """All four overlays of frames that share an inside, as areas of the polygons that come out."""
+    frames = _frames(spark, d).select("shape_id", "rings")
+    pairs = shapes.met(frames, frames).filter("left_id < right_id")
+    made = pairs.select("left_id", "right_id", *(F.round(overlay.polygons_area(overlay.overlay(how)(F.col("left"), F.col("right"))), 6).alias(how) for how in overlay.RULES))
+    return made.filter("intersection > 0")
+
+
+@query(f"""
+WITH {_BOXES}, {_FRAME_CELLS}, s AS (SELECT id + 1000000 AS id, x0 + x.range AS x, y0 + y.range AS y FROM b, range(0, 4) x, range(0, 4) y WHERE id % 50 = 7 AND (x.range < 2) = (y.range < 2)),
+a AS (SELECT *, x >= 0 AND x < 490 AND y >= 0 AND y < 20 AS within FROM (SELECT * FROM c UNION ALL SELECT * FROM s)),
+i AS (SELECT 'PARCEL_OVERLAP' AS code, l.id AS first_id, r.id AS second_id, CAST(count(*) AS DOUBLE) AS area FROM a l JOIN a r ON l.x = r.x AND l.y = r.y AND l.id < r.id GROUP BY 2, 3
+  UNION ALL SELECT 'OUTSIDE_PROJECT_BOUNDARY', id, NULL, count(*) FROM a WHERE NOT within GROUP BY id
+  UNION ALL SELECT 'COVERAGE_GAP', NULL, NULL, 9800 - count(DISTINCT (x, y)) FROM a WHERE within HAVING count(DISTINCT (x, y)) < 9800)
+SELECT code, 'REVIEW' AS severity, first_id, second_id, area FROM i
+UNION ALL SELECT 'INVALID_GEOMETRY', 'ERROR', 2000000 + s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 50 = 9
+""")
+def shape_topology(spark: SparkSession, d: str) -> DataFrame:
+    """Frames, rings that cross themselves (judged as repaired) and lines (invalid) against a project's outline."""
+    boxes = _boxes(spark, d)
+    k, x0, y0 = F.col("parcel_id"), F.col("x0"), F.col("y0")
+    steps = boxes.filter(k % 50 == 7).select((k + 1000000).alias("shape_id"), F.array(_steps(x0, y0)).alias("rings"))
+    lines = boxes.filter(k % 50 == 9).select((k + 2000000).alias("shape_id"), F.array(F.array(G.point(x0, y0), G.point(x0 + 3, y0), G.point(x0, y0), G.point(x0, y0))).alias("rings"))
+    found = shapes.topology(_frames(spark, d).select("shape_id", "rings").unionByName(steps).unionByName(lines), [_EDGE])
+    side = lambda n: F.get("shape_ids", F.lit(n))
+    return found.select("code", "severity", side(0).alias("first_id"), side(1).alias("second_id"), F.round("area", 6).alias("area"))
+
+
 @query(f"""
 WITH {_BOXES}, g AS (SELECT x.range AS x, y.range AS y FROM range(-5, 600) x, range(-5, 600) y),
 c AS (SELECT DISTINCT x, y FROM g JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 AND NOT (x >= x0 + 2 AND x < x1 - 2 AND y >= y0 + 2 AND y < y1 - 2))
