@@ -33,8 +33,8 @@ def attention(counts: DataFrame, named: Mapping[str, str], key: list[str] | None
     return counts.select(*(key or []), F.inline(entries)).filter("n > 0")
 
 
-def records_export(documents: DataFrame, files: DataFrame, fields: DataFrame, corrections: DataFrame, validations: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """A row a document: file name, status, latest validation status, and each field's first value with corrections; '' for missing."""
+def records_export(documents: DataFrame, files: DataFrame, fields: DataFrame, corrections: DataFrame, validations: DataFrame, columns: tuple[str, ...], missing: str | None = "") -> DataFrame:
+    """A row a document: file name, status, latest validation status, and each field's first value with corrections; `missing` for what isn't there."""
     newest_ocr = fields.groupBy("document_id").agg(F.max("version").alias("version"))
     now = fields.join(newest_ocr, ["document_id", "version"])
     fixed = corrections.groupBy(F.col("extracted_field_id").alias("id")).agg(F.max_by("corrected_value", "version").alias("fix"))
@@ -42,7 +42,26 @@ def records_export(documents: DataFrame, files: DataFrame, fields: DataFrame, co
     wide = first.groupBy("document_id").agg(*(F.max(F.when(F.col("field_name") == c, F.col("value"))).alias(c) for c in columns))
     checked = validations.groupBy("document_id").agg(F.max_by("status", "version").alias("validation_status"))
     joined = documents.join(files.select(F.col("id").alias("file_id"), "original_name"), "file_id", "left").join(wide, "document_id", "left").join(checked, "document_id", "left")
-    return joined.select("document_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("original_name", "status", "validation_status", *columns)))
+    return joined.select("document_id", *(F.coalesce(F.col(c), F.lit(missing)).alias(c) for c in ("original_name", "status", "validation_status", *columns)))
+
+
+#: The header of the records export, and the note on every row.
+RECORD_COLUMNS = ("document_id", "filename", "workflow_status", "validation_status", "survey_number", "parcel_identifier", "plot_area", "village", "district", "evidence_note")
+EVIDENCE_NOTE = "Workflow evidence only; AI-extracted or human-corrected values are not statutory ownership proof."
+
+
+def records_csv(documents: DataFrame, files: DataFrame, fields: DataFrame, corrections: DataFrame, validations: DataFrame, permissions: set[str]) -> DataFrame:
+    """The records export: RECORD_COLUMNS, all text, a row a document.
+
+    Field values show to those who may read fields, and those of validated documents to those who may read records; to others they are ''.
+    A parcel without its own identifier is named by the cadastral one.
+    """
+    wide = records_export(documents, files, fields, corrections, validations, ("survey_number", "parcel_identifier", "cadastral_identifier", "plot_area", "village", "district"), missing=None)
+    may = F.lit("field:read" in permissions) | (F.lit("record:read" in permissions) & F.coalesce(F.col("status") == "VALIDATED", F.lit(False)))
+    shown = {c: F.when(may, F.col(c)) for c in ("survey_number", "plot_area", "village", "district")}
+    shown |= {"document_id": F.col("document_id").cast("string"), "filename": F.col("original_name"), "workflow_status": F.col("status"), "validation_status": F.col("validation_status")}
+    shown |= {"parcel_identifier": F.when(may, F.coalesce("parcel_identifier", "cadastral_identifier")), "evidence_note": F.lit(EVIDENCE_NOTE)}
+    return wide.select(*(F.coalesce(shown[c], F.lit("")).alias(c) for c in RECORD_COLUMNS))
 
 
 def audit_page(logs: DataFrame, equal: Mapping[str, object] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ TRANSITIONS = {
     "cancel": ("QUEUED", "CANCELLED"),
     "recover": ("FAILED", "QUEUED"),
 }
+#: Actions on a review task, and job types that can be tried again.
 REVIEW_ACTIONS = ("APPROVE", "CORRECT", "REJECT", "REPROCESS", "COMMENT", "ESCALATE")
 RETRYABLE = ("DOCUMENT_AI_PROCESS", "DOCUMENT_REVALIDATE", "PARCEL_IMPORT", "BUILDING_VECTORIZE", "IMAGERY_REGISTER")
 

@@ -10,11 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jobs as jobs_
 from .linking import IDENTIFIER_FIELDS, area_mismatches, upsert_issues
 from .paging import contains_any
 
-#: Jobs that may be tried again, and job states that count as stages.
-RETRYABLE = ("DOCUMENT_AI_PROCESS", "DOCUMENT_REVALIDATE", "PARCEL_IMPORT", "BUILDING_VECTORIZE", "IMAGERY_REGISTER")
+#: Job states that count as stages, and kinds of assets.
 STAGES = ("QUEUED", "PROCESSING", "FAILED")
 ASSETS = ("IMAGERY", "GEOAI_JOB", "BUILDING", "ROAD", "LAND_USE")
 
@@ -114,7 +114,7 @@ def dashboard(projects: DataFrame, documents: DataFrame, links: DataFrame, tasks
     of_parcels = parcels.groupBy("project_id").agg(F.count("*").alias("parcels"), F.count_if(F.col("status") == "REVIEW_REQUIRED").alias("parcels_needing_review"))
     of_links = links.groupBy("project_id").agg(F.count("*").alias("links"), F.count_if(F.col("link_status") == "REVIEW_REQUIRED").alias("ambiguous_links"))
     failed = F.col("status") == "FAILED"
-    of_jobs = jobs.groupBy("project_id").agg(F.count("*").alias("jobs"), F.count_if(held("status", "QUEUED", "PROCESSING")).alias("active_jobs"), F.count_if(failed).alias("failed_jobs"), F.count_if(failed & held("job_type", *RETRYABLE)).alias("retryable_failed_jobs"))
+    of_jobs = jobs.groupBy("project_id").agg(F.count("*").alias("jobs"), F.count_if(held("status", "QUEUED", "PROCESSING")).alias("active_jobs"), F.count_if(failed).alias("failed_jobs"), F.count_if(failed & held("job_type", *jobs_.RETRYABLE)).alias("retryable_failed_jobs"))
     of_assets = assets.groupBy("project_id").agg(*(F.count_if(F.col("kind") == k).alias(f"{k.lower()}_assets") for k in ASSETS))
     confirmed = sure.groupBy("project_id").agg(F.count("*").alias("confirmed_records"))
     parts = [of_documents, of_tasks, of_parcels, of_links, confirmed, of_jobs, of_assets]

@@ -201,7 +201,13 @@ def next_line_lookahead(spark: SparkSession, d: str) -> DataFrame:
     return versions.with_next(table(spark, d, "conversations"), "conv_id", F.col("turn"), F.col("role"), F.col("text"), column="role", name="next_role").select("conv_id", "turn", "role", "next_role")
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT l_orderkey AS doc, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) / 30.0 AS DOUBLE) AS d, l_linenumber * 10 AS "left", CAST(l_partkey AS INT) AS region, l_returnflag AS t FROM lineitem),
+o AS (SELECT doc, CAST(trunc(d) AS INT) AS top, "left", region, t, row_number() OVER (PARTITION BY doc ORDER BY CAST(trunc(d) AS INT), "left", region, t) AS n FROM w),
+r AS (SELECT doc, n, top, "left", region, t, top AS anchor, 0 AS line FROM o WHERE n = 1
+  UNION ALL SELECT o.doc, o.n, o.top, o."left", o.region, o.t, CASE WHEN abs(o.top - r.anchor) <= 6 THEN r.anchor ELSE o.top END, CASE WHEN abs(o.top - r.anchor) <= 6 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.doc = r.doc AND o.n = r.n + 1)
+SELECT CAST(doc AS VARCHAR) AS document_id, line, string_agg(t, ' ' ORDER BY "left", top, region, t) AS text, CAST(count(*) AS INT) AS words FROM r GROUP BY doc, line
+""")
 def line_grouping(spark: SparkSession, d: str) -> DataFrame:
     """Line items as words of a page: ship day as top, line number as left."""
     day = (F.datediff("l_shipdate", F.lit("1992-01-01")) / 30).cast("int")
@@ -474,7 +480,16 @@ def issue_upsert(spark: SparkSession, d: str) -> DataFrame:
     return linking.upsert_issues(existing, run("event_id >= 5000")).select("issue_key", "summary", "status", "outcome")
 
 
-@query()
+_STEPS = ", ".join(f"({k}, '{name}', '{needs}', '{leads}')" for k, (name, (needs, leads)) in enumerate(jobs.TRANSITIONS.items()))
+
+
+@query(f"""
+WITH RECURSIVE t(k, name, needs, leads) AS (VALUES {_STEPS}), e AS (SELECT user_id, event_id % {len(jobs.TRANSITIONS)} AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'QUEUED' AS status, 0 AS retries, 0 AS illegal FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT s.user_id, e.n, CASE WHEN s.status = needs THEN leads ELSE s.status END, retries + CASE WHEN s.status = needs AND name IN ('retry', 'recover') THEN 1 ELSE 0 END, illegal + CASE WHEN s.status = needs THEN 0 ELSE 1 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1 JOIN t ON t.k = e.k)
+SELECT user_id, status, retries AS retry_count, CASE status WHEN 'COMPLETED' THEN 100 WHEN 'PROCESSING' THEN 1 WHEN 'FAILED' THEN 1 ELSE 0 END AS progress, illegal FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
+""")
 def job_state_fold(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user as transitions of one job."""
     kind = F.element_at(F.array(*map(F.lit, jobs.TRANSITIONS)), (F.pmod(F.col("event_id"), F.lit(len(jobs.TRANSITIONS))) + 1).cast("int"))
@@ -516,6 +531,35 @@ def records_export(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.records_export(documents, files, every, none, checks, ("quantity",))
 
 
+@query(f"""
+WITH f AS (SELECT l_orderkey AS doc, l_partkey % 2 AS version, l_suppkey % 7 AS field, CAST(l_partkey AS VARCHAR) AS v, l_partkey % 3 AS p, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS i FROM lineitem),
+l AS (SELECT *, max(version) OVER (PARTITION BY doc) AS newest FROM f), e AS (SELECT doc, field, arg_min(CASE p WHEN 0 THEN v || '/2' WHEN 1 THEN v || '/1' ELSE v END, i) AS v FROM l WHERE version = newest GROUP BY 1, 2),
+w AS (SELECT doc, max(v) FILTER (field = 0) AS survey, coalesce(max(v) FILTER (field = 1), max(v) FILTER (field = 2)) AS parcel, max(v) FILTER (field = 3) AS area, max(v) FILTER (field = 4) AS village, max(v) FILTER (field = 5) AS district FROM e GROUP BY 1)
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, coalesce(c_name, '') AS filename, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' WHEN 'O' THEN 'UPLOADED' ELSE 'REVIEW_REQUIRED' END AS workflow_status,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'VALID' ELSE 'INVALID' END AS validation_status,
+  CASE WHEN o_orderstatus = 'F' THEN coalesce(survey, '') ELSE '' END AS survey_number, CASE WHEN o_orderstatus = 'F' THEN coalesce(parcel, '') ELSE '' END AS parcel_identifier, CASE WHEN o_orderstatus = 'F' THEN coalesce(area, '') ELSE '' END AS plot_area,
+  CASE WHEN o_orderstatus = 'F' THEN coalesce(village, '') ELSE '' END AS village, CASE WHEN o_orderstatus = 'F' THEN coalesce(district, '') ELSE '' END AS district, '{dashboard.EVIDENCE_NOTE}' AS evidence_note
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN w ON doc = o_orderkey
+""")
+def records_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, customers as files, lines as fields of two readings, two of three corrected once or twice; for a reader of validated records."""
+    orders = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "VALIDATED").when(F.col("o_orderstatus") == "O", "UPLOADED").otherwise("REVIEW_REQUIRED")
+    documents = orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("file_id"), status.alias("status"))
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("original_name"))
+    names = F.array(*map(F.lit, ("survey_number", "parcel_identifier", "cadastral_identifier", "plot_area", "village", "district", "owner_details")))
+    index = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
+    value = F.col("l_partkey").cast("string")
+    fields = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), (F.col("l_partkey") % 2).alias("version"), F.element_at(names, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("field_name"),
+        value.alias("original_value"), index.alias("candidate_index"), F.concat_ws("-", "l_orderkey", index).alias("id"), (F.col("l_partkey") % 3).alias("p"),
+    )
+    versions_ = F.when(F.col("p") == 0, F.array(F.lit(1), F.lit(2))).when(F.col("p") == 1, F.array(F.lit(1)))
+    fixes = fields.select(F.col("id").alias("extracted_field_id"), "original_value", F.explode(versions_).alias("version")).withColumn("corrected_value", F.concat_ws("/", "original_value", "version")).dropDuplicates(["extracted_field_id", "version"])
+    checks = orders.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("document_id"), F.explode(F.array(F.struct(F.lit(1).alias("version"), F.lit("INVALID").alias("status")), F.struct((F.col("o_orderkey") % 2 * -2 + 2).cast("int").alias("version"), F.lit("VALID").alias("status")))).alias("c")).select("document_id", "c.*")
+    return dashboard.records_csv(documents, files, fields.drop("p"), fixes, checks, {"record:read"})
+
+
 @query("""SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN '{}' ELSE '{"k":' || json_extract_string(props, '$.k') || '}' END AS metadata_json FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10""")
 def audit_page(spark: SparkSession, d: str) -> DataFrame:
     """Even events carry their number under a sensitive key, which reading drops."""
@@ -560,7 +604,7 @@ def error_rates_whole(spark: SparkSession, d: str) -> DataFrame:
 def _reference_pairs(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "benchmark")
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis"))
-    return a.filter("length(text) > 0").join(b, "item_id")
+    return a.join(b, "item_id")
 
 
 @query("""
@@ -959,13 +1003,21 @@ def edit_validation(spark: SparkSession, d: str) -> DataFrame:
     return cadastre.edited(_edits(spark, d)).select("parcel_id", "status", F.round("change_percent", 6).alias("change_percent"))
 
 
-@query()
+@query(f"""
+WITH {_BOXES}, e AS (SELECT *, x1 + id % 4 * 0.25 AS xa, id % 11 = 0 AS bad, (x1 - x0) * (y1 - y0) AS before, (x1 + id % 4 * 0.25 - x0) * (y1 - y0) AS after FROM b),
+i AS (SELECT id, 'INVALID_EDIT_GEOMETRY' AS code, NULL AS other, NULL AS area FROM e WHERE bad
+  UNION ALL SELECT id, 'SIGNIFICANT_AREA_CHANGE', NULL, after - before FROM e WHERE NOT bad AND (after - before) / before * 100 > 5
+  UNION ALL SELECT id, 'OUTSIDE_PROJECT_BOUNDARY', NULL, after - greatest(0, least(xa, 490) - x0) * greatest(0, least(y1, 20) - y0) FROM e WHERE NOT bad AND after - greatest(0, least(xa, 490) - x0) * greatest(0, least(y1, 20) - y0) > 0.01
+  UNION ALL SELECT e.id, 'NEIGHBOUR_OVERLAP', b.id, (least(xa, b.x1) - greatest(e.x0, b.x0)) * (least(e.y1, b.y1) - greatest(e.y0, b.y0)) FROM e JOIN b ON b.id <> e.id AND NOT bad AND greatest(e.x0, b.x0) < least(xa, b.x1) AND greatest(e.y0, b.y0) < least(e.y1, b.y1)
+    WHERE (least(xa, b.x1) - greatest(e.x0, b.x0)) * (least(e.y1, b.y1) - greatest(e.y0, b.y0)) > 0.01)
+SELECT id AS parcel_id, code, CASE code WHEN 'INVALID_EDIT_GEOMETRY' THEN 'ERROR' ELSE 'REVIEW' END AS severity, other AS neighbour_id, CAST(round(area, 6) AS DOUBLE) AS area_m2 FROM i
+""")
 def edit_issues(spark: SparkSession, d: str) -> DataFrame:
     """The same edits against the boundary of one project and the parcels beside them."""
     edge = G.rectangle(*(F.lit(v) for v in (0.0, 0.0, 490.0, 20.0)))
     boundaries = spark.range(1).select(F.lit(1).alias("project_id"), edge.alias("ring"))
     neighbours = _edits(spark, d).select("parcel_id", F.col("before").alias("ring"))
-    return cadastre.edit_issues(_edits(spark, d).withColumn("project_id", F.lit(1)), boundaries, neighbours, cell=20.0)
+    return cadastre.edit_issues(_edits(spark, d).withColumn("project_id", F.lit(1)), boundaries, neighbours, cell=20.0).withColumn("area_m2", F.round("area_m2", 6))
 
 
 def _edits(spark: SparkSession, d: str) -> DataFrame:

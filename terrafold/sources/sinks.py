@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_json
 
-#: Header of the records export.
-RECORD_COLUMNS = ("survey_number", "khasra_number", "khata_number", "owner_details", "plot_area", "village", "tehsil", "district", "parcel_identifier", "land_classification")
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("header", "true").option("escape", '"').csv(path)
 
@@ -35,9 +31,27 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def collection(features: DataFrame, most: int = 1000) -> DataFrame:
-    """One row: a FeatureCollection of a page of features, for viewers; larger exports are line-delimited."""
-    listed = features.limit(most).agg(F.collect_list("value").alias("v"))
-    return listed.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("v", ","), F.lit("]}")).alias("value"))
+    """One row: a FeatureCollection of all features, for viewers. More than `most` are refused when it is read; they go out line by line or in `pages`."""
+    few = features.limit(most + 1).agg(F.collect_list("value").alias("v"), F.count("*").alias("n"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort("v"), ","), F.lit("]}"))
+    return few.select(F.when(F.col("n") <= most, text).otherwise(F.raise_error(F.lit(f"more than {most} features: write them as lines, or in pages"))).alias("value"))
+
+
+def pages(features: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """(page, after, value): all features (key, value) as FeatureCollections of at most `most`, in the order of their distinct keys.
+
+    `after` is the key before a page's first one (null for the first page). Keys are range-partitioned, and a page lies within a partition, so
+    none passes through one task; partitions' last pages may be shorter.
+    """
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = features.select(F.col(key).alias("_key"), "value").repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id())
+    numbered = sorted_.selectExpr("*", "row_number() OVER (PARTITION BY _part ORDER BY _key) - 1 AS _n")
+    listed = numbered.groupBy("_part", F.floor(F.col("_n") / most).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_key", "value"))).alias("v"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("v", lambda x: x["value"]), ","), F.lit("]}"))
+    page = listed.select("_part", "_block", F.element_at("v", -1)["_key"].alias("_last"), text.alias("value"))
+    # a row a page from here on
+    return page.selectExpr("row_number() OVER (ORDER BY _part, _block) - 1 AS page", "lag(_last) OVER (ORDER BY _part, _block) AS after", "value")
+
 
 
 def append_once(existing: DataFrame, rows: DataFrame, key: list[str], path: str) -> None:
