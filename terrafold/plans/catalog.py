@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geojson as J
 from ..functions import geometry as G
 from ..functions import overlay
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, features, jobs, linking, paging, projects, rules, shapes, versions
+from ..operators import access, cadastre, dashboard, extraction, features, gis, jobs, linking, paging, projects, rules, shapes, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1300,6 +1301,67 @@ def land_use_features(spark: SparkSession, d: str) -> DataFrame:
     return features.land_use(rows, allow_multipolygon=True).select("feature_id", "source", "land_use_class", "refusal", "coordinate_space", "status", "ai_status", "area_m2", "area_sqft")
 
 
+def _json_ring(*points: tuple[str, str]) -> str:
+    """SQL for a ring of a GeoJSON text, from SQL for its coordinates."""
+    return "'[' || " + " || ',' || ".join(f"'[' || ({x}) || ',' || ({y}) || ']'" for x, y in points) + " || ']'"
+
+
+def _json_box(x0: str, y0: str, x1: str, y1: str) -> str:
+    return _json_ring((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+
+
+#: Payloads by k % 5, in SQL that Spark and others read alike: a frame, two parts, a bow-tie, bare coordinates, a line.
+_PAYLOADS = f"""CASE k % 5 WHEN 0 THEN '{{"type":"Polygon","coordinates":[' || {_json_box("0", "0", "k + 5", "8")} || ',' || {_json_box("1", "1", "3", "3")} || ']}}'
+  WHEN 1 THEN '{{"type":"Feature","properties":{{"source_crs":"EPSG:32644","notes":["n"]}},"geometry":{{"type":"MultiPolygon","coordinates":[[' || {_json_box("0", "0", "k + 1", "8")} || '],[' || {_json_box("0", "20", "k + 1", "28")} || ']]}}}}'
+  WHEN 2 THEN '{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"source_crs":"EPSG:32644"}},"geometry":{{"type":"Polygon","coordinates":[' || {_json_ring(("0", "0"), ("k + 1", "8"), ("k + 1", "0"), ("0", "8"), ("0", "0"))} || ']}}}}]}}'
+  WHEN 3 THEN '{{"coordinates":[' || {_json_box("0", "0", "k + 1", "8")} || '],"coordinate_space":"LOCAL"}}' ELSE '{{"type":"LineString","coordinates":' || {_json_ring(("0", "0"), ("k", "1"))} || '}}' END"""
+_D = lambda v: f"CAST({v} AS DOUBLE)"
+
+
+def _payloads(spark: SparkSession, d: str, kind: str, names: tuple[str, ...]) -> DataFrame:
+    """Suppliers as features with payloads; every seventh has no source that is known."""
+    k = F.col("k")
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey AS k").withColumn("payload", F.expr(_PAYLOADS))
+    return rows.select(k.alias("feature_id"), F.when(k % 7 == 6, "HEARSAY").when(k % 7 == 5, "AI_CANDIDATE").otherwise("EXISTING_GIS").alias("source"), F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int")).alias(kind), "payload", F.when(k % 10 == 0, "EPSG:32644").alias("source_crs"))
+
+
+@query(f"""
+WITH b AS (SELECT s_suppkey AS k, s_suppkey % 5 AS g FROM supplier), r AS (SELECT *, CASE WHEN k % 7 = 6 THEN 'UNKNOWN_SOURCE' WHEN g = 4 THEN 'NOT_A_POLYGON' END AS refusal FROM b),
+m AS (SELECT *, CAST(CASE WHEN refusal IS NULL THEN CASE WHEN g = 0 AND k % 10 = 0 THEN 8.0 * (k + 5) - 4 WHEN g = 1 THEN 16.0 * (k + 1) WHEN g = 2 THEN 4.0 * (k + 1) END END AS DOUBLE) AS area_m2 FROM r)
+SELECT k AS feature_id, CASE k % 2 WHEN 0 THEN 'VACANT' ELSE 'WATERBODY' END AS land_use_class, refusal, CASE WHEN refusal IS NULL THEN g = 2 ELSE false END AS repaired, CASE WHEN refusal IS NULL THEN CASE WHEN g IN (1, 2) OR k % 10 = 0 THEN 'WORLD' ELSE 'LOCAL' END END AS coordinate_space,
+  CASE WHEN refusal IS NULL AND k % 7 = 5 THEN 'AI_PRELIMINARY' END AS ai_status, area_m2, area_m2 * 10.7639104167::DOUBLE AS area_sqft,
+  CASE WHEN refusal IS NULL THEN CASE g WHEN 0 THEN '{{"type":"Polygon","coordinates":[' || {_json_box(_D(0), _D(0), _D("k + 5"), _D(8))} || ',' || {_json_box(_D(1), _D(1), _D(3), _D(3))} || ']}}'
+    WHEN 1 THEN '{{"type":"MultiPolygon","coordinates":[[' || {_json_box(_D(0), _D(0), _D("k + 1"), _D(8))} || '],[' || {_json_box(_D(0), _D(20), _D("k + 1"), _D(28))} || ']]}}'
+    WHEN 2 THEN '{{"type":"MultiPolygon","coordinates":[[' || {_json_ring((_D(0), _D(0)), ("(k + 1) / 2.0::DOUBLE", _D(4)), (_D(0), _D(8)), (_D(0), _D(0)))} || '],[' || {_json_ring(("(k + 1) / 2.0::DOUBLE", _D(4)), (_D("k + 1"), _D(0)), (_D("k + 1"), _D(8)), ("(k + 1) / 2.0::DOUBLE", _D(4)))} || ']]}}'
+    ELSE '{{"type":"Polygon","coordinates":[' || {_json_box(_D(0), _D(0), _D("k + 1"), _D(8))} || ']}}' END END AS geometry FROM m
+""")
+def gis_land_use(spark: SparkSession, d: str) -> DataFrame:
+    """GeoJSON payloads of several shapes: holes are taken off, parts add up, a bow-tie is repaired, and the geometry is written again."""
+    found = gis.land_use(_payloads(spark, d, "land_use_class", ("VACANT", "WATERBODY")), allow_multipolygon=True)
+    return found.select("feature_id", "land_use_class", "refusal", "repaired", "coordinate_space", "ai_status", F.round("area_m2", 6).alias("area_m2"), "area_sqft", J.text(F.col("geometry")).alias("geometry"))
+
+
+@query("""
+WITH b AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 <> 6)
+SELECT k AS feature_id, CASE k % 3 WHEN 0 THEN 'LineString' WHEN 1 THEN 'MultiLineString' ELSE 'Polygon' END AS kind, CASE k % 3 WHEN 2 THEN 'SURFACE' ELSE 'LINE' END AS geometry_kind,
+  CAST(CASE k % 3 WHEN 0 THEN k + 1 WHEN 1 THEN 2 * (k + 1) ELSE 2 * (k + 9) + 12 END AS DOUBLE) AS length_m, 'EPSG:4326' AS export_crs, 'EPSG:32644' AS source_crs, CAST(CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 10 END AS BIGINT) AS points, 81.0::DOUBLE AS first_lon, 0.0::DOUBLE AS first_lat
+FROM b
+""")
+def gis_road_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, doubled lines and declared surfaces with a hole from where a zone's meridian meets the equator, as collections in degrees."""
+    line, box = lambda x: _json_ring((x, "0"), (x, "k + 1")), _json_box("500000", "0", "500008", "k + 1")
+    body = f"""CASE k % 3 WHEN 0 THEN '{{"type":"LineString","coordinates":' || {line("500000")} || '}}' WHEN 1 THEN '{{"type":"MultiLineString","coordinates":[' || {line("500000")} || ',' || {line("500004")} || ']}}'
+      ELSE '{{"type":"Polygon","coordinates":[' || {box} || ',' || {_json_box("500002", "0.25", "500006", "2.25")} || ']}}' END"""
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey AS k").withColumn("payload", F.expr(f"""'{{"type":"Feature","properties":{{"road_surface":' || (k % 3 = 2) || '}},"geometry":' || {body} || '}}'"""))
+    roads = rows.select(F.col("k").alias("feature_id"), F.when(F.col("k") % 7 == 6, "HEARSAY").otherwise("EXISTING_GIS").alias("source"), F.lit("ROAD").alias("road_class"), "payload", F.lit("EPSG:32644").alias("source_crs"))
+    out = gis.collections(gis.roads(roads, allow_multiline=True))
+    get, points = lambda path: F.get_json_object("value", path), F.flatten(J.rings(F.col("geometry")))
+    return J.read(out, "value", "LineString").select(
+        "feature_id", F.col("geometry.kind").alias("kind"), get("$.features[0].properties.geometry_kind").alias("geometry_kind"), F.round(get("$.features[0].properties.length_m").cast("double"), 6).alias("length_m"), get("$.metadata.export_crs").alias("export_crs"),
+        get("$.metadata.source_crs").alias("source_crs"), F.size(points).cast("long").alias("points"), F.round(points[0]["x"], 6).alias("first_lon"), F.abs(F.round(points[0]["y"], 6)).alias("first_lat"),
+    )
+
+
 @query()
 def building_features(spark: SparkSession, d: str) -> DataFrame:
     """The components of vectorize_mask at half a metre a pixel, of half a square metre at least."""

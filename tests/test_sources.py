@@ -99,6 +99,12 @@ def test_exports_refuse_to_overwrite(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_features(features, str(tmp_path / "f"))
     assert json.loads(sinks.collection(features).first()[0])["features"][0]["id"] == "p1"
+    many = spark.range(57).selectExpr("id", "concat('{\"id\":', id, '}') AS value")
+    with pytest.raises(Exception, match="more than 56"):
+        sinks.collection(many, 56).collect()
+    pages = sinks.pages(many, "id", 10).orderBy("page").collect()
+    assert [x["id"] for p in pages for x in json.loads(p["value"])["features"]] == list(range(57)) and max(len(json.loads(p["value"])["features"]) for p in pages) <= 10
+    assert [p["page"] for p in pages] == list(range(len(pages))) and pages[0]["after"] is None and pages[1]["after"] == json.loads(pages[0]["value"])["features"][-1]["id"]
 
 
 def test_append_once(spark, tmp_path):
