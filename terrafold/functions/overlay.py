@@ -166,6 +166,19 @@ def _around(ring: np.ndarray, hole: np.ndarray) -> bool:
     return bool(((a[:, 0] <= p[0]) & (p[0] < b[:, 0]) & (_turn(a, b, p) < 0)).sum() & 1)
 
 
+def linked_polygons(edges: np.ndarray) -> list[list[np.ndarray]]:
+    """Polygons of directed edges (x, y, x, y; integers, interior on the left) that don't cross, in the order of their lowest points."""
+    sized = [(r, _twice_area(r)) for r in map(_trimmed, _linked(edges)) if len(r)]
+    outer = sorted(((r, a) for r, a in sized if a > 0), key=lambda ra: (ra[1], ra[0].tolist()))
+    held: list[list[np.ndarray]] = [[r] for r, _ in outer]
+    for hole in sorted((r for r, a in sized if a < 0), key=lambda r: r.tolist()):
+        for polygon in held:  # the smallest first
+            if (polygon[0].min(0) <= hole.min(0)).all() and (polygon[0].max(0) >= hole.max(0)).all() and _around(polygon[0], hole):
+                polygon.append(hole)
+                break
+    return sorted(held, key=lambda p: p[0].tolist())
+
+
 def combine(shapes: list[list[np.ndarray]], rule: Callable[[np.ndarray], np.ndarray]) -> list[list[np.ndarray]]:
     """The polygons of all places where the rule holds; it is given a matrix of which shapes' insides places are in.
 
@@ -204,17 +217,9 @@ def combine(shapes: list[list[np.ndarray]], rule: Callable[[np.ndarray], np.ndar
     stays = here != there
     forward = (here ^ upright)[stays]  # interior on the left; beyond an upright edge is its right side
     edges = edges[stays]
-    rings = [_trimmed(r) for r in _linked(np.where(forward[:, None], edges, edges[:, [2, 3, 0, 1]]))]
-    sized = [(r, _twice_area(r)) for r in rings if len(r)]
-    outer = sorted(((r, a) for r, a in sized if a > 0), key=lambda ra: (ra[1], ra[0].tolist()))
-    held: list[list[np.ndarray]] = [[r] for r, _ in outer]
-    for hole in sorted((r for r, a in sized if a < 0), key=lambda r: r.tolist()):
-        for polygon in held:  # the smallest first
-            if (polygon[0].min(0) <= hole.min(0)).all() and (polygon[0].max(0) >= hole.max(0)).all() and _around(polygon[0], hole):
-                polygon.append(hole)
-                break
+    held = linked_polygons(np.where(forward[:, None], edges, edges[:, [2, 3, 0, 1]]))
     real = lambda r: np.array([given.get(p) or (origin + np.array(p) * step).tolist() for p in map(tuple, r.tolist())])
-    return [[real(r) for r in polygon] for polygon in sorted(held, key=lambda p: p[0].tolist())]
+    return [[real(r) for r in polygon] for polygon in held]
 
 
 #: What each operation keeps of two shapes' insides.
@@ -234,6 +239,13 @@ def _rows(polygons: list[list[np.ndarray]]) -> list:
     return [[[{"x": x, "y": y} for x, y in ring.tolist()] for ring in polygon] for polygon in polygons]
 
 
+@listed(POLYGONS, _POLYGONS_ARROW)
+def of_edges(edges: pd.Series) -> pd.Series:
+    """Polygons of a list of directed edges struct(xa, ya, xb, yb) of whole coordinates, interior on the left. Null for null."""
+    as_rows = lambda e: np.array([(v["xa"], v["ya"], v["xb"], v["yb"]) for v in e], np.int64).reshape(-1, 4)
+    return edges.map(lambda e: None if e is None else _rows([[r.astype(float) for r in polygon] for polygon in linked_polygons(as_rows(e))]))
+
+
 @listed(POLYGONS, _POLYGONS_ARROW)
 def outline(shapes: pd.Series) -> pd.Series:
     """Polygons of a shape's inside, whatever its rings do: a bow-tie is two triangles, what two rings share is a hole. Null for null."""

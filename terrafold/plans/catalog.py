@@ -17,7 +17,7 @@ from ..functions import overlay
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, features, gis, jobs, linking, paging, projects, rules, shapes, versions
+from ..operators import access, cadastre, dashboard, extraction, features, gis, jobs, linking, mosaic, paging, projects, rules, shapes, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1049,6 +1049,23 @@ def vectorize_mask(spark: SparkSession, d: str) -> DataFrame:
     return cadastre.vectorize(masks, 8)
 
 
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT (vec_id % 40) * 8 + i % 8 AS x, (vec_id // 40) * 8 + i // 8 AS y, CAST(v AS DOUBLE) AS v FROM v WHERE CAST(v AS DOUBLE) >= 0.2), k AS (SELECT x, y, y * 4294967296 + x AS k, v FROM p),
+n AS (SELECT a.k, b.k AS other FROM k a JOIN (VALUES (-1), (0), (1)) AS dx(d) ON true JOIN (VALUES (-1), (0), (1)) AS dy(d) ON true JOIN k b ON b.x = a.x + dx.d AND b.y = a.y + dy.d WHERE a.k <> b.k),
+r AS (SELECT k AS here, k AS first FROM k UNION SELECT n.other, r.first FROM r JOIN n ON n.k = r.here AND n.other > r.first), c AS (SELECT here, min(first) AS component FROM r GROUP BY here),
+s AS (SELECT k.k, count(*) AS sides FROM k JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS d(x, y) ON true LEFT JOIN k o ON o.x = k.x + d.x AND o.y = k.y + d.y WHERE o.k IS NULL GROUP BY 1)
+SELECT component, count(*) AS pixels, round(avg(v), 6) AS confidence, CAST(count(*) AS DOUBLE) AS area, CAST(sum(coalesce(sides, 0)) AS DOUBLE) AS outline FROM c JOIN k ON k.k = c.here LEFT JOIN s ON s.k = k.k GROUP BY component
+""")
+def mosaic_components(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as tiles of 8 x 8 pixels of one raster, forty a row: components over seams, and what their polygons measure."""
+    k = F.col("vec_id")
+    tiles = table(spark, d, "embeddings").select(F.lit(1).alias("raster_id"), (k % 40 * 8).alias("x0"), (F.floor(k / 40) * 8).alias("y0"), F.lit(8).alias("width"), F.col("embedding").alias("values"))
+    found = mosaic.vectorize(tiles, threshold=0.2)
+    length = F.aggregate(overlay.all_rings(F.col("polygons")), F.lit(0.0), lambda total, ring: total + G.planar_length(ring))
+    return found.select("component", "pixels", F.round("confidence", 6).alias("confidence"), overlay.polygons_area(F.col("polygons")).alias("area"), length.alias("outline"))
+
+
 @query()
 def geodesic_area(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), _quad(F.col("c_custkey")).alias("ring"), F.lit(4326).alias("code"))
