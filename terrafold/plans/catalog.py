@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geojson as J
@@ -17,7 +17,7 @@ from ..functions import overlay
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, features, gis, jobs, linking, mosaic, paging, projects, rules, shapes, versions
+from ..operators import access, cadastre, dashboard, extraction, features, gis, imagery, jobs, linking, mosaic, paging, projects, rules, shapes, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1066,6 +1066,33 @@ def mosaic_components(spark: SparkSession, d: str) -> DataFrame:
     return found.select("component", "pixels", F.round("confidence", 6).alias("confidence"), overlay.polygons_area(F.col("polygons")).alias("area"), length.alias("outline"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT vec_id // 25 AS raster_id, (vec_id % 5 * 8 + i % 8) // 2 AS x, (vec_id % 25 // 5 * 8 + i // 8) // 2 AS y, CAST(v AS DOUBLE) AS v FROM v), c AS (SELECT raster_id, x, y, avg(v) AS v FROM p GROUP BY ALL),
+e AS (SELECT raster_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM c GROUP BY 1), s AS (SELECT c.*, least(255, greatest(0, (v - lo) * 255.0 / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END))) AS s FROM c JOIN e USING (raster_id))
+SELECT raster_id, CAST(20 AS BIGINT) AS width, CAST(20 AS BIGINT) AS height, count(*) AS cells, CAST(sum(CAST(floor(s) AS BIGINT)) AS BIGINT) AS levels, CAST(sum(CAST(floor(s) AS BIGINT) * (y * 20 + x)) AS BIGINT) AS weighed FROM s GROUP BY 1
+""")
+def preview_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 25 vectors as rasters of 40 x 40 pixels in tiles of 8 x 8, shown in 20 x 20 cells."""
+    tiles, rasters = _preview_tiles(spark, d)
+    cells = imagery.display_levels(imagery.preview_cells(tiles, rasters, 20))
+    return cells.groupBy("raster_id", "width", "height").agg(F.count("*").alias("cells"), F.sum("level").alias("levels"), F.sum(F.col("level") * (F.col("y") * 20 + F.col("x"))).alias("weighed"))
+
+
+def _preview_tiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("vec_id")
+    tiles = table(spark, d, "embeddings").select(F.floor(k / 25).alias("raster_id"), F.lit(1).alias("band"), (k % 5 * 8).alias("x0"), (F.floor(k % 25 / 5) * 8).alias("y0"), F.lit(8).alias("width"), F.col("embedding").alias("values"))
+    return tiles, tiles.select("raster_id").distinct().select("raster_id", F.lit(40).alias("width"), F.lit(40).alias("height"), F.lit(None).cast("double").alias("nodata"))
+
+
+@query()
+def preview_overlays(spark: SparkSession, d: str) -> DataFrame:
+    """The same rasters as pictures, with the outlines of their components over 0.2 on them."""
+    tiles, rasters = _preview_tiles(spark, d)
+    found = mosaic.vectorize(tiles.drop("band"), threshold=0.2).select("raster_id", F.row_number().over(Window.partitionBy("raster_id").orderBy("component")).alias("number"), "polygons")
+    return imagery.overlays(tiles, rasters, found, 20)
+
+
 @query()
 def geodesic_area(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), _quad(F.col("c_custkey")).alias("ring"), F.lit(4326).alias("code"))
