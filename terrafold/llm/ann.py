@@ -14,7 +14,7 @@ one code and one score and count as one candidate, however many they are; among
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of each length are an index of their own
 (a cosine needs equal lengths): queries meet candidates of their own length. Codebooks are fitted on a bounded sample, but every
 row is indexed. With no vectors the result is empty, a vector alone has no neighbours; rows that repeat a vec_id are candidates of
-each other's neighbours, never of their own id. Columns other than vec_id and embedding are ignored.
+each other's neighbours, never of their own id, and the least of their vectors (by components) asks for that id. Ties in score go to the smaller id. Columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ _FOUND = "query_id long, rank int, vec_id long, score double"
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, books: int = BOOKS, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest of all other rows for each query row (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id"])
+    rows, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     counts = asked.groupBy(F.size("embedding").alias("length")).count().orderBy("length").collect()
     near = None
     for length, count in counts:

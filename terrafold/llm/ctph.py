@@ -8,7 +8,10 @@ Fingerprints compare where their block sizes agree or differ by a factor of two:
 longer length of the signatures at the common block size, 0 without a common run of RUN characters
 (or of the shorter signature, if that is shorter), 1 for equal fingerprints.
 
-Null texts are empty; empty texts have fingerprint "2::". Equal texts have equal fingerprints. No text is cut.
+Null texts are empty; empty texts have fingerprint "2::". Equal texts have equal fingerprints. No text is cut, however long.
+The next document is that of the next smaller doc_id; rows of one id follow each other by text, rows that repeat are each other's next, and rows
+without doc_id, which stay null, come last. A single row is its own next. Other columns are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -178,7 +181,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     two rows a partition are kept aside and joined by partition number.
     """
     scratch, n = Scratch(docs.sparkSession), default_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.desc("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions(F.desc("doc_id"), "text")
     rows = scratch.table(ordered.mapInArrow(_scan, _DDL), "rows")
     parts = rows.filter(F.col("kind") == FIRST).selectExpr("part", "coalesce(lead(part) OVER (ORDER BY part), min(part) OVER ()) AS next_part")
     last = rows.filter(F.col("kind") == LAST).join(parts, "part")

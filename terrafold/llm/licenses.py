@@ -15,7 +15,9 @@ the first section of MIT alone has a coverage of 0.2, its disclaimer alone is fo
 a section that isn't found (less than `coverage` of it) doesn't count.
 
 The index is a fixed table, whatever the corpus holds. Null, empty and blank texts match nothing. Texts are scanned
-whole; a license that occurs twice is reported twice. Rows that repeat report alike.
+whole, however long; a license that occurs twice is reported twice. Rows that repeat report alike, each for itself; a null doc_id stays null.
+Sections that tie for a place are taken in the order of the fixed table. Other columns are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

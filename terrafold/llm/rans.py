@@ -13,7 +13,8 @@ Segments are coded in one pass: a task buffers one segment, never a partition. W
 of a Spark dataset, so a lost task is written again by Spark's commit protocol.
 
 Null texts are empty documents: just the end id. Rows that repeat keep their copies, ordered by text among
-equal ids; a null doc_id sorts first and stays null. An empty table gives an empty file.
+equal ids; a null doc_id sorts first and stays null. A very long text is one document of a segment, whole, in one task's memory
+with its ids. Columns other than doc_id and text are ignored, whatever their names. An empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_ids, default_partitions, row_blocks, tidy, tokenizer, utf8
@@ -180,10 +181,15 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: i
         yield flush()
 
 
+def _beginning() -> Column:
+    """Texts' beginnings order rows of one id, or without any, as their texts do, so those aren't one range."""
+    return F.substring("text", 1, 32)
+
+
 def encode_documents(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 2, segment_tokens: int = SEGMENT_TOKENS, partitions: int | None = None) -> DataFrame:
-    """Segments of all documents' ids: range-partitioned by doc_id, so that (part, segment) ascends with doc_id."""
+    """Segments of all documents' ids: range-partitioned by doc_id (rows of one id by text), so that (part, segment) ascends with doc_id."""
     n = partitions or default_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id", _beginning()).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(lambda batches: _segments(batches, path, kind, end_id, segment_tokens), FILE_SCHEMA)
 
 

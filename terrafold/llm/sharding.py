@@ -11,7 +11,8 @@ may cut a range anywhere (not above it), one only between ranges (not below it);
 optimal. The driver holds at most a few thousand ranges for each shard, whatever the corpus holds.
 
 Null texts have size `overhead` and are one group, apart from empty texts; an empty table gives an empty result.
-Rows that repeat are copies of one text, hence one group.
+Rows that repeat are copies of one text, hence one group, and have slots of their own. A null doc_id stays null and takes part like any
+other. A very long text counts by its bytes, in one row. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,6 +149,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> Dat
             (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             text_hash(text).alias("h"),
+            F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("copy"),  # rows without id are told apart by place
         ),
         "rows",
     )
@@ -158,8 +160,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> Dat
     placed = rows.withColumn("shard", shard)
     fullest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     salts = max(16, -(-fullest // SLOT_ROWS))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h", "copy"), F.lit(salts)))
     sizes = salted.groupBy("shard", "salt").count()
     first = sizes.selectExpr("shard", "salt", "sum(count) OVER (PARTITION BY shard ORDER BY salt) - count AS first")
-    numbered = salted.selectExpr("*", "row_number() OVER (PARTITION BY shard, salt ORDER BY doc_id, h) - 1 AS place")
+    numbered = salted.selectExpr("*", "row_number() OVER (PARTITION BY shard, salt ORDER BY doc_id, h, copy) - 1 AS place")
     return numbered.join(first, ["shard", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from terrafold.llm import ann
@@ -88,3 +89,23 @@ def test_encoding_improves_with_beam_and_refit():
     assert loss(plain, 6) <= loss(plain, 1) and loss(fitted, 6) < loss(plain, 6)
     codes, norms = fitted.encode(x)
     assert np.allclose(norms, [np.sum(sum(fitted.words[m, c] for m, c in enumerate(code)) ** 2) for code in codes], atol=1e-4)
+
+
+def test_repeated_query_ids_ask_with_their_least_vector(spark):
+    """Whatever the order and the partitions of the rows."""
+    rng = np.random.default_rng(5)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(60, 4)).tolist())] + [(3, [-9.0, 1.0, 0.0, 0.0]), (3, [2.0, 2.0, 2.0, 2.0]), (50, [-9.0, 0.5, 0.0, 0.0])]
+    seen = set()
+    for n in (1, 2, 5):
+        df = spark.createDataFrame(rows[::-1] if n == 2 else rows, "vec_id long, embedding array<double>").repartition(n)
+        got = ann.nearest(df, df.filter("vec_id in (3, 50)"), k=3).collect()
+        seen.add(tuple(sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got)))
+    assert len(seen) == 1
+    least = np.array([-9.0, 1.0, 0.0, 0.0])
+    others = {}
+    for k, v in rows:
+        if k != 3:
+            others[k] = max(others.get(k, -2), float(least @ v / np.linalg.norm(least) / np.linalg.norm(v)))
+    best = sorted(others.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+    found = [(v, s) for q, _, v, s in sorted(seen.pop()) if q == 3]
+    assert found[0][0] == 50 and [v for v, _ in best][0] == 50 and found[0][1] == pytest.approx(best[0][1])
