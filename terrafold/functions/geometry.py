@@ -267,21 +267,6 @@ def transform_ring(source: int, target: int):
     return change
 
 
-_PARTS = pa.list_(pa.list_(pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()}))))
-
-
-@listed(f"array<array<{RING}>>", _PARTS)
-def parts_to_degrees(parts: pd.Series, codes: pd.Series) -> pd.Series:
-    """Parts of rings or lines from a known system, by its code, to degrees; null without one."""
-
-    def one(some, code):
-        if some is None or code is None or code != code:
-            return None
-        return [[[{"x": x, "y": y} for x, y in unproject(_ring(ring), int(code)).tolist()] for ring in part] for part in some]
-
-    return pd.Series([one(p, c) for p, c in zip(parts, codes)], dtype=object)
-
-
 @arrow("double")
 def area_square_metres(rings: pd.Series, codes: pd.Series) -> pd.Series:
     """Square metres: geodesic for degrees, planar for metres; null without a known system or an empty ring."""

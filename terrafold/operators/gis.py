@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geojson as J
 from ..functions import geometry as G
+from ..functions import projections as P
 from ..functions.overlay import outline
 from .cadastre import feature_space
 from .features import LAND_USE_CLASSES, ROAD_CLASSES, SOURCES
@@ -59,7 +60,7 @@ def roads(rows: DataFrame, allow_multiline: bool = False) -> DataFrame:
     short = F.exists(J.rings(F.col("geometry")), lambda r: F.size(F.array_distinct(r)) < 2)
     refusal = F.when((kind == "MultiLineString") & F.lit(not allow_multiline), "MULTILINE_NOT_ALLOWED").when(line & short, "TOO_FEW_POINTS").when(~(line | polygon), "NOT_A_ROAD_GEOMETRY")
     judged = _repaired(judged.withColumn("refusal", F.coalesce("refusal", refusal)), polygon)
-    length = F.when(F.col("refusal").isNull(), G.parts_length(J.rings(F.col("geometry")), G.crs_code(F.col("source_crs"))))
+    length = F.when(F.col("refusal").isNull(), P.metres_along(J.rings(F.col("geometry")), F.col("source_crs")))
     shape = F.when(F.col("refusal").isNull(), F.when(line, "LINE").otherwise("SURFACE"))
     return _result(judged, "ROAD", "road_class", ROAD_WARNING, shape.alias("geometry_kind"), length.alias("length_m"))
 
@@ -70,7 +71,7 @@ def land_use(rows: DataFrame, allow_multipolygon: bool = False) -> DataFrame:
     kind = F.col("geometry.kind")
     refusal = F.when((kind == "MultiPolygon") & F.lit(not allow_multipolygon), "MULTIPOLYGON_NOT_ALLOWED").when(~kind.isin(*J.POLYGONS), "NOT_A_POLYGON")
     judged = _repaired(judged.withColumn("refusal", F.coalesce("refusal", refusal)), kind.isin(*J.POLYGONS))
-    area = F.when(F.col("refusal").isNull(), G.polygons_area_metres(F.col("geometry.parts"), G.crs_code(F.col("source_crs"))))
+    area = F.when(F.col("refusal").isNull(), P.square_metres(F.col("geometry.parts"), F.col("source_crs")))
     out = _result(judged, "LAND_USE", "land_use_class", LAND_USE_WARNING, area.alias("area_m2"))
     return out.withColumn("area_sqft", G.square_feet(F.col("area_m2")))
 
@@ -82,8 +83,7 @@ def collections(features: DataFrame) -> DataFrame:
     other column is a property.
     """
     fine = features.filter("refusal IS NULL")
-    code = G.crs_code(F.col("source_crs"))
-    moved = fine.withColumn("_degrees", G.parts_to_degrees(F.col("geometry.parts"), code))
+    moved = fine.withColumn("_degrees", P.to_degrees(F.col("geometry.parts"), F.col("source_crs")))
     world = F.col("_degrees").isNotNull()
     moved = moved.withColumn("_geometry", F.struct(F.col("geometry.kind").alias("kind"), F.coalesce("_degrees", F.col("geometry.parts")).alias("parts")))
     crs = F.when(world, "EPSG:4326")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geojson as J
 from ..functions import geometry as G
 from ..functions import overlay
+from ..functions import projections as P
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
@@ -694,6 +695,28 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("parcel_id", F.round(G.planar_area(F.col("ring")) * 1e6, 3).alias("square_millidegrees"), F.round(G.preview_area(F.col("ring")), 1).alias("preview_m2"))
 
 
+#: A cone through two parallels, in feet, and its constants in SQL.
+_CONE = "+proj=lcc +lat_1=10 +lat_2=20 +lat_0=12 +lon_0=78 +x_0=1000 +units=ft"
+_CONE_SQL = """k AS (SELECT sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257223563::DOUBLE AS f)), l AS (SELECT e, radians(v) AS lat, v FROM k, (VALUES (10), (12), (20)) AS t(v)),
+m AS (SELECT v, e, asinh(tan(lat)) - e * atanh(e * sin(lat)) AS psi, cos(lat) / sqrt(1 - e * e * sin(lat) * sin(lat)) AS r FROM l), c AS (SELECT a.e, (ln(a.r) - ln(b.r)) / (b.psi - a.psi) AS n, a.r AS ra, a.psi AS pa, o.psi AS po FROM m a, m b, m o WHERE a.v = 10 AND b.v = 20 AND o.v = 12),
+w AS (SELECT e, n, 6378137.0::DOUBLE * ra / n * exp(n * pa) AS s, po FROM c)"""
+
+
+@query(f"""
+WITH {_QUADS}, {_CONE_SQL},
+p AS (SELECT k, list_transform(s, lambda v: radians(v)) AS s FROM e), x AS (SELECT k, w.s * exp(-n * (asinh(tan(p.s[2])) - w.e * atanh(w.e * sin(p.s[2])))) AS r1, n * (p.s[1] - radians(78)) AS a1, w.s * exp(-n * (asinh(tan(p.s[4])) - w.e * atanh(w.e * sin(p.s[4])))) AS r2, n * (p.s[3] - radians(78)) AS a2, w.s * exp(-n * po) AS r0 FROM p, w),
+y AS (SELECT k, (r1 * sin(a1) + 1000) AS x1, r0 - r1 * cos(a1) AS y1, (r2 * sin(a2) + 1000) AS x2, r0 - r2 * cos(a2) AS y2 FROM x)
+SELECT k AS parcel_id, round(min(x1) / 0.3048, 2) AS west_feet, round(max(y1) / 0.3048, 2) AS north_feet, round(abs(sum((x1 - 1000) * y2 - (x2 - 1000) * y1)) / 2, 1) AS area_m2, true AS returns FROM y GROUP BY k
+""")
+def projected_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Small quadrilaterals on a cone in feet: where they lie, what they measure, and whether they come back to their degrees."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), F.array(F.array(_quad(F.col("c_custkey")))).alias("degrees")).withColumn("feet", P.from_degrees(F.col("degrees"), F.lit(_CONE)))
+    back, points = P.to_degrees(F.col("feet"), F.lit(_CONE)), F.col("feet")[0][0]
+    near = F.forall(F.arrays_zip(F.col("degrees")[0][0].alias("p"), back[0][0].alias("q")), lambda v: (F.abs(v["p"]["x"] - v["q"]["x"]) < 1e-10) & (F.abs(v["p"]["y"] - v["q"]["y"]) < 1e-10))
+    b = G.bounds(points)
+    return rows.select("parcel_id", F.round(b["x0"], 2).alias("west_feet"), F.round(b["y1"], 2).alias("north_feet"), F.round(P.square_metres(F.col("feet"), F.lit(_CONE)), 1).alias("area_m2"), near.alias("returns"))
+
+
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as rectangles on a grid, some reaching into their neighbours."""
     k = F.col("s_suppkey")

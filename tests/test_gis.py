@@ -87,5 +87,16 @@ def test_collections_go_out_in_degrees(spark):
     assert local["features"][0]["geometry"] == {"type": "Polygon", "coordinates": [[[float(v) for v in p] for p in ring] for ring in HOLED["coordinates"]]} and local["metadata"]["export_crs"] is None
 
 
+def test_other_systems_measure_in_their_units(spark):
+    feet = "+proj=lcc +lat_1=10 +lat_2=20 +lat_0=12 +lon_0=78 +units=ft"
+    box = {"type": "Polygon", "coordinates": [[[0, 0], [100, 0], [100, 100], [0, 100], [0, 0]]]}
+    area = gis.land_use(table(spark, [("EXISTING_GIS", "VACANT", box, feet), ("EXISTING_GIS", "VACANT", box, "EPSG:3857"), ("EXISTING_GIS", "VACANT", box, "EPSG:99999")], "land_use_class")).orderBy("feature_id")
+    assert [r["area_m2"] for r in area.collect()] == [pytest.approx(10_000 * 0.3048**2), pytest.approx(10_000), None]
+    (first, _, last) = (json.loads(r["value"]) for r in gis.collections(area).orderBy("feature_id").collect())
+    assert first["features"][0]["geometry"]["coordinates"][0][0] == pytest.approx([78, 12]) and last["metadata"]["export_crs"] is None
+    road = gis.roads(table(spark, [("EXISTING_GIS", "ROAD", {"coordinates": [[0, 0], [30, 40]]}, feet)], "road_class")).first()
+    assert road["length_m"] == pytest.approx(50 * 0.3048)
+
+
 def test_no_rows(spark):
     assert gis.collections(gis.roads(table(spark, [], "road_class"))).count() == 0
