@@ -18,7 +18,7 @@ from ..functions import projections as P
 from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import access, cadastre, dashboard, extraction, features, gis, imagery, jobs, linking, mosaic, paging, projects, rules, shapes, versions
+from ..operators import access, cadastre, dashboard, extraction, features, gis, imagery, jobs, linking, mosaic, paging, projects, rules, scans, shapes, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1116,6 +1116,19 @@ def preview_overlays(spark: SparkSession, d: str) -> DataFrame:
     return imagery.overlays(tiles, rasters, found, 20)
 
 
+@query()
+def prepared_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 25 vectors as scanned pages of 40 x 40 levels: contrast, median, rotation against the skew and threshold, line by line."""
+    k, width = F.col("vec_id"), 8
+    tiles = table(spark, d, "embeddings").select(F.floor(k / 25).alias("image_id"), F.floor(k % 25 / 5).alias("ty"), (k % 5).alias("tx"), F.posexplode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i", "line"), "embedding")
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 300 + 128))).cast("int")
+    parts = tiles.select("image_id", (F.col("ty") * width + F.col("line")).alias("row"), "tx", F.transform(F.slice("embedding", F.col("line") * width + 1, F.lit(width)), level).alias("part"))
+    pages = parts.groupBy("image_id", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tx", "part"))), lambda p: p["part"])).alias("levels"))
+    made, seen = scans.prepared(pages, threshold=True)
+    dark = F.aggregate("levels", F.lit(0), lambda n, v: n + F.when(v == 0, 1).otherwise(0))
+    return made.join(seen, "image_id").select("image_id", "row", F.size("levels").alias("width"), dark.alias("dark"), F.round("degrees", 6).alias("degrees"))
+
+
 @query()
 def geodesic_area(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), _quad(F.col("c_custkey")).alias("ring"), F.lit(4326).alias("code"))
