@@ -35,6 +35,22 @@ def page(rows: DataFrame, *order: Column | str, limit: int = 50, offset: int = 0
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, keys: dict[str, str], last: dict[str, object] | None = None, limit: int = 50, most: int = 100) -> DataFrame:
+    """The page behind a row: keys are columns and their directions (asc or desc) in a total order, none of them null; `last` has their values in that row.
+
+    Whatever page it is, a task keeps `limit` rows, where an offset would keep all rows before it too.
+    """
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be 1 to {most}")
+    beyond, tied = F.lit(last is None), F.lit(True)
+    for name, way in keys.items():
+        if last is not None:
+            value = F.lit(last[name])
+            beyond = beyond | (tied & (F.col(name) < value if way == "desc" else F.col(name) > value))
+            tied = tied & (F.col(name) == value)
+    return rows.filter(beyond).orderBy(*(F.desc(c) if way == "desc" else F.asc(c) for c, way in keys.items())).limit(limit)
+
+
 def page_with_total(rows: DataFrame, *order: Column | str, limit: int = 50, offset: int = 0, most: int = 100) -> DataFrame:
     """The page with the count of all rows beside each of its rows."""
     total = rows.agg(F.count("*").alias("total"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,6 +53,11 @@ def required_fields(documents: DataFrame, candidates: DataFrame, policy: Policy)
     return _issues(wanted.join(usable(candidates).select("document_id", "field_name"), ["document_id", "field_name"], "left_anti"), 1, "REQUIRED_FIELD_MISSING", "HIGH", F.concat(F.lit("REQUIRED."), F.upper("field_name")), index=False)
 
 
+def fields_agree(left: Column, right: Column) -> Column:
+    """The cross-field rule: CROSS_FIELD_MISMATCH where two values differ, null where they are equal; a missing value equals only a missing one."""
+    return F.when(~left.eqNullSafe(right), "CROSS_FIELD_MISMATCH")
+
+
 def confidence(candidates: DataFrame, policy: Policy) -> DataFrame:
     rows = usable(candidates)
     unknown = _issues(rows.filter("confidence IS NULL"), 2, "UNKNOWN_CONFIDENCE", "MEDIUM", "CONFIDENCE.UNKNOWN") if policy.unknown_needs_review else None

@@ -184,3 +184,55 @@ def test_sign_in_folds_each_column_its_way(spark):
     users = spark.createDataFrame([(1, "ADM-TN-000001", "A@x.org"), (2, "adm-tn-000001", "b@x.org"), (3, None, None)], "id int, login_id string, email string")
     assert [r["id"] for r in access.sign_in_user(users, " adm-tn-000001\u00a0").collect()] == [1]
     assert [r["id"] for r in access.sign_in_user(users, "a@X.ORG").collect()] == [1]
+
+
+def test_exact_percentiles_by_ranges(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from terrafold.functions import raster
+
+    rng = random.Random(6)
+    rows = [(b, rng.choice([rng.uniform(-5, 5), 3.0, 1e6]) if b else 7.0) for b in range(4) for _ in range(200 + b)] + [(9, 1.5), (10, None), (11, 1.0), (11, 2.0)]
+    df = spark.createDataFrame(rows, "b int, v double").repartition(3)
+    shares = [0.0, 0.02, 0.5, 0.98, 1.0]
+    want = {r["b"]: r["p"] for r in df.filter("v IS NOT NULL").groupBy("b").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect()}
+    for ranges in (4096, 2):
+        monkeypatch.setattr(raster, "RANGES", ranges)
+        got = {r["b"]: r["_p"] for r in raster.percentiles(df, "b", "v", shares).collect()}
+        assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b], rel=1e-12) for b in want)
+
+
+def test_pages_follow_each_other(spark):
+    from terrafold.operators import paging
+
+    rows = spark.createDataFrame([(k % 3, k) for k in range(20)], "a int, b int")
+    keys, last, seen = {"a": "desc", "b": "asc"}, None, []
+    while page := paging.page_after(rows, keys, last, 7).collect():
+        seen += [tuple(r) for r in page]
+        last = page[-1].asDict()
+    assert seen == sorted(((k % 3, k) for k in range(20)), key=lambda r: (-r[0], r[1]))
+    with pytest.raises(ValueError):
+        paging.page_after(rows, keys, None, 0)
+
+
+def test_benchmark_rates_equal_plain_loops(spark, tables):
+    from terrafold.plans import catalog
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    def rate(a, b):
+        return distance(a, b) / len(a) if a else float(bool(b))
+
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{tables[0]}/benchmark.parquet").collect()}
+    pairs = [(texts[k], texts[k + 1]) for k in texts if k + 1 in texts]
+    got = catalog.benchmark_rollup(spark, tables[0]).first()
+    assert (got["completed"], got["failed"]) == (len(pairs), len(texts) - len(pairs))
+    assert got["mean_cer"] == pytest.approx(sum(rate(a, b) for a, b in pairs) / len(pairs)) and got["mean_wer"] == pytest.approx(sum(rate(a.split(), b.split()) for a, b in pairs) / len(pairs))

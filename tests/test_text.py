@@ -95,3 +95,18 @@ def test_whole_queries_take_texts_of_any_script(spark, tmp_path):
 
     rates = {k: None if b is None else distance(a, b) / len(a) for k, (a, b) in enumerate(zip(texts, texts[1:])) if a}
     assert {r["item_id"]: r["cer"] for r in catalog.error_rates_whole(spark, str(tmp_path)).collect()} == rates
+
+
+def test_empty_references_are_rated(spark, tmp_path):
+    """By the rule for them, in the query and in its SQL."""
+    import duckdb
+
+    from terrafold.plans import catalog
+
+    texts = ["ab", "", "", "cd", "é日", "é", None, "x", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: r["cer"] for r in catalog.error_rates(spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 1.0, 3: 1.0, 4: 0.5, 5: None, 6: None, 7: None, 8: None}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert dict(con.sql(catalog.ORACLE["error_rates"]).fetchall()) == got
