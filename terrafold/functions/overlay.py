@@ -258,6 +258,79 @@ def dissolved(shapes: pd.Series) -> pd.Series:
     return shapes.map(lambda parts: None if parts is None else _rows(combine([_arrays(rings) for rings in parts], RULES["union"])) if len(parts) else [])
 
 
+def thinned(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """A line's points without those that its remaining edges pass within the tolerance: halved at the farthest point until none is farther."""
+    keep = np.zeros(len(line), bool)
+    keep[[0, -1]] = True
+    spans = [(0, len(line) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 2:
+            continue
+        d, v = line[b] - line[a], line[a + 1 : b] - line[a]
+        long = float(d @ d)
+        t = np.clip(v @ d / long, 0, 1) if long else np.zeros(len(v))
+        off = ((v - t[:, None] * d) ** 2).sum(1)
+        far = int(off.argmax())
+        if off[far] > tolerance**2:
+            keep[a + 1 + far] = True
+            spans += [(a, a + 1 + far), (a + 1 + far, b)]
+    return line[keep]
+
+
+def _thin_ring(ring: np.ndarray, fixed: set[tuple], tolerance: float) -> np.ndarray:
+    """A closed ring, thinned between its fixed points; every arc from its lower end on, so both sides of a border make the same of it."""
+    open_ = ring[:-1]
+    at = [k for k, p in enumerate(open_.tolist()) if tuple(p) in fixed]
+    if len(at) < 2:  # its lowest point and the one farthest from it
+        low = at[0] if at else int(np.lexsort((open_[:, 1], open_[:, 0]))[0])
+        at = sorted({low, int(((open_ - open_[low]) ** 2).sum(1).argmax())})
+    around = np.concatenate([open_, open_])
+    parts = []
+    for a, b in zip(at, [*at[1:], at[0] + len(open_)]):
+        arc = around[a : b + 1]
+        turn = tuple(arc[-1]) < tuple(arc[0]) or (tuple(arc[-1]) == tuple(arc[0]) and tuple(arc[-2]) < tuple(arc[1]))
+        arc = thinned(arc[::-1] if turn else arc, tolerance)
+        parts.append((arc[::-1] if turn else arc)[:-1])
+    made = np.concatenate(parts)
+    return np.concatenate([made, made[:1]]) if len(made) > 2 else ring
+
+
+def _crossing(rings: list[np.ndarray]) -> bool:
+    """Whether edges of these rings meet elsewhere than at their ends."""
+    points = np.concatenate(rings)
+    extent = float((points.max(0) - points.min(0)).max())
+    step = 2.0 ** math.ceil(math.log2(extent)) / EXTENT if extent else 1.0
+    edges = np.concatenate([np.column_stack([r[:-1], r[1:]]) for r in (np.rint((r - points.min(0)) / step).astype(np.int64) for r in rings)])
+    return len(_meetings(edges[(edges[:, :2] != edges[:, 2:]).any(1)])) > 0
+
+
+def simplify(polygons: list[list[np.ndarray]], fixed: set[tuple], tolerance: float) -> list[list[np.ndarray]]:
+    """Polygons with fewer points, none of the old ones farther than the tolerance from the new edges; where that would make edges cross, half the tolerance."""
+    while polygons and tolerance > 0:
+        made = [[_thin_ring(ring, fixed, tolerance) for ring in polygon] for polygon in polygons]
+        rings = [r for polygon in made for r in polygon]
+        if not _crossing(rings) and all(_twice_area(r) * _twice_area(old) > 0 for r, old in zip(rings, (r for p in polygons for r in p))):
+            return made
+        tolerance = tolerance / 2 if tolerance > 1e-12 else 0.0
+    return polygons
+
+
+def simplified(tolerance: float):
+    """A column function of polygons and an array of points that must stay: `simplify` for each row. Null for null."""
+
+    @listed(POLYGONS, _POLYGONS_ARROW)
+    def apply(polygons: pd.Series, fixed: pd.Series) -> pd.Series:
+        def one(parts, points):
+            if parts is None:
+                return None
+            return _rows(simplify([_arrays(polygon) for polygon in parts], {(p["x"], p["y"]) for p in (points if points is not None else [])}, tolerance))
+
+        return pd.Series([one(p, f) for p, f in zip(polygons, fixed)], dtype=object)
+
+    return apply
+
+
 def overlay(how: str):
     """A column function of two shapes (columns of rings): union, intersection, difference or symmetric_difference. Null if either is."""
     rule = RULES[how]

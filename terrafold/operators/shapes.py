@@ -115,3 +115,17 @@ def topology(shapes: DataFrame, boundary: list[list[tuple[float, float]]] | None
     gap = union_coverage(covering, boundary[0], cell).filter(F.col("gap_m2") > tolerance)
     out = out.unionByName(issue(leaves, "OUTSIDE_PROJECT_BOUNDARY", "REVIEW", F.array("shape_id"), F.col("area")))
     return out.unionByName(issue(gap, "COVERAGE_GAP", "REVIEW", F.array(), F.col("gap_m2")))
+
+
+def simplify_layer(shapes: DataFrame, tolerance: float) -> DataFrame:
+    """Shapes (shape_id, polygons) with `polygons` of fewer points: no point moves, what goes lay within the tolerance of what stays.
+
+    Points where three or more edges of the layer meet stay, and a border that two shapes share is thinned the same way for both, so
+    neighbours still fit. A shape whose edges would cross is thinned less, alone. Ids are distinct; points join by their exact coordinates.
+    """
+    rings = shapes.select("shape_id", F.explode(O.all_rings(F.col("polygons"))).alias("r"))
+    ends = rings.select("shape_id", F.explode(F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("p"), F.slice("r", 2, F.size("r") - 1).alias("q"))).alias("e")).select("shape_id", "e.p", "e.q")
+    both = ends.select("p", "q").unionByName(ends.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct()
+    junctions = both.groupBy("p").count().filter("count > 2").select("p")
+    fixed = ends.select("shape_id", "p").distinct().join(junctions, "p").groupBy("shape_id").agg(F.collect_list("p").alias("_fixed"))
+    return shapes.join(fixed, "shape_id", "left").withColumn("polygons", O.simplified(tolerance)(F.col("polygons"), F.col("_fixed"))).drop("_fixed")

@@ -775,6 +775,18 @@ def _steps(x: Column, y: Column) -> Column:
     return F.array(*(G.point(x + a, y + b) for a, b in ((0, 0), (2, 0), (2, 4), (4, 4), (4, 2), (0, 2), (0, 0))))
 
 
+@query("SELECT s_suppkey AS shape_id, CAST(13 AS BIGINT) AS points_before, CAST(5 AS BIGINT) AS points, 100.0::DOUBLE AS area, s_suppkey % 50 * 10.0::DOUBLE AS x0, s_suppkey // 50 * 10.0::DOUBLE AS y0 FROM supplier")
+def shape_simplified(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as squares side by side whose borders waver by a tenth; simplified as one layer they are plain squares that fit."""
+    k = F.col("s_suppkey")
+    x, y = (k % 50 * 10).cast("double"), (F.floor(k / 50) * 10).cast("double")
+    off = lambda at: F.when(at % 20 == 0, 0.1).otherwise(-0.1)
+    points = [(x, y), (x + 3, y + off(y)), (x + 7, y - off(y)), (x + 10, y), (x + 10 + off(x + 10), y + 3), (x + 10 - off(x + 10), y + 7), (x + 10, y + 10), (x + 7, y + 10 - off(y + 10)), (x + 3, y + 10 + off(y + 10)), (x, y + 10), (x - off(x), y + 7), (x + off(x), y + 3), (x, y)]
+    layer = table(spark, d, "supplier").select(k.alias("shape_id"), x.alias("x0"), y.alias("y0"), F.array(F.array(F.array(*(G.point(a, b) for a, b in points)))).alias("polygons"))
+    made = shapes.simplify_layer(layer.withColumn("points_before", F.size(F.col("polygons")[0][0]).cast("long")), 0.5)
+    return made.select("shape_id", "points_before", F.size(F.col("polygons")[0][0]).cast("long").alias("points"), F.round(overlay.polygons_area(F.col("polygons")), 6).alias("area"), "x0", "y0")
+
+
 #: Unit squares of the frames; SQL counts them.
 _FRAME_CELLS = "c AS (SELECT id, x.range AS x, y.range AS y FROM b, range(-5, 600) x, range(-5, 600) y WHERE x.range >= x0 AND x.range < x1 AND y.range >= y0 AND y.range < y1 AND NOT (x.range >= x0 + 2 AND x.range < x1 - 2 AND y.range >= y0 + 2 AND y.range < y1 - 2))"
 

@@ -130,3 +130,42 @@ def test_columns(spark):
         for how, rule in O.RULES.items():
             assert r[how] == (None if a is None else pytest.approx(area(O.combine([a, b], rule))))
     assert [r["own"] for r in got] == [48, 32, 0, None] and got[1]["parts"] == 1
+
+
+def off(points, ring):
+    a, d = ring[:-1], np.diff(ring, axis=0)
+    v = points[:, None] - a
+    t = np.clip((v * d).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return float(np.hypot(*np.moveaxis(v - t[:, :, None] * d, 2, 0)).min(1).max())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_simplified_rings_stay_within_the_tolerance(seed):
+    rng = random.Random(seed)
+    angles = sorted(rng.uniform(0, 2 * np.pi) for _ in range(120))
+    ring = closed([(r * np.cos(t), r * np.sin(t)) for t in angles for r in [10 + rng.uniform(0, 1)]])
+    hole = closed([(3 * np.cos(t), 3 * np.sin(t)) for t in angles][::-1])
+    for tolerance in (0.05, 0.5, 2.5):
+        (made,) = O.simplify([[ring, hole]], set(), tolerance)
+        for old, new in zip((ring, hole), made):
+            assert len(new) <= len(old) and off(old, new) <= tolerance + 1e-9 and {tuple(p) for p in new.tolist()} <= {tuple(p) for p in old.tolist()}
+        assert not O._crossing(made) and area([made]) > 0
+        assert len(made[0]) < len(ring)
+
+
+def test_neighbours_still_fit_when_a_layer_is_simplified(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.operators import shapes
+
+    rng = random.Random(7)
+    wave = [(5 + rng.uniform(-0.4, 0.4) * (0 < k < 40), k / 4) for k in range(41)]
+    left, right = closed([(0, 0), *wave, (0, 10)]), closed([(10, 0), (10, 10), *wave[::-1]])
+    alone = closed([(20 + 2 * np.cos(t), 2 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 60, endpoint=False)])
+    rows = [(k, [[[{"x": float(x), "y": float(y)} for x, y in r] for r in [ring]]]) for k, ring in enumerate((left, right, alone))] + [(3, []), (4, None)]
+    df = spark.createDataFrame(rows, f"shape_id int, polygons array<array<{O.RING}>>")
+    got = {r["shape_id"]: r for r in shapes.simplify_layer(df, 0.3).withColumn("area", O.polygons_area(F.col("polygons"))).collect()}
+    points = lambda k: {(p["x"], p["y"]) for p in got[k]["polygons"][0][0]}
+    shared = {p for p in points(0) if 0 < p[0] < 10}
+    assert shared == {p for p in points(1) if 0 < p[0] < 10} and 2 < len(shared) < 41
+    assert got[0]["area"] + got[1]["area"] == pytest.approx(100) and len(points(2)) < 30 and got[3]["polygons"] == [] and got[4]["polygons"] is None
