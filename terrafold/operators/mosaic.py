@@ -25,6 +25,9 @@ from .graph import components, cut_lineage
 _SCHEMA = "raster_id long, kind string, node long, pixels long, total double, x long, y long, xa long, ya long, xb long, yb long, open boolean"
 _FIELDS = [("raster_id", pa.int64()), ("kind", pa.string()), ("node", pa.int64()), ("pixels", pa.int64()), ("total", pa.float64()), *((c, pa.int64()) for c in ("x", "y", "xa", "ya", "xb", "yb")), ("open", pa.bool_())]
 
+#: Rows that small tiles are gathered to before they leave a task.
+_BATCH = 20_000
+
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, end) of the runs of set pixels, in reading order."""
@@ -101,6 +104,7 @@ def _tile(values: np.ndarray, x0: int, y0: int, threshold: float) -> list[dict[s
 
 
 def _read(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    held, count = [], 0
     for batch in batches:
         for r in range(batch.num_rows):
             raster, x0, y0, width = (batch.column(k)[r].as_py() for k in range(4))
@@ -111,7 +115,13 @@ def _read(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             for part in _tile(np.nan_to_num(grid, nan=-np.inf), x0, y0, threshold):
                 rows = len(part["node"])
                 part |= {"raster_id": np.full(rows, raster), "kind": [part["kind"]] * rows}
-                yield pa.RecordBatch.from_arrays([pa.array(part[c], t) if c in part else pa.nulls(rows, t) for c, t in _FIELDS], [c for c, _ in _FIELDS])
+                held.append(pa.RecordBatch.from_arrays([pa.array(part[c], t) if c in part else pa.nulls(rows, t) for c, t in _FIELDS], [c for c, _ in _FIELDS]))
+                count += rows
+            if count >= _BATCH:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, count = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def vectorize(tiles: DataFrame, threshold: float = 0.5, min_pixels: int = 1) -> DataFrame:
