@@ -6,8 +6,10 @@ folding, which Spark lacks, are one Arrow function.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
 import unicodedata
 import uuid
 
@@ -62,7 +64,7 @@ def trimmed(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Ends trimmed, runs of Unicode white space one space. Null stays null."""
-    return F.regexp_replace(trimmed(c), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalize_identifier(c: Column) -> Column:
@@ -70,22 +72,34 @@ def normalize_identifier(c: Column) -> Column:
     return F.regexp_replace(normalize_whitespace(c), r"(?U)\s*([/-])\s*", "$1")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often `use` mentions it: the optimiser doesn't copy it into each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Decimal digits of all scripts, and the ASCII digit of each."""
+    known = [(chr(k), unicodedata.decimal(chr(k), None)) for k in range(0x80, sys.maxunicode + 1)]
+    return "".join(c for c, d in known if d is not None), "".join(str(d) for _, d in known if d is not None)
+
+
 def ascii_digits(c: Column) -> Column:
-    """Decimal digits of the scripts at hand as ASCII, so that casts accept them."""
-    tamil, devanagari = "".join(chr(0x0BE6 + k) for k in range(10)), "".join(chr(0x0966 + k) for k in range(10))
-    return F.translate(c, tamil + devanagari, "0123456789" * 2)
+    """Decimal digits of any script as ASCII, so that casts accept them."""
+    return F.translate(c, *_digits())
 
 
 def normalize_area(c: Column) -> Column:
     """struct(value, unit) of the first number with a unit, null without one. Commas are dropped before parsing."""
-    # the long pattern finds the text once; its number and unit are cut from that by short ones
-    whole = F.regexp_extract(c, "(?iU)" + _AREA, 0)
-    number = F.regexp_extract(whole, r"(?U)^\d+(?:[,.]\d+)?", 0)
-    unit = trimmed(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(whole, r"(?U)^\d+(?:[,.]\d+)?", "")), r"(?U)\s+", " "), r"\.", ""))
-    kind = F.lit("hectare")
-    for name, spellings in UNITS.items():
-        kind = F.when(unit.isin(*spellings), name).otherwise(kind)
-    return F.when(number != "", F.struct(F.regexp_replace(ascii_digits(number), ",", "").cast("double").alias("value"), kind.alias("unit")))
+    units = F.create_map(*(F.lit(x) for name, spellings in UNITS.items() for spelling in spellings for x in (spelling, name)))
+
+    def cut(whole: Column, number: Column) -> Column:
+        unit = F.trim(F.replace(F.regexp_replace(F.lower(F.substr(whole, F.length(number) + 1)), r"(?U)\s+", " "), F.lit("."), F.lit("")))
+        value = F.replace(ascii_digits(number), F.lit(","), F.lit("")).try_cast("double")
+        return F.when(number != "", F.struct(value.alias("value"), F.coalesce(F.try_element_at(units, unit), F.lit("hectare")).alias("unit")))
+
+    # the long pattern finds the text once; its number is cut from that by a short one, the unit is the rest
+    return once(F.regexp_extract(c, "(?iU)" + _AREA, 0), lambda whole: once(F.regexp_extract(whole, r"(?U)^\d+(?:[,.]\d+)?", 0), lambda number: cut(whole, number)))
 
 
 def area_m2(area: Column) -> Column:
@@ -95,21 +109,21 @@ def area_m2(area: Column) -> Column:
 
 def iso_dates(c: Column) -> Column:
     """Dates like 2024-1-5 in a text, in order: zero-padded if they exist, as they stand if not."""
-    parts = F.transform(F.regexp_extract_all(c, F.lit("(?U)" + _DATE), F.lit(0)), lambda raw: F.struct(raw.alias("raw"), F.split(ascii_digits(raw), "[-/.]").alias("p")))
-    padded = lambda p: F.concat_ws("-", p[0], F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0"))
-    return F.transform(parts, lambda x: F.coalesce(F.date_format(F.try_to_date(padded(x["p"]), "yyyy-MM-dd"), "yyyy-MM-dd"), x["raw"]))
+    def read(raw: Column) -> Column:
+        iso = F.translate(ascii_digits(raw), "/.", "--")
+        return F.coalesce(F.when(~F.startswith(iso, F.lit("0000")), iso.try_cast("date").cast("string")), raw)
+
+    return F.transform(F.regexp_extract_all(c, F.lit("(?U)" + _DATE), F.lit(0)), read)
 
 
 def record_information(c: Column) -> Column:
     """array of one struct(value, dates): normal white space and the dates in it, null dates without any."""
-    text = normalize_whitespace(c)
-    dates = iso_dates(text)
-    return F.array(F.struct(text.alias("value"), F.when(F.size(dates) > 0, dates).alias("dates")))
+    entry = lambda text, dates: F.struct(text.alias("value"), F.when(F.size(dates) > 0, dates).alias("dates"))
+    return F.array(once(normalize_whitespace(c), lambda text: once(iso_dates(text), lambda dates: entry(text, dates))))
 
 
 def normalized_value(field: Column, value: Column) -> Column:
     """Tagged struct (kind, text, value, unit, entries) of a field's value; kind null where it can't be normalised."""
-    area = normalize_area(value)
     none = {"text": F.lit(None).cast("string"), "value": F.lit(None).cast("double"), "unit": F.lit(None).cast("string"), "entries": F.lit(None).cast("array<struct<value:string,dates:array<string>>>")}
 
     def tagged(kind, **parts):
@@ -117,7 +131,7 @@ def normalized_value(field: Column, value: Column) -> Column:
 
     return (
         F.when(field.isin(*IDENTIFIERS), tagged("text", text=normalize_identifier(value)))
-        .when(field == "plot_area", tagged(F.when(area.isNotNull(), "area"), value=area["value"], unit=area["unit"]))
+        .when(field == "plot_area", once(normalize_area(value), lambda area: tagged(F.when(area.isNotNull(), "area"), value=area["value"], unit=area["unit"])))
         .when(field.isin(*RECORDS), tagged("record", entries=record_information(value)))
         .otherwise(tagged("text", text=normalize_whitespace(value)))
     )

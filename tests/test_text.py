@@ -23,6 +23,14 @@ def test_areas(spark, text, value, unit):
     assert (got["value"], got["unit"]) == (value, unit)
 
 
+def test_digits_of_any_script(spark):
+    (area, digit_date, no_year) = spark.range(1).select(
+        T.normalize_area(F.lit("\u0663\u0665,\u0665 acres")), T.iso_dates(F.lit("\u0968\u0966\u0968\u096a-\u0967-\u096b"))[0], T.iso_dates(F.lit("0000-1-5"))[0]
+    ).first()
+    assert (area.value, area.unit) == (355.0, "acre")
+    assert (digit_date, no_year) == ("2024-01-05", "0000-1-5")
+
+
 def test_sq_m_is_no_unit(spark):
     assert values(spark, T.normalize_area, "111.5 sq m", "no area", None) == [None, None, None]
 
