@@ -15,6 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,56 +158,86 @@ def authalic_q(sin_lat: np.ndarray) -> np.ndarray:
     return (1 - WGS84_E2) * (sin_lat / (1 - WGS84_E2 * sin_lat**2) + np.arctanh(e * sin_lat) / e)
 
 
+def _ring_areas(a: np.ndarray, b: np.ndarray, of: np.ndarray, count: int, step: float = 0.02) -> np.ndarray:
+    """Square metres inside `count` closed rings, given all their edges (rows of degrees, ring by ring) and the ring of each edge."""
+    if not len(a):
+        return np.zeros(count)
+    # heights are taken from the ring's own first point, so that small rings lose no digits; rings around a pole turn once
+    base = authalic_q(np.sin(np.radians(a[np.searchsorted(of, of), 1])))
+    band, turned = np.zeros(len(a)), np.zeros(len(a))
+    turn = np.remainder(b[:, 0] - a[:, 0] + 180, 360) - 180
+    far = np.maximum(np.abs(turn), np.abs(b[:, 1] - a[:, 1]))
+    far = np.where(np.isfinite(far), far, 0.0)
+    pieces = np.maximum(1, np.ceil(far / step)).astype(np.int64)
+
+    def on_sphere(p: np.ndarray) -> np.ndarray:
+        lon, lat = np.radians(p).T
+        return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+    # a batch has any number of pieces: so many edges at a time as have about 2**18
+    block = np.cumsum(pieces) >> 18
+    for some in np.split(np.arange(len(a)), np.flatnonzero(np.diff(block)) + 1):
+        if not len(some):
+            continue
+        points = pieces[some] + 1
+        first = np.cumsum(points) - points
+        t = ((np.arange(points.sum()) - np.repeat(first, points)) / np.repeat(pieces[some], points))[:, None]
+        chord = np.repeat(on_sphere(a[some]), points, axis=0) * (1 - t) + np.repeat(on_sphere(b[some]), points, axis=0) * t
+        with np.errstate(invalid="ignore"):  # opposite points have no edge: no number
+            chord /= np.linalg.norm(chord, axis=1, keepdims=True)
+        lon, q = np.arctan2(chord[:, 1], chord[:, 0]), authalic_q(chord[:, 2])
+        east = np.diff(lon)
+        east = np.where(east > np.pi, east - 2 * np.pi, np.where(east < -np.pi, east + 2 * np.pi, east))
+        east[first[1:] - 1] = 0  # from one edge's last point to the next one's first
+        band[some] = np.add.reduceat(east * ((q[1:] + q[:-1]) / 2 - np.repeat(base[some], points)[1:]), first)
+        turned[some] = np.add.reduceat(east, first)
+    around = np.zeros(count)
+    around[of] = base
+    total = np.bincount(of, band, count) + around * 2 * np.pi * np.round(np.bincount(of, turned, count) / (2 * np.pi))
+    return np.abs(total) * WGS84_A**2 / 2
+
+
 def ellipsoid_area(ring: np.ndarray, step: float = 0.02) -> float:
     """Square metres inside a ring of degrees on WGS84.
 
     Latitudes are mapped so that area is exact (authalic); edges are cut into pieces of at most `step` degrees
     along great circles. Against exact geodesic edges the error is below 1e-6 for parcels, where edges are short.
     """
-    lon, lat = np.radians(ring[:, 0]), np.radians(ring[:, 1])
-    total = 0.0
-    for k in range(len(ring) - 1):
-        d = math.remainder(lon[k + 1] - lon[k], 2 * math.pi)
-        n = max(1, math.ceil(max(abs(math.degrees(d)), abs(math.degrees(lat[k + 1] - lat[k]))) / step))
-        a = np.array([math.cos(lat[k]) * math.cos(lon[k]), math.cos(lat[k]) * math.sin(lon[k]), math.sin(lat[k])])
-        b = np.array([math.cos(lat[k + 1]) * math.cos(lon[k + 1]), math.cos(lat[k + 1]) * math.sin(lon[k + 1]), math.sin(lat[k + 1])])
-        t = np.linspace(0, 1, n + 1)[:, None]
-        p = a * (1 - t) + b * t
-        p /= np.linalg.norm(p, axis=1, keepdims=True)
-        x, q = np.unwrap(np.arctan2(p[:, 1], p[:, 0])), authalic_q(p[:, 2])
-        total += float(np.sum(np.diff(x) * (q[1:] + q[:-1]))) / 2
-    return abs(total) * WGS84_A**2 / 2
+    return float(_ring_areas(ring[:-1], ring[1:], np.zeros(max(0, len(ring) - 1), np.int64), 1, step)[0])
 
 
-def ellipsoid_distance(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
-    """Metres along the geodesic (Vincenty's inverse iteration); nearly antipodal points are null (nan)."""
-    a, f = WGS84_A, WGS84_F
-    b = a * (1 - f)
-    u1, u2, ell = math.atan((1 - f) * math.tan(math.radians(lat1))), math.atan((1 - f) * math.tan(math.radians(lat2))), math.radians(lon2 - lon1)
-    s1, c1, s2, c2 = math.sin(u1), math.cos(u1), math.sin(u2), math.cos(u2)
-    lam = ell
+def ellipsoid_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Metres along the geodesics between rows of degrees (Vincenty's inverse iteration); nearly antipodal points are null (nan)."""
+    f, axis = WGS84_F, WGS84_A
+    polar = axis * (1 - f)
+    u1, u2, ell = np.arctan((1 - f) * np.tan(np.radians(a[:, 1]))), np.arctan((1 - f) * np.tan(np.radians(b[:, 1]))), np.radians(b[:, 0] - a[:, 0])
+    out, open_, lam = np.full(len(a), np.nan), np.arange(len(a)), ell.copy()
     for _ in range(200):
-        sl, cl = math.sin(lam), math.cos(lam)
-        sin_s = math.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
-        if sin_s == 0:
-            return 0.0
-        cos_s = s1 * s2 + c1 * c2 * cl
-        sig = math.atan2(sin_s, cos_s)
-        sin_a = c1 * c2 * sl / sin_s
+        if not len(open_):
+            break
+        s1, c1, s2, c2 = np.sin(u1[open_]), np.cos(u1[open_]), np.sin(u2[open_]), np.cos(u2[open_])
+        sl, cl = np.sin(lam), np.cos(lam)
+        sin_s, cos_s = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl), s1 * s2 + c1 * c2 * cl
+        same = sin_s == 0
+        sig = np.arctan2(sin_s, cos_s)
+        sin_a = c1 * c2 * sl / np.where(same, 1.0, sin_s)
         cos2 = 1 - sin_a**2
-        mid = cos_s - 2 * s1 * s2 / cos2 if cos2 else 0.0
+        mid = np.where(cos2 == 0, 0.0, cos_s - 2 * s1 * s2 / np.where(cos2 == 0, 1.0, cos2))
         c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
-        new = ell + (1 - c) * f * sin_a * (sig + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
-        if abs(new - lam) < 1e-12:
-            break
-        lam = new
-    else:
-        return math.nan
-    u = cos2 * (a**2 - b**2) / b**2
-    big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    delta = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-    return b * big_a * (sig - delta)
+        new = ell[open_] + (1 - c) * f * sin_a * (sig + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
+        done = same | (np.abs(new - lam) < 1e-12)
+        u = cos2 * (axis**2 - polar**2) / polar**2
+        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        delta = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
+        out[open_[done]] = np.where(same, 0.0, polar * big_a * (sig - delta))[done]
+        open_, lam = open_[~done], new[~done]
+    return out
+
+
+def ellipsoid_distance(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """The same of one pair of points."""
+    return float(ellipsoid_distances(np.array([[lon1, lat1]], float), np.array([[lon2, lat2]], float))[0])
 
 
 def project(points: np.ndarray, code: int) -> np.ndarray:
@@ -267,56 +298,82 @@ def transform_ring(source: int, target: int):
     return change
 
 
-@arrow("double")
-def area_square_metres(rings: pd.Series, codes: pd.Series) -> pd.Series:
+def _measures(xy: np.ndarray, lengths: np.ndarray, codes: np.ndarray, area: bool) -> np.ndarray:
+    """Area inside or metres along each ring of a batch: all their points in a row, how many each has, and its system (nan: none); nan without a measure."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    inner = owner[:-1] == owner[1:]
+    a, b, of = xy[:-1][inner], xy[1:][inner], owner[:-1][inner]
+    degrees = codes[of] == 4326
+    if area:
+        planar = np.abs(np.bincount(of, a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1], len(lengths))) / 2
+        total = np.where(codes == 4326, _ring_areas(a[degrees], b[degrees], of[degrees], len(lengths)), planar)
+    else:
+        each = np.hypot(*(b - a).T)
+        each[degrees] = ellipsoid_distances(a[degrees], b[degrees])
+        total = np.bincount(of, each, len(lengths))
+    return np.where((lengths < (4 if area else 2)) | np.isnan(codes), np.nan, total)
+
+
+def _of_column(rings: pa.Array, codes: pa.Array, area: bool) -> pa.Array:
+    """The measures of a column of rings, whose points are never Python objects."""
+    points = rings.flatten()
+    xy = np.column_stack([pc.struct_field(points, c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+    lengths = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+    return pa.array(_measures(xy, lengths, codes.cast(pa.float64()).to_numpy(zero_copy_only=False), area), pa.float64(), from_pandas=True)
+
+
+def area_square_metres(rings: Column, codes: Column) -> Column:
     """Square metres: geodesic for degrees, planar for metres; null without a known system or an empty ring."""
-    return pd.Series([_measure(_ring(r), c, True) for r, c in zip(rings, codes)], dtype="float64")
 
+    def work(rings: pa.Array, codes: pa.Array) -> pa.Array:
+        return _of_column(rings, codes, True)
 
-@arrow("double")
-def length_metres(lines: pd.Series, codes: pd.Series) -> pd.Series:
+    return F.arrow_udf(work, "double")(rings, codes)
+
+
+def length_metres(lines: Column, codes: Column) -> Column:
     """Metres along a line, or around a closed ring."""
-    return pd.Series([_measure(_ring(r), c, False) for r, c in zip(lines, codes)], dtype="float64")
+
+    def work(lines: pa.Array, codes: pa.Array) -> pa.Array:
+        return _of_column(lines, codes, False)
+
+    return F.arrow_udf(work, "double")(lines, codes)
+
+
+def _totals(parts: pd.Series, codes: pd.Series, area: bool, signs=None) -> list[float | None]:
+    """Measures of rows of several rings, summed by row with the rings' signs; null where a ring has none."""
+    code = [math.nan if c is None else float(c) for c in codes]
+    rings = [(k, _ring(r)) for k, row in enumerate(parts) if row is not None for r in row]
+    of = np.array([k for k, _ in rings], np.int64)
+    xy = np.concatenate([r for _, r in rings]) if rings else np.zeros((0, 2))
+    each = _measures(xy, np.array([len(r) for _, r in rings], np.int64), np.array([code[k] for k in of]), area)
+    total = np.bincount(of, each if signs is None else each * signs, len(code))
+    return [None if v != v else float(v) for v in total]
+
+
+def _measured(parts: pd.Series, codes: pd.Series, area: bool) -> pd.Series:
+    return pd.Series([v if row is not None and len(row) else None for row, v in zip(parts, _totals(parts, codes, area))], dtype="float64")
 
 
 @listed("double", pa.float64())
 def parts_area(parts: pd.Series, codes: pd.Series) -> pd.Series:
     """Square metres of several outer rings that don't overlap; null if one has no measure."""
-    return pd.Series([_measured(p, c, True) for p, c in zip(parts, codes)], dtype="float64")
+    return _measured(parts, codes, True)
 
 
 @listed("double", pa.float64())
 def parts_length(parts: pd.Series, codes: pd.Series) -> pd.Series:
     """Metres along several lines; null if one has no measure."""
-    return pd.Series([_measured(p, c, False) for p, c in zip(parts, codes)], dtype="float64")
+    return _measured(parts, codes, False)
 
 
 @listed("double", pa.float64())
 def polygons_area_metres(polygons: pd.Series, codes: pd.Series) -> pd.Series:
     """Square metres of polygons, each its outer ring and then its holes, which are taken off; null if one has no measure, 0 for none."""
-
-    def one(parts, code) -> float | None:
-        if parts is None or code is None or code != code:
-            return None
-        each = [(_measure(_ring(ring), code, True), k) for polygon in parts for k, ring in enumerate(polygon)]
-        return None if any(a is None for a, _ in each) else float(sum(-a if k else a for a, k in each))
-
-    return pd.Series([one(p, c) for p, c in zip(polygons, codes)], dtype="float64")
-
-
-def _measured(parts, code, area: bool) -> float | None:
-    each = [_measure(_ring(p), code, area) for p in parts] if parts is not None else []
-    return sum(each) if each and None not in each else None
-
-
-def _measure(ring: np.ndarray, code, area: bool) -> float | None:
-    if code is None or code != code or len(ring) < (4 if area else 2):
-        return None
-    if int(code) == 4326:
-        return ellipsoid_area(ring) if area else sum(ellipsoid_distance(*a, *b) for a, b in zip(ring[:-1], ring[1:]))
-    if area:
-        return abs(float(np.sum(ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]))) / 2
-    return float(np.sum(np.hypot(*np.diff(ring, axis=0).T)))
+    rings = polygons.map(lambda parts: None if parts is None else [ring for polygon in parts for ring in polygon])
+    signs = np.array([-1.0 if k else 1.0 for parts in polygons if parts is not None for polygon in parts for k, _ in enumerate(polygon)])
+    found = _totals(rings, codes, True, signs)
+    return pd.Series([None if parts is None or code is None or code != code else v for parts, code, v in zip(polygons, codes, found)], dtype="float64")
 
 
 def crosses_itself(ring: np.ndarray) -> bool:

@@ -42,6 +42,23 @@ def test_ellipsoid():
     assert whole == pytest.approx(510065621724088, rel=1e-6)
 
 
+def test_small_rings_and_rings_around_a_pole(spark):
+    # a metre or so across, anywhere: the plane's area by the radii of curvature there
+    for lon, lat in ((0.0, 0.0), (179.99999, 45.0), (-120.0, -60.0)):
+        d = 1e-5
+        cell = np.array([(lon, lat), (lon + d, lat), (lon + d, lat + d), (lon, lat + d), (lon, lat)])
+        s2 = math.sin(math.radians(lat + d / 2)) ** 2
+        m, n = G.WGS84_A * (1 - G.WGS84_E2) / (1 - G.WGS84_E2 * s2) ** 1.5, G.WGS84_A / math.sqrt(1 - G.WGS84_E2 * s2)
+        assert G.ellipsoid_area(cell) == pytest.approx(math.radians(d) ** 2 * m * n * math.cos(math.radians(lat + d / 2)), rel=1e-6)
+    # around the pole the band down to the equator is measured, wherever the ring begins
+    pole = np.array([(x, 80.0) for x in range(0, 360, 10)] + [(0.0, 80.0)])
+    turned = np.vstack([pole[7:-1], pole[:8]])
+    assert G.ellipsoid_area(pole) == pytest.approx(G.ellipsoid_area(turned), rel=1e-9)
+    rows = spark.createDataFrame([(1, None, 4326), (2, [], 4326), (3, [(0.0, 0.0), (0.0, 1.0)], 4326), (4, [(0.0, 0.0), (3.0, 4.0)], 32644), (5, [(0.0, 0.0), (3.0, 4.0)], None)], f"k int, r {G.RING}, code int")
+    got = rows.orderBy("k").select(G.length_metres(F.col("r"), F.col("code")), G.area_square_metres(F.col("r"), F.col("code"))).collect()
+    assert [(None if x is None else round(x, 3), y) for x, y in got] == [(None, None), (None, None), (110574.389, None), (5.0, None), (None, None)]
+
+
 @pytest.mark.parametrize("code", [32644, 32744, 6933])
 def test_projections_round_trip(code):
     lat = np.linspace(-60, -1, 7) if code == 32744 else np.linspace(1, 60, 7)
