@@ -52,14 +52,11 @@ def _outcome(start: Column, status: Column, retry_count: Column, illegal: Column
 def fold_states(events: DataFrame, key: str, order: list[str], event: str, run_bits: int = RUN_BITS) -> DataFrame:
     """(key, status, retry_count, progress, illegal): each job's events folded in order from QUEUED.
 
-    A key may have any number of events: they are range-partitioned by key and order and numbered, and each run of at most
+    A key may have any number of events. Where none has more than 2**run_bits (they are counted first), each key is one run, folded
+    from QUEUED. Else events are range-partitioned by key and order and numbered, and each run of at most
     2**run_bits is folded from every state that it may start in. Runs are composed in rounds, as many at a time, so no array holds
     more than that, or in the last round one entry for each 2**(3 * run_bits) events and each partition. An event without a name is illegal.
     """
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = events.select(key, *order, F.coalesce(F.col(event), F.lit("")).alias("_event")).repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order, "_event")
-    at = rows.select(key, "_event", F.monotonically_increasing_id().alias("_at"))
-    fresh = F.array(*(_outcome(F.lit(s), F.lit(s), F.lit(0), F.lit(0)) for s in STATES))
 
     def fold(acc, e):
         def one(a):
@@ -69,6 +66,19 @@ def fold_states(events: DataFrame, key: str, order: list[str], event: str, run_b
 
         return F.transform(acc, one)
 
+    def outcome(folded: DataFrame) -> DataFrame:
+        progress = F.when(F.col("s.status") == "COMPLETED", 100).when(F.col("s.status").isin("PROCESSING", "FAILED"), 1).otherwise(0)
+        return folded.select(key, F.element_at("_ends", 1).alias("s")).select(key, "s.status", "s.retry_count", progress.alias("progress"), "s.illegal")
+
+    fresh = F.array(*(_outcome(F.lit(s), F.lit(s), F.lit(0), F.lit(0)) for s in STATES))
+    longest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= 1 << run_bits:
+        listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(event), F.lit("")).alias("_event")))).alias("_listed"))
+        return outcome(listed.select(key, F.aggregate("_listed", F.slice(fresh, 1, 1), fold).alias("_ends")))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(key, *order, F.coalesce(F.col(event), F.lit("")).alias("_event")).repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order, "_event")
+    at = rows.select(key, "_event", F.monotonically_increasing_id().alias("_at"))
+
     def compose(acc, e):
         def one(a):
             then = F.element_at(F.filter(e["_ends"], lambda m: m["start"] == a["status"]), 1)
@@ -84,9 +94,7 @@ def fold_states(events: DataFrame, key: str, order: list[str], event: str, run_b
     runs = round_(at, "_event", run_bits, fold)
     for k in (2, 3):
         runs = round_(runs, "_ends", min(33, k * run_bits), compose)
-    state = F.element_at("_ends", 1)
-    progress = F.when(F.col("s.status") == "COMPLETED", 100).when(F.col("s.status").isin("PROCESSING", "FAILED"), 1).otherwise(0)
-    return round_(runs, "_ends", None, compose).select(key, state.alias("s")).select(key, "s.status", "s.retry_count", progress.alias("progress"), "s.illegal")
+    return outcome(round_(runs, "_ends", None, compose))
 
 
 def active_document_jobs(details: DataFrame, jobs: DataFrame) -> DataFrame:
