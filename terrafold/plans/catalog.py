@@ -1151,10 +1151,22 @@ def prepared_scans(spark: SparkSession, d: str) -> DataFrame:
     return made.join(seen, "image_id").select("image_id", "row", F.size("levels").alias("width"), dark.alias("dark"), F.round("degrees", 6).alias("degrees"))
 
 
-@query()
+_ECCENTRIC = "(298.257223563 * 2 - 1) / (298.257223563 * 298.257223563::DOUBLE)"
+
+
+@query(f"""
+WITH k AS (SELECT c_custkey AS id, 78 + (c_custkey % 100) / 1000::DOUBLE AS x, 11 + (c_custkey % 77) / 1000::DOUBLE AS y, 0.001::DOUBLE + (c_custkey % 9) / 10000::DOUBLE AS w, 0.001::DOUBLE + (c_custkey % 7) / 10000::DOUBLE AS h FROM customer),
+c AS (SELECT id, unnest([{{'i': 0, 'x': x, 'y': y}}, {{'i': 1, 'x': x + w, 'y': y + h / 4}}, {{'i': 2, 'x': x + w * 0.9::DOUBLE, 'y': y + h}}, {{'i': 3, 'x': x - w / 5, 'y': y + h * 0.8::DOUBLE}}, {{'i': 4, 'x': x, 'y': y}}]) AS p FROM k),
+g AS (SELECT id, p.i AS i, radians(p.x) AS lon, radians(p.y) AS lat, sin(radians(p.y)) AS s, {_ECCENTRIC} AS e2 FROM c),
+v AS (SELECT id, i, lon, (1 - e2) * (s / (1 - e2 * s * s) + atanh(sqrt(e2) * s) / sqrt(e2)) AS q, 6378137 / sqrt(1 - e2 * s * s) AS n, cos(lat) AS c, s, e2 FROM g),
+t AS (SELECT id, i, lon, q, n * c * cos(lon) AS px, n * c * sin(lon) AS py, n * (1 - e2) * s AS pz FROM v),
+e AS (SELECT *, lead(lon) OVER r AS lon1, lead(q) OVER r AS q1, first_value(q) OVER r AS q0, sqrt(pow(lead(px) OVER r - px, 2) + pow(lead(py) OVER r - py, 2) + pow(lead(pz) OVER r - pz, 2)) AS chord FROM t WINDOW r AS (PARTITION BY id ORDER BY i))
+SELECT id AS parcel_id, round(abs(sum((lon1 - lon) * ((q + q1) / 2 - q0))) * pow(6378137::DOUBLE, 2) / 2, 2) AS area_m2, round(sum(chord + pow(chord, 3) / (24 * pow(6371000::DOUBLE, 2))), 2) AS length_m FROM e WHERE i < 4 GROUP BY id
+""")
 def geodesic_area(spark: SparkSession, d: str) -> DataFrame:
+    """Small parcels: the SQL takes their edges as chords of the ellipsoid, lengthened to arcs, and as single bands of equal-area heights."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), _quad(F.col("c_custkey")).alias("ring"), F.lit(4326).alias("code"))
-    return rows.select("parcel_id", G.area_square_metres(F.col("ring"), F.col("code")).alias("area_m2"), G.length_metres(F.col("ring"), F.col("code")).alias("length_m"))
+    return rows.select("parcel_id", F.round(G.area_square_metres(F.col("ring"), F.col("code")), 2).alias("area_m2"), F.round(G.length_metres(F.col("ring"), F.col("code")), 2).alias("length_m"))
 
 
 @query(f"""
