@@ -33,6 +33,17 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.abs(a - b) / F.greatest(a, b))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double at so many digits as SQL engines round it, by its binary product with 10**digits, halves away from zero.
+
+    Spark's round goes by the shortest decimal text instead, so the two part where the product is a half and the text isn't. Below 2**53 / 10**digits.
+    """
+    size = F.abs(c) * F.lit(10.0**digits)
+    whole = F.floor(size).cast("double")
+    up = F.when(size - whole >= 0.5, whole + 1).otherwise(whole) / F.lit(10.0**digits)
+    return F.when(size < 2.0**53, F.when(c < 0, -up).otherwise(up)).otherwise(c)
+
+
 def percent_change(before: Column, after: Column) -> Column:
     return F.when(before > 0, (after - before) / before * 100)
 

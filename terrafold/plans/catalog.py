@@ -432,7 +432,7 @@ def link_suggestions(spark: SparkSession, d: str) -> DataFrame:
     factors = F.col("said.match_factors")
     return links.withColumn("said", said).select(
         "link_id", "record_id", "parcel_id", "link_status", "link_method", F.round("confidence", 9).alias("confidence"), F.array_join(factors["matching_admin_fields"], "|").alias("matching"),
-        F.array_join(factors["conflicting_admin_fields"], "|").alias("conflicting"), factors["area_compatible"].alias("compatible"), F.round("said.area_comparison.relative_difference", 9).alias("apart"),
+        F.array_join(factors["conflicting_admin_fields"], "|").alias("conflicting"), factors["area_compatible"].alias("compatible"), S.rounded(F.col("said.area_comparison.relative_difference"), 9).alias("apart"),
     )
 
 
