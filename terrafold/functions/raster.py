@@ -152,19 +152,20 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> D
     """(key, _p): a key's exact percentiles of its non-null values, interpolated between neighbours as `percentile` does it.
 
     Values are counted by RANGES equal parts of the key's range; only the parts that hold a rank are looked at value by value. So a key's values
-    meet in no single task, unless nearly all of them lie in one of the parts.
+    meet in no single task, unless nearly all of them lie in one of the parts. Keys are few (bands): what is known of each, a few rows, goes to every
+    task, so rows stay where they are read and are never dealt by key.
     """
     known = rows.select(key, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
     ends = known.groupBy(key).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
     part = F.when(F.col("most") > F.col("least"), F.least(F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * RANGES), F.lit(RANGES - 1))).otherwise(0).alias("part")
-    placed = known.join(ends, key).select(key, "v", "n", part)
+    placed = known.join(F.broadcast(ends), key).select(key, "v", "n", part)
     counts = placed.groupBy(key, "n", "part").agg(F.count("*").alias("held"))
     before = counts.withColumn("before", F.sum("held").over(Window.partitionBy(key).orderBy("part")) - F.col("held"))
     # the two ranks that each share lies between
     place = lambda s: F.lit(s) * (F.col("n") - 1)
     ranks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil(place(s)) if up else F.floor(place(s))).cast("long").alias("rank")) for k, s in enumerate(shares) for up in (False, True)))
     sought = before.select(key, "part", "before", "held", F.explode(ranks).alias("r")).filter((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("held"))).select(key, "part", "before", "r.*")
-    near = placed.join(sought.select(key, "part").distinct(), [key, "part"], "left_semi").groupBy(key, "part", "v").agg(F.count("*").alias("held"))
+    near = placed.join(F.broadcast(sought.select(key, "part").distinct()), [key, "part"], "left_semi").groupBy(key, "part", "v").agg(F.count("*").alias("held"))
     upto = near.withColumn("upto", F.sum("held").over(Window.partitionBy(key, "part").orderBy("v")))
     hit = sought.join(upto, [key, "part"]).filter((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("held")))
     found = hit.groupBy(key).agg(*(F.max(F.when((F.col("k") == k) & (F.col("up") == up), F.col("v"))).alias(f"_{k}{int(up)}") for k in range(len(shares)) for up in (False, True)))
@@ -175,7 +176,7 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> D
 
 def band_stretch(pixels: DataFrame, band: str, value: str, low: float = 0.02, high: float = 0.98, top: float = 1.0) -> DataFrame:
     """Pixels with their stretched value: exact percentiles of a band's valid (non-null) pixels; nodata becomes 0."""
-    joined = pixels.join(percentiles(pixels, band, value, [low, high]), band, "left")
+    joined = pixels.join(F.broadcast(percentiles(pixels, band, value, [low, high])), band, "left")
     return joined.withColumn("stretched", F.coalesce(stretch(F.col(value), F.col("_p")[0], F.col("_p")[1], top), F.lit(0.0))).drop("_p")
 
 

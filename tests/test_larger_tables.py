@@ -44,3 +44,17 @@ def test_link_suggestions_of_zero_areas_and_halves(spark, made):
     orders = [(4, 8, 2000.0), (5, 9, 11415.96), (7, 10, 60595.15), (8, 11, 2775.0), (9, 9, 5000.0)]
     orders = spark.createDataFrame([(k, c, "O", p, "1-URGENT") for k, c, p in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").withColumn("o_orderdate", F.timestamp_seconds(F.lit(0)))
     equal(spark, made(customer=customer, orders=orders), "link_suggestions")
+
+
+def test_band_stretch_deals_no_rows_by_band(spark):
+    from terrafold.functions import raster as R
+
+    pixels = spark.range(4000).select((F.col("id") % 3).alias("band"), (F.col("id") * 7919 % 10_007).cast("double").alias("v"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to send around
+    try:
+        df = R.band_stretch(pixels, "band", "v")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2  # of ranks and of percentiles, a few rows a band; all that pixels take part in are broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
