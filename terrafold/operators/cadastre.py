@@ -18,6 +18,7 @@ from ..functions import geometry as G
 from ..functions.overlay import overlay
 from ..functions.raster import components, outlines
 from ..functions.scores import percent_change
+from .graph import cut_lineage, spread
 
 SOURCES = ("GNSS_SURVEY", "FMB_IMPORT", "CADASTRAL_IMPORT", "MANUAL_DRAWING", "AI_VISIBLE_BOUNDARY")
 SPACES = ("PIXEL", "LOCAL", "UNKNOWN")
@@ -114,7 +115,7 @@ def overlaps(parcels: DataFrame, cell: float | None = None, area=None, tolerance
     boxed = parcels.select("parcel_id", "ring", G.bounds(F.col("ring")).alias("b"))
     left = boxed.select(F.col("parcel_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"))
     right = boxed.select(F.col("parcel_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"))
-    pairs = _common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id"))
+    pairs = spread(_common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id")).select("left_id", "right_id", "lr", "rr"))
     if area is None:
         return pairs.withColumn("area_m2", G.overlap_area(F.col("lr"), F.col("rr"))).filter(F.col("area_m2") > tolerance).select("left_id", "right_id", "area_m2")
     common = pairs.select("left_id", "right_id", overlay("intersection")(F.array("lr"), F.array("rr")).alias("part")).filter(F.size("part") > 0)
@@ -126,7 +127,7 @@ def topology_issues(parcels: DataFrame, boundary=None, tolerance: float = 0.01,
 
     `boundary` is a list of (x, y) of one valid closed ring; the gap is one row without parcels.
     """
-    judged = parcels.withColumn("ok", G.is_valid_polygon(F.col("ring")))
+    judged = cut_lineage(spread(parcels).withColumn("ok", G.is_valid_polygon(F.col("ring"))))
     fine = judged.filter("ok").drop("ok")
     issue = lambda rows, code, severity, ids, area: rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), ids.alias("parcel_ids"), area.cast("double").alias("area_m2"))
     one, nobody = F.array("parcel_id"), F.array().cast(f"array<{parcels.schema['parcel_id'].dataType.simpleString()}>")

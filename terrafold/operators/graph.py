@@ -21,6 +21,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, before Python looks at each of them: a small table lies in one file, and so in one task, but may hold hours of work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def components(links: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """(group, node, component): every node of the links with the smallest node that it reaches in its group; nodes without links are absent.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import overlay as O
 from .cadastre import _common_cells, coverage
+from .graph import cut_lineage, spread
 
 
 def normalized(shapes: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def normalized(shapes: DataFrame) -> DataFrame:
 
 
 def pieces(shapes: DataFrame) -> DataFrame:
-    """(shape_id, ring): a row a convex piece, which every operator on rings takes."""
-    return shapes.select("shape_id", F.explode(G.pieces(F.col("rings"))).alias("ring"))
+    """(shape_id, ring): a row a convex piece, which every operator on rings takes. Shapes are cut on all cores, and once however often pieces are read."""
+    return cut_lineage(spread(shapes.select("shape_id", "rings")).select("shape_id", F.explode(G.pieces(F.col("rings"))).alias("ring")))
 
 
 def overlaps(shapes: DataFrame, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
@@ -42,7 +43,8 @@ def overlaps(shapes: DataFrame, tolerance: float = 0.01, cell: float | None = No
     boxed = pieces(shapes).select("shape_id", "ring", G.bounds(F.col("ring")).alias("b"))
     left = boxed.select(F.col("shape_id").alias("left_id"), F.col("ring").alias("lr"), F.col("b").alias("lb"))
     right = boxed.select(F.col("shape_id").alias("right_id"), F.col("ring").alias("rr"), F.col("b").alias("rb"))
-    met = _common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id")).select("left_id", "right_id", G.overlap_area(F.col("lr"), F.col("rr")).alias("area"))
+    pairs = spread(_common_cells(left, right, cell).filter(F.col("left_id") < F.col("right_id")).select("left_id", "right_id", "lr", "rr"))
+    met = pairs.select("left_id", "right_id", G.overlap_area(F.col("lr"), F.col("rr")).alias("area"))
     return met.groupBy("left_id", "right_id").agg(F.sum("area").alias("area")).filter(F.col("area") > tolerance)
 
 
@@ -74,12 +76,12 @@ def _bounds(rings: Column) -> Column:
 def met(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
     """(left_id, right_id, left, right): rings of shapes (shape_id, rings) of two tables whose boxes overlap, each pair once.
 
-    Ids and boxes alone go through the grid; rings join afterwards. Ids are distinct within a table.
+    Ids and boxes alone go through the grid; rings join afterwards, and pairs are dealt over all cores. Ids are distinct within a table.
     """
     boxes = lambda rows, id_, b: rows.select(F.col("shape_id").alias(id_), _bounds(F.col("rings")).alias(b))
     pairs = _common_cells(boxes(left, "left_id", "lb"), boxes(right, "right_id", "rb"), cell).select("left_id", "right_id")
     pairs = pairs.join(left.select(F.col("shape_id").alias("left_id"), F.col("rings").alias("left")), "left_id")
-    return pairs.join(right.select(F.col("shape_id").alias("right_id"), F.col("rings").alias("right")), "right_id")
+    return spread(pairs.join(right.select(F.col("shape_id").alias("right_id"), F.col("rings").alias("right")), "right_id"))
 
 
 def intersections(shapes: DataFrame, code: Column | None = None, tolerance: float = 0.01, cell: float | None = None) -> DataFrame:
@@ -101,7 +103,7 @@ def topology(shapes: DataFrame, boundary: list[list[tuple[float, float]]] | None
     (its first; holes of the boundary are no gaps).
     """
     ids = shapes.schema["shape_id"].dataType.simpleString()
-    judged = repaired(shapes).select("shape_id", O.all_rings(F.col("polygons")).alias("rings"), "status")
+    judged = cut_lineage(repaired(spread(shapes.select("shape_id", "rings"))).select("shape_id", O.all_rings(F.col("polygons")).alias("rings"), "status"))
     issue = lambda rows, code, severity, who, area: rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), who.cast(f"array<{ids}>").alias("shape_ids"), area.cast("double").alias("area"))
     fine = judged.filter("status <> 'EMPTY_GEOMETRY'").drop("status")
     out = issue(judged.filter("status = 'EMPTY_GEOMETRY'"), "INVALID_GEOMETRY", "ERROR", F.array("shape_id"), F.lit(None))

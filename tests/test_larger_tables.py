@@ -58,3 +58,15 @@ def test_band_stretch_deals_no_rows_by_band(spark):
         assert plan.count("SortMergeJoin") == 2  # of ranks and of percentiles, a few rows a band; all that pixels take part in are broadcast
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shapes_of_one_file_are_worked_on_by_all_cores(spark):
+    from terrafold.functions import geometry as G
+    from terrafold.operators import cadastre, shapes
+
+    x = (F.col("id") * 9).cast("double")
+    rows = spark.range(60).coalesce(1).select(F.col("id").alias("shape_id"), F.array(G.rectangle(x, F.lit(0.0), x + 10, F.lit(10.0))).alias("rings"))
+    held = lambda df: len({r[0] for r in df.select(F.spark_partition_id()).collect()})
+    assert held(shapes.pieces(rows)) > 1 and held(shapes.met(rows, rows)) > 1
+    assert held(cadastre.overlaps(rows.select(F.col("shape_id").alias("parcel_id"), F.col("rings")[0].alias("ring")))) > 1
+    assert shapes.overlaps(rows).count() == 59
