@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import raster as R
+from .graph import cut_lineage
 
 BLOCK = 128
 #: Pixels around a point that cubic interpolation looks at.
@@ -98,13 +99,17 @@ def rotated(images: DataFrame, angles: DataFrame, block: int = BLOCK) -> DataFra
 
 
 def prepared(images: DataFrame, contrast: bool = True, denoise: bool = True, deskew: bool = True, threshold: bool = False, most: float = 15.0) -> tuple[DataFrame, DataFrame]:
-    """(images, (image_id, degrees)): the steps that are asked for, in this order, and the skew that was turned back (null where none was seen)."""
-    out = images.select("image_id", "row", "levels")
+    """(images, (image_id, degrees)): the steps that are asked for, in this order, and the skew that was turned back (null where none was seen).
+
+    Every step reads its images several times, so what a step has made is kept: otherwise all before it would be done anew for each reading.
+    """
+    given = out = cut_lineage(images.select("image_id", "row", "levels"))
     out = R.contrasted(out) if contrast else out
     out = R.smoothed(out) if denoise else out
-    seen = images.select("image_id").distinct().withColumn("degrees", F.lit(None).cast("double"))
+    seen = given.select("image_id").distinct().withColumn("degrees", F.lit(None).cast("double"))
     if deskew:
-        seen = R.skew(out, most)
+        out = cut_lineage(out) if contrast or denoise else out
+        seen = cut_lineage(R.skew(out, most))
         # rows run down: a positive skew falls to the right, and turning anticlockwise lifts it
         out = rotated(out, seen)
-    return (R.two_levels(out) if threshold else out), seen
+    return (R.two_levels(cut_lineage(out)) if threshold else out), seen

@@ -70,3 +70,12 @@ def test_shapes_of_one_file_are_worked_on_by_all_cores(spark):
     assert held(shapes.pieces(rows)) > 1 and held(shapes.met(rows, rows)) > 1
     assert held(cadastre.overlaps(rows.select(F.col("shape_id").alias("parcel_id"), F.col("rings")[0].alias("ring")))) > 1
     assert shapes.overlaps(rows).count() == 59
+
+
+def test_a_step_of_scans_is_done_once(spark):
+    from terrafold.operators import scans
+
+    rows = spark.range(200).select((F.col("id") % 5).alias("image_id"), F.floor(F.col("id") / 5).alias("row"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (k * 37 + F.col("id") * 11) % 256).cast("array<int>").alias("levels"))
+    made, seen = scans.prepared(rows, threshold=True)
+    plan = made.join(seen, "image_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "_up" not in plan and made.count() == 200  # medians lie behind a kept table
