@@ -35,11 +35,12 @@ def attention(counts: DataFrame, named: Mapping[str, str], key: list[str] | None
 
 def records_export(documents: DataFrame, files: DataFrame, fields: DataFrame, corrections: DataFrame, validations: DataFrame, columns: tuple[str, ...], missing: str | None = "") -> DataFrame:
     """A row a document: file name, status, latest validation status, and each field's first value with corrections; `missing` for what isn't there."""
-    newest_ocr = fields.groupBy("document_id").agg(F.max("version").alias("version"))
-    now = fields.join(newest_ocr, ["document_id", "version"])
     fixed = corrections.groupBy(F.col("extracted_field_id").alias("id")).agg(F.max_by("corrected_value", "version").alias("fix"))
-    first = now.join(fixed, "id", "left").filter(F.col("field_name").isin(*columns)).groupBy("document_id", "field_name").agg(F.min_by(F.coalesce("fix", "original_value"), "candidate_index").alias("value"))
-    wide = first.groupBy("document_id").agg(*(F.max(F.when(F.col("field_name") == c, F.col("value"))).alias(c) for c in columns))
+    # a version's first values at once, then the newest version of them: fields are dealt by document and version once, and small rows go on
+    mine = lambda c: F.col("field_name") == c
+    firsts = [F.min_by(F.when(mine(c), F.coalesce("fix", "original_value")), F.when(mine(c), F.col("candidate_index"))).alias(c) for c in columns]
+    held = fields.join(fixed, "id", "left").groupBy("document_id", "version").agg(*firsts)
+    wide = held.groupBy("document_id").agg(F.max_by(F.struct(*columns), "version").alias("_f")).select("document_id", *(F.col("_f")[c].alias(c) for c in columns))
     checked = validations.groupBy("document_id").agg(F.max_by("status", "version").alias("validation_status"))
     joined = documents.join(files.select(F.col("id").alias("file_id"), "original_name"), "file_id", "left").join(wide, "document_id", "left").join(checked, "document_id", "left")
     return joined.select("document_id", *(F.coalesce(F.col(c), F.lit(missing)).alias(c) for c in ("original_name", "status", "validation_status", *columns)))

@@ -79,3 +79,13 @@ def test_a_step_of_scans_is_done_once(spark):
     made, seen = scans.prepared(rows, threshold=True)
     plan = made.join(seen, "image_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort" not in plan and "_up" not in plan and made.count() == 200  # medians lie behind a kept table
+
+
+def test_records_export_deals_lines_once_and_without_their_ids(spark, tables):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.records_export(spark, tables[0])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("lineitem.parquet") == 1 and "concat_ws" not in plan and "ShuffledHashJoin" in plan
