@@ -19,6 +19,7 @@ from ..functions import raster as R
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import access, cadastre, dashboard, extraction, features, gis, imagery, jobs, linking, mosaic, paging, projects, rules, scans, shapes, versions
+from ..operators.graph import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -722,7 +723,7 @@ SELECT k AS parcel_id, round(min(x1) / 0.3048, 2) AS west_feet, round(max(y1) /
 """)
 def projected_areas(spark: SparkSession, d: str) -> DataFrame:
     """Small quadrilaterals on a cone in feet: where they lie, what they measure, and whether they come back to their degrees."""
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("parcel_id"), F.array(F.array(_quad(F.col("c_custkey")))).alias("degrees")).withColumn("feet", P.from_degrees(F.col("degrees"), F.lit(_CONE)))
+    rows = spread(table(spark, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("parcel_id"), F.array(F.array(_quad(F.col("c_custkey")))).alias("degrees")).withColumn("feet", P.from_degrees(F.col("degrees"), F.lit(_CONE)))
     back, points = P.to_degrees(F.col("feet"), F.lit(_CONE)), F.col("feet")[0][0]
     near = F.forall(F.arrays_zip(F.col("degrees")[0][0].alias("p"), back[0][0].alias("q")), lambda v: (F.abs(v["p"]["x"] - v["q"]["x"]) < 1e-10) & (F.abs(v["p"]["y"] - v["q"]["y"]) < 1e-10))
     b = G.bounds(points)

@@ -81,6 +81,11 @@ def test_a_step_of_scans_is_done_once(spark):
     assert "array_sort" not in plan and "_up" not in plan and made.count() == 200  # medians lie behind a kept table
 
 
+def test_projected_areas_are_worked_on_by_all_cores(spark, tables):
+    df = catalog.projected_areas(spark, tables[0])
+    assert len({r[0] for r in df.select(F.spark_partition_id()).collect()}) > 1
+
+
 def test_records_export_deals_lines_once_and_without_their_ids(spark, tables):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
