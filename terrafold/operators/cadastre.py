@@ -63,6 +63,8 @@ def feature_space(source_crs: Column, declared: Column) -> Column:
 
 #: Rings that coverage takes in one cell before it is cut.
 CELL_RINGS = 256
+#: Masks whose features leave a task at once, however many Arrow hands over.
+MASKS = 256
 #: Levels of the grid: cells have sides of 2**level; larger boxes take several cells of the last.
 LEVELS = (-40, 60)
 
@@ -266,9 +268,9 @@ def vectorize(masks: DataFrame, width: int, threshold: float = 0.5, min_area: fl
     schema = f"mask_id long, component int, pixels int, confidence double, ring {G.RING}, holes int"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for some in (batch.iloc[at : at + MASKS] for batch in batches for at in range(0, len(batch), MASKS)):
             rows = []
-            for mask_id, values in zip(batch["mask_id"], batch["values"]):
+            for mask_id, values in zip(some["mask_id"], some["values"]):
                 if values is None or not len(values):
                     continue
                 grid = np.asarray(values, float).reshape(-1, width)

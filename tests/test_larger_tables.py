@@ -94,3 +94,15 @@ def test_records_export_deals_lines_once_and_without_their_ids(spark, tables):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("lineitem.parquet") == 1 and "concat_ws" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_masks_leave_a_task_in_small_batches(spark, monkeypatch):
+    import pandas as pd
+
+    from terrafold.operators import cadastre
+
+    sizes = []
+    frame = spark.range(1).select(F.col("id").alias("mask_id"), F.array(*(F.lit(1.0) for _ in range(4))).alias("values"))
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, work, schema: sizes.extend(len(p) for p in work(iter([pd.DataFrame({"mask_id": range(1000), "values": [[1.0, 0.0, 0.0, 1.0]] * 1000})]))))
+    cadastre.vectorize(frame, 2)
+    assert sum(sizes) == 1000 and max(sizes) <= 256
