@@ -134,7 +134,23 @@ def full_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(doc_id, members) of the wanted sets (doc_id, fp1, fp2), each once."""
-    return full_sets(only(docs, wanted), size).join(wanted, ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "members").dropDuplicates(["doc_id"])
+    return _nearly(full_sets(only(docs, wanted), size), wanted).join(wanted, ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "members").dropDuplicates(["doc_id"])
+
+
+def sets_to_join(docs: DataFrame, wanted: DataFrame, again: DataFrame, size: int) -> DataFrame:
+    """As sets_of, and sets of few other ids, which joins on doc_id drop. Only those of ids that several rows have (again) move."""
+    count = again.count()
+    if not count:
+        return _nearly(full_sets(only(docs, wanted), size), wanted).select("doc_id", "members")
+    texts = _marked(only(docs, wanted), "doc_id", again, min(count, MAP_IDS))
+    once = _nearly(full_sets(texts.filter("NOT _may"), size), wanted).select("doc_id", "members")
+    return once.unionByName(sets_of(texts.filter("_may").select("doc_id", "text"), wanted, size))
+
+
+def _nearly(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets whose fingerprint is wanted, and few others of those that only() let through."""
+    marks = wanted.select(F.col("fp1").alias("doc_id"))
+    return _marked(sets, "fp1", marks, min(wanted.count(), MAP_IDS)).filter("_may").drop("_may")
 
 
 def least_shared(k: int, threshold: float) -> int:
@@ -214,6 +230,12 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _marked(known, "doc_id", ids, count).filter("_may").select("doc_id", "text")
 
 
+def among(rows: DataFrame, pairs: DataFrame, count: int) -> DataFrame:
+    """The rows whose doc_id is in one of so many pairs (a, b), and few others; rows don't move."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return _marked(rows, "doc_id", ends, min(2 * count, MAP_IDS)).filter("_may").drop("_may")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets (doc_id, members) are similar enough."""
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
@@ -232,10 +254,9 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> Da
     return pairs.join(left, "a").join(right, "b").filter(shared >= F.least(F.lit(k), F.size(union)) * floor).select("a", "b")
 
 
-def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent values (v) and their counts, ascending by value; bounded, as it only orders prefixes."""
-    counts = values.groupBy("v").count().filter(F.col("count") > COMMON)
-    top = counts.orderBy(F.desc("count"), "v").limit(COMMON_VALUES).toArrow()
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent values and their counts (v, count), ascending by value; bounded, as it only orders prefixes."""
+    top = counts.filter(F.col("count") > COMMON).orderBy(F.desc("count"), "v").limit(COMMON_VALUES).toArrow()
     common, rank = top.column("v").to_numpy(), top.column("count").to_numpy()
     at = np.argsort(common)
     return common[at], rank[at]
@@ -252,10 +273,11 @@ def _fits(m: str, n: str, percent: int):
 def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFrame, percent: int, size: int) -> DataFrame:
     """Components once the doubtful documents' links across components are found, by lists over their full sets."""
     sets = scratch.table(sets_of(docs, doubtful, size), "doubtful-sets")
-    common, rank = _common(sets.mapInArrow(_values, "v long"))
+    common, rank = _common(sets.mapInArrow(_values, "v long").groupBy("v").count())
     posted = sets.mapInArrow(_full_prefixes(common, rank, percent), "v long, doc_id long, n long, own long")
     shared = posted.groupBy("v").agg(F.count("*").alias("members")).filter("members > 1").select("v")
     members = scratch.table(posted.join(shared, "v"), "doubtful-members")
+    maps = scratch.table(sets.mapInArrow(_parities, _PARITIES), "parities")
     found = True
     for r in range(1, PIVOT_ROUNDS + 2):
         placed = scratch.table(members.join(parts, members.doc_id == parts.node, "left").select("v", "doc_id", "n", "own", F.coalesce("component", "doc_id").alias("c")), f"placed-{r}")
@@ -269,17 +291,21 @@ def _rest(scratch: Scratch, docs: DataFrame, doubtful: DataFrame, parts: DataFra
         last = r > PIVOT_ROUNDS or not found or cost[0] <= PAIRS_PER_MEMBER * cost[1]
         if last:
             # a long list's members are dealt to blocks: each pair of blocks is a join key of its own
-            marked = apart.select("v", "doc_id", "n", "c", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")).join(sets.mapInArrow(_parities, _PARITIES), "doc_id")
+            marked = apart.select("v", "doc_id", "n", "c", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")).join(maps, "doc_id")
             marked = marked.withColumn("mine", F.pmod(F.hash("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             row, column = ("v", F.col("mine").alias("i"), F.col("other").alias("j")), ("v", F.col("other").alias("i"), F.col("mine").alias("j"))
             x, y = (marked.select(*key, *(F.col(c).alias(c + side) for c in ("doc_id", "n", "c", *_MARKS))) for key, side in ((row, "_x"), (column, "_y")))
-            apart_bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _MARKS), F.lit(0))
-            near = (F.col("c_x") < F.col("c_y")) & _fits("n_x", "n_y", percent) & (apart_bits * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
+            near = (F.col("c_x") < F.col("c_y")) & _fits("n_x", "n_y", percent) & _may_fit(percent)
             new = x.join(y, (x.v == y.v) & (x.i == y.i) & (x.j == y.j) & near).select(*_couple(F.col("doc_id_x"), F.col("doc_id_y")))
         else:
-            new = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent)).select(*_couple(F.col("doc_id"), F.col("p.doc_id")))
-        links = scratch.table(confirmed(new.distinct(), sets, percent), f"links-{r}")
-        found = not links.isEmpty()
+            star = apart.filter((F.col("c") != F.col("p.c")) & _fits("n", "p.n", percent))
+            star = star.select(F.col("doc_id").alias("doc_id_x"), F.col("n").alias("n_x"), F.col("p.doc_id").alias("doc_id_y"), F.col("p.n").alias("n_y")).distinct()
+            x, y = (maps.select(*(F.col(c).alias(c + side) for c in ("doc_id", *_MARKS))) for side in ("_x", "_y"))
+            new = star.join(x, "doc_id_x").join(y, "doc_id_y").filter(_may_fit(percent)).select(*_couple(F.col("doc_id_x"), F.col("doc_id_y")))
+        new = scratch.table(new.distinct(), f"pairs-{r}")
+        count = new.count()
+        links = scratch.table(confirmed(new, among(sets, new, count), percent), f"links-{r}") if count else new
+        found = count > 0 and not links.isEmpty()
         if found:
             known = parts.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = scratch.table(components(scratch, known.unionByName(links), f"components-{r}"), f"parts-{r}")
@@ -295,6 +321,12 @@ _MARKS = tuple(f"p{k}" for k in range(16))
 _PARITIES = "doc_id long, " + ", ".join(f"{c} long" for c in _MARKS)
 
 
+def _may_fit(percent: int):
+    """Whether sets _x and _y may be similar enough: by their parity maps they differ in so few values."""
+    apart_bits = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in _MARKS), F.lit(0))
+    return apart_bits * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+
+
 def _parities(batches):
     bits = 64 * len(_MARKS)
     for batch in batches:
@@ -331,20 +363,38 @@ def _full_prefixes(common: np.ndarray, order: np.ndarray, percent: int):
     return work
 
 
+def _sketches(scratch: Scratch, signed: DataFrame, classes: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, n, sketch) of the nodes, each once. A row alone in its class stays where it is; of other classes only rows move that may be their nodes'."""
+    unsure = scratch.table(classes.join(shared.select("class_id", "sets"), "class_id", "left").filter("rows > 1 OR sets > 1").select(F.col("fp1").alias("doc_id")), "unsure")
+    count, key = min(unsure.count(), MAP_IDS), ["doc_id", "fp1", "fp2", "n_shingles"]
+    signed = _marked(signed, "fp1", unsure, count)
+    # the same map takes the same few other nodes
+    some = scratch.table(_marked(nodes, "fp1", unsure, count).filter("_may").drop("_may"), "some-nodes")
+    moved = _marked(signed.filter("_may").drop("_may"), "doc_id", some, min(some.count(), MAP_IDS)).filter("_may")
+    found = moved.groupBy(*key).agg(F.first("sketch").alias("sketch")).join(some, key, "left_semi")
+    columns = ("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    return signed.filter("NOT _may").select(*columns).unionByName(found.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (smallest doc_id of its set), component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.table(signatures(docs, k, size), "signatures")
-    known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # equal sets have equal sketches
-    classes = scratch.table(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"), F.first("sketch").alias("sketch")), "classes")
+    # sketches are most of that table: rows are grouped and joined without them
+    prints = scratch.table(signed.drop("sketch"), "prints")
+    known = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = scratch.table(known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
     shared = scratch.table(classes.groupBy("class_id").agg(F.count("*").alias("sets"), F.min(F.struct("fp1", "fp2")).alias("least")).filter("sets > 1"), "shared-ids")
-    nodes = classes.join(shared, "class_id", "left").filter("least IS NULL OR (fp1 = least.fp1 AND fp2 = least.fp2)")
-    sketches = scratch.table(nodes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2", F.col("n_shingles").alias("n"), "sketch"), "sketches")
-
-    common, rank = _common(sketches.select(F.explode("sketch").alias("v")))
-    posted = sketches.select("doc_id", "n", "sketch").mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long, own int")
+    nodes = scratch.table(classes.join(shared, "class_id", "left").filter("least IS NULL OR (fp1 = least.fp1 AND fp2 = least.fp2)").select(F.col("class_id").alias("doc_id"), "fp1", "fp2", "n_shingles"), "nodes")
+    sketches = scratch.table(_sketches(scratch, signed.filter("n_shingles > 0 AND doc_id IS NOT NULL"), classes, shared, nodes), "sketches")
+    scratch.drop("signatures")
+
+    repeated = scratch.table(sketches.select(F.explode("sketch").alias("v")).groupBy("v").count().filter("count > 1"), "repeated")
+    common, rank = _common(repeated)
+    # a value of one sketch makes no list: nearly all of those stay where they are
+    posted = sketches.mapInArrow(_prefixes(common, rank, k, percent), "v long, doc_id long, n long, own int")
+    posted = scratch.table(_marked(posted, "v", repeated.select(F.col("v").alias("doc_id")), min(repeated.count(), MAP_IDS)).filter("_may").drop("_may"), "posted")
     # lists of one member pair with nobody; a long list's pivot is the member with the least text of its own: in a
     # group of edited copies the one that most others are near to
     pivot = F.min(F.struct("own", F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("p")
@@ -354,11 +404,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     mate = short.select("v", F.col("doc_id").alias("other"), F.col("n").alias("other_n"))
     pairs = short.join(mate, "v").filter((F.col("doc_id") < F.col("other")) & _fits("n", "other_n", percent)).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
     stars = long_.filter((F.col("doc_id") != F.col("pivot")) & _fits("n", "pivot_n", percent)).select(*_couple(F.col("doc_id"), F.col("pivot")))
-    pairs = pairs.unionByName(stars).distinct()
-    near = scratch.table(estimated(pairs, sketches, percent, k), "near")
-    marks = sketches.select("doc_id", "fp1", "fp2")
+    pairs = scratch.table(pairs.unionByName(stars).distinct(), "pairs")
+    near = scratch.table(estimated(pairs, among(sketches, pairs, pairs.count()), percent, k), "near")
+    scratch.drop("repeated", "posted", "pairs", "sketches")
+    marks = nodes.select("doc_id", "fp1", "fp2")
     wanted = scratch.table(marks.join(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "wanted")
-    sets = scratch.table(sets_of(docs, wanted, size), "sets")
+    again = scratch.table(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    sets = scratch.table(sets_to_join(docs, wanted, again, size), "sets")
     links = scratch.table(confirmed(near, sets, percent), "links")
     scratch.drop("near", "sets")
     parts = scratch.table(components(scratch, links, "components"), "parts")
@@ -377,7 +429,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SKETCH, size: i
     hot = scratch.table(found.filter("rows > 1").orderBy(F.desc("rows"), "fp1", "fp2").limit(HOT_CLASSES).drop("rows"), "hot")
     rows = known.select("doc_id", *key)
     cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(found.drop("rows"), key)
-    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    alone = prints.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     columns = ("doc_id", "n_shingles", "class_id", "component_id")
     out = rows.join(F.broadcast(hot), key).select(*columns).unionByName(cold.select(*columns)).unionByName(alone)
     # of rows that repeat a doc_id every copy stays or goes alike; a null doc_id stays
